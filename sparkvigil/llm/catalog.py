@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import near_dedup, quality_rules
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_near_dedup": near_dedup.OP9_SQL}
