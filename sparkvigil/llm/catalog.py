@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality_rules
+from . import decontaminate, language_id, main_text, near_dedup, quality_rules, record_files
 
 QUERIES = {
+    "op3_html_main_text": main_text.op3_html_main_text,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_record_files": record_files.op7_record_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
