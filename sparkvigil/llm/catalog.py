@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, main_text, near_dedup, quality_rules, record_files
+from . import decontaminate, language_id, main_text, near_dedup, pieces, quality_rules, record_files, warc_revisits
 
 QUERIES = {
+    "op1_warc_revisits": warc_revisits.op1_warc_revisits,
     "op3_html_main_text": main_text.op3_html_main_text,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_record_files": record_files.op7_record_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL: dict[str, str] = {"op9_near_dedup": near_dedup.OP9_SQL}
+SQL: dict[str, str] = {"op1_warc_revisits": warc_revisits.OP1_SQL, "op9_near_dedup": near_dedup.OP9_SQL}
