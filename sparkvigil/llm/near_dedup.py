@@ -5,17 +5,18 @@ with the same set form one class, and only the smallest doc_id of a class goes
 on. Then, after Christiani, Pagh and Sivertsen (2018), each of `trees`
 independent trees branches the documents by minwise tokens: the path of a node
 fixes which minhash coordinates its members are branched by, 1/threshold of
-them in the mean, and members with the same minwise token share a child. The
-members of a small node are compared with each other; a large node is branched
-again. Before that every member of a node, small or large, is compared with the
-node's smallest doc_id, and nodes whose members are connected by now need no
-more work, so large groups of near copies end early and no group is ever
-expanded into its pairs. At `max_depth` the nodes left are compared as they are.
+them in the mean, and members with the same minwise token share a child. Every member of a node is
+first compared with a leader of the node, and links found so far give labels, so
+large groups of near copies are connected early and never expanded into pairs.
+Of a node that still has several labels, the members outside its most frequent
+label are compared with all others if they are few, which covers every pair that
+is not connected yet; a node with more of them is branched again. After
+`max_rounds` the nodes left are compared as they are.
 Signs of 128 more minhashes drop pairs that differ too much (at the threshold a
 loss of about 1e-9); every other pair is confirmed on the full sets. The chance
 to miss a pair at the threshold in all trees is (1 - threshold)^trees at the
 first level, 6e-9 by default, and grows with the depth at which families of
-large, similar, but not linked nodes end.
+similar, but not linked documents end.
 
 Defined results: null or empty text, or text without words, has an empty set
 and no link; with fewer than k words the whole sequence is the one shingle;
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import Words, add_per_row, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, unique_per_row
-from .store import documents, written
+from .kernels import Words, add_per_row, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trimmed, unique_per_row
+from .store import bucketed, documents, written
 
 COORDINATES, SIGNS, WIDTH = 64, 128, 6
 _U = np.uint64
@@ -86,25 +87,35 @@ def _wrapping(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return (s[off[1:]] - s[off[:-1]]).view(np.int64)
 
 
-def _branch(threshold: float):
-    """Children of nodes: rows (path, minwise, ...) to rows with the child's path."""
+def _branch(threshold: float, limit: int):
+    """Children of nodes: rows (path, minwise, others, ...) to rows with the child's path.
+
+    A node with far more members than the limit is branched by several levels at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             if not b.num_rows:
                 continue
             path = b.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
             raw, _ = text_bytes(b.column("minwise"))
             least = raw.view(np.uint32).reshape(-1, COORDINATES)
-            seed = mix(path ^ _U(0x8CB92BA72F3D8DD7))
-            more = mix(seed + _U(1)) < _U(int((1 / threshold - 1) * 2**64))
-            first, second = seed % _U(COORDINATES), (seed >> _U(8)) % _U(COORDINATES)
-            second = np.where(second == first, (second + _U(1)) % _U(COORDINATES), second)
-            for coordinate, rows in ((first, np.arange(len(path))), (second, np.flatnonzero(more))):
-                c = coordinate[rows]
-                child = mix(seed[rows] ^ mix(least[rows, c.astype(np.int64)].astype(np.uint64) + (c << _U(32))))
-                cols = {x: b.column(x).take(pa.array(rows)) for x in ("doc_id", "n", "s1", "s2")}
-                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(child.view(np.int64))], names=[*cols, "path"])
+            rows = np.arange(len(path))
+            levels = np.clip(np.log2(b.column("others").to_numpy(zero_copy_only=False) / limit).astype(np.int64) + 1, 1, 6)
+            done = []
+            for level in range(1, int(levels.max()) + 1):
+                seed = mix(path ^ _U(0x8CB92BA72F3D8DD7))
+                more = mix(seed + _U(1)) < _U(int((1 / threshold - 1) * 2**64))
+                first, second = seed % _U(COORDINATES), (seed >> _U(8)) % _U(COORDINATES)
+                second = np.where(second == first, (second + _U(1)) % _U(COORDINATES), second)
+                c, r, s = np.concatenate([first, second[more]]), np.concatenate([rows, rows[more]]), np.concatenate([seed, seed[more]])
+                path = mix(s ^ mix(least[r, c.astype(np.int64)].astype(np.uint64) + (c << _U(32))))
+                end = levels[r] == level
+                done.append((r[end], path[end]))
+                rows, path = r[~end], path[~end]
+            rows, path = (np.concatenate(x) for x in zip(*done, strict=True))
+            cols = {x: b.column(x).take(pa.array(rows)) for x in ("doc_id", "n", "s1", "s2")}
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(path.view(np.int64))], names=[*cols, "path"])
 
     return run
 
@@ -113,7 +124,7 @@ def _confirm(percent: int):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             step = max(1, int(4e6 / max(1, b.nbytes / max(1, b.num_rows))))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
@@ -132,7 +143,7 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of at least that similarity on full sets."""
+    """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled."""
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     return pairs.join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
@@ -146,9 +157,39 @@ def _alike(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {most}"
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 64, max_depth: int = 24) -> DataFrame:
+def _row():
+    return F.struct("doc_id", "n", "s1", "s2")
+
+
+def _leaders(alive: DataFrame, fan: int) -> DataFrame:
+    """Pairs of each member of a node with the smallest doc_id of its part of the node.
+
+    A node of more than `fan` members is dealt into parts of about so many; the
+    parts' leaders are members of the next tier, until a node has one leader, so
+    no leader meets many more than `fan` members.
+    """
+    pairs, rows = [], alive.select("path", "size", "doc_id", "n", "s1", "s2")
+    while True:
+        salt = F.pmod(F.xxhash64("doc_id", F.lit(len(pairs))), F.ceil(F.col("size") / fan))
+        rows = rows.withColumn("part", salt)
+        parts = written(rows.groupBy("path", "part").agg(F.min(_row()).alias("x"), F.first("size").alias("s")), "leaders")
+        pairs.append(rows.select("path", "part", _row().alias("y")).join(parts.select("path", "part", "x"), ["path", "part"]).select("x", "y"))
+        rows = parts.where(f"s > {fan}").select("path", F.ceil(F.col("s") / fan).alias("size"), "x.*")
+        if rows.isEmpty():
+            break
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 64, max_rounds: int = 8, fan: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest doc_id) of each document."""
-    sigs = written(docs.select("doc_id", "text").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL), "signatures")
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = docs.select("doc_id", "text").repartition(buckets, "doc_id").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL)
+    sigs, table = bucketed(signed, "doc_id", buckets)
+    ids = written(sigs.select("doc_id", "n", "f1", "f2"), "ids")
     classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "s1", "s2", "roots")).alias("x")).select("f1", "f2", "n", "x.*"), "classes")
     sets = sigs.select("doc_id", "shingles")
     alike = _alike(percent)
@@ -157,38 +198,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
 
     def linked(pairs: DataFrame) -> None:
         nonlocal links, roots
-        pairs = written(pairs.distinct(), "pairs")
+        pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return
         new = confirmed(pairs, sets, percent)
-        links = written(new if links is None else new.unionByName(links.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
-        links = roots = written(components(links), "roots")
+        links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
+        roots = written(components(links), "roots")
 
     def labelled(rows: DataFrame) -> DataFrame:
         if roots is None:
             return rows.withColumn("label", F.col("doc_id"))
         return rows.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
 
-    for depth in range(max_depth + 1):
-        sizes = written(nodes.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n", "s1", "s2")).alias("x")).where("size > 1"), "sizes")
+    for turn in range(max_rounds):
+        sizes = written(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         alive = written(nodes.join(sizes, "path"), "nodes")
-        y = alive.select("x", F.struct("doc_id", "n", "s1", "s2").alias("y"))
-        linked(y.where(f"x.doc_id < y.doc_id and {alike}").select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")))
-        told = written(labelled(alive.drop("x")), "labelled")
-        mixed = written(told.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path"), "mixed")
-        told = told.join(mixed, "path")
-        most = node_limit if depth < max_depth else 1 << 60
-        few = told.where(F.col("size") <= most).select("path", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
-        linked(few.join(few.withColumnRenamed("x", "y"), "path").where(f"x.doc_id < y.doc_id and x.label <> y.label and {alike}").select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")))
-        left = written(told.where(F.col("size") > most).select("doc_id", "n", "s1", "s2", "path"), "large")
+        near = _leaders(alive, fan).where(f"x.doc_id < y.doc_id and {alike}")
+        linked(near.groupBy(F.col("y.doc_id").alias("v")).agg(F.min("x.doc_id").alias("u")).select("u", "v"))
+        told = written(labelled(alive), "labelled")
+        shares = told.groupBy("path", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+        mixed = written(shares.groupBy("path").agg(F.max(F.struct("c", "label")).alias("m"), F.first("size").alias("size")).where("m.c < size").select("path", F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
+        told = written(told.join(mixed, "path"), "mixed_nodes")
+        most = node_limit if turn < max_rounds - 1 else 1 << 60
+        few = told.where(F.col("others") <= most).select("path", "major", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
+        minor = few.where("x.label <> major").select("path", "x")
+        every = few.select("path", F.col("x").alias("y"), (F.col("x.label") == F.col("major")).alias("of_major"))
+        meet = minor.join(every, "path").where(f"x.label <> y.label and (of_major or x.doc_id < y.doc_id) and {alike}")
+        linked(meet.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct())
+        left = told.where(F.col("others") > most).select("doc_id", "n", "s1", "s2", "path", "others")
         if left.isEmpty():
             break
-        nodes = written(left.join(sigs.select("doc_id", "minwise"), "doc_id").mapInArrow(_branch(percent / 100), "doc_id long, n long, s1 long, s2 long, path long"), "children")
-    if roots is None:
-        return sigs.join(classes.select("f1", "f2", "n", F.col("doc_id").alias("component_id")), ["f1", "f2", "n"], "left").transform(_result)
+        nodes = written(left.join(sigs.select("doc_id", "minwise"), "doc_id").mapInArrow(_branch(percent / 100, node_limit), "doc_id long, n long, s1 long, s2 long, path long"), "children")
     rep = classes.select("f1", "f2", "n", F.col("doc_id").alias("rep"))
-    out = sigs.select("doc_id", "n", "f1", "f2").join(rep, ["f1", "f2", "n"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.withColumn("component_id", F.coalesce("root", "rep")).transform(_result)
+    out = written(ids.join(rep, ["f1", "f2", "n"], "left"), "members")
+    if roots is None:
+        out = out.withColumn("component_id", F.col("rep"))
+    else:
+        out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    spark.sql(f"drop table if exists {table}")
+    return _result(out)
 
 
 def _result(df: DataFrame) -> DataFrame:

@@ -33,5 +33,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """Runs `df`, already partitioned by `key` into so many parts, into a table bucketed by it, and gives the table's name too.
+
+    Joins on the key then read the table where it lies: its rows are not shuffled again.
+    """
+    spark, name = df.sparkSession, f"sparkvigil_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session: a batch of whole texts is held by JVM and Python at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
