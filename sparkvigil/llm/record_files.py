@@ -2,7 +2,8 @@
 
 Each record is the length of its payload (unsigned 64-bit little-endian), the
 masked CRC-32C of those eight bytes, the payload (ids as little-endian unsigned
-32-bit integers) and the payload's masked CRC-32C. Beside each data file lies an
+integers of 16 bits where the vocabulary allows it, else of 32; the manifest has
+the width) and the payload's masked CRC-32C. Beside each data file lies an
 index of (doc_id, byte offset of the record, number of ids) triples of 64-bit
 integers, by which records are read in any order.
 
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .crc32c import crc32c, masked
-from .kernels import slices
+from .kernels import slices, trimmed
 from .segments import Encoder
 from .store import documents, shared_folder, written
 
 NULL_ID = -(1 << 63)
-_MANIFEST = "data string, first_doc long, n_records long, n_tokens long"
+_MANIFEST = "data string, width long, first_doc long, n_records long, n_tokens long"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,17 +47,48 @@ def tokenizer_path(name: str) -> str:
 
 
 def byte_bpe(path: str) -> Encoder:
-    """This process's encoder for a file of the tokenizers library."""
+    """This process's encoder for a file of the tokenizers library (byte-level BPE)."""
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _encoders[path] = Encoder(lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        _encoders[path] = Encoder(_joint(t))
+        _encoders[path].vocabulary = t.get_vocab_size()
     return _encoders[path]
 
 
+def _joint(t, run: int = 500):
+    """Encodes many segments by one call: those between single blanks are joined, and the ids split by the tokens' lengths in bytes."""
+    size = np.zeros(t.get_vocab_size(), np.int64)
+    for token, i in t.get_vocab().items():
+        size[i] = len(token)  # one character stands for one byte
+
+    def alone(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        fit = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+        runs = [fit[i : i + run] for i in range(0, len(fit), run)]
+        for part, e in zip(runs, t.encode_batch_fast(["".join([texts[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(size[ids])
+            want = np.cumsum([len(texts[i].encode()) for i in part])
+            to = np.searchsorted(ends, want)
+            if len(ids) and to[-1] < len(ids) and (ends[to] == want).all():
+                raw, to = ids.tobytes(), np.concatenate([[0], 4 * (to + 1)]).tolist()
+                for i, a, z in zip(part, to, to[1:], strict=False):
+                    out[i] = raw[a:z]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, alone([texts[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    return encode
+
+
 def frame(payload: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Records of the byte runs payload[off[i]:off[i + 1]], and their offsets in the result."""
     size = np.diff(off)
@@ -92,9 +124,10 @@ def unframe(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
+        width = 2 if encoder.vocabulary <= 1 << 16 else 4
         out, name = None, f"{folder}/{uuid.uuid4().hex}"
         first = n_records = n_tokens = place = 0
-        for batch, data, off in slices(batches):
+        for batch, data, off in trimmed(slices(batches)):
             if out is None:
                 system, path = fs.FileSystem.from_uri(name)
                 system.create_dir(os.path.dirname(path), recursive=True)
@@ -107,7 +140,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             full[ends - 1] = end_id
             full[np.arange(to[-1]) + np.repeat(np.arange(n), np.diff(to))] = ids
             to = np.concatenate([[0], ends])
-            raw, at = frame(full.view(np.uint8), to * 4)
+            raw, at = frame(full.astype(f"<u{width}").view(np.uint8), to * width)
             docs = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             index.write(np.stack([docs, place + at[:-1], np.diff(to)], axis=1).astype("<i8").tobytes())
             out.write(raw)
@@ -115,7 +148,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         if out is not None:
             out.close()
             index.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([n_records]), pa.array([n_tokens])], names=["data", "first_doc", "n_records", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([width]), pa.array([first], pa.int64()), pa.array([n_records]), pa.array([n_tokens])], names=["data", "width", "first_doc", "n_records", "n_tokens"])
 
     return run
 
@@ -130,7 +163,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
 def _reader(limit: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name, width in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 system, path = fs.FileSystem.from_uri(name)
                 with system.open_input_file(path + ".idx") as f:
                     index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
@@ -142,11 +175,11 @@ def _reader(limit: int = 8 << 20):
                         j = max(i + 1, int(np.searchsorted(end, index[i, 1] + limit, "right")))
                         raw = f.read_at(int(end[j - 1] - index[i, 1]), int(index[i, 1]))
                         payload, off = unframe(raw, index[i:j, 1] - index[i, 1])
-                        n = np.diff(off) // 4
+                        n = np.diff(off) // width
                         if (n != index[i:j, 2]).any():
                             raise ValueError("index and records differ")
-                        whole = payload.tobytes()
-                        crc = [zlib.crc32(whole[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                        whole, to = payload.view(f"<u{width}").astype("<u4").tobytes(), (off * 4 // width).tolist()
+                        crc = [zlib.crc32(whole[a:z]) for a, z in zip(to, to[1:], strict=False)]
                         docs = index[i:j, 0]
                         starts = before + np.cumsum(n) - n
                         yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(docs, mask=docs == NULL_ID), pa.array(starts), pa.array(n), pa.array(crc, pa.int64())], names=["data", "doc_id", "at", "n_tokens", "ids_crc32"])
@@ -161,7 +194,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy(F.asc_nulls_first("first_doc"), "data").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("data", F.coalesce(before, F.lit(0)).alias("before"))  # one row a file
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = manifest.select("data").repartition(parts).mapInArrow(_reader(), "data string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("data", "width").repartition(parts).mapInArrow(_reader(), "data string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(files, "data").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
