@@ -3,9 +3,9 @@
 Fixed masks choose which tokens of a window are hashed and which are ignored, so
 a hit survives substitutions at ignored places. Training and test windows with
 equal hashes are joined; around each hit the two texts are compared word by word
-on the hit's diagonal, and the best run with at least `similarity` equal words
-(Kadane's sum with a price for each substitution) is an overlap if it has
-`least_words` words, or the whole item where that is shorter. An insertion moves
+on the hit's diagonal, and the longest run with at least `similarity` equal
+words, less unequal ends, is an overlap if it has `least_words` words, or the
+whole item where that is shorter. An insertion moves
 the diagonal; each side of it is found on its own.
 
 The test side is sent to all tasks only if its words, counted first, are at most
@@ -100,7 +100,7 @@ class Items:
 def overlaps(h: np.ndarray, first: np.ndarray, items: Items, similarity: float, least_words: int) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first word, words, equal words) of the best overlap of each diagonal with a hit."""
     out = []
-    price = similarity / (1 - similarity)
+    price = round(100 * similarity)
     for row, item, shift in items.hits(h, first).tolist():
         a, n = int(items.first[item]), int(items.first[item + 1] - items.first[item])
         lo, hi = max(0, -shift), min(n, int(first[row + 1] - first[row]) - shift)
@@ -109,13 +109,14 @@ def overlaps(h: np.ndarray, first: np.ndarray, items: Items, similarity: float,
         need = min(least_words, n)
         if equal.sum() < similarity * need:
             continue
-        gain = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -price))])
+        # the longest run whose share of equal words is at least the similarity
+        gain = np.concatenate([[0], np.cumsum(np.where(equal, 100 - price, -price))])
         low = np.minimum.accumulate(gain)
-        rise = gain - low
-        end = int(rise.argmax())
-        begin = int(np.flatnonzero(gain[: end + 1] == low[end])[0])
-        if end - begin >= need:
-            out.append((row, item, shift + lo + begin, end - begin, int(equal[begin:end].sum())))
+        since = np.searchsorted(-low, -gain)
+        end = int((np.arange(len(gain)) - since).argmax())
+        run = np.flatnonzero(equal[since[end] : end]) + since[end]  # it starts and ends with an equal word
+        if len(run) and run[-1] + 1 - run[0] >= need:
+            out.append((row, item, shift + lo + int(run[0]), int(run[-1] + 1 - run[0]), len(run)))
     return out
 
 
