@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, main_text, near_dedup, pieces, quality_rules, record_files, warc_revisits
+from . import decontaminate, language_id, main_text, near_dedup, pieces, pitman_yor, quality_rules, record_files, suffix_dedup, warc_revisits
 
 QUERIES = {
     "op1_warc_revisits": warc_revisits.op1_warc_revisits,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_html_main_text": main_text.op3_html_main_text,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_pitman_yor": pitman_yor.op6_pitman_yor,
     "op7_record_files": record_files.op7_record_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import WS, Words, add_per_row, mapper, mix, prefix_hash, shingles, span_hash
+from .kernels import WS, Words, add_per_row, mapper, mix, shingles, slices, span_hash, trimmed
 from .store import documents, written
 
 SYMBOLS = np.zeros(256, bool)
@@ -198,6 +198,30 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     return judged(found, *thresholds(found, labels, **limits))
 
 
+def _passing(cutoffs: dict, own: set[str]):
+    def run(batches):
+        for batch, data, off in trimmed(slices(batches)):
+            m = text_measures(data, off)
+            n = np.maximum(m["n_words"], 1)
+            value = {
+                "symbols": 1000 * m["n_symbols"] / n, "dup_lines": 1000 * m["n_dup_lines"] / np.maximum(m["n_lines"], 1), "repeat_words": 1000 * m["n_repeat_words"] / n,
+                "upper": 1000 * m["n_upper"] / np.maximum(m["n_letters"], 1), "few_kinds": 1000 - 1000 * m["n_distinct"] / n, "long_words": 50 * m["word_chars"] / n,
+            }
+            keep = (m["n_words"] >= 20) & (100 * m["n_repeat_words"] <= 30 * m["n_words"])
+            langs = [(x if x in own else "*") for x in ((v or "") for v in batch.column(batch.schema.get_field_index("lang")).to_pylist())]
+            for rule, v in value.items():
+                keep &= v <= np.array([cutoffs.get((s, rule), np.inf) for s in langs])
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def passing(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """The documents, all columns, that neither the base rule nor a certified cutoff rejects."""
+    found = written(measures(docs), "measures")
+    return docs.mapInArrow(_passing(*thresholds(found, labels, **limits)), docs.schema)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = quality_rules(documents(spark, sf_dir), labels)

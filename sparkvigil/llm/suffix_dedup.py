@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,6 +283,27 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     return rows.mapInArrow(_result(length, keep_text), _RESULT + (", kept_text string" if keep_text else ""))
 
 
+def _shortened(length: int, names: list[str]):
+    inner = _result(length, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.Table.from_batches(inner(iter([b.select(["doc_id", "text", "found"])])))
+            texts = got.column("kept_text").combine_chunks()
+            cols = {c: b.column(c) for c in names} | {"text": texts}
+            if "n_chars" in cols:
+                cols["n_chars"] = pc.cast(pc.utf8_length(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The documents, all columns, with the repeated bytes out of their text (and a character cut in two with them)."""
+    found = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "more")).alias("found"))
+    return docs.join(found, "doc_id", "left").mapInArrow(_shortened(length, docs.columns), docs.schema)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
