@@ -46,7 +46,7 @@ def segment_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, from a function that encodes a list of strings; keeps the first `keep` segments it meets."""
 
-    def __init__(self, encode: Callable[[list[str]], list], keep: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], keep: int = 600_000):
         self.encode, self.keep, self.known = encode, keep, {}
 
     def distinct(self, data: np.ndarray, off: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
@@ -59,7 +59,7 @@ class Encoder:
         h = span_hash(prefix_hash(data), start, end)
         keys, at, which = np.unique(h, return_index=True, return_inverse=True)
         known = self.known
-        values = [known.get(k) for k in keys.tolist()]
+        values = list(map(known.get, keys.tolist()))
         miss = [i for i, v in enumerate(values) if v is None]
         if miss:
             raw = data.tobytes()
