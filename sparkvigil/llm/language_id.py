@@ -71,11 +71,11 @@ def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Features:
-    """Words of a slice with the buckets of their n-grams."""
+    """Words of a slice, and its distinct words with the buckets of their n-grams."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.words = w = Words(data, off, hashed=False)
-        n = len(w)
+        self.words = w = Words(data, off)
+        _, pick, self.kind = np.unique(w.hash, return_index=True, return_inverse=True)
         letter, script = letters(w.data)
         upto = np.zeros(len(data) + 1, np.int64)
         np.cumsum(letter, out=upto[1:])
@@ -85,14 +85,16 @@ class Features:
         self.letter_script = script[at]
         first_letter = np.searchsorted(at, w.start)
         self.script = np.where(self.letters > 0, self.letter_script[np.minimum(first_letter, max(len(at) - 1, 0))] if len(at) else 0, 0)
-        # words laid out with one blank before each and one at the end
-        size = w.end - w.start + 1
+        # distinct words laid out with one blank before each and one at the end
+        n, begin = len(pick), w.start[pick]
+        size = w.end[pick] - begin + 1
         to = np.concatenate([[0], np.cumsum(size)])
         total = int(to[-1]) + 1
         flat = np.full(total, 0x20, np.uint8)
-        src = np.arange(int(to[-1]) - n) + np.repeat(w.start - (to[:-1] - np.arange(n)), size - 1)
+        src = np.arange(int(to[-1]) - n) + np.repeat(begin - (to[:-1] - np.arange(n)), size - 1)
         flat[np.arange(int(to[-1]) - n) + np.repeat(np.arange(1, n + 1), size - 1)] = LOWER[w.data[src]] if n else flat[:0]
-        self.to, self.n = to, n
+        self.n, self.lettered = n, self.letters[pick] > 0
+        of = np.repeat(np.arange(n), size)
         v = flat.astype(np.uint64)
         gram, self.grams = v[:-1], []
         for k in (2, 3, 4):
@@ -104,7 +106,7 @@ class Features:
             for i in range(1, k - 1):
                 inside &= flat[i : i + m] != 0x20
             p = np.flatnonzero(inside)
-            word = np.repeat(np.arange(n), size)[np.minimum(p, int(to[-1]) - 1)]
+            word = of[np.minimum(p, int(to[-1]) - 1)]
             self.grams.append((self._bucket(gram[p], k), word))
         if n:
             h = span_hash(prefix_hash(flat), to[:-1] + 1, to[1:])
@@ -134,9 +136,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {x: i for i, x in enumerate(sorted(set(names)))}
         of_row = np.array([code[x] for x in names])
         total = np.zeros((len(code), _SIZE), np.int64)
-        for bucket, word in f.grams:
-            keep = f.letters[word] > 0
-            total += np.bincount(of_row[row[word[keep]]] * _SIZE + bucket[keep], minlength=total.size).reshape(total.shape)
+        for i in range(len(code)):
+            times = np.bincount(f.kind[of_row[row] == i], minlength=f.n) * f.lettered
+            for bucket, word in f.grams:
+                total[i] += np.bincount(bucket, times[word], minlength=_SIZE).astype(np.int64)
         total += np.bincount(of_row[f.letter_row] * _SIZE + (1 << BITS) + f.letter_script, minlength=total.size).reshape(total.shape)
         for x, i in code.items():
             held[x] = held[x] + total[i] if x in held else total[i].copy()
@@ -178,11 +181,12 @@ class Model:
     def word_scores(self, f: Features) -> np.ndarray:
         """(word, language) scores; words without letters score 0 for all."""
         out = np.zeros((f.n, len(self.langs)))
-        for bucket, word in f.grams:
-            for s in range(len(self.langs)):
-                out[:, s] += np.bincount(word, self.log_p[bucket, s], minlength=f.n)
+        for bucket, word in f.grams:  # words ascend
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            if len(head):
+                out[word[head]] += np.add.reduceat(self.log_p[bucket], head, axis=0)
         out -= out.max(1, keepdims=True) if f.n else 0
-        out += self.bar[f.script]
+        out = out[f.kind] + self.bar[f.script]
         out[f.letters == 0] = 0
         return out
 
@@ -210,23 +214,27 @@ class Model:
         size = first[rows + 1] - first[rows]
         order = np.argsort(-size, kind="stable")
         rows, size = rows[order], size[order]
-        start = first[rows]
-        v = e[start]
-        back = np.zeros(e.shape, np.int16)
-        own = np.arange(e.shape[1])
-        for t in range(1, int(size[0])):
-            m = int(np.searchsorted(-size, -t, "left"))
-            prev = v[:m]
-            top = prev.argmax(1)
-            jump = prev[np.arange(m), top] - self.penalty
-            stay = prev >= jump[:, None]
-            back[start[:m] + t] = np.where(stay, own, top[:, None])
-            v[:m] = np.where(stay, prev, jump[:, None]) + e[start[:m] + t]
-        state = v.argmax(1)
-        for t in range(int(size[0]) - 1, -1, -1):
-            m = int(np.searchsorted(-size, -t, "left"))
-            label[start[:m] + t] = state[:m]
-            state[:m] = back[start[:m] + t, state[:m]]
+        # words by their place in the text, so each step reads one stretch
+        live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+        to = np.concatenate([[0], np.cumsum(live)])
+        word = np.repeat(first[rows], size) + (step := np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        word = word[np.lexsort((np.repeat(np.arange(len(rows)), size), step))]
+        score, back = e[word], np.zeros(e[word].shape, np.int8)
+        k, edges = e.shape[1], to.tolist()
+        own = np.arange(k, dtype=np.int8)
+        v = score[: edges[1]].copy()
+        for a, z in zip(edges[1:], edges[2:], strict=False):
+            w = v[: z - a]
+            jump = w.max(1, keepdims=True) - self.penalty
+            back[a:z] = np.where(w >= jump, own, w.argmax(1)[:, None])
+            v[: z - a] = np.maximum(w, jump) + score[a:z]
+        state, path, flat, line = v.argmax(1), np.empty(len(word), np.int64), back.ravel(), np.arange(len(rows)) * k
+        for a, z in zip(edges[-2::-1], edges[:0:-1], strict=True):
+            m = z - a
+            path[a:z] = state[:m]
+            if a:
+                state[:m] = flat[a * k + line[:m] + state[:m]]
+        label[word] = path
 
 
 def train(docs: DataFrame, penalty: float = 12.0, least_share: float = 0.01) -> Model:
@@ -248,10 +256,10 @@ def _predict(shared):
         row = np.repeat(np.arange(n), np.diff(first))
         share = np.zeros((n, k))
         spans = np.zeros(n, np.int64)
-        if model.langs and f.n:
+        if model.langs and len(f.words):
             label = model.labels(model.word_scores(f), first)
             share = np.bincount(row * k + label, f.letters, minlength=n * k).reshape(n, k)
-            change = np.ones(f.n, bool)
+            change = np.ones(len(f.words), bool)
             change[1:] = (label[1:] != label[:-1]) | (row[1:] != row[:-1])
             spans = add_per_row(change.astype(np.int64), first)
         total = share.sum(1)
