@@ -227,8 +227,8 @@ def energy_distance(live: DataFrame, ref: DataFrame, keys: list[str], value: str
     mine = ln.groupBy(*keys, "block").agg(F.first("n").alias("n"), (2 * F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x"))).alias("ll"))
     both = r.select(*keys, F.lit(None).cast("bigint").alias("block"), "x", F.lit(1).alias("c")).unionByName(lv.select(*keys, "block", "x", F.lit(0).alias("c")))
     upto = Window.partitionBy(*keys).orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_k", F.sum("c").over(upto)).withColumn("_s", F.sum(F.col("c") * F.col("x")).over(upto)).withColumn("_K", F.sum("c").over(total)).withColumn("_S", F.sum(F.col("c") * F.col("x")).over(total)).where("c = 0")
-    cross = both.groupBy(*keys, "block").agg(F.sum(F.col("x") * (2 * F.col("_k") - F.col("_K")) + F.col("_S") - 2 * F.col("_s")).alias("lr"))
+    both = both.withColumn("_k", F.sum("c").over(upto)).withColumn("_s", F.sum(F.col("c") * F.col("x")).over(upto)).withColumn("_all", F.sum("c").over(total)).withColumn("_sum", F.sum(F.col("c") * F.col("x")).over(total)).where("c = 0")
+    cross = both.groupBy(*keys, "block").agg(F.sum(F.col("x") * (2 * F.col("_k") - F.col("_all")) + F.col("_sum") - 2 * F.col("_s")).alias("lr"))
     j = cross.join(mine, [*keys, "block"]).join(within, keys)
     n, m = F.col("n"), F.col("m")
     return j.select(*keys, "block", (n * m / (n + m) * (2 * F.col("lr") / (n * m) - F.col("ll") / (n * n) - F.col("rr") / (m * m))).alias("energy"))
