@@ -140,9 +140,8 @@ def shrunk_covariance(df: DataFrame, keys: list[str], dims: list[str]) -> DataFr
     The spread of outer products needs sums of products of four, which are algebraic, so partial aggregation works.
     """
     pairs = [(a, b) for i, a in enumerate(dims) for b in dims[i:]]
-    c = df
     mean = Window.partitionBy(*keys)
-    c = c.select(*keys, *[(F.col(d) - F.avg(d).over(mean)).alias(d) for d in dims])
+    c = df.select(*keys, *[(F.col(d) - F.avg(d).over(mean)).alias(d) for d in dims])
     g = c.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in pairs], *[F.sum(F.col(a) * F.col(a) * F.col(b) * F.col(b)).alias(f"q_{a}_{b}") for a, b in pairs])
     n, p = F.col("n"), len(dims)
     twice = lambda a, b: 1 if a == b else 2

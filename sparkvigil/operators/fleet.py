@@ -96,21 +96,33 @@ def shard_levels(df: DataFrame, keys: list[str], cal_len: int, value: str = "val
     return df.where(F.col("tick") < cal_len).groupBy(*keys).agg(F.median(value).alias("level"))
 
 
-def biweight(xs: Column, c: float = 4.685, rounds: int = 50) -> Column:
-    """Tukey's biweight location of an array: fixed scale of 1.4826 median deviations, up to `rounds` reweightings."""
-    mid = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    med = mid(F.array_sort(xs))
+def _middle(a: Column) -> Column:
+    """Median of a sorted array."""
+    return (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
 
-    def located(m: Column, s: Column) -> Column:
-        def once(loc: Column, _: Column) -> Column:
-            w = F.transform(xs, lambda x: F.pow(F.greatest(F.lit(0.0), 1 - F.pow((x - loc) / (c * s), F.lit(2))), F.lit(2)))
-            return F.aggregate(F.array(w), loc, lambda a, v: F.when(total(v) > 0, total(F.zip_with(v, xs, lambda p, q: p * q)) / total(v)).otherwise(a))
 
-        return F.when(s > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), m, once)).otherwise(m)
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
-    scale = mid(F.array_sort(F.transform(xs, lambda x: F.abs(x - med)))) * 1.4826
-    return located(med, scale)
+
+def biweight(df: DataFrame, xs: str, out: str, c: float = 4.685, rounds: int = 50) -> DataFrame:
+    """Adds Tukey's biweight location of an array column: fixed scale of 1.4826 median deviations, up to `rounds` reweightings until it moves under 1e-9 scales."""
+    df = df.withColumn("_m", _middle(F.array_sort(xs))).withColumn("_s", _middle(F.array_sort(F.transform(xs, lambda x: F.abs(x - F.col("_m"))))) * 1.4826)
+
+    def again(acc: Column, _: Column) -> Column:
+        def weigh(p: Column, x: Column) -> Column:
+            w = F.pow(F.greatest(F.lit(0.0), 1 - F.pow((x - acc["loc"]) / (c * F.col("_s")), F.lit(2))), F.lit(2))
+            return F.struct((p["w"] + w).alias("w"), (p["wx"] + w * x).alias("wx"))
+
+        def moved(a: Column, t: Column) -> Column:
+            loc = F.when(t["w"] > 0, t["wx"] / t["w"]).otherwise(a["loc"])
+            return F.struct(loc.alias("loc"), (F.abs(loc - a["loc"]) <= 1e-9 * F.col("_s")).alias("done"))
+
+        sums = F.aggregate(F.col(xs), F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wx")), weigh)
+        return F.when(acc["done"], acc).otherwise(F.aggregate(F.array(sums), acc, moved))
+
+    start = F.struct(F.col("_m").alias("loc"), (F.col("_s") <= 0).alias("done"))
+    return df.withColumn(out, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again)["loc"]).drop("_m", "_s")
 
 
 def common_mode_residuals(df: DataFrame, fleet: list[str], cal_len: int, shard: str = "shard", value: str = "value") -> DataFrame:
@@ -120,7 +132,7 @@ def common_mode_residuals(df: DataFrame, fleet: list[str], cal_len: int, shard:
     """
     lev = shard_levels(df, [*fleet, shard], cal_len, value)
     d = df.join(lev, [*fleet, shard]).withColumn("_d", F.col(value) - F.col("level"))
-    loc = d.groupBy(*fleet, "tick").agg(F.collect_list("_d").alias("_x")).select(*fleet, "tick", biweight(F.col("_x")).alias("location"))
+    loc = biweight(d.groupBy(*fleet, "tick").agg(F.collect_list("_d").alias("_x")), "_x", "location").drop("_x")
     return d.join(loc, [*fleet, "tick"]).withColumn("residual", F.col("_d") - F.col("location")).drop("_d")
 
 

@@ -39,11 +39,9 @@ def assigned(verdicts: DataFrame, window_s: int = 300, grace_s: int = 60) -> Dat
     """Verdicts with group_id and late_arrival. Keys are (cluster_event_id, deploy_ref); a key's verdicts are one array."""
     keys = ["event_key", "deploy_ref"]
     v = verdicts.withColumn("event_key", F.coalesce("cluster_event_id", F.lit("")))
-    row = F.struct("ts", "tick", "seq", "terminal", "families", "alpha")
     g = v.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "tick", "terminal", "families", "alpha"))).alias("rows"))
     g = g.withColumn("to", assign_fold(F.col("rows"), window_s, grace_s))
     flat = g.select(*keys, F.explode(F.arrays_zip("rows", "to")).alias("z")).select(*keys, "z.rows.*", F.col("z.to.g").alias("window_start_ts"), F.col("z.to.late").alias("late_arrival"))
-    del row
     parts = F.when(F.col("event_key") != "", F.concat_ws("-", F.lit("group"), "event_key", "deploy_ref", "window_start_ts")).otherwise(F.concat_ws("-", F.lit("group"), "deploy_ref", "window_start_ts"))
     return flat.withColumn("group_id", parts)
 

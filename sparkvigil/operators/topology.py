@@ -83,13 +83,13 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column, decay_s: float = 300
     return F.when(b1.isNull(), F.greatest(F.lit(0.0), 1 - away / decay_s)).when(union > 0, both / union).otherwise(1.0)
 
 
-def enriched(groups: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, max_hop: int = 3, top: int = 1) -> DataFrame:
+def enriched(groups: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, max_hop: int = 3, top: int = 1, decay_s: float = 300.0) -> DataFrame:
     """Best event for each verdict group: on a node within reach of its deploy node, by overlap in time, then hops, then id."""
     by_service = nodes.groupBy("service_name").agg(F.min("id").alias("by_service"))
     g = groups.join(nodes.select(F.col("id").alias("by_id")), F.col("deploy_id") == F.col("by_id"), "left").join(by_service, F.col("deploy_id") == F.col("service_name"), "left").withColumn("start", F.coalesce("by_id", "by_service"))
     r = reach(g.where("start is not null").select(F.col("start").alias("id")), edges, max_hop)
     c = g.join(r, "start").join(events.select(F.col("node_id").alias("node"), "event_id", "event_ts", "event_end_ts"), "node")
-    c = c.withColumn("overlap", overlap(F.col("window_start_ts").cast("double"), F.col("window_end_ts").cast("double"), F.col("event_ts").cast("double"), F.col("event_end_ts").cast("double"))).where("overlap > 0")
+    c = c.withColumn("overlap", overlap(F.col("window_start_ts").cast("double"), F.col("window_end_ts").cast("double"), F.col("event_ts").cast("double"), F.col("event_end_ts").cast("double"), decay_s)).where("overlap > 0")
     w = Window.partitionBy("group_id").orderBy(F.desc("overlap"), "hop", "event_id")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("group_id", "event_id", "node", "hop", "overlap", "rank")
 
