@@ -18,6 +18,8 @@ import tempfile
 
 import numpy as np
 
+from .kernels import prefix_hash, span_hash
+
 
 class BucketQueue:
     """First-in first-out runs of positions for each character; the largest go to disk beyond `limit` positions."""
@@ -125,26 +127,21 @@ def suffix_array(t: np.ndarray, depth: int, limit: int = 8 << 20) -> np.ndarray:
     if not len(starts):
         return _induce(t, is_s, starts, 256, limit)
     order = _induce(t, is_s, starts, 256, limit)
-    mine = np.zeros(n, bool)
-    mine[starts] = True
-    order = order[mine[order]]  # by their substrings, up to and with the next leftmost-S position
+    which = np.full(n, -1, np.int32)
+    which[starts] = np.arange(len(starts), dtype=np.int32)
+    order = which[order]
+    order = order[order >= 0]  # by their substrings, up to and with the next leftmost-S position
+    del which
     end = np.append(starts[1:] + 1, n)
-    length = np.empty(n, np.int64)
-    length[starts] = end - starts
-    from .kernels import prefix_hash, span_hash
-
-    h = np.zeros(n, np.uint64)
-    sums = prefix_hash(t)
-    h[starts] = span_hash(sums, starts, end)
+    h, length = span_hash(prefix_hash(t), starts, end), end - starts
     new = np.ones(len(order), bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]) | (length[order[1:]] != length[order[:-1]])
-    if len(order):
-        new[np.flatnonzero(order == starts[-1])] = True  # it ends with the text
-        after = np.flatnonzero(order == starts[-1]) + 1
-        new[after[after < len(order)]] = True
-    name = np.empty(n, np.int64)
-    name[order] = np.cumsum(new)
-    rank = name[starts]
+    last = np.flatnonzero(order == len(starts) - 1)  # it ends with the text
+    new[last] = True
+    new[last[last + 1 < len(order)] + 1] = True
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    del h, length, order, new
     span = 1
     while span * 2 <= depth and len(rank) > 1:  # a name covers two bytes at least
         later = np.zeros(len(rank), np.int64)
@@ -175,6 +172,6 @@ def repeats(t: np.ndarray, depth: int, limit: int = 8 << 20) -> tuple[np.ndarray
         a = np.ascontiguousarray(words[order[1:][left] + at]).view(np.uint64).ravel()
         b = np.ascontiguousarray(words[order[:-1][left] + at]).view(np.uint64).ravel()
         same[left[a != b]] = False
-    group = np.zeros(len(order), np.int64)
-    group[1:] = np.cumsum(~same)
+    group = np.zeros(len(order), np.int32)
+    group[1:] = np.cumsum(~same, dtype=np.int32)
     return order, group

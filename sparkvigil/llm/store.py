@@ -43,7 +43,7 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of at most so many rows in this session: a batch of whole texts is held by JVM and Python at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -42,6 +42,8 @@ from .kernels import mix, packed, prefix_hash, slices, span_hash, trimmed
 from .store import documents, written
 
 GRAM = 32
+SHARD_BYTES = 2 << 20  # of texts that one task sorts
+SLICE = 1 << 19  # bytes of text at once: the windows of a slice take some 200 bytes for each
 _U = np.uint64
 
 
@@ -61,10 +63,10 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM):
     grid = np.concatenate([key, np.full(pad, ~_U(0))]).reshape(-1, span)
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    del key
     anchor = (np.minimum(right[:m], left[span - 1 : span - 1 + m]) & ((_U(1) << bits) - _U(1))).astype(np.int64)
-    cut = np.zeros(n + 1, np.int64)
-    np.add.at(cut, off[:-1], 1)
-    row = np.cumsum(cut[:n])[:m] - 1
+    del grid, left, right
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:m]
     start = np.arange(m)
     inside = start + length <= off[1:][row]
     new = np.ones(m, bool)
@@ -85,7 +87,7 @@ def _deal(length: int, buckets: int):
     names = ["bucket", "docs", "doc", "first", "more", "anchor", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in trimmed(slices(batches)):
+        for batch, data, off in trimmed(slices(batches, limit=SLICE)):
             docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             row, first, more, _, anchor, whole = runs(data, off, length)
             if not len(row):
@@ -110,7 +112,7 @@ _ASKED = "doc_id long, first long, more int, anchor long"
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of a partition's anchors: covered ones (anchor null), and those to be compared."""
     parts = []
-    for b in batches:
+    for b in trimmed(batches):
         for docs, *cols in zip(*[b.column(i) for i in range(1, 7)], strict=True):
             ids = np.frombuffer(docs.as_buffer(), "<i8")
             doc, first, more, anchor, whole = (np.frombuffer(c.as_buffer(), k) for c, k in zip(cols, ("<u4", "<u4", "u1", "<u8", "<u8"), strict=True))
@@ -151,7 +153,7 @@ def _cut(length: int, shards: int):
     """Rows (doc_id, text, asked) to the bytes of the runs asked for, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in trimmed(slices(batches)):
+        for batch, data, off in trimmed(slices(batches, limit=SLICE)):
             asked = batch.column(2)
             size = np.array([len(x) if x.is_valid else 0 for x in asked])
             if not size.sum():
@@ -233,7 +235,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _result(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in trimmed(slices(batches)):
+        for batch, data, off in trimmed(slices(batches, limit=SLICE)):
             lists = batch.column(2)
             size = np.array([len(x) if x.is_valid else 0 for x in lists])
             gone = np.zeros(len(data) + 1, np.int32)
@@ -271,8 +273,10 @@ def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int =
     dealt = texts.where("doc_id is not null").mapInArrow(_deal(length, parts), _PACK)
     settled = written(dealt.repartition(parts, "bucket").mapInArrow(_settle, _ASKED), "settled")
     asked = settled.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("first", "more", "anchor")).alias("asked"))
-    pieces = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(length, parts), _PIECES)
-    late = written(pieces.repartition(parts, "shard").mapInArrow(_sort(length, memory_positions), "doc_id long, first long, more int"), "late")
+    size = settled.where("anchor is not null").agg(F.sum(F.col("more") + length)).first()[0] or 0
+    shards = max(parts, -(-size // SHARD_BYTES))
+    pieces = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(length, shards), _PIECES)
+    late = written(pieces.repartition(shards, "shard").mapInArrow(_sort(length, memory_positions), "doc_id long, first long, more int"), "late")
     return settled.where("anchor is null").select("doc_id", "first", "more").unionByName(late)
 
 
