@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ordered
 
-#: Validity of each detector's evidence: prefix of ids, valid with an estimated baseline, largest autocorrelation, least calibration. Fixed values.
+#: Evidence that may or may not enter false-discovery control: id, valid under an estimated baseline, largest autocorrelation (none: any), least calibration. Fixed values.
 ENVELOPES = (
-    ("betting", False, 0.5, 60), ("mixture", False, 0.5, 60), ("safe-hotelling", False, 0.5, 60), ("safe-t", True, 0.95, 3), ("universal-inference", True, 1.0, 4),
-    ("point-tail-bet", True, 0.95, 10000), ("shape-ecdf", True, 0.95, 25000), ("spectral-bet", True, 0.95, 30), ("self-normalized", False, 0.0, 60), ("nuisance-robust-bf", False, 0.0, 100),
+    ("safe_t_e_value", True, 0.95, 3), ("universal_inference_e_value", True, None, 6), ("sequential_ui_e_process", True, None, 3), ("nuisance_robust_bf_e_value", False, None, 100),
+    ("betting_e_process", False, None, None), ("mixture_supermartingale", False, None, None), ("shape_kurtosis_e_value", False, None, 200),
+)
+#: What each family of detector ids guarantees: prefix, family, class of validity, how alpha is spent. Fixed values.
+GUARANTEES = (
+    ("mSPRT_", "A", "ville_anytime_valid", "ville_spend"), ("page_cusum_", "A", "ville_anytime_valid", "ville_spend"), ("betting_e_process_", "A", "ville_anytime_valid", "ville_spend"),
+    ("hotelling_t2_joint_vector", "C", "classical_epoch", "classical_epoch_alpha"), ("hotelling_t2_safe", "C", "ville_anytime_valid", "ville_spend"),
+    ("sequential_mmd_betting_e_process", "C", "ville_anytime_valid", "ville_spend"), ("sequential_mmd_e_process", "C", "ville_anytime_valid", "ville_spend"), ("sequential_mmd", "C", "classical_epoch", "none"),
+    ("spectral_peak_acf_", "D", "classical_epoch", "classical_epoch_alpha"), ("spectral_e_detector_", "D", "bounded_priced", "priced_spend_requires_c_bound"),
+    ("mahalanobis_conformal_baseline", "E", "exact_finite_sample", "classical_epoch_alpha"),
+)
+#: Ids of the structural rules, which guarantee nothing. Fixed values.
+STRUCTURAL_RULES = (
+    "kv_saturation", "hbm_elevation", "hbm_spill_roll", "mfu_collapse", "slowbleed", "collective", "capacity", "gpu_eff", "compound_lat", "tok_econ", "behavioral", "eval_quality_drop", "refusal_spike",
+    "output_len_drift", "tool_call_degradation", "quality_warning",
 )
 
 
@@ -63,10 +76,24 @@ def group_average(df: DataFrame, keys: list[str], e: str = "e") -> DataFrame:
     return d.groupBy(*keys).agg(F.coalesce(mean, F.lit(0.0)).alias("e"), F.count("*").alias("n"))
 
 
-def guaranteed(df: DataFrame, detector: str = "detector_id", phi: str = "phi", cal_len: str = "cal_len") -> DataFrame:
-    """Longest-prefix envelope of each row's detector, and whether its evidence may enter selection."""
-    rows = df.sparkSession.createDataFrame(ENVELOPES, "prefix string, valid_estimated boolean, max_phi double, min_calibration int")
-    d = df.withColumn("_id", F.monotonically_increasing_id())
-    j = d.join(F.broadcast(rows), F.col(detector).startswith(F.col("prefix")), "left")  # ten rows
-    best = j.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc(F.length("prefix"))))).where("_n = 1").drop("_n", "_id")
-    return best.withColumn("admissible", F.coalesce(F.col("valid_estimated") & (F.abs(phi) <= F.col("max_phi")) & (F.col(cal_len) >= F.col("min_calibration")), F.lit(False)))
+def guaranteed(df: DataFrame, detector: str = "detector_id") -> DataFrame:
+    """Family, validity class and alpha policy of each row's detector id, by its longest known prefix."""
+    known = [*GUARANTEES, *((r, "B", "heuristic", "none") for r in STRUCTURAL_RULES)]
+    rows = df.sparkSession.createDataFrame(known, "prefix string, family string, validity string, alpha_policy string")
+    ids = df.select(detector).distinct()  # the registry's ids, not the rows
+    w = Window.partitionBy(detector).orderBy(F.desc(F.length("prefix")))
+    best = ids.join(F.broadcast(rows), F.col(detector).startswith(F.col("prefix"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.join(best, detector, "left")
+
+
+def admissible(df: DataFrame, detector: str = "detector_id", phi: str = "phi", cal_len: str = "cal_len", true_baseline: Column | None = None) -> DataFrame:
+    """Adds `admissible`: a known envelope that is valid under an estimated baseline (or a baseline asserted true), a measured autocorrelation within its reach, calibration enough.
+
+    Unknown detectors and unmeasured autocorrelations are refused where a limit exists.
+    """
+    rows = df.sparkSession.createDataFrame(ENVELOPES, f"{detector} string, valid_estimated boolean, max_phi double, min_calibration int")
+    j = df.join(F.broadcast(rows), detector, "left")  # seven rows
+    valid = F.col("valid_estimated") if true_baseline is None else F.col("valid_estimated") | true_baseline
+    reach = F.col("max_phi").isNull() | F.coalesce(F.abs(phi) <= F.col("max_phi"), F.lit(False))
+    long_enough = F.col("min_calibration").isNull() | (F.col(cal_len) >= F.col("min_calibration"))
+    return j.withColumn("admissible", F.coalesce(valid & reach & long_enough, F.lit(False)))

@@ -61,12 +61,6 @@ def resampler_acceptance(counts: DataFrame, alpha: Column, windows: int, margin:
     return g.withColumn("limit", margin * alpha * windows).withColumn("accepted", F.col("mean") <= F.col("limit"))
 
 
-def guarded_cells(cells: DataFrame) -> DataFrame:
-    """VOID without trials, VACUOUS with trials that never could fail, NON_FINITE, else OK."""
-    bad = F.isnan("value") | (F.abs("value") == float("inf"))
-    return cells.withColumn("guard", F.when(F.coalesce(F.col("trials"), F.lit(0)) == 0, "VOID").when(F.coalesce(bad, F.lit(True)), "NON_FINITE").when(F.col("exposed") == 0, "VACUOUS").otherwise("OK"))
-
-
 def unpaired(validity: DataFrame, power: DataFrame, keys: list[str]) -> DataFrame:
     """Validity cells without a power cell."""
     return validity.join(power.select(*keys).distinct(), keys, "left_anti")

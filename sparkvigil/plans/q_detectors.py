@@ -228,12 +228,20 @@ def group_average_e_value(spark, sf):
     return rounded(ev.group_average(e, ["event_type"]), "e")
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'safe-t' WHEN 1 THEN 'betting' WHEN 2 THEN 'universal-inference' END AS prefix, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 100) / 100.0 <= 0.95 WHEN 2 THEN true ELSE false END AS admissible FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'sequential_mmd' WHEN 1 THEN 'sequential_mmd_betting_e_process' WHEN 2 THEN 'mSPRT_' WHEN 3 THEN 'collective' END AS prefix,
+  CASE o_orderkey % 5 WHEN 0 THEN 'classical_epoch' WHEN 1 THEN 'ville_anytime_valid' WHEN 2 THEN 'ville_anytime_valid' WHEN 3 THEN 'heuristic' END AS validity FROM orders""")
 def detector_guarantees(spark, sf):
+    k = F.col("o_orderkey") % 5
+    name = F.when(k == 0, "sequential_mmd").when(k == 1, "sequential_mmd_betting_e_process").when(k == 2, "mSPRT_ttft").when(k == 3, "collective_stall").otherwise("nothing_known")
+    return ev.guaranteed(table(spark, sf, "orders").select("o_orderkey", name.alias("detector_id"))).select("o_orderkey", "prefix", "validity")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 100 <= 95 AND o_orderkey % 7 <> 0 WHEN 2 THEN true ELSE false END AS admissible FROM orders""")
+def detector_admissibility(spark, sf):
     k = F.col("o_orderkey")
-    name = F.when(k % 4 == 0, "safe-t-two-sample").when(k % 4 == 1, "betting-grapa").when(k % 4 == 2, "universal-inference").otherwise("nothing-known")
-    o = table(spark, sf, "orders").select("o_orderkey", name.alias("detector_id"), ((k % 100) / 100.0).alias("phi"), F.lit(500).alias("cal_len"))
-    return ev.guaranteed(o).select("o_orderkey", "prefix", "admissible")
+    name = F.when(k % 4 == 0, "safe_t_e_value").when(k % 4 == 1, "betting_e_process").when(k % 4 == 2, "universal_inference_e_value").otherwise("unknown")
+    o = table(spark, sf, "orders").select("o_orderkey", name.alias("detector_id"), F.when(k % 7 != 0, (k % 100) / 100.0).alias("phi"), F.lit(500).alias("cal_len"))
+    return ev.admissible(o).select("o_orderkey", "admissible")
 
 
 _HOT = f"""{VECTORS}, g AS (SELECT cell, avg(v1) AS a1, avg(v2) AS a2, covar_samp(v1, v1) + 1 AS c11, covar_samp(v1, v2) AS c12, covar_samp(v2, v2) + 1 AS c22 FROM v GROUP BY cell),

@@ -70,11 +70,11 @@ def e_bh_boosted(spark, sf):
 z AS (SELECT *, coalesce(max(CASE WHEN rank * e >= n / 0.5::DOUBLE THEN rank END) OVER (PARTITION BY fleet), 0) AS k FROM k) SELECT fleet, idx, rank <= k AS selected FROM z""")
 def e_bh_guarded(spark, sf):
     """Only evidence with an admissible envelope enters the selection."""
-    from ..operators.evidence import guaranteed
+    from ..operators.evidence import admissible
 
     k = F.col("idx")
-    e = _ev(spark, sf).select("*", F.when(k % 3 == 0, "safe-t").when(k % 3 == 1, "betting").otherwise("unlisted").alias("detector_id"), F.lit(0.1).alias("phi"), F.lit(200).alias("cal_len"))
-    return fl.e_bh(guaranteed(e).where("admissible").select("fleet", "idx", "e"), ["fleet"], 0.5).select("fleet", "idx", "selected")
+    e = _ev(spark, sf).select("*", F.when(k % 3 == 0, "safe_t_e_value").when(k % 3 == 1, "betting_e_process").otherwise("unlisted").alias("detector_id"), F.lit(0.1).alias("phi"), F.lit(200).alias("cal_len"))
+    return fl.e_bh(admissible(e).where("admissible").select("fleet", "idx", "e"), ["fleet"], 0.5).select("fleet", "idx", "selected")
 
 
 @query(f"""WITH {SERIES}, a AS (SELECT *, (value > 200)::INT AS seed FROM s), b AS (SELECT *, coalesce((lag(seed) OVER w <> seed)::INT, 0) AS ch FROM a WINDOW w AS (PARTITION BY series ORDER BY tick)), c AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY series ORDER BY tick) AS BIGINT) AS epoch FROM b),
@@ -250,11 +250,11 @@ def resampler_acceptance(spark, sf):
     return rounded(rp.resampler_acceptance(c, F.lit(0.05), 250), "mean", "limit")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'VOID' WHEN o_orderkey % 7 = 0 THEN 'NON_FINITE' WHEN o_orderkey % 3 = 0 THEN 'VACUOUS' ELSE 'OK' END AS guard, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 9) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS phi FROM orders""")
-def certification_guards(spark, sf):
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 9) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS phi FROM orders""")
+def certification_null_phi(spark, sf):
     k = F.col("o_orderkey")
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(k % 5 == 0, 0).otherwise(9).alias("trials"), F.when(k % 7 == 0, float("nan")).otherwise(1.0).alias("value"), F.when(k % 3 == 0, 0).otherwise(2).alias("exposed"), F.when(k % 2 == 0, F.concat(F.lit("N3-ar1-0."), k % 9)).otherwise("N1-iid").alias("null_id"))
-    return rp.guarded_cells(o).select("o_orderkey", "guard", F.round(rp.null_phi(F.col("null_id")), 6).alias("phi"))
+    name = F.when(k % 2 == 0, F.concat(F.lit("N3-ar1-0."), k % 9)).otherwise("N1-iid")
+    return table(spark, sf, "orders").select("o_orderkey", F.round(rp.null_phi(name), 6).alias("phi"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events a WHERE value > 100 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.value < 5)")
