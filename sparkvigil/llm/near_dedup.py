@@ -6,12 +6,14 @@ on. Then, after Christiani, Pagh and Sivertsen (2018), each of `trees`
 independent trees branches the documents by minwise tokens: the path of a node
 fixes which minhash coordinates its members are branched by, 1/threshold of
 them in the mean, and members with the same minwise token share a child. Every member of a node is
-first compared with a leader of the node, and links found so far give labels, so
-large groups of near copies are connected early and never expanded into pairs.
+first compared with the node's hub, the member nearest to the majority of its
+signs, and with a leader; links found so far give labels, so large groups of near copies are connected early and never expanded into pairs.
 Of a node that still has several labels, the members outside its most frequent
-label are compared with all others if they are few, which covers every pair that
-is not connected yet; a node with more of them is branched again. After
-`max_rounds` the nodes left are compared as they are.
+label are compared with all others, which covers every pair that is not
+connected yet: as candidate pairs if they are few, else in tiles of the node,
+whose tasks compare full sets and give one link for each pair of labels. A node
+with more of them is branched again; after `max_rounds` the nodes left are
+compared as they are.
 Signs of 128 more minhashes drop pairs that differ too much (at the threshold a
 loss of about 1e-9); every other pair is confirmed on the full sets. The chance
 to miss a pair at the threshold in all trees is (1 - threshold)^trees at the
@@ -142,6 +144,62 @@ def _confirm(percent: int):
     return run
 
 
+_TILE_DDL = "path long, ta int, tb int, side int, doc_id long, label long, shingles binary"
+
+
+def _compare_tile(percent: int, width: int = 4096):
+    """Links of a tile: its rows of side 0 against those of side 1, one link for each pair of labels.
+
+    Sizes of intersections are products of the two sides' membership matrices,
+    made a few thousand shared shingles at a time.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        parts = []
+        for k in (0, 1):
+            t = table.filter(pa.array(side == k))
+            raw, off = text_bytes(t.column("shingles"))
+            wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+            wide[:, :WIDTH] = raw.reshape(-1, WIDTH)
+            parts.append((np.asarray(t.column("doc_id")), np.asarray(t.column("label")), wide.view(np.uint64).ravel(), rows_of(off // WIDTH), np.diff(off) // WIDTH))
+        (da, la, ka, ra, na), (db, lb, kb, rb, nb) = parts
+        shared = np.intersect1d(ka, kb)
+        both = np.zeros((len(da), len(db)), np.float32)
+        for at in range(0, len(shared), width):
+            some = shared[at : at + width]
+            grids = []
+            for key, row, n in ((ka, ra, len(da)), (kb, rb, len(db))):
+                place = np.minimum(np.searchsorted(some, key), len(some) - 1)
+                hit = some[place] == key
+                g = np.zeros((n, len(some)), np.float32)
+                g[row[hit], place[hit]] = 1
+                grids.append(g)
+            both += grids[0] @ grids[1].T
+        i, j = np.nonzero((100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (la[:, None] != lb[None, :]))
+        pair = np.stack([np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j])], axis=1)
+        _, first = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
+        return pa.table({"u": pa.array(da[i[first]], pa.int64()), "v": pa.array(db[j[first]], pa.int64())})
+
+    return run
+
+
+def tile_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links (u, v) between the rows of a node outside its major label and all its rows, one for each pair of labels of a tile.
+
+    rows: path, size, others, major, doc_id, label. Both sides are dealt into
+    tiles of about `tile` rows, so a large node is many tasks and its pairs are
+    never rows.
+    """
+    na, nb = F.ceil(F.col("others") / tile).cast("int"), F.ceil(F.col("size") / tile).cast("int")
+    r = rows.select("path", "doc_id", "label", "major", na.alias("na"), nb.alias("nb")).join(sets, "doc_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    a = r.where("label <> major").select("path", deal("na", 1).alias("ta"), every("nb").alias("tb"), F.lit(0).alias("side"), "doc_id", "label", "shingles")
+    b = r.select("path", every("na").alias("ta"), deal("nb", 2).alias("tb"), F.lit(1).alias("side"), "doc_id", "label", "shingles")
+    return a.unionByName(b).groupBy("path", "ta", "tb").applyInArrow(_compare_tile(percent), "u long, v long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled."""
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
@@ -161,6 +219,23 @@ def _row():
     return F.struct("doc_id", "n", "s1", "s2")
 
 
+def _hubs(alive: DataFrame, least: int) -> DataFrame:
+    """Pairs of each member of a node of at least `least` with the node's hub: the member whose signs differ least from the majority's.
+
+    Copies of one text, each edited in its own places, are nearer to the text
+    than to each other; the text, or what is nearest to it, links them all. The
+    majority's signs are sums by node, so they are combined before the shuffle.
+    """
+    big = alive.where(F.col("size") >= least).select("path", "doc_id", "n", "s1", "s2")
+    ones = [F.sum(F.shiftrightunsigned(s, i).bitwiseAND(F.lit(1)).cast("int")) for s in ("s1", "s2") for i in range(64)]
+    vote = big.groupBy("path").agg(F.count("*").alias("c"), F.array(*ones).alias("ones"))
+    word = lambda a: F.aggregate(F.zip_with(F.slice("ones", a + 1, 64), F.sequence(F.lit(0), F.lit(63)), lambda v, i: F.when(2 * v > F.col("c"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    vote = written(vote.select("path", word(0).alias("m1"), word(64).alias("m2")), "votes")
+    near = big.join(vote, "path").withColumn("off", F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2"))))
+    hub = written(near.groupBy("path").agg(F.min(F.struct("off", "doc_id", "n", "s1", "s2")).alias("h")).select("path", F.struct("h.doc_id", "h.n", "h.s1", "h.s2").alias("x")), "hubs")
+    return big.select("path", _row().alias("y")).join(hub, "path").select("x", "y")
+
+
 def _leaders(alive: DataFrame, fan: int) -> DataFrame:
     """Pairs of each member of a node with the smallest doc_id of its part of the node.
 
@@ -183,7 +258,7 @@ def _leaders(alive: DataFrame, fan: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 64, max_rounds: int = 8, fan: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, few_others: int = 16, node_limit: int = 4096, tile: int = 512, max_rounds: int = 8, fan: int = 256, hub_from: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest doc_id) of each document."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -205,22 +280,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
         roots = written(components(links), "roots")
 
+    def tiled(rows: DataFrame) -> None:
+        nonlocal links, roots
+        if rows.isEmpty():
+            return
+        new = tile_links(rows, sets, percent, tile)
+        links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
+        roots = written(components(links), "roots")
+
     def labelled(rows: DataFrame) -> DataFrame:
         if roots is None:
             return rows.withColumn("label", F.col("doc_id"))
         return rows.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
 
+    def labelled_pairs(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) that no link connects so far."""
+        p = pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct()
+        if roots is None:
+            return p
+        a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+        return p.join(a, "u", "left").join(b, "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
+
     for turn in range(max_rounds):
         sizes = written(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         alive = written(nodes.join(sizes, "path"), "nodes")
-        near = _leaders(alive, fan).where(f"x.doc_id < y.doc_id and {alike}")
-        linked(near.groupBy(F.col("y.doc_id").alias("v")).agg(F.min("x.doc_id").alias("u")).select("u", "v"))
+        near = _hubs(alive, hub_from).where(f"x.doc_id <> y.doc_id and {alike}")
+        linked(near.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct())
+        near = labelled_pairs(_leaders(alive, fan).where(f"x.doc_id < y.doc_id and {alike}"))
+        linked(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
         told = written(labelled(alive), "labelled")
         shares = told.groupBy("path", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"))
         mixed = written(shares.groupBy("path").agg(F.max(F.struct("c", "label")).alias("m"), F.first("size").alias("size")).where("m.c < size").select("path", F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
         told = written(told.join(mixed, "path"), "mixed_nodes")
-        most = node_limit if turn < max_rounds - 1 else 1 << 60
-        few = told.where(F.col("others") <= most).select("path", "major", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
+        most = node_limit if turn < max_rounds - 1 else 1 << 40
+        wide = told.where((F.col("others") > few_others) & (F.col("others") <= most))
+        tiled(wide.select("path", "size", "others", "major", "doc_id", "label"))
+        few = told.where(F.col("others") <= few_others).select("path", "major", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
         minor = few.where("x.label <> major").select("path", "x")
         every = few.select("path", F.col("x").alias("y"), (F.col("x.label") == F.col("major")).alias("of_major"))
         meet = minor.join(every, "path").where(f"x.label <> y.label and (of_major or x.doc_id < y.doc_id) and {alike}")
