@@ -210,28 +210,32 @@ def kurtosis_score(df: DataFrame, keys: list[str], size: int, value: str = "valu
     return g.select(*keys, "block", F.when(F.col("_2") > 0, F.col("_4") / (F.col("_2") * F.col("_2"))).alias("score"))
 
 
-def energy_distance(live: DataFrame, ref: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Energy statistic of live blocks against a reference sample, scaled by n m / (n + m).
+def energy_statistic(live: DataFrame, ref: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Energy statistic of each block against a reference sample: twice the mean |x - a| less the mean |x - x'|.
 
     Mean distances come from ranks: with rows merged in order, a sum over pairs
-    of |x - y| is a running sum, so nothing is joined pairwise.
+    is a running sum, so nothing is joined pairwise.
     """
     r = ref.select(*keys, F.col(value).alias("x"))
-    w = Window.partitionBy(*keys).orderBy("x")
-    total = Window.partitionBy(*keys)
-    own = r.withColumn("i", F.row_number().over(w)).withColumn("m", F.count("*").over(total))
-    within = own.groupBy(*keys).agg(F.first("m").alias("m"), (2 * F.sum((2 * F.col("i") - F.col("m") - 1) * F.col("x"))).alias("rr"))
+    whole = Window.partitionBy(*keys)
     lv = live.select(*keys, "block", F.col(value).alias("x"))
-    lw = Window.partitionBy(*keys, "block").orderBy("x")
-    ln = lv.withColumn("i", F.row_number().over(lw)).withColumn("n", F.count("*").over(Window.partitionBy(*keys, "block")))
-    mine = ln.groupBy(*keys, "block").agg(F.first("n").alias("n"), (2 * F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x"))).alias("ll"))
+    block = Window.partitionBy(*keys, "block")
+    ranked = lv.withColumn("i", F.row_number().over(block.orderBy("x"))).withColumn("n", F.count("*").over(block))
+    within = ranked.groupBy(*keys, "block").agg(F.first("n").alias("n"), (2 * F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x"))).alias("ll"))
     both = r.select(*keys, F.lit(None).cast("bigint").alias("block"), "x", F.lit(1).alias("c")).unionByName(lv.select(*keys, "block", "x", F.lit(0).alias("c")))
-    upto = Window.partitionBy(*keys).orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_k", F.sum("c").over(upto)).withColumn("_s", F.sum(F.col("c") * F.col("x")).over(upto)).withColumn("_all", F.sum("c").over(total)).withColumn("_sum", F.sum(F.col("c") * F.col("x")).over(total)).where("c = 0")
-    cross = both.groupBy(*keys, "block").agg(F.sum(F.col("x") * (2 * F.col("_k") - F.col("_all")) + F.col("_sum") - 2 * F.col("_s")).alias("lr"))
-    j = cross.join(mine, [*keys, "block"]).join(within, keys)
-    n, m = F.col("n"), F.col("m")
-    return j.select(*keys, "block", (n * m / (n + m) * (2 * F.col("lr") / (n * m) - F.col("ll") / (n * n) - F.col("rr") / (m * m))).alias("energy"))
+    upto = whole.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"below": F.sum("c").over(upto), "below_sum": F.sum(F.col("c") * F.col("x")).over(upto), "m": F.sum("c").over(whole), "all_sum": F.sum(F.col("c") * F.col("x")).over(whole)}).where("c = 0")
+    cross = both.groupBy(*keys, "block").agg(F.first("m").alias("m"), F.sum(F.col("x") * (2 * F.col("below") - F.col("m")) + F.col("all_sum") - 2 * F.col("below_sum")).alias("lr"))
+    n = F.col("n")
+    return cross.join(within, [*keys, "block"]).select(*keys, "block", (2 * F.col("lr") / (n * F.col("m")) - F.col("ll") / (n * n)).alias("energy"))
+
+
+def energy_wealth(live: DataFrame, cal: DataFrame, keys: list[str], kappa: float = 0.1, alpha: float = 0.01) -> DataFrame:
+    """Rank p-value of each block's energy among the calibration blocks', its e-value, the wealth, and whether it has crossed 1 / alpha."""
+    p = conformal_p(live.withColumn("score", F.col("energy")), cal.select(*keys, F.col("energy").alias("score")), keys).drop("score")
+    e = p.withColumn("e", scalar.e_calibrator(F.col("p"), kappa)).withColumn("_z", F.log("e"))
+    out = reflected_walk(e, "_z", keys, WEALTH_FLOOR, "log_m", "block").drop("_z")
+    return out.withColumn("crossed", sticky(F.col("log_m") >= -math.log(alpha), ordered(keys, "block")))
 
 
 def hotelling(df: DataFrame, dims: list[str], cov: dict[tuple[int, int], Column], ridge: float | Column = 0.0) -> Column:

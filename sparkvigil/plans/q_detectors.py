@@ -189,15 +189,31 @@ def shape_kurtosis_score(spark, sf):
     return rounded(dt.kurtosis_score(series(spark, sf), ["series"], 15, "x"), "score")
 
 
-@query(f"""WITH {SERIES}, r AS (SELECT series, x FROM s WHERE tick < 20), l AS (SELECT series, (tick - 20) // 10 AS block, x FROM s WHERE tick >= 20),
-rr AS (SELECT a.series, sum(abs(a.x - b.x)) AS rr, count(DISTINCT a.x) AS k FROM r a JOIN r b USING (series) GROUP BY 1), nr AS (SELECT series, count(*) AS m FROM r GROUP BY 1),
+_ENERGY = f"""{SERIES}, r AS (SELECT series, x FROM s WHERE tick < 20), nr AS (SELECT series, count(*) AS m FROM r GROUP BY 1), l AS (SELECT series, (tick - 20) // 5 AS block, x FROM s WHERE tick >= 20),
 ll AS (SELECT a.series, a.block, sum(abs(a.x - b.x)) AS ll FROM l a JOIN l b USING (series, block) GROUP BY 1, 2), nl AS (SELECT series, block, count(*) AS n FROM l GROUP BY 1, 2),
-lr AS (SELECT l.series, l.block, sum(abs(l.x - r.x)) AS lr FROM l JOIN r USING (series) GROUP BY 1, 2)
-SELECT series, block, round((n * m)::DOUBLE / (n + m) * (2 * lr / (n * m) - ll / (n * n) - rr / (m * m)), 6) AS energy FROM lr JOIN ll USING (series, block) JOIN nl USING (series, block) JOIN rr USING (series) JOIN nr USING (series)""")
-def shape_ecdf_energy(spark, sf):
+lr AS (SELECT l.series, l.block, sum(abs(l.x - r.x)) AS lr FROM l JOIN r USING (series) GROUP BY 1, 2),
+en AS (SELECT series, block, 2 * lr / (n * m) - ll / (n * n) AS energy FROM lr JOIN ll USING (series, block) JOIN nl USING (series, block) JOIN nr USING (series) WHERE n = 5)"""
+
+
+def _energy(spark, sf):
     s = series(spark, sf)
-    live = s.where("tick >= 20").withColumn("block", F.floor((F.col("tick") - 20) / 10))
-    return rounded(dt.energy_distance(live, s.where("tick < 20"), ["series"], "x"), "energy")
+    live = s.where("tick >= 20").withColumn("block", F.floor((F.col("tick") - 20) / 5))
+    whole = live.withColumn("n", F.count("*").over(Window.partitionBy("series", "block"))).where("n = 5")
+    return dt.energy_statistic(whole, s.where("tick < 20"), ["series"], "x")
+
+
+@query(f"WITH {_ENERGY} SELECT series, block, round(energy, 6) AS energy FROM en")
+def shape_ecdf_energy(spark, sf):
+    return rounded(_energy(spark, sf), "energy")
+
+
+@query(f"""WITH {_ENERGY}, c AS (SELECT series, round(energy, 9) AS t FROM en WHERE block < 4), q AS (SELECT series, block, round(energy, 9) AS t FROM en WHERE block >= 4),
+p AS (SELECT q.series, q.block, (1 + count(c.t))::DOUBLE / (1 + (SELECT count(*) FROM c z WHERE z.series = q.series)) AS p FROM q LEFT JOIN c ON c.series = q.series AND c.t >= q.t GROUP BY q.series, q.block), z AS (SELECT *, 0.1::DOUBLE * pow(p, -0.9::DOUBLE) AS e FROM p),
+{_walk('z', 'ln(e)', FLOOR, by='block')} SELECT series, block, round(p, 6) AS p, round(walk, 6) AS log_m FROM wl""")
+def shape_ecdf_wealth(spark, sf):
+    en = _energy(spark, sf).withColumn("energy", F.round("energy", 9))
+    out = dt.energy_wealth(en.where("block >= 4"), en.where("block < 4"), ["series"])
+    return rounded(out, "p", "log_m").select("series", "block", "p", "log_m")
 
 
 _WHITE = f"""{SERIES}, d AS (SELECT *, lag(x) OVER (PARTITION BY series ORDER BY tick) AS p, tick < 20 AS c, tick BETWEEN 20 AND 39 AS t FROM s),
