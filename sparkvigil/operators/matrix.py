@@ -456,3 +456,60 @@ def witness_wealth(df: DataFrame, cell: str, by: str, dims: list[str], base: int
 
     types = dict(df.dtypes)
     return df.select(cell, by, *dims).groupBy(cell).applyInPandas(run, f"{cell} {types[cell]}, {by} {types[by]}, log_s double")
+
+
+def emmd_wealth(x: np.ndarray, base: np.ndarray, width: float, warm: int = 10) -> np.ndarray:
+    """Wealth of bets on the distance to a baseline's mean embedding.
+
+    The moments take in a tick before its bet is placed: the bet is not
+    predictable, as published for this variant, and its evidence is refused by
+    the guarded path.
+    """
+    norm = gram(base, base, width).mean()
+    d = np.sqrt(np.maximum(0, 1 - 2 * gram(x, base, width).mean(1) + norm))
+    n = np.arange(1, len(d) + 1)
+    mean, second = np.cumsum(d) / n, np.cumsum(d * d) / n
+    z = np.clip((d - mean) / (3 * np.sqrt(np.maximum(second - mean * mean, TINY))), -1, 1)
+    m, bet, out = 1.0, 0.0, []
+    for i in range(len(d)):
+        if n[i] >= warm:
+            raw = mean[i] / second[i] if second[i] > 0 else 0.0
+            if abs(raw) > 1 - 1e-6:
+                inner = 1 + bet * mean[i]
+                raw = min(1 - 1e-6, max(1e-6 - 1, bet + mean[i] / inner / max(second[i], 1e-6))) if abs(inner) >= 1e-9 else 0.0
+            bet = raw
+            m = max(1e-12, m * max(0.0, 1 + bet * z[i]))
+        out.append(m)
+    return np.array(out)
+
+
+def mmd_by_cell(df: DataFrame, cell: str, by: str, dims: list[str], base: int, width: float = 1.0) -> DataFrame:
+    """Unbiased discrepancy of each cell's later rows from its first `base` rows, and the final wealth of bets on the distance."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(by)[dims].to_numpy(float)
+        if base < 2 or len(x) < base + 2:
+            return pd.DataFrame({cell: [], "u": [], "wealth": []})
+        return pd.DataFrame({cell: [key[0]], "u": [mmd_u(x[base:], x[:base], width)], "wealth": [float(emmd_wealth(x[base:], x[:base], width)[-1])]})
+
+    return df.select(cell, by, *dims).groupBy(cell).applyInPandas(run, f"{cell} {dict(df.dtypes)[cell]}, u double, wealth double")
+
+
+def instrumented_residuals(df: DataFrame, factors: DataFrame, members: DataFrame, fleet: str, cal: int, ridge: float = 0.0, value: str = "value") -> DataFrame:
+    """Residuals of each fleet's window after its shards' instrumented factors: factors (factor, tick, value), members (shard, factor)."""
+    from pyspark.sql import functions as F
+
+    f = factors.groupBy("factor").agg(F.array_sort(F.collect_list(F.struct("tick", "value"))).alias("signal"))
+    per = members.join(f, "factor").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("factor", F.col("signal.value").alias("values")))).alias("signals"))
+    joined = df.select(fleet, "shard", "tick", F.col(value).alias("value")).join(per, "shard", "left")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tick")
+        x = pdf["value"].to_numpy(float)[None, :]
+        held = pdf["signals"].iloc[0]
+        sig = np.array([np.asarray(s["values"], float) for s in held]) if held is not None and len(held) else np.zeros((0, x.shape[1]))
+        r = instrumented(x, cal, sig, [list(range(len(sig)))], ridge)[0] if len(sig) else centred(x, cal)[0]
+        return pd.DataFrame({fleet: key[0], "shard": key[1], "tick": pdf["tick"], "residual": r})
+
+    types = dict(df.dtypes)
+    return joined.groupBy(fleet, "shard").applyInPandas(run, f"{fleet} {types[fleet]}, shard {types['shard']}, tick {types['tick']}, residual double")

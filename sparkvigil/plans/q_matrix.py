@@ -72,3 +72,17 @@ def seeded_normals(spark, sf):
             yield pd.DataFrame({"p_partkey": p.p_partkey, "u1": [float(x[0]) for x in u], "u2": [float(x[1]) for x in u]})
 
     return table(spark, sf, "part").select("p_partkey").mapInPandas(run, "p_partkey long, u1 double, u2 double")
+
+
+@query()
+def mmd_and_embedding_bets(spark, sf):
+    return rounded(mx.mmd_by_cell(vectors(spark, sf), "cell", "vec_id", ["v1", "v2", "v3"], 20), "u", "wealth")
+
+
+@query()
+def instrumented_residuals(spark, sf):
+    """Factors: the mean of each rack, as if measured."""
+    f = _fleet(spark, sf)
+    factors = f.groupBy(F.concat(F.lit("rack"), "rack").alias("factor"), "tick").agg(F.avg("value").alias("value"))
+    members = f.select("shard", F.concat(F.lit("rack"), "rack").alias("factor")).distinct()
+    return rounded(mx.instrumented_residuals(f, factors, members, "fleet", 6), "residual")
