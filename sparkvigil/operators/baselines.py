@@ -192,3 +192,24 @@ def mixture_prior(cls: Column, mean: Column, variance: Column) -> Column:
     beta = F.struct(F.lit("beta").alias("distribution"), none.alias("variance"), F.greatest(F.lit(1.0), 0.5 + 5 * p).alias("alpha"), F.greatest(F.lit(1.0), 0.5 + 5 * (1 - p)).alias("beta"))
     gauss = F.struct(F.lit("gaussian").alias("distribution"), variance.alias("variance"), none.alias("alpha"), none.alias("beta"))
     return F.when(cls == "bounded_probability", beta).when(variance > 0, gauss)
+
+
+def sliding_scores(df: DataFrame, keys: list[str], size: int, stride: int = 1, value: str = "value", by: str = "tick") -> DataFrame:
+    """Uncentred kurtosis of every full window of `size` ticks that starts at a multiple of the stride: calibration scores of a shape detector.
+
+    Windows share their rows' running sums, so a row is not copied for each window it is in.
+    """
+    w = ordered(keys, by).rowsBetween(1 - size, 0)
+    d = df.withColumn("_n", F.count(value).over(w)).withColumn("_2", F.avg(F.pow(F.col(value), F.lit(2.0))).over(w)).withColumn("_4", F.avg(F.pow(F.col(value), F.lit(4.0))).over(w))
+    d = d.where((F.col("_n") == size) & ((F.col(by) - (size - 1)) % stride == 0) & (F.col("_2") > 0))
+    return d.select(*keys, (F.col(by) - (size - 1)).alias("start"), (F.col("_4") / (F.col("_2") * F.col("_2"))).alias("score"))
+
+
+def tiered_cells(cells: DataFrame, whole: DataFrame, min_strict: int, min_pooled: int) -> DataFrame:
+    """Confidence of each cell by its raw count, with the pooled estimate for cells that have too few rows. `whole` has one row."""
+    w = whole.select(*[F.col(c).alias(f"_{c}") for c in ("mean", "cov", "n")])
+    few = F.col("n") < min_pooled
+    j = cells.crossJoin(F.broadcast(w))
+    kind = F.when(F.col("n") >= min_strict, "strict").when(~few, "pooled").otherwise("aggregate")
+    keep = [c for c in cells.columns if c not in ("n", "mean", "cov")]
+    return j.select(*keep, F.when(few, F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(few, F.col("_mean")).otherwise(F.col("mean")).alias("mean"), F.when(few, F.col("_cov")).otherwise(F.col("cov")).alias("cov"), kind.alias("confidence"))

@@ -513,3 +513,32 @@ def instrumented_residuals(df: DataFrame, factors: DataFrame, members: DataFrame
 
     types = dict(df.dtypes)
     return joined.groupBy(fleet, "shard").applyInPandas(run, f"{fleet} {types[fleet]}, shard {types['shard']}, tick {types['tick']}, residual double")
+
+
+#: Null laws of the validity battery: innovations, autocorrelation.
+NULL_LAWS = {"iid": ("normal", 0.0), "ar1-0.3": ("normal", 0.3), "ar1-0.6": ("normal", 0.6), "ar1-0.9": ("normal", 0.9), "lognormal": ("lognormal", 0.0), "t3": ("t3", 0.0), "ar1-0.6-t3": ("t3", 0.6)}
+
+
+def null_series(law: str, ticks: int, seed: int) -> np.ndarray:
+    """One trajectory of a null law with unit innovations, stationary from its first tick."""
+    kind, phi = NULL_LAWS[law]
+    rng = np.random.default_rng([seed, sorted(NULL_LAWS).index(law)])
+    e = {"normal": lambda n: rng.normal(0, 1, n), "lognormal": lambda n: rng.lognormal(0, 0.75, n), "t3": lambda n: rng.standard_t(3, n)}[kind](ticks + 200)
+    x = np.empty(len(e))
+    x[0] = e[0]
+    for t in range(1, len(e)):
+        x[t] = phi * x[t - 1] + e[t]
+    return x[200:]
+
+
+def null_trajectories(spark, n: int, ticks: int, seed: int = 0) -> DataFrame:
+    """(law, trajectory, tick, value) of n trajectories of every null law, drawn in the tasks."""
+    laws = list(NULL_LAWS)
+
+    def run(batches):
+        for b in batches:
+            for i in b["id"]:
+                law, k = laws[int(i) % len(laws)], int(i) // len(laws)
+                yield pd.DataFrame({"law": law, "trajectory": k, "tick": np.arange(ticks), "value": null_series(law, ticks, seed + k)})
+
+    return spark.range(n * len(laws)).mapInPandas(run, "law string, trajectory long, tick long, value double")

@@ -229,6 +229,35 @@ def nb_family_replay(spark, sf):
     return g.select("family", "n", F.round("a", 4).alias("score"), (F.col("a") >= F.when(F.col("family") == "mixture", 50).otherwise(40)).alias("accepted"))
 
 
+@query(f"""WITH {SERIES}, w AS (SELECT series, tick, count(*) OVER z AS n, avg(x * x) OVER z AS a, avg(x * x * x * x) OVER z AS b FROM s WINDOW z AS (PARTITION BY series ORDER BY tick ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT series, tick - 19 AS start, round(b / (a * a), 6) AS score FROM w WHERE n = 20 AND (tick - 19) % 3 = 0""")
+def bl_sliding_kurtosis(spark, sf):
+    from ..operators.baselines import sliding_scores
+
+    return rounded(sliding_scores(series(spark, sf), ["series"], 20, 3, "x"), "score")
+
+
+@query(f"""WITH {VECTORS}, c AS (SELECT cell, count(*) AS n, avg(v1) AS m, covar_samp(v1, v2) AS k FROM v GROUP BY cell), a AS (SELECT count(*) AS n, avg(v1) AS m, covar_samp(v1, v2) AS k FROM v)
+SELECT cell, CASE WHEN c.n < 48 THEN a.n ELSE c.n END AS n, round(CASE WHEN c.n < 48 THEN a.m ELSE c.m END, 6) AS m1, round(CASE WHEN c.n < 48 THEN a.k ELSE c.k END, 6) AS c12, CASE WHEN c.n >= 52 THEN 'strict' WHEN c.n >= 48 THEN 'pooled' ELSE 'aggregate' END AS confidence FROM c, a""")
+def bl_multivariate_tiers(spark, sf):
+    from ..operators.baselines import tiered_cells
+    from ..operators.fleet import welford
+
+    v = vectors(spark, sf)
+    out = tiered_cells(welford(v, ["cell"], ["v1", "v2"]), welford(v.withColumn("all", F.lit(1)), ["all"], ["v1", "v2"]), 52, 48)
+    return out.select("cell", "n", F.round(F.col("mean")[0], 6).alias("m1"), F.round(F.col("cov")[0][1], 6).alias("c12"), "confidence")
+
+
+@query(f"""WITH {SERIES}, e AS (SELECT series % 16 AS shard, sec // 86400 AS tick, greatest(avg(x) - 3, 1e-12) AS m FROM s GROUP BY 1, 2), a AS (SELECT tick, sum(ln(m)) AS l FROM e GROUP BY tick) SELECT tick, round(l, 6) AS log_fleet_e FROM a""")
+def fleet_merge_wealth(spark, sf):
+    """Fleet evidence of shards' wealth: logarithms floored at 1e-12, then the product."""
+    from ..operators.fleet import combine_product
+
+    s = series(spark, sf)
+    e = s.groupBy((F.col("series") % 16).alias("shard"), F.floor(F.col("sec") / 86400).alias("tick")).agg(F.log(F.greatest(F.avg("x") - 3, F.lit(1e-12))).alias("log_e"))
+    return rounded(combine_product(e, ["tick"]).select("tick", "log_fleet_e"), "log_fleet_e")
+
+
 @query()
 def guarantee_manifest(spark, sf):
     return ct.manifest(spark.createDataFrame(ev.GUARANTEES, "prefix string, family string, validity string, alpha_policy string"))
