@@ -20,10 +20,10 @@ in the same batch with equal bytes are settled before the shuffle, so a passage
 of any share of the documents costs a row for each batch, not each document.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing;
-matches never cross documents; rows that share a doc_id are told apart by
-nothing, so equal rows are covered by none of each other but lose what earlier
-documents have; a null doc_id loses nothing and covers nothing; further columns
-are ignored; an empty table gives no rows.
+matches never cross documents; rows that share a doc_id are texts of their own,
+in the order of their text, so the second of two equal rows loses all (such ids
+must be below 2^43); a null doc_id loses nothing and covers nothing; further
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .induced_sort import repeats
@@ -265,8 +265,17 @@ def _result(length: int, keep_text: bool):
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key: the doc_id where ids are distinct, else an id for each row in the same order."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    wide = F.when(F.abs("doc_id") < 1 << 43, F.shiftleft("doc_id", 20)).otherwise(F.raise_error(F.lit("repeated doc_ids must be below 2^43")))
+    return docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), wide.cast("bigint") + place))
+
+
 def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int = 8 << 20) -> DataFrame:
-    """(doc_id, first, more): windows first .. first + more of a document also start earlier."""
+    """(doc_id, first, more): windows first .. first + more of a document also start earlier; doc_ids are distinct."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
@@ -280,10 +289,17 @@ def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int =
     return settled.where("anchor is null").select("doc_id", "first", "more").unionByName(late)
 
 
+def _found(docs: DataFrame, length: int) -> DataFrame:
+    """The rows with their covered windows."""
+    docs = keyed(docs)
+    late = repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), length)
+    found = late.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("first", "more")).alias("found"))
+    return docs.join(found, "_key", "left")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of each document."""
-    found = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "more")).alias("found"))
-    rows = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", "found")
+    rows = _found(docs.select("doc_id", "text"), length).select("doc_id", "text", "found")
     return rows.mapInArrow(_result(length, keep_text), _RESULT + (", kept_text string" if keep_text else ""))
 
 
@@ -304,8 +320,7 @@ def _shortened(length: int, names: list[str]):
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """The documents, all columns, with the repeated bytes out of their text (and a character cut in two with them)."""
-    found = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "more")).alias("found"))
-    return docs.join(found, "doc_id", "left").mapInArrow(_shortened(length, docs.columns), docs.schema)
+    return _found(docs, length).drop("_key").mapInArrow(_shortened(length, docs.columns), docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,9 @@ def test_suffix_dedup_odd(spark, odd, none):
     got = sorted(tuple(r)[:5] for r in out.where("doc_id <> 8").collect())
     assert got == sorted(removed_brute(sorted(rows, key=lambda r: r[0]), 100))
     assert out.count() == len(ODD) and suffix_dedup.remove_repeats(none).count() == 0
+    twice = odd.sparkSession.createDataFrame([(1, LONG[:300]), (1, "z" * 5 + LONG[:300]), (1, LONG[:300]), (2, LONG[100:700])], "doc_id long, text string")
+    got = sorted(tuple(r)[1:4] for r in suffix_dedup.remove_repeats(twice).collect())
+    assert got == sorted(r[1:4] for r in removed_brute([(0, LONG[:300]), (1, LONG[:300]), (2, "z" * 5 + LONG[:300]), (3, LONG[100:700])], 100))
     cut = suffix_dedup.without_repeats(odd)
     assert cut.columns == odd.columns and cut.where("doc_id = 5").first().text == ""
 
