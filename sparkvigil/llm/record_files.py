@@ -163,11 +163,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
 def _reader(limit: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, width in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, width, before in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 system, path = fs.FileSystem.from_uri(name)
                 with system.open_input_file(path + ".idx") as f:
                     index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
-                before, i = 0, 0
+                i = 0
                 with system.open_input_file(path + ".rec") as f:
                     size = f.size()
                     end = np.append(index[1:, 1], size)
@@ -182,7 +182,7 @@ def _reader(limit: int = 8 << 20):
                         crc = [zlib.crc32(whole[a:z]) for a, z in zip(to, to[1:], strict=False)]
                         docs = index[i:j, 0]
                         starts = before + np.cumsum(n) - n
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(docs, mask=docs == NULL_ID), pa.array(starts), pa.array(n), pa.array(crc, pa.int64())], names=["data", "doc_id", "at", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NULL_ID), pa.array(starts), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         before += int(n.sum())
                         i = j
 
@@ -191,11 +191,10 @@ def _reader(limit: int = 8 << 20):
 
 def read_records(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all records before), n_tokens and ids_crc32 of each record."""
-    before = F.sum("n_tokens").over(Window.orderBy(F.asc_nulls_first("first_doc"), "data").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("data", F.coalesce(before, F.lit(0)).alias("before"))  # one row a file
+    order = Window.orderBy(F.asc_nulls_first("first_doc"), "data").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = manifest.select("data", "width", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = manifest.select("data", "width").repartition(parts).mapInArrow(_reader(), "data string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(files, "data").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return files.repartition(parts).mapInArrow(_reader(), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_record_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
