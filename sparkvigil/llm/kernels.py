@@ -185,11 +185,11 @@ def min_per_row(values: np.ndarray, off: np.ndarray, empty) -> np.ndarray:
     return out
 
 
-def mapper(work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict | None], schema: pa.Schema, text: str = "text"):
+def mapper(work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict | None], schema: pa.Schema, text: str = "text", limit: int = SLICE_BYTES):
     """A function for mapInArrow that applies `work` to each slice and gives its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in trimmed(slices(batches, text)):
+        for batch, data, off in trimmed(slices(batches, text, limit)):
             out = work(batch, data, off)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name] for f in schema], schema=schema)

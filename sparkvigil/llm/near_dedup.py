@@ -80,7 +80,7 @@ def _signatures(k: int, trees: int):
             "minwise": packed(minwise.ravel(), np.arange(n + 1) * COORDINATES), "shingles": packed(raw, to),
         }
 
-    return mapper(work, _SIGNATURE)
+    return mapper(work, _SIGNATURE, limit=1 << 19)
 
 
 def _wrapping(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -200,11 +200,23 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> Dat
     return a.unionByName(b).groupBy("path", "ta", "tb").applyInArrow(_compare_tile(percent), "u long, v long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled.
+
+    The partners of an u with many of them are dealt into tiles, each with a
+    copy of u, so no task meets all partners of a hub.
+    """
+    count = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "hot")
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    return pairs.join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
+    if count.isEmpty():
+        return pairs.join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
+    dealt = pairs.join(count, "u", "left")
+    cold = dealt.where("tiles is null").select("u", "v").join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
+    place = lambda side, tb: [F.col("path"), F.lit(0).alias("ta"), tb.alias("tb"), F.lit(side).alias("side"), F.col("doc_id"), F.col("doc_id").alias("label"), F.col("shingles")]
+    hubs = count.select(F.col("u").alias("path"), F.col("u").alias("doc_id"), "tiles").join(sets, "doc_id").select(*place(0, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    others = dealt.where("tiles is not null").select(F.col("u").alias("path"), F.col("v").alias("doc_id"), "tiles").join(sets, "doc_id").select(*place(1, F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")))
+    return cold.unionByName(hubs.unionByName(others).groupBy("path", "ta", "tb").applyInArrow(_compare_tile(percent), "u long, v long"))
 
 
 def _alike(percent: int) -> str:
@@ -276,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return
-        new = confirmed(pairs, sets, percent)
+        new = confirmed(pairs, sets, percent, tile)
         links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
         roots = written(components(links), "roots")
 
