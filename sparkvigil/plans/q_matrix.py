@@ -12,11 +12,11 @@ QUERIES, SQL, query = registry()
 
 
 def _fleet(spark, sf):
-    """Daily means of sixteen shards; ticks that every shard has."""
+    """Daily means of eight shards; ticks that every shard has."""
     s = series(spark, sf)
-    d = s.groupBy((F.col("series") % 16).alias("shard"), F.floor(F.col("sec") / 86400).alias("day")).agg(F.avg("x").alias("value"))
-    full = d.groupBy("day").agg(F.count("*").alias("n")).where("n = 16").select("day", F.row_number().over(_by("day")).alias("tick"))
-    return d.join(full, "day").select(F.lit("all").alias("fleet"), "shard", (F.col("tick") - 1).alias("tick"), "value", (F.col("shard") % 4).alias("rack"), F.floor(F.col("shard") / 8).alias("zone"))
+    d = s.groupBy((F.col("series") % 8).alias("shard"), F.floor(F.col("sec") / 86400).alias("day")).agg(F.avg("x").alias("value"))
+    full = d.groupBy("day").agg(F.count("*").alias("n")).where("n = 8").select("day", F.row_number().over(_by("day")).alias("tick"))
+    return d.join(full, "day").select(F.lit("all").alias("fleet"), "shard", (F.col("tick") - 1).alias("tick"), "value", (F.col("shard") % 4).alias("rack"), F.floor(F.col("shard") / 4).alias("zone"))
 
 
 def _by(by):
