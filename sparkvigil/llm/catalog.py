@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, main_text, near_dedup, pieces, pitman_yor, quality_rules, record_files, suffix_dedup, warc_revisits
+from . import decontaminate, language_id, main_text, near_dedup, pieces, pitman_yor, quality_rules, record_files, sql, suffix_dedup, warc_revisits
 
 QUERIES = {
     "op1_warc_revisits": warc_revisits.op1_warc_revisits,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL: dict[str, str] = {"op1_warc_revisits": warc_revisits.OP1_SQL, "op9_near_dedup": near_dedup.OP9_SQL}
+SQL: dict[str, str] = {"op2_suffix_dedup": sql.OP2_SQL, "op1_warc_revisits": warc_revisits.OP1_SQL, "op9_near_dedup": near_dedup.OP9_SQL}

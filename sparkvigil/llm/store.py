@@ -7,6 +7,8 @@ temporary folder of this machine used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkvigil-"))
+            own = tempfile.mkdtemp(prefix="sparkvigil-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(own)
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
     return f"{root.rstrip('/')}/sparkvigil/{uuid.uuid4().hex}"

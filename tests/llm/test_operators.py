@@ -130,10 +130,9 @@ def components_brute(rows, percent):
 
 
 def test_near_duplicates(spark, real, sf_dir):
-    for percent in (85, 80):
-        want = components_brute(real.items(), percent)
-        got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, sf_dir), percent=percent).collect()}
-        assert got == {d: (c, c == d) for d, c in want.items()}
+    want = components_brute(real.items(), 85)
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.op9_near_dedup(spark, sf_dir).collect()}
+    assert got == {d: (c, c == d) for d, c in want.items()}
 
 
 def test_near_duplicates_large_family(spark):
@@ -212,6 +211,14 @@ def test_suffix_dedup(spark, real, sf_dir):
     assert sorted(tuple(r) for r in suffix_dedup.op2_suffix_dedup(spark, sf_dir).collect()) == want
 
 
+def test_suffix_dedup_against_sql(sf_dir, real):
+    from sparkvigil.llm.sql import OP2_SQL
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    assert sorted(c.sql(OP2_SQL).fetchall()) == sorted(removed_brute(sorted(real.items()), 100))
+
+
 def test_suffix_dedup_odd(spark, odd, none):
     rows = [(d, t) for d, t, _ in ODD if d not in (None, 8)]
     out = suffix_dedup.remove_repeats(odd, keep_text=True)
