@@ -66,6 +66,23 @@ def ar1(df: DataFrame, keys: list[str], value: str = "value", by: str = "tick",
     return g.select(*keys, "n", "mean", "variance", "phi", F.greatest(F.col("variance") * (1 - F.least(F.col("phi") * F.col("phi"), F.lit(0.9999))), F.lit(1e-12)).alias("innovation_variance"))
 
 
+def ar1_of_prefix(df: DataFrame, keys: list[str], cal_len: int, value: str = "value", by: str = "tick") -> DataFrame:
+    """Rows from tick cal_len on with mean, variance and phi of the ticks before it (see ar1).
+
+    All of it is windows of one partitioning and one order: a single exchange
+    and sort, no join of a series with itself.
+    """
+    whole, w = Window.partitionBy(*keys), ordered(keys, by)
+    early = F.col(by) < cal_len
+    d = df.withColumn("mean", F.avg(F.when(early, F.col(value))).over(whole)).withColumn("_d", F.when(early, F.col(value) - F.col("mean")))
+    d = d.withColumn("_p", F.lag("_d").over(w))
+    d = d.withColumns({"_n": F.count("_d").over(whole), "_a": F.coalesce(F.sum(F.col("_d") * F.col("_p")).over(whole), F.lit(0.0)), "_b": F.sum(F.col("_d") * F.col("_d")).over(whole)})
+    raw = F.col("_a") / F.col("_b")
+    phi = F.when((F.col("_n") < 3) | (F.col("_b") < 1e-12), 0.0).otherwise(F.greatest(F.lit(-0.95), F.least(F.lit(0.95), raw + (1 + 3 * raw) / F.col("_n"))))
+    d = d.withColumn("variance", F.greatest(F.col("_b") / F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(1e-12))).withColumn("phi", phi)
+    return d.where(~early).drop("_d", "_p", "_n", "_a", "_b")
+
+
 def levinson(gamma: list[Column]) -> tuple[list[Column], Column, list[Column]]:
     """Yule-Walker by Levinson and Durbin, unrolled for a small order: coefficients, innovation variance, reflections."""
     phi: list[Column] = []

@@ -37,10 +37,11 @@ def whitened(df: DataFrame, keys: list[str], cal: tuple[int, int], test: tuple[i
     d = d.where("_c or _t").withColumn("_m", F.avg(F.when(F.col("_c"), F.col(value))).over(Window.partitionBy(*keys)))
     x, p = F.col(value) - F.col("_m"), F.col("_p") - F.col("_m")
     inner = F.col("_c") & (F.col(by) > cal[0])
-    g = d.groupBy(*keys).agg(F.sum(F.when(inner, x * p)).alias("a"), F.sum(F.when(F.col("_c"), x * x)).alias("b"), F.count(F.when(F.col("_c"), 1)).alias("nc"))
-    raw = F.col("a") / F.col("b")
-    g = g.select(*keys, F.when((F.col("nc") < 3) | (F.col("b") < 1e-12), 0.0).otherwise(F.greatest(F.lit(-0.95), F.least(F.lit(0.95), raw + (1 + 3 * raw) / F.col("nc")))).alias("phi"))
-    d = d.join(g, keys).withColumn("_w", F.col(value) - F.col("phi") * F.col("_p"))
+    whole = Window.partitionBy(*keys)
+    d = d.withColumns({"_a": F.sum(F.when(inner, x * p)).over(whole), "_b": F.sum(F.when(F.col("_c"), x * x)).over(whole), "_n": F.count(F.when(F.col("_c"), 1)).over(whole)})
+    raw = F.col("_a") / F.col("_b")
+    d = d.withColumn("phi", F.when((F.col("_n") < 3) | (F.col("_b") < 1e-12), 0.0).otherwise(F.greatest(F.lit(-0.95), F.least(F.lit(0.95), raw + (1 + 3 * raw) / F.col("_n")))))
+    d = d.withColumn("_w", F.col(value) - F.col("phi") * F.col("_p"))
     c, t = F.when(inner, F.col("_w")), F.when(F.col("_t"), F.col("_w"))
     k = F.when(F.col("_t"), (F.col(by) - test[0]).cast("double"))
     return d.groupBy(*keys).agg(

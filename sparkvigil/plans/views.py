@@ -19,9 +19,9 @@ def epoch(c: str) -> F.Column:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Long form: a series for each user, ticks in order of (ts, event_id)."""
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).cast("bigint").alias("tick"), "event_id", "event_type", "value", F.log(F.greatest("value", F.lit(1e-9))).alias("x"), epoch("ts").alias("sec"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("series"), "ts", "event_id", "event_type", "value")
+    w = Window.partitionBy("series").orderBy("ts", "event_id")  # under its final name, so later steps by series need no exchange
+    return e.select("series", (F.row_number().over(w) - 1).cast("bigint").alias("tick"), "event_id", "event_type", "value", F.log(F.greatest("value", F.lit(1e-9))).alias("x"), epoch("ts").alias("sec"))
 
 
 SERIES = """s AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick, event_id, event_type, value,
@@ -30,11 +30,9 @@ SERIES = """s AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
     """The series with mean, variance (sample), phi of its first CAL ticks; the rows after them."""
-    from ..operators.baselines import ar1
+    from ..operators.baselines import ar1_of_prefix
 
-    s = series(spark, sf)
-    cal = ar1(s.where(F.col("tick") < CAL), ["series"], "x").select("series", "mean", "variance", "phi")
-    return s.where(F.col("tick") >= CAL).join(cal, "series")
+    return ar1_of_prefix(series(spark, sf), ["series"], CAL, "x")
 
 
 CALIBRATED = f"""{SERIES},
