@@ -188,12 +188,13 @@ def _compare_tile(percent: int, width: int = 4096):
 def tile_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links (u, v) between the rows of a node outside its major label and all its rows, one for each pair of labels of a tile.
 
-    rows: path, size, others, widest (largest set), major, doc_id, label. Both
-    sides are dealt into tiles of about `tile` rows, fewer for large sets, so a large node is many tasks and its pairs are
+    rows: path, size, others, all_n and others_n (shingles of either), major,
+    doc_id, label. Both sides are dealt into tiles of about `tile` rows, or
+    TILE_SHINGLES shingles where that is less, so a large node is many tasks and its pairs are
     never rows.
     """
-    rows_of_tile = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_SHINGLES) / F.col("widest"))))
-    na, nb = F.ceil(F.col("others") / rows_of_tile).cast("int"), F.ceil(F.col("size") / rows_of_tile).cast("int")
+    na = F.greatest(F.ceil(F.col("others") / tile), F.ceil(F.col("others_n") / TILE_SHINGLES)).cast("int")
+    nb = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("all_n") / TILE_SHINGLES)).cast("int")
     r = rows.select("path", "doc_id", "label", "major", na.alias("na"), nb.alias("nb")).join(sets, "doc_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
@@ -323,12 +324,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         near = labelled_pairs(_leaders(alive, fan).where(f"x.doc_id < y.doc_id and {alike}"))
         linked(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
         told = written(labelled(alive), "labelled")
-        shares = told.groupBy("path", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"), F.max("n").alias("n"))
-        mixed = written(shares.groupBy("path").agg(F.max(F.struct("c", "label")).alias("m"), F.first("size").alias("size"), F.max("n").alias("widest")).where("m.c < size").select("path", "widest", F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
+        shares = told.groupBy("path", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"), F.sum("n").alias("n"))
+        mixed = written(shares.groupBy("path").agg(F.max(F.struct("c", "label", "n")).alias("m"), F.first("size").alias("size"), F.sum("n").alias("all_n")).where("m.c < size").select("path", "all_n", (F.col("all_n") - F.col("m.n")).alias("others_n"), F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
         told = written(told.join(mixed, "path"), "mixed_nodes")
         most = node_limit if turn < max_rounds - 1 else 1 << 40
         wide = told.where((F.col("others") > few_others) & (F.col("others") <= most))
-        tiled(wide.select("path", "size", "others", "widest", "major", "doc_id", "label"))
+        tiled(wide.select("path", "size", "others", "all_n", "others_n", "major", "doc_id", "label"))
         few = told.where(F.col("others") <= few_others).select("path", "major", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
         minor = few.where("x.label <> major").select("path", "x")
         every = few.select("path", F.col("x").alias("y"), (F.col("x.label") == F.col("major")).alias("of_major"))
