@@ -40,7 +40,7 @@ from .kernels import Words, add_per_row, mapper, min_per_row, mix, packed, rows_
 from .store import bucketed, documents, written
 
 COORDINATES, SIGNS, WIDTH = 64, 128, 6
-TILE_SHINGLES = 400_000  # on each side of a tile
+TILE_SHINGLES = 1_000_000  # on each side of a tile
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(19))
 _ODD = (_rng.integers(0, 1 << 31, SIGNS + COORDINATES, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
@@ -273,7 +273,7 @@ def _leaders(alive: DataFrame, fan: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, few_others: int = 16, node_limit: int = 4096, tile: int = 512, max_rounds: int = 8, fan: int = 256, hub_from: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, few_others: int = 16, node_limit: int = 4096, tile: int = 1024, max_rounds: int = 8, fan: int = 256, hub_from: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest doc_id) of each document."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return
-        new = confirmed(pairs, sets, percent, tile // 4)
+        new = confirmed(pairs, sets, percent, tile // 2)
         links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
         roots = written(components(links), "roots")
 
