@@ -446,6 +446,19 @@ def test_n_best_is_exact():
         assert np.allclose(together[np.isfinite(together)], best)
 
 
+def test_long_pieces_together():
+    p, _ = pieces.pieces(pieces.model_path(), 3)
+    long = [w.decode() for w in p.pieces if 16 < len(w) <= pieces.SHORT]
+    words = [w for x in long for w in (x, x + "а", x + "xy", " " + x.lstrip()) if len(w.encode()) <= pieces.SHORT] + [" Биография", " Становништво", " the", " Београд"]
+    assert long
+    for raw, v in zip([w.encode() for w in words], p._together([w.encode() for w in words]), strict=True):
+        want = p.search(raw)
+        if v is not None:
+            assert v == p.value(raw, want) or np.allclose(np.frombuffer(v[:24], "<f8"), [s for s, _ in want] + [-np.inf] * (3 - len(want)))
+    best = [np.frombuffer(v[:8], "<f8")[0] for v in p.values([" Биография", " Становништво"])]
+    assert np.allclose(best, [p.search(w.encode())[0][0] for w in (" Биография", " Становништво")])
+
+
 def test_n_best_of_texts():
     p, enc = pieces.pieces(pieces.model_path(), 3)
     text = " on the ham"
