@@ -8,6 +8,12 @@ words, less unequal ends, is an overlap if it has `least_words` words, or the
 whole item where that is shorter. An insertion moves
 the diagonal; each side of it is found on its own.
 
+The masks miss no overlap at a similarity of 0.8 or more. A run of L words with s
+unequal ones inside has a stretch of (L - s) / (s + 1) equal words, rounded up:
+four, which the mask 1111 meets, but for 10, 11 and 15 words at the limit and items of
+five or six words. There stretches of 2 or 3 words lie at one ignored word, which
+11011 meets; an item of five words has masks of its own for its second and fourth word.
+
 The test side is sent to all tasks only if its words, counted first, are at most
 `broadcast_words`; a larger one is joined by hash in a shuffle, after windows
 are reduced to distinct hashes of each document and with each document compared
@@ -15,7 +21,7 @@ only with the items it shares a hash with. Both ways give the same rows.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; null or
 empty texts have no words and no overlaps; items of fewer than `seed_least`
-words are ignored, items shorter than a mask match by their whole sequence;
+words are ignored, items of fewer than four match by their whole sequence;
 repeated items count as they are, a null doc_id or item_id is kept as null;
 further columns are ignored; empty tables give no rows.
 """
@@ -32,12 +38,19 @@ from pyspark.sql import functions as F
 from .kernels import Words, mix, slices, text_bytes, trimmed
 from .store import documents, written
 
-#: 1: the token counts; 0: it is ignored. All have the same span.
-MASKS = ("11110011", "11011011", "11101101", "10111101")
+#: 1: the token counts; 0: it is ignored.
+MASKS = ("1111", "11011")
+SHORT_MASKS = ("10111", "11101")  # for items of just their span
 _U = np.uint64
 _FOUND = "doc_id long, item_id long, start_word long, n_words long, n_matched long"
 
 
+def masks(least: int) -> list[tuple[str, int, bool]]:
+    """(mask, salt, whether it is for items of just its span) of items of at least `least` words."""
+    out = [(m, i, False) for i, m in enumerate(MASKS)] + [(m, 50 + i, True) for i, m in enumerate(SHORT_MASKS) if len(m) >= least]
+    return out + [("1" * n, 100 + n, True) for n in range(least, len(MASKS[0]))]
+
+
 def seed_hashes(h: np.ndarray, first: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each whole window under a mask, and its first word."""
     m = len(h) - len(mask) + 1
@@ -61,9 +74,8 @@ class Items:
         w = Words(data, off)
         self.ids, self.hash, self.first = ids, w.hash, w.first
         size = np.diff(w.first)
-        span = len(MASKS[0])
-        self.masks = [(mask, i, size >= span) for i, mask in enumerate(MASKS)]
-        self.masks += [("1" * n, 100 + n, size == n) for n in range(least, span) if (size == n).any()]
+        self.masks = [(mask, salt, size == len(mask) if whole else size >= max(least, len(mask))) for mask, salt, whole in masks(least)]
+        self.masks = [m for m in self.masks if m[2].any()]
         seeds, items, places = [], [], []
         for mask, salt, on in self.masks:
             s, at = seed_hashes(w.hash, w.first, mask, salt)
@@ -72,6 +84,7 @@ class Items:
             seeds.append(s[keep])
             items.append(row[keep])
             places.append(at[keep] - w.first[row[keep]])
+        seeds, items, places = seeds or [np.zeros(0, np.uint64)], items or [np.zeros(0, np.int64)], places or [np.zeros(0, np.int64)]
         seed = np.concatenate(seeds)
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.place = seed[order], np.concatenate(items)[order], np.concatenate(places)[order]
@@ -97,18 +110,33 @@ class Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
+def _alike(h: np.ndarray, first: np.ndarray, items: Items, hits: np.ndarray, similarity: float, least_words: int, words: int = 1 << 20) -> np.ndarray:
+    """The hits on whose diagonal enough words are equal for an overlap; some `words` words are compared at once."""
+    row, item, shift = hits.T
+    a, n = items.first[item], items.first[item + 1] - items.first[item]
+    lo = np.maximum(0, -shift)
+    size = np.minimum(n, first[row + 1] - first[row] - shift) - lo  # a hit has at least one word
+    to = np.concatenate([[0], np.cumsum(size)])
+    equal, i = np.zeros(len(hits), np.int64), 0
+    while i < len(hits):
+        j = max(i + 1, int(np.searchsorted(to, to[i] + words, "right")) - 1)
+        at = np.arange(to[j] - to[i]) + np.repeat(lo[i:j] - to[i:j] + to[i], size[i:j])
+        same = h[at + np.repeat(first[row[i:j]] + shift[i:j], size[i:j])] == items.hash[at + np.repeat(a[i:j], size[i:j])]
+        equal[i:j] = np.add.reduceat(same, to[i:j] - to[i], dtype=np.int64)
+        i = j
+    return hits[equal >= similarity * np.minimum(least_words, n)]
+
+
 def overlaps(h: np.ndarray, first: np.ndarray, items: Items, similarity: float, least_words: int) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first word, words, equal words) of the best overlap of each diagonal with a hit."""
     out = []
     price = round(100 * similarity)
-    for row, item, shift in items.hits(h, first).tolist():
+    for row, item, shift in _alike(h, first, items, items.hits(h, first), similarity, least_words).tolist():
         a, n = int(items.first[item]), int(items.first[item + 1] - items.first[item])
         lo, hi = max(0, -shift), min(n, int(first[row + 1] - first[row]) - shift)
         base = int(first[row]) + shift
         equal = h[base + lo : base + hi] == items.hash[a + lo : a + hi]
         need = min(least_words, n)
-        if equal.sum() < similarity * need:
-            continue
         # the longest run whose share of equal words is at least the similarity
         gain = np.concatenate([[0], np.cumsum(np.where(equal, 100 - price, -price))])
         low = np.minimum.accumulate(gain)
@@ -138,12 +166,10 @@ def _scan(shared, least: int, similarity: float, least_words: int):
 
 def _distinct_seeds(least: int):
     """(key, seed) with each seed of a row once, for the join by hash."""
-    masks = [(m, i) for i, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in range(least, len(MASKS[0]))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in trimmed(slices(batches)):
             w = Words(data, off)
-            for mask, salt in masks:
+            for mask, salt, _ in masks(least):
                 s, at = seed_hashes(w.hash, w.first, mask, salt)
                 row = np.searchsorted(w.first, at, "right") - 1 if len(at) else at
                 u = np.unique(np.stack([row.astype(np.uint64), s], axis=1), axis=0)

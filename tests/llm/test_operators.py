@@ -334,6 +334,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(a.limit(0), b).count() == 0 and decontaminate.contaminated(a, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(5, 22))
+def test_decontamination_misses_no_pattern(n):
+    import pyarrow as pa
+
+    item = [f"i{j}" for j in range(n)]
+    for before, after in (([], []), (["x"] * 3, ["y"] * 2)):
+        if before and n < 13:
+            continue  # a shorter passage of a longer item is no overlap
+        items = decontaminate.Items([1], pa.array([" ".join(before + item + after)]), 5)
+        texts = [" ".join("other" if j in off else w for j, w in enumerate(item)) for k in range(n // 5 + 1) for off in itertools.combinations(range(1, n - 1), k)]
+        raw = [t.encode() for t in texts]
+        w = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        found = decontaminate.overlaps(w.hash, w.first, items, 0.8, 13)
+        assert [(r, size) for r, _, _, size, _ in found] == [(r, n) for r in range(len(texts))]
+
+
 # language model
 
 
