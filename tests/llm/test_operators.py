@@ -434,6 +434,19 @@ def test_record_files(spark, odd, none, real, sf_dir, tmp_path):
     assert record_files.read_records(record_files.write_records(none, str(tmp_path / "none"), path, 2)).count() == 0
 
 
+def test_added_token_in_a_text(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, end = record_files.tokenizer_path("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [f"a {end} b", end, f" {end}", f"{end} ", f"a{end}b", f"x  {end}  y", f"{end}{end} {end}", f"one\n{end}\ntwo three", f"<|endof text|> {end[:-1]} b", f"<{end}> é{end}é {end}s the end"]
+    t = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = record_files.read_records(record_files.write_records(docs, str(tmp_path / "added"), path, 2)).orderBy("doc_id").collect()
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
+    assert want[0].tolist() == [64, 220, 50256, 275, 2]
+
+
 def test_damaged_record():
     payload, off = np.arange(40, dtype=np.uint8), np.array([0, 8, 40])
     raw, at = record_files.frame(payload, off)
