@@ -55,7 +55,7 @@ _KIND = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
 @functools.cache
 def _is_letter() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, c, e = d[:n], d[1 : n + 1] & 63, d[2 : n + 2] & 63, d[3 : n + 3] & 63
     cp = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | e)))
     start = (data & 0xC0) != 0x80
-    letter = start & np.where(cp < 1 << 16, _is_letter()[np.minimum(cp, 0xFFFF)], True)
+    letter = start & _is_letter()[np.minimum(cp, 0x10FFFF)]
     script = _KIND[np.minimum(np.searchsorted(_ENDS, cp, "right"), len(_KIND) - 1)]
     return letter, script
 

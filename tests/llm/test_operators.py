@@ -305,6 +305,16 @@ def test_language_odd(odd, none):
     assert language_id.predict(language_id.with_fold(none, 4), model).count() == 0
 
 
+def test_symbols_beyond_the_first_plane_are_no_letters(spark):
+    rows = [(0, "the cat and the dog", "en"), (1, "le chat et le chien", "fr"), (3, "🙂🙃 😀", "fr"), (4, "🙂🙂🙂🙂🙂🙂 the dog", "en"), (5, "𝐭𝐡𝐞 𠀀", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    by = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs.where("doc_id < 2"))).collect()}
+    assert (by[3].lang_pred, by[3].score) == ("und", 0) and by[4].lang_pred == "en" and by[5].lang_pred != "und"
+    for t in ("🙂", "a🙂", "𠀀", "é𝐭x", "\U0010ffff"):
+        letter, _ = language_id.letters(np.frombuffer(t.encode(), np.uint8))
+        assert letter.sum() == sum(c.isalpha() for c in t)
+
+
 # benchmark decontamination
 
 
