@@ -93,9 +93,9 @@ def null_battery(spark, sf):
     """Mean and largest e-value of two constructions under every null law (input: seeded draws, not a table)."""
     from ..operators import evidence as ev
 
-    x = mx.null_trajectories(spark, 40, 80, seed=11)
+    x = mx.null_trajectories(spark, 2000, 300, seed=11)
     keys = ["law", "trajectory"]
-    u = mx.universal_inference_e(x, keys, (0, 40), (40, 40)).withColumnRenamed("e", "ui")
-    m = ev.whitened(x, keys, (0, 40), (40, 40))
+    u = mx.universal_inference_e(x, keys, (0, 40), (40, 260)).withColumnRenamed("e", "ui")
+    m = ev.whitened(x, keys, (0, 40), (40, 260))
     both = u.join(m.select(*keys, ev.safe_t(m).alias("t")), keys)
     return rounded(both.groupBy("law").agg(F.count("*").alias("n"), F.avg("ui").alias("mean_ui"), F.max("ui").alias("max_ui"), F.avg("t").alias("mean_safe_t")), "mean_ui", "max_ui", "mean_safe_t")

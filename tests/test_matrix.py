@@ -133,3 +133,12 @@ def test_witness_betting_grows_under_a_shift():
 def test_pool_has_its_covariance():
     c = np.array([[2.0, 0.3], [0.3, 0.5]])
     assert np.abs(np.cov(mx.pool(np.zeros(2), c, 20000, 3).T) - c).max() < 0.08
+
+
+def test_null_battery_is_whole(spark, monkeypatch):
+    from sparkvigil.plans import q_matrix
+
+    sizes, draw = [], mx.null_trajectories
+    monkeypatch.setattr(mx, "null_trajectories", lambda s, n, ticks, seed: sizes.append((n, ticks)) or draw(s, 2, ticks, seed))
+    rows = q_matrix.null_battery(spark, "").collect()
+    assert sizes == [(2000, 300)] and {(r.law, r.n) for r in rows} == {(law, 2) for law in mx.NULL_LAWS}
