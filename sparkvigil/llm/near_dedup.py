@@ -5,20 +5,29 @@ with the same set form one class, and only the smallest doc_id of a class goes
 on. Then, after Christiani, Pagh and Sivertsen (2018), each of `trees`
 independent trees branches the documents by minwise tokens: the path of a node
 fixes which minhash coordinates its members are branched by, 1/threshold of
-them in the mean, and members with the same minwise token share a child. Every member of a node is
-first compared with the node's hub, the member nearest to the majority of its
-signs, and with a leader; links found so far give labels, so large groups of near copies are connected early and never expanded into pairs.
-Of a node that still has several labels, the members outside its most frequent
-label are compared with all others, which covers every pair that is not
-connected yet: as candidate pairs if they are few, else in tiles of the node,
-whose tasks compare full sets and give one link for each pair of labels. A node
-with more of them is branched again; after `max_rounds` the nodes left are
-compared as they are.
-Signs of 128 more minhashes drop pairs that differ too much (at the threshold a
-loss of about 1e-9); every other pair is confirmed on the full sets. The chance
-to miss a pair at the threshold in all trees is (1 - threshold)^trees at the
-first level, 6e-9 by default, and grows with the depth at which families of
-similar, but not linked documents end.
+them in the mean, and members with the same minwise token share a child. A turn
+treats all nodes of a level:
+
+1. Nodes are dealt into blocks of bounded members, one block for all but the
+   largest. A block's sketches (two bits of 192 minhashes) give a minimum
+   spanning forest of the pairs that may be links, so a family of copies is
+   connected by one pair a member, never expanded into pairs.
+2. The forest's pairs are confirmed on full sets and give components, which
+   label the members.
+3. Small nodes, of one block, are compared exhaustively: all pairs of different
+   labels that may be links are confirmed, or, where these are many, the node's
+   full sets are compared in tiles.
+4. Of a larger node, the members outside its most frequent label are compared
+   with all others in tiles if they are at most `node_limit`; else the node is
+   branched again. Paths of unlike members part at each level, so the number of
+   turns is the logarithm of the largest node; what should be left after
+   `max_rounds` is compared in tiles.
+
+The filter on sketches lets 6.2 standard deviations pass: it loses a pair at the
+threshold with a chance of 1e-9; every other pair is confirmed on the full sets
+of 48-bit hashes. The chance to miss a pair at the threshold in all trees is
+(1 - threshold)^trees at the first level, 6e-9 by default, and grows with the
+depth of the node where it would be met.
 
 Defined results: null or empty text, or text without words, has an empty set
 and no link; with fewer than k words the whole sequence is the one shingle;
@@ -36,17 +45,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import Words, add_per_row, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trimmed, unique_per_row
-from .store import bucketed, documents, written
+from .kernels import Words, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trimmed, unique_per_row
+from .store import documents, forgotten, written
 
-COORDINATES, SIGNS, WIDTH = 64, 128, 6
-TILE_SHINGLES = 1_000_000  # on each side of a tile
+COORDINATES, HASHES, WIDTH = 64, 192, 6
+SKETCH = 2 * HASHES // 8  # bytes
+TILE_SHINGLES = 500_000  # on each side of a tile
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(19))
-_ODD = (_rng.integers(0, 1 << 31, SIGNS + COORDINATES, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
+_ODD = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
 
-_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("roots", pa.list_(pa.int64())), ("minwise", pa.binary()), ("shingles", pa.binary())])
-_SIGNATURE_DDL = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, roots array<bigint>, minwise binary, shingles binary"
+_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("roots", pa.list_(pa.int64())), ("minwise", pa.binary()), ("shingles", pa.binary())])
+_SIGNATURE_DDL = "doc_id long, n long, f1 long, f2 long, sketch binary, roots array<bigint>, minwise binary, shingles binary"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,26 +72,25 @@ def _signatures(k: int, trees: int):
         h, to = shingle_sets(data, off, k)
         n = len(to) - 1
         low = (h >> _U(32)).astype(np.uint32)
-        least = np.empty((n, SIGNS + COORDINATES), np.uint32)
+        least = np.empty((n, HASHES), np.uint32)
         for i, odd in enumerate(_ODD):
             y = low * odd
             y ^= y >> np.uint32(15)
             y *= np.uint32(0x2C1B3C6D)
             least[:, i] = min_per_row(y, to, np.uint32(0))
-        bits = np.packbits((least[:, :SIGNS] & 1).astype(np.uint8), axis=1).view(np.int64)
-        minwise = np.ascontiguousarray(least[:, SIGNS:])
+        planes = np.concatenate([np.packbits((least >> np.uint32(i) & np.uint32(1)).astype(np.uint8), axis=1) for i in (0, 1)], axis=1)
+        minwise = np.ascontiguousarray(least[:, :COORDINATES])
         tree = np.arange(trees, dtype=np.uint64)
         roots = mix(mix(tree[None, :] + _U(1)) ^ (minwise[:, np.arange(trees) % COORDINATES].astype(np.uint64) + (tree << _U(32))))
         raw = h[:, None].view(np.uint8)[:, 8 - WIDTH :] if len(h) else np.zeros((0, WIDTH), np.uint8)
         m = mix(h ^ _U(0xA24BAED4963EE407))
         return {
-            "doc_id": batch.column(0), "n": np.diff(to), "f1": _wrapping(mix(h), to), "f2": _wrapping(m, to),
-            "s1": bits[:, 0].copy(), "s2": bits[:, 1].copy(),
+            "doc_id": batch.column(0), "n": np.diff(to), "f1": _wrapping(mix(h), to), "f2": _wrapping(m, to), "sketch": packed(planes.ravel(), np.arange(n + 1) * SKETCH),
             "roots": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(roots.view(np.int64).ravel())),
             "minwise": packed(minwise.ravel(), np.arange(n + 1) * COORDINATES), "shingles": packed(raw, to),
         }
 
-    return mapper(work, _SIGNATURE, limit=1 << 19)
+    return mapper(work, _SIGNATURE, limit=1 << 18)
 
 
 def _wrapping(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -117,18 +126,196 @@ def _branch(threshold: float, limit: int):
                 done.append((r[end], path[end]))
                 rows, path = r[~end], path[~end]
             rows, path = (np.concatenate(x) for x in zip(*done, strict=True))
-            cols = {x: b.column(x).take(pa.array(rows)) for x in ("doc_id", "n", "s1", "s2")}
+            cols = {x: b.column(x).take(pa.array(rows)) for x in ("doc_id", "n", "sketch")}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(path.view(np.int64))], names=[*cols, "path"])
 
     return run
 
 
-def _confirm(percent: int):
+# pairs of a block that may be links
+
+
+class Alike:
+    """The filter on sketches: pairs of the similarity meet it, but for one in 1e9."""
+
+    def __init__(self, percent: int):
+        p = 0.75 * (1 - percent / 100)  # the chance that two bits of a minhash differ
+        self.percent = percent
+        self.most = int(HASHES * p + 6.2 * (HASHES * p * (1 - p)) ** 0.5) + 1
+        self.never = 2 * HASHES
+
+    def distance(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Minhashes whose bits differ, `never` for pairs that cannot be links; sketches are words of both planes side by side."""
+        x = a ^ b
+        half = x.shape[-1] // 2
+        d = np.bitwise_count(x[..., :half] | x[..., half:]).sum(-1, dtype=np.int64)
+        return np.where((100 * np.minimum(na, nb) >= self.percent * np.maximum(na, nb)) & (d <= self.most), d, self.never)
+
+
+def spanning(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of the edges (u, v) of a minimum spanning forest of n vertices by d (Boruvka)."""
+    order = np.argsort(d, kind="stable")
+    u, v = u[order], v[order]
+    label, live, taken = np.arange(n), np.arange(len(u)), []
+    while True:
+        a, b = label[u[live]], label[v[live]]
+        on = a != b
+        live, a, b = live[on], a[on], b[on]
+        if not len(live):
+            break
+        best = np.full(n, len(u))
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        root = np.flatnonzero(best < len(u))
+        e = best[root]
+        taken.append(e)
+        up = np.arange(n)
+        up[root] = np.where(label[u[e]] == root, label[v[e]], label[u[e]])
+        two = (up[up] == np.arange(n)) & (np.arange(n) < up)
+        up[two] = np.flatnonzero(two)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return order[np.unique(np.concatenate(taken))] if taken else np.zeros(0, np.int64)
+
+
+def _prim(words: np.ndarray, n: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of one large block, a row of distances at a time."""
+    m = len(n)
+    near, source = np.full(m, alike.never), np.zeros(m, np.int64)
+    out, at = np.zeros(m, bool), 0
+    u, v = [], []
+    for _ in range(m - 1):
+        out[at] = True
+        d = alike.distance(words, n, words[at], n[at])
+        closer = d < near
+        near[closer], source[closer] = d[closer], at
+        at = int(np.where(out, alike.never + 1, near).argmin())
+        if near[at] < alike.never:
+            u.append(source[at])
+            v.append(at)
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, of about `least` rows each, with the offsets of the groups."""
+
+    def edges(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= least:
+            t = pa.Table.from_batches(held)
+            off = edges(t)
+            if len(off) > 2:
+                yield t.slice(0, off[-2]), off[:-1]
+                rest = t.slice(off[-2]).combine_chunks()
+                held, size = rest.to_batches(), rest.num_rows
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, edges(t)
+
+
+def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = text_bytes(t.column("sketch"))[0].view(np.uint64).reshape(-1, SKETCH // 8)
+    return t.column("doc_id").to_numpy(), t.column("n").to_numpy(), words
+
+
+def _near_pairs(off: np.ndarray, n: np.ndarray, words: np.ndarray, alike: Alike, chosen: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the pairs in the chosen groups that may be links, and have different labels."""
+    size = np.diff(off)
+    row = rows_of(off)
+    after = off[1:][row] - 1 - np.arange(len(row))  # members behind it in its group
+    parts = [(np.zeros(0, np.int64),) * 3]
+    live = np.flatnonzero(chosen[row])
+    for step in range(1, int(size[chosen].max(initial=0))):
+        live = live[after[live] >= step]
+        i, j = live, live + step
+        if label is not None:
+            on = label[i] != label[j]
+            i, j = i[on], j[on]
+        d = alike.distance(words[i], n[i], words[j], n[j])
+        on = d < alike.never
+        parts.append((i[on], j[on], d[on]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _pairs(doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))]
+
+
+def _forest(percent: int, small: int = 64):
+    """Pairs (u, v) of the spanning forests of blocks; rows are sorted by path and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = Alike(percent)
+        for t, off in whole_groups(trimmed(batches), ("path", "block")):
+            doc, n, words = _members(t)
+            i, j, d = _near_pairs(off, n, words, alike, np.diff(off) <= small)
+            e = spanning(i, j, d, t.num_rows)
+            parts = [(i[e], j[e])]
+            for g in np.flatnonzero(np.diff(off) > small):
+                a, z = off[g], off[g + 1]
+                i, j = _prim(words[a:z], n[a:z], alike)
+                parts.append((a + i, a + j))
+            i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays(_pairs(doc, i, j), names=["u", "v"])
+
+    return run
+
+
+def _residue(percent: int, small: int = 64):
+    """Pairs (u, v) of different labels in nodes of one block, or the path of a node where they are many; rows are sorted by path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = Alike(percent)
+        for t, off in whole_groups(trimmed(batches), ("path",)):
+            doc, n, words = _members(t)
+            label, path = t.column("label").to_numpy(), t.column("path").to_numpy()
+            size = np.diff(off)
+            mixed = np.maximum.reduceat(label, off[:-1]) != np.minimum.reduceat(label, off[:-1])
+            i, j, _ = _near_pairs(off, n, words, alike, mixed & (size <= small), label)
+            parts, dense = [(i, j)], []
+            for g in np.flatnonzero(mixed & (size > small)):
+                a, z = off[g], off[g + 1]
+                found, many = [], 0
+                for at in range(a, z - 1):
+                    k = np.arange(at + 1, z)
+                    k = k[label[k] != label[at]]
+                    k = k[alike.distance(words[k], n[k], words[at], n[at]) < alike.never]
+                    found.append((np.full(len(k), at), k))
+                    many += len(k)
+                    if many > 4 * (z - a):
+                        dense.append(path[a])
+                        break
+                else:
+                    parts += found
+            i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, v = _pairs(doc, i, j)
+            blank = pa.nulls(len(dense), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(dense, pa.int64())]), pa.concat_arrays([u, blank]), pa.concat_arrays([v, blank])], names=["path", "u", "v"])
+
+    return run
+
+
+# full sets
+
+
+def _confirm(percent: int, most: int = 1 << 21):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in trimmed(batches):
-            step = max(1, int(4e6 / max(1, b.nbytes / max(1, b.num_rows))))
+            step = max(1, int(most / max(1, b.nbytes / max(1, b.num_rows))))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 (da, oa), (db, ob) = text_bytes(part.column("a")), text_bytes(part.column("b"))
@@ -145,7 +332,11 @@ def _confirm(percent: int):
     return run
 
 
-_TILE_DDL = "path long, ta int, tb int, side int, doc_id long, label long, shingles binary"
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of at least that similarity on full sets."""
+    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
 
 def _compare_tile(percent: int, width: int = 4096):
@@ -203,155 +394,62 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> Dat
     return a.unionByName(b).groupBy("path", "ta", "tb").applyInArrow(_compare_tile(percent), "u long, v long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled.
-
-    The partners of an u with many of them are dealt into tiles, each with a
-    copy of u, so no task meets all partners of a hub.
-    """
-    count = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "hot")
-    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    if count.isEmpty():
-        return pairs.join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
-    dealt = pairs.join(count, "u", "left")
-    cold = dealt.where("tiles is null").select("u", "v").join(b, "v").join(a, "u").mapInArrow(_confirm(percent), "u long, v long")
-    place = lambda side, tb: [F.col("path"), F.lit(0).alias("ta"), tb.alias("tb"), F.lit(side).alias("side"), F.col("doc_id"), F.col("doc_id").alias("label"), F.col("shingles")]
-    hubs = count.select(F.col("u").alias("path"), F.col("u").alias("doc_id"), "tiles").join(sets, "doc_id").select(*place(0, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    others = dealt.where("tiles is not null").select(F.col("u").alias("path"), F.col("v").alias("doc_id"), "tiles").join(sets, "doc_id").select(*place(1, F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")))
-    return cold.unionByName(hubs.unionByName(others).groupBy("path", "ta", "tb").applyInArrow(_compare_tile(percent), "u long, v long"))
-
-
-def _alike(percent: int) -> str:
-    """Condition that pairs of that similarity meet, but for one in 1e9: sizes, and signs within six deviations."""
-    j = percent / 100
-    p = (1 - j) / 2
-    most = int(SIGNS * p + 6.2 * (SIGNS * p * (1 - p)) ** 0.5) + 1
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {most}"
-
-
-def _row():
-    return F.struct("doc_id", "n", "s1", "s2")
-
 
-def _hubs(alive: DataFrame, least: int) -> DataFrame:
-    """Pairs of each member of a node of at least `least` with the node's hub: the member whose signs differ least from the majority's.
-
-    Copies of one text, each edited in its own places, are nearer to the text
-    than to each other; the text, or what is nearest to it, links them all. The
-    majority's signs are sums by node, so they are combined before the shuffle.
-    """
-    big = alive.where(F.col("size") >= least).select("path", "doc_id", "n", "s1", "s2")
-    ones = [F.sum(F.shiftrightunsigned(s, i).bitwiseAND(F.lit(1)).cast("int")) for s in ("s1", "s2") for i in range(64)]
-    vote = big.groupBy("path").agg(F.count("*").alias("c"), F.array(*ones).alias("ones"))
-    word = lambda a: F.aggregate(F.zip_with(F.slice("ones", a + 1, 64), F.sequence(F.lit(0), F.lit(63)), lambda v, i: F.when(2 * v > F.col("c"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
-    vote = written(vote.select("path", word(0).alias("m1"), word(64).alias("m2")), "votes")
-    near = big.join(vote, "path").withColumn("off", F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2"))))
-    hub = written(near.groupBy("path").agg(F.min(F.struct("off", "doc_id", "n", "s1", "s2")).alias("h")).select("path", F.struct("h.doc_id", "h.n", "h.s1", "h.s2").alias("x")), "hubs")
-    return big.select("path", _row().alias("y")).join(hub, "path").select("x", "y")
-
-
-def _leaders(alive: DataFrame, fan: int) -> DataFrame:
-    """Pairs of each member of a node with the smallest doc_id of its part of the node.
-
-    A node of more than `fan` members is dealt into parts of about so many; the
-    parts' leaders are members of the next tier, until a node has one leader, so
-    no leader meets many more than `fan` members.
-    """
-    pairs, rows = [], alive.select("path", "size", "doc_id", "n", "s1", "s2")
-    while True:
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(len(pairs))), F.ceil(F.col("size") / fan))
-        rows = rows.withColumn("part", salt)
-        parts = written(rows.groupBy("path", "part").agg(F.min(_row()).alias("x"), F.first("size").alias("s")), "leaders")
-        pairs.append(rows.select("path", "part", _row().alias("y")).join(parts.select("path", "part", "x"), ["path", "part"]).select("x", "y"))
-        rows = parts.where(f"s > {fan}").select("path", F.ceil(F.col("s") / fan).alias("size"), "x.*")
-        if rows.isEmpty():
-            break
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, few_others: int = 16, node_limit: int = 4096, tile: int = 1024, max_rounds: int = 8, fan: int = 256, hub_from: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, block: int = 2048, block_shingles: int = 8_000_000, node_limit: int = 4096, tile: int = 1024, max_rounds: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest doc_id) of each document."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = docs.select("doc_id", "text").repartition(buckets, "doc_id").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL)
-    sigs, table = bucketed(signed, "doc_id", buckets)
-    ids = written(sigs.select("doc_id", "n", "f1", "f2"), "ids")
-    classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "s1", "s2", "roots")).alias("x")).select("f1", "f2", "n", "x.*"), "classes")
-    sets = sigs.select("doc_id", "shingles")
-    alike = _alike(percent)
-    nodes = classes.select("doc_id", "n", "s1", "s2", F.explode("roots").alias("path"))
-    links, roots = None, None
-
-    def linked(pairs: DataFrame) -> None:
-        nonlocal links, roots
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            return
-        new = confirmed(pairs, sets, percent, tile // 2)
-        links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
-        roots = written(components(links), "roots")
-
-    def tiled(rows: DataFrame) -> None:
-        nonlocal links, roots
-        if rows.isEmpty():
-            return
-        new = tile_links(rows, sets, percent, tile)
-        links = written(new if roots is None else new.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))), "links")
-        roots = written(components(links), "roots")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        if roots is None:
-            return rows.withColumn("label", F.col("doc_id"))
-        return rows.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
-
-    def labelled_pairs(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that no link connects so far."""
-        p = pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct()
-        if roots is None:
-            return p
-        a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-        return p.join(a, "u", "left").join(b, "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
+    sigs = written(docs.select("doc_id", "text").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL), "signatures")
+    classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "roots")).alias("x")).select("f1", "f2", "n", "x.*"), "classes")
+    rep = classes.select("f1", "f2", "n", F.col("doc_id").alias("rep"))
+    members = written(sigs.select("doc_id", "n", "f1", "f2").join(rep, ["f1", "f2", "n"], "left").select("doc_id", "n", "rep"), "members")
+    first = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("doc_id", "u")
+    twins = members.join(first, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))  # classes of rows that share a doc_id
+    sets = sigs.select("doc_id", "shingles").join(classes.select("doc_id"), "doc_id", "left_semi")
+    nodes = classes.select("doc_id", "n", "sketch", F.explode("roots").alias("path"))
+    roots = None
+
+    def united(links: DataFrame) -> None:
+        """Adds links to the components so far."""
+        nonlocal roots
+        before = roots
+        roots = components(links if before is None else links.unionByName(before.select(F.col("id").alias("u"), F.col("root").alias("v"))))
+        forgotten(before)
 
     for turn in range(max_rounds):
-        sizes = written(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        alive = written(nodes.join(sizes, "path"), "nodes")
-        near = _hubs(alive, hub_from).where(f"x.doc_id <> y.doc_id and {alike}")
-        linked(near.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct())
-        near = labelled_pairs(_leaders(alive, fan).where(f"x.doc_id < y.doc_id and {alike}"))
-        linked(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-        told = written(labelled(alive), "labelled")
-        shares = told.groupBy("path", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"), F.sum("n").alias("n"))
-        mixed = written(shares.groupBy("path").agg(F.max(F.struct("c", "label", "n")).alias("m"), F.first("size").alias("size"), F.sum("n").alias("all_n")).where("m.c < size").select("path", "all_n", (F.col("all_n") - F.col("m.n")).alias("others_n"), F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
-        told = written(told.join(mixed, "path"), "mixed_nodes")
-        most = node_limit if turn < max_rounds - 1 else 1 << 40
-        wide = told.where((F.col("others") > few_others) & (F.col("others") <= most))
-        tiled(wide.select("path", "size", "others", "all_n", "others_n", "major", "doc_id", "label"))
-        few = told.where(F.col("others") <= few_others).select("path", "major", F.struct("doc_id", "n", "s1", "s2", "label").alias("x"))
-        minor = few.where("x.label <> major").select("path", "x")
-        every = few.select("path", F.col("x").alias("y"), (F.col("x.label") == F.col("major")).alias("of_major"))
-        meet = minor.join(every, "path").where(f"x.label <> y.label and (of_major or x.doc_id < y.doc_id) and {alike}")
-        linked(meet.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct())
-        left = told.where(F.col("others") > most).select("doc_id", "n", "s1", "s2", "path", "others")
-        if left.isEmpty():
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("all_n")).where("size > 1")
+        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_n") / block_shingles)).cast("int")
+        alive = nodes.join(sizes, "path").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "path"), F.col("blocks")).cast("int"))
+        before, alive = nodes, written(alive, "nodes")
+        forgotten(before)
+        forest = alive.select("path", "block", "doc_id", "n", "sketch").repartition("path", "block").sortWithinPartitions("path", "block")
+        links = confirmed(forest.mapInArrow(_forest(percent), "u long, v long").distinct(), sets, percent)
+        united(links.unionByName(twins) if turn == 0 else links)
+        told = alive.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root", "block")
+        before, told = alive, written(told, "labelled")
+        forgotten(before)
+        small = told.where("blocks = 1").select("path", "doc_id", "n", "sketch", "label").repartition("path").sortWithinPartitions("path")
+        residue = written(small.mapInArrow(_residue(percent), "path long, u long, v long"), "residue")
+        links = confirmed(residue.where("path is null").select("u", "v").distinct(), sets, percent)
+        dense = residue.where("path is not null").select("path").distinct()
+        wide = told.join(dense, "path", "left_semi").unionByName(told.where("blocks > 1"))
+        shares = wide.groupBy("path", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        mixed = shares.groupBy("path").agg(F.max(F.struct("c", "label", "n")).alias("m"), F.sum("c").alias("size"), F.sum("n").alias("all_n")).where("m.c < size")
+        mixed = written(mixed.select("path", F.col("m.label").alias("major"), (F.col("size") - F.col("m.c")).alias("others"), (F.col("all_n") - F.col("m.n")).alias("others_n")), "mixed")
+        left = None
+        if not mixed.isEmpty():
+            most = node_limit if turn < max_rounds - 1 else 1 << 62
+            rows = told.join(mixed, "path")
+            links = links.unionByName(tile_links(rows.where(f"others <= {most}"), sets, percent, tile))
+            left = rows.where(f"others > {most}").join(sigs.select("doc_id", "minwise"), "doc_id").select("doc_id", "n", "sketch", "path", "others", "minwise")
+            left = written(left.mapInArrow(_branch(percent / 100, node_limit), "doc_id long, n long, sketch binary, path long"), "children")
+        united(links)
+        forgotten(told, residue, mixed)
+        if left is None or left.isEmpty():
             break
-        nodes = written(left.join(sigs.select("doc_id", "minwise"), "doc_id").mapInArrow(_branch(percent / 100, node_limit), "doc_id long, n long, s1 long, s2 long, path long"), "children")
-    rep = classes.select("f1", "f2", "n", F.col("doc_id").alias("rep"))
-    out = written(ids.join(rep, ["f1", "f2", "n"], "left"), "members")
-    if roots is None:
-        out = out.withColumn("component_id", F.col("rep"))
-    else:
-        out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    spark.sql(f"drop table if exists {table}")
-    return _result(out)
-
-
-def _result(df: DataFrame) -> DataFrame:
+        nodes = left
+    out = written(members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id")), "components")
+    forgotten(sigs, classes, members, roots)
     root = F.coalesce("component_id", "doc_id")
-    return df.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,35 @@
 """Intermediate tables that survive the loss of executors.
 
 They go, as Parquet, to the shared folder that the session names in
-spark.checkpoint.dir; only where that is unset (tests, notebooks) is a
-temporary folder of this machine used.
+spark.checkpoint.dir. Where that is unset, a local session (tests, notebooks)
+gets a temporary folder of this machine; on a cluster that is an error, as
+executors would write to disks that the others cannot read. A table that no
+later step reads is deleted with `forgotten`.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the session's shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="sparkvigil-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(own)
@@ -34,17 +43,18 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
-    """Runs `df`, already partitioned by `key` into so many parts, into a table bucketed by it, and gives the table's name too.
 
-    Joins on the key then read the table where it lies: its rows are not shuffled again.
-    """
-    spark, name = df.sparkSession, f"sparkvigil_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), name
+def forgotten(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := _paths.pop(t, None)):
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 250) -> None:

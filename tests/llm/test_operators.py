@@ -146,7 +146,7 @@ def test_near_duplicates_large_family(spark):
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = components_brute(enumerate(texts), 85)
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, few_others=2, node_limit=60, tile=16, fan=16, hub_from=8).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=90, node_limit=150, tile=64).collect()}
     assert got == want
 
 
