@@ -378,10 +378,52 @@ def test_pitman_yor(spark, real, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_one_model_for_all_partitions(spark, sf_dir):
+    docs = language_id.with_fold(documents(spark, sf_dir).select("doc_id", "text"), 7)
+    got = []
+    try:
+        for parts, tokens in ((1, 1 << 21), (13, 5000)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(docs.repartition(parts), contexts=300, shard_tokens=tokens).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][d] - got[1][d]) < 1e-6 * (1 + abs(got[0][d])) for d in got[0])
+
+
+def test_probabilities_add_up():
+    rng = np.random.default_rng(4)
+    n, restaurants = 50, 4
+    count = rng.integers(0, 9, (restaurants - 1, n))
+    tables = np.where(count > 0, rng.integers(1, np.maximum(count, 1) + 1), 0)
+    guests = tables.sum(0) + rng.integers(0, 3, n)
+    root = np.where(guests > 0, rng.integers(1, np.maximum(guests, 1) + 1), 0)
+    t = pitman_yor.Totals(restaurants)
+    at = np.repeat(np.arange(1, restaurants), n)
+    t.add(pitman_yor.CUSTOMERS, at, count.ravel())
+    t.add(pitman_yor.TABLES, at, tables.ravel())
+    t.add(pitman_yor.ROOT, np.arange(6), np.array([guests.sum(), root.sum(), 5, 4, 3, 2]))
+    m = pitman_yor.Model(dict(zip(*t.rows(), strict=True)), restaurants, n, (1.0, 2.0))
+    up, unseen = m.parent(guests, root), m.parent(np.zeros(1), np.zeros(1))
+    assert abs(up.sum() + unseen[0] - 1) < 1e-12
+    for c in range(1, restaurants):
+        context = np.full(n, c)
+        total = m.predictive(context, count[c - 1], tables[c - 1], up).sum() + m.predictive(context[:1], np.zeros(1), np.zeros(1), unseen)[0]
+        assert abs(total - 1) < 1e-12
+
+
+def test_stirling_numbers_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "KNOWN", 200)
+    for d in (0.3, 0.6, 0.85):
+        exact = pitman_yor.log_stirling(600, d)[600]
+        t = np.arange(6, 400)
+        error = pitman_yor.log_seatings(np.full(len(t), 600), t, d) - exact[t]
+        assert np.abs(np.diff(error)).max() < 0.03
+
+
 def test_table_counts_have_their_distribution():
     rng = np.random.Generator(np.random.PCG64(1))
     theta, d, others, parent, c = 1.3, 0.6, 4, 0.2, 5
-    got = np.bincount(pitman_yor.sample_tables(np.full(60_000, c), np.full(60_000, others), np.full(60_000, math.log(parent)), theta, d, rng), minlength=c + 1) / 60_000
+    got = np.bincount(pitman_yor.sample_tables(np.full(60_000, c), np.ones(60_000, np.int64), np.full(60_000, others), np.full(60_000, math.log(parent)), theta, d, rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)), minlength=c + 1) / 60_000
     weight = Counter()
 
     def partitions(seated, sizes, w):  # all seatings of c customers at tables of one dish
