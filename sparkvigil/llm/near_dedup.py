@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Words, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trimmed, unique_per_row
-from .store import documents, forgotten, written
+from .store import bucketed, documents, forgotten, written
 
 COORDINATES, HASHES, WIDTH = 64, 192, 6
 SKETCH = 2 * HASHES // 8  # bytes
@@ -333,7 +333,7 @@ def _confirm(percent: int, most: int = 1 << 21):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of at least that similarity on full sets."""
+    """The pairs (u, v) of at least that similarity on full sets; the sets lie bucketed by doc_id and are not shuffled themselves."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
@@ -397,13 +397,14 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> Dat
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, block: int = 2048, block_shingles: int = 8_000_000, node_limit: int = 4096, tile: int = 1024, max_rounds: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest doc_id) of each document."""
-    sigs = written(docs.select("doc_id", "text").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL), "signatures")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = bucketed(docs.select("doc_id", "text").repartition(buckets, "doc_id").mapInArrow(_signatures(k, trees), _SIGNATURE_DDL), "doc_id", buckets)
     classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "roots")).alias("x")).select("f1", "f2", "n", "x.*"), "classes")
     rep = classes.select("f1", "f2", "n", F.col("doc_id").alias("rep"))
     members = written(sigs.select("doc_id", "n", "f1", "f2").join(rep, ["f1", "f2", "n"], "left").select("doc_id", "n", "rep"), "members")
     first = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("doc_id", "u")
     twins = members.join(first, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))  # classes of rows that share a doc_id
-    sets = sigs.select("doc_id", "shingles").join(classes.select("doc_id"), "doc_id", "left_semi")
+    sets = sigs.select("doc_id", "shingles")
     nodes = classes.select("doc_id", "n", "sketch", F.explode("roots").alias("path"))
     roots = None
 

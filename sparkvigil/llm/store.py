@@ -10,6 +10,7 @@ later step reads is deleted with `forgotten`.
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,13 +50,31 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Runs `df`, already partitioned by `key` into so many parts, into a table bucketed by it.
+
+    Joins on the key then read the table where it lies: its rows are not shuffled again.
+    """
+    spark, name = df.sparkSession, f"sparkvigil_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    _paths[out], _tables[out] = path, name
+    return out
+
+
 def forgotten(*tables: DataFrame | None) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more, and has the JVM collect its garbage: only then does Spark delete shuffles that ended."""
     for t in tables:
+        if t is not None and (name := _tables.pop(t, None)):
+            t.sparkSession.sql(f"drop table if exists {name}")
         if t is not None and (path := _paths.pop(t, None)):
             spark = t.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+    gc.collect()
+    if tables and (spark := next((t.sparkSession for t in tables if t is not None), None)):
+        spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
