@@ -25,9 +25,10 @@ def guard(cls: Column, present: Column, non_finite: Column, sd: Column) -> Colum
 
 
 def verdict(s2: Column, s3: Column, n_powered: Column, s4: Column) -> Column:
-    """USE, ADVISORY, REFUSE or NOT_EXECUTABLE from validity, power and budget, in that order."""
+    """USE, ADVISORY, REFUSE or NOT_EXECUTABLE from validity, power and budget, in that order; an unknown validity is an error."""
     return (
         F.when(s2 == "VOID", "NOT_EXECUTABLE").when(s2 == "REFUTED", "REFUSE").when((s2 == "MISSING") | (s3 == "MISSING"), "NOT_EXECUTABLE")
+        .when(s2.isNull() | (s2 != "PASS"), F.raise_error(F.concat(F.lit("unknown validity "), F.coalesce(s2, F.lit("null")))).cast("string"))
         .when(n_powered == 0, "ADVISORY").when(s4.isin("REFUSE", "UNPRICED"), "ADVISORY").otherwise("USE")
     )
 

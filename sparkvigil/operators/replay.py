@@ -11,6 +11,10 @@ from ..functions.windows import ordered
 PROFILES = {"standard": (1.0, -0.22, -1.0), "reward_low_fp": (1.0, -0.46, -1.0), "reward_low_fn": (2.0, -0.22, -2.0)}
 
 
+#: Least mean score that a family must reach. Fixed values.
+FLOORS = {"mixture": 50, "betting": 50, "spectral": 40}
+
+
 def normal_timestamp(t: Column) -> Column:
     """Date and time with a blank between, without zone mark and fraction."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""), r"\.\d+$", "")
@@ -66,10 +70,31 @@ def unpaired(validity: DataFrame, power: DataFrame, keys: list[str]) -> DataFram
     return validity.join(power.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Null families: whether an id must carry, may carry or must not carry -p (autocorrelation) and -m (calibration length), where phi comes from, and which parameters are known. Fixed values.
+NULLS = {
+    1: ("no", "no", "oracle", "oracle"),
+    2: ("no", "must", "iid-by-construction", "estimated-moments"),
+    3: ("must", "may", "oracle", "oracle-phi"),
+    4: ("must", "may", "estimated", "estimated-phi"),
+    5: ("no", "no", "iid-by-construction", "moment-matched"),
+    6: ("no", "no", "iid-by-construction", "moment-matched"),
+    7: ("no", "no", "oracle", "oracle"),
+}
+
+
+def null_parameters(null_id: Column) -> Column:
+    """STRUCT<phi, phi_source, params> of a null's id, N<1-7>[-p<digits>][-m<digits>] (p06 is 0.6, p095 is 0.95); null for any other id."""
+    part = lambda i: F.regexp_extract(null_id, r"^N([1-7])(?:-p(\d{2,3}))?(?:-m(\d+))?$", i)
+    fits = {"no": lambda c: c == "", "must": lambda c: c != "", "may": lambda c: F.lit(True)}
+    digits = F.regexp_replace(part(2), "^0+", "")
+    phi = F.when(digits == "", 0.0).otherwise(F.concat(F.lit("0."), digits).cast("double"))
+    known = [F.when((part(1) == str(n)) & fits[p](part(2)) & fits[m](part(3)), F.struct(phi.alias("phi"), F.lit(source).alias("phi_source"), F.lit(params).alias("params"))) for n, (p, m, source, params) in NULLS.items()]
+    return F.coalesce(*known)
+
+
 def null_phi(null_id: Column) -> Column:
-    """Autocorrelation named in a null's id (phi=0.6, ar1-0.6, phi06), or 0."""
-    text = F.regexp_extract(null_id, r"(?i)(?:phi|ar1)[=_-]?(0?\.\d+|0\d)", 1)
-    return F.when(text == "", 0.0).when(text.contains("."), text.cast("double")).otherwise(text.cast("double") / 10)
+    """Autocorrelation that a null's id names; null for an id of another form."""
+    return null_parameters(null_id)["phi"]
 
 
 def injected(df: DataFrame, kind: str, sigma: Column, at: int, size: float = 3.0, period: int = 10, value: str = "value") -> Column:

@@ -76,24 +76,47 @@ def event_conditional(fired: DataFrame, events: DataFrame, pre_s: int = 300, pos
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column, decay_s: float = 300.0) -> Column:
-    """Shared share of two intervals; for a point (b1 null), 1 inside and falling linearly to 0 over the decay outside."""
+    """Shared share of two intervals, 0 if their union is a point; for a point (b1 null, or before b0), 1 inside and falling linearly to 0 over the decay outside."""
     both = F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
     union = F.greatest(a1, b1) - F.least(a0, b0)
     away = F.greatest(a0 - b0, b0 - a1, F.lit(0.0))
-    return F.when(b1.isNull(), F.greatest(F.lit(0.0), 1 - away / decay_s)).when(union > 0, both / union).otherwise(1.0)
+    return F.when(b1.isNull() | (b1 < b0), F.greatest(F.lit(0.0), 1 - away / decay_s)).when(union > 0, both / union).otherwise(1.0)
+
+
+def deploy_nodes(nodes: DataFrame) -> DataFrame:
+    """(deploy_id, start): the node that a deploy id names: by the node's own deploy_id, else by id, else by service name; of several, the first by position (or id)."""
+    names = [c for c in ("deploy_id", "id", "service_name") if c in nodes.columns]
+    place = F.col("position") if "position" in nodes.columns else F.lit(0)
+    keys = F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(i).alias("rank")) for i, c in enumerate(names)])).alias("k")
+    ranked = nodes.select("id", place.alias("place"), keys).where("k.key is not null")
+    return ranked.groupBy(F.col("k.key").alias("deploy_id")).agg(F.min(F.struct("k.rank", "place", "id")).alias("m")).select("deploy_id", F.col("m.id").alias("start"))
 
 
 def enriched(groups: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, max_hop: int = 3, top: int = 1, decay_s: float = 300.0) -> DataFrame:
-    """Best event for each verdict group: on a node within reach of its deploy node, by overlap in time, then hops, then id."""
-    by_service = nodes.groupBy("service_name").agg(F.min("id").alias("by_service"))
-    g = groups.join(nodes.select(F.col("id").alias("by_id")), F.col("deploy_id") == F.col("by_id"), "left").join(by_service, F.col("deploy_id") == F.col("service_name"), "left").withColumn("start", F.coalesce("by_id", "by_service"))
-    r = reach(g.where("start is not null").select(F.col("start").alias("id")), edges, max_hop)
-    c = g.join(r, "start").join(events.select(F.col("node_id").alias("node"), "event_id", "event_ts", "event_end_ts"), "node")
+    """Best event for each verdict group: on a node within reach of its deploy node, by overlap in time, then hops, then id.
+
+    Groups and events meet by node and slot of `decay_s` seconds; a pair that
+    shares several slots counts in the first one.
+    """
+    slot = lambda t: F.floor(t / decay_s)
+    g = groups.join(deploy_nodes(nodes), "deploy_id")
+    r = reach(g.select(F.col("start").alias("id")).distinct(), edges, max_hop)
+    first, last = slot(F.col("window_start_ts") - decay_s), slot(F.col("window_end_ts") + decay_s)
+    g = g.withColumn("g_first", first).withColumn("slot", F.explode(F.sequence(first, last)))
+    end = F.when(F.col("event_end_ts") >= F.col("event_ts"), F.col("event_end_ts")).otherwise(F.col("event_ts"))
+    e = events.select(F.col("node_id").alias("node"), "event_id", "event_ts", "event_end_ts", slot(F.col("event_ts")).alias("e_first"), F.explode(F.sequence(slot(F.col("event_ts")), slot(end))).alias("slot"))
+    c = g.join(r, "start").join(e, ["node", "slot"]).where("slot = greatest(g_first, e_first)")
     c = c.withColumn("overlap", overlap(F.col("window_start_ts").cast("double"), F.col("window_end_ts").cast("double"), F.col("event_ts").cast("double"), F.col("event_end_ts").cast("double"), decay_s)).where("overlap > 0")
     w = Window.partitionBy("group_id").orderBy(F.desc("overlap"), "hop", "event_id")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("group_id", "event_id", "node", "hop", "overlap", "rank")
 
 
+def audit_events(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One audit event for each enriched group: how many candidates it has and the first of them, null where there is none or the enrichment failed."""
+    found = candidates.groupBy("group_id").agg(F.count("*").alias("n_candidates"), F.min_by(F.struct("event_id", "node", "hop", "overlap"), "rank").alias("top_candidate"))
+    return groups.join(found, "group_id", "left").select(F.lit("verdict_group_enriched_with_topology").alias("type"), "group_id", F.coalesce("n_candidates", F.lit(0).cast("bigint")).alias("n_candidates"), "top_candidate", *[F.col(c) if c in groups.columns else F.lit(None).cast(t).alias(c) for c, t in (("topology_source_id", "string"), ("topology_snapshot_hash", "string"), ("enriched_at_ts", "bigint"), ("enrichment_error", "string"))])
+
+
 def snapshot_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-256 of the sorted nodes and edges of a snapshot, a bounded hardware graph."""
     n = nodes.agg(F.array_sort(F.collect_list(F.to_json(F.struct("id", "kind")))).alias("n"))

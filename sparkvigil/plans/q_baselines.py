@@ -23,17 +23,17 @@ def bl_clean_null(spark, sf):
     return rounded(bl.clean_null(e, ["event_type"]), "mean", "variance")
 
 
-_SEASONAL = f"""{SERIES}, b AS (SELECT CAST((sec // 3600) % 24 AS INT) AS bin, value FROM s WHERE series % 10 < 3),
+_SEASONAL = f"""{SERIES}, b AS (SELECT CAST((sec // 3600) % 24 AS INT) AS bin, value FROM s),
 w0 AS (SELECT CAST((bin + k + 24) % 24 AS INT) AS bin, value FROM b, range(-1, 2) r(k)), al AS (SELECT 1 AS bin, value FROM b),
 {_CLEAN.format(k=1, src='b')}, {_CLEAN.format(k=2, src='w0')}, {_CLEAN.format(k=3, src='al')},
-base AS (SELECT CAST(h AS INT) AS bin, CASE WHEN o.n >= 120 THEN 'strict' WHEN o.n >= 110 OR w.n >= 110 THEN 'pooled' ELSE 'aggregate' END AS confidence,
-  CASE WHEN o.n >= 110 THEN o.n WHEN w.n >= 110 THEN w.n ELSE a.n END AS n, CASE WHEN o.n >= 110 THEN o.mean WHEN w.n >= 110 THEN w.mean ELSE a.mean END AS mean,
-  CASE WHEN o.n >= 110 THEN o.v WHEN w.n >= 110 THEN w.v ELSE a.v END AS v FROM range(24) r(h) LEFT JOIN c1 o ON o.bin = h LEFT JOIN c2 w ON w.bin = h CROSS JOIN c3 a)"""
+base AS (SELECT CAST(h AS INT) AS bin, CASE WHEN o.n >= 420 THEN 'strict' WHEN o.n >= 400 OR w.n >= 400 THEN 'pooled' ELSE 'aggregate' END AS confidence,
+  CASE WHEN o.n >= 400 THEN o.n WHEN w.n >= 400 THEN w.n ELSE a.n END AS n, CASE WHEN o.n >= 400 THEN o.mean WHEN w.n >= 400 THEN w.mean ELSE a.mean END AS mean,
+  CASE WHEN o.n >= 400 THEN o.v WHEN w.n >= 400 THEN w.v ELSE a.v END AS v FROM range(24) r(h) LEFT JOIN c1 o ON o.bin = h LEFT JOIN c2 w ON w.bin = h CROSS JOIN c3 a)"""
 
 
 def _seasonal(spark, sf):
-    b = series(spark, sf).where("series % 10 < 3").withColumn("bin", (F.floor(F.col("sec") / 3600) % 24).cast("int"))
-    return b, bl.seasonal_baseline(b, 24, min_strict=120, min_pooled=110, radius=1, cyclic=True)
+    b = series(spark, sf).withColumn("bin", (F.floor(F.col("sec") / 3600) % 24).cast("int"))
+    return b, bl.seasonal_baseline(b, 24, min_strict=420, min_pooled=400, radius=1, cyclic=True)
 
 
 @query(f"WITH {_SEASONAL} SELECT bin, n, round(mean, 6) AS mean, round(greatest(v, 1e-6 * mean * mean, 1e-12), 6) AS variance, confidence FROM base")
@@ -41,7 +41,7 @@ def bl_seasonal_baseline(spark, sf):
     return rounded(_seasonal(spark, sf)[1], "mean", "variance")
 
 
-@query(f"WITH {_SEASONAL} SELECT s.event_id, round(s.value - base.mean, 6) AS residual FROM s JOIN base ON base.bin = (sec // 3600) % 24 WHERE series % 10 < 3")
+@query(f"WITH {_SEASONAL} SELECT s.event_id, round(s.value - base.mean, 6) AS residual FROM s JOIN base ON base.bin = (sec // 3600) % 24")
 def bl_seasonal_residual(spark, sf):
     b, base = _seasonal(spark, sf)
     return rounded(bl.seasonal_residual(b, base), "residual").select("event_id", "residual")

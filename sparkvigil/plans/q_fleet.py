@@ -161,17 +161,30 @@ def event_conditional_attribution(spark, sf):
     return tp.event_conditional(fired(spark, sf), ce, 3600, 3600, 1800).drop("members")
 
 
-@query(f"""WITH {_REACH}, gr AS (SELECT o_orderkey AS group_id, 's' || (o_custkey % 100 + 1) AS start, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS a FROM orders WHERE o_orderkey % 50 = 0),
-ev AS (SELECT o_orderkey AS event_id, 'n' || (o_orderkey % 25) AS node, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS t FROM orders WHERE o_orderkey % 7 = 0),
-c AS (SELECT g.group_id, e.event_id, r.node, r.hop, greatest(0, 1 - greatest(a - t, t - (a + 86400), 0) / 864000.0::DOUBLE) AS ov FROM gr g JOIN reach3 r ON r.start = g.start JOIN ev e ON e.node = r.node),
-k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ov DESC, hop, event_id) AS rank FROM c WHERE ov > 0) SELECT group_id, event_id, node, hop, round(ov, 6) AS overlap FROM k WHERE rank = 1""")
-def topology_enrichment(spark, sf):
+_ENRICH = f"""WITH {_REACH}, gr AS (SELECT o_orderkey AS group_id, 's' || (o_custkey % 100 + 1) AS start, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS a FROM orders),
+ev AS (SELECT o_orderkey AS event_id, 'n' || (o_orderkey % 25) AS node, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS t FROM orders),
+c AS (SELECT g.group_id, e.event_id, r.node, r.hop, greatest(0, 1 - greatest(a - t, t - (a + 86400), 0) / 864000.0::DOUBLE) AS ov FROM gr g JOIN reach3 r ON r.start = g.start JOIN ev e ON e.node = r.node AND e.t BETWEEN a - 864000 AND a + 86400 + 864000),
+k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ov DESC, hop, event_id) AS rank FROM c WHERE ov > 0)"""
+
+
+def _enriched(spark, sf):
     nodes, edges = graph(spark, sf)
     o = table(spark, sf, "orders").withColumn("t", epoch("o_orderdate"))
-    groups = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("group_id"), F.concat(F.lit("s"), F.col("o_custkey") % 100 + 1).alias("deploy_id"), F.col("t").alias("window_start_ts"), (F.col("t") + 86400).alias("window_end_ts"))
-    ev = o.where("o_orderkey % 7 = 0").select(F.concat(F.lit("n"), F.col("o_orderkey") % 25).alias("node_id"), F.col("o_orderkey").alias("event_id"), F.col("t").alias("event_ts"), F.lit(None).cast("bigint").alias("event_end_ts"))
-    out = tp.enriched(groups, nodes.withColumn("service_name", F.lit(None).cast("string")), edges, ev, decay_s=864000.0)
-    return rounded(out, "overlap").drop("rank")
+    groups = o.select(F.col("o_orderkey").alias("group_id"), F.concat(F.lit("s"), F.col("o_custkey") % 100 + 1).alias("deploy_id"), F.col("t").alias("window_start_ts"), (F.col("t") + 86400).alias("window_end_ts"))
+    ev = o.select(F.concat(F.lit("n"), F.col("o_orderkey") % 25).alias("node_id"), F.col("o_orderkey").alias("event_id"), F.col("t").alias("event_ts"), F.lit(None).cast("bigint").alias("event_end_ts"))
+    return groups, tp.enriched(groups, nodes.withColumn("service_name", F.lit(None).cast("string")), edges, ev, decay_s=864000.0)
+
+
+@query(f"{_ENRICH} SELECT group_id, event_id, node, hop, round(ov, 6) AS overlap FROM k WHERE rank = 1")
+def topology_enrichment(spark, sf):
+    return rounded(_enriched(spark, sf)[1], "overlap").drop("rank")
+
+
+@query(f"""{_ENRICH}, n AS (SELECT group_id, count(*) AS n FROM k WHERE rank = 1 GROUP BY 1) SELECT gr.group_id, coalesce(n.n, 0) AS n_candidates, t.event_id AS top_event, round(t.ov, 6) AS top_overlap
+FROM gr LEFT JOIN n USING (group_id) LEFT JOIN (SELECT * FROM k WHERE rank = 1) t USING (group_id)""")
+def topology_audit_events(spark, sf):
+    a = tp.audit_events(*_enriched(spark, sf))
+    return a.select("group_id", "n_candidates", F.col("top_candidate.event_id").alias("top_event"), F.round("top_candidate.overlap", 6).alias("top_overlap"))
 
 
 _VERDICT = f"""{SERIES}, ve AS (SELECT event_id AS seq, series AS dep, CASE WHEN series % 3 = 0 THEN 'e' || (series % 5) ELSE '' END AS ek, sec AS ts, tick, value > 300 AS terminal, value > 60 AS f1, value > 150 AS f2, value / 1000 AS alpha FROM s),
@@ -250,11 +263,14 @@ def resampler_acceptance(spark, sf):
     return rounded(rp.resampler_acceptance(c, F.lit(0.05), 250), "mean", "limit")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 9) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS phi FROM orders""")
+@query("""WITH i AS (SELECT o_orderkey, 'N' || (o_orderkey % 9) || CASE o_orderkey % 4 WHEN 1 THEN '-p06' WHEN 2 THEN '-p095-m100' WHEN 3 THEN '-m40' ELSE '' END AS id, o_orderkey % 9 AS n, o_orderkey % 4 AS f FROM orders)
+SELECT o_orderkey, CASE WHEN n IN (3, 4) AND f = 1 THEN 0.6::DOUBLE WHEN n IN (3, 4) AND f = 2 THEN 0.95::DOUBLE WHEN (n IN (1, 5, 6, 7) AND f = 0) OR (n = 2 AND f = 3) THEN 0.0::DOUBLE END AS phi,
+CASE WHEN (n IN (1, 7) AND f = 0) OR (n = 3 AND f IN (1, 2)) THEN 'oracle' WHEN n = 4 AND f IN (1, 2) THEN 'estimated' WHEN (n IN (5, 6) AND f = 0) OR (n = 2 AND f = 3) THEN 'iid-by-construction' END AS phi_source FROM i""")
 def certification_null_phi(spark, sf):
     k = F.col("o_orderkey")
-    name = F.when(k % 2 == 0, F.concat(F.lit("N3-ar1-0."), k % 9)).otherwise("N1-iid")
-    return table(spark, sf, "orders").select("o_orderkey", F.round(rp.null_phi(name), 6).alias("phi"))
+    tail = F.when(k % 4 == 1, "-p06").when(k % 4 == 2, "-p095-m100").when(k % 4 == 3, "-m40").otherwise("")
+    got = rp.null_parameters(F.concat(F.lit("N"), k % 9, tail))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(got["phi"], 6).alias("phi"), got["phi_source"].alias("phi_source"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events a WHERE value > 100 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.value < 5)")

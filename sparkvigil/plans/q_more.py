@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import certify as ct
 from ..operators import evidence as ev
 from ..operators import replay as rp
-from .q_detectors import _HOT, _MIX, _hot
+from .q_detectors import _HOT, _MIX, _PEAK, _hot
+from .q_detectors import SQL as _DETECTOR_SQL
 from .q_fleet import _NB
 from .registry import registry, rounded
 from .views import SERIES, VECTORS, epoch, series, table, vectors
 
 QUERIES, SQL, query = registry()
+BETTING = _DETECTOR_SQL["betting_e_process"]
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'NON_FINITE' WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'VOID' WHEN o_orderkey % 7 = 0 THEN 'VACUOUS' ELSE 'OK' END ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'OK' ELSE 'VOID' END END AS guard FROM orders""")
@@ -204,29 +206,34 @@ def rs_counts_by_family(spark, sf):
     return c.groupBy("user_id", F.when(F.col("cat").isin("view", "click"), "family_A_page_cusum").otherwise("family_A_betting").alias("family")).agg(F.sum("n").alias("n"))
 
 
-_FAM = f"""{_MIX}, cu0 AS (SELECT series, tick, 0.5::DOUBLE * ln(0.5) + (x - mean) * (x - mean) / (4 * variance) AS z FROM r), cu1 AS (SELECT *, sum(z) OVER (PARTITION BY series ORDER BY tick) AS c_ FROM cu0),
-cu2 AS (SELECT *, c_ + greatest(0, max(0 - c_) OVER (PARTITION BY series ORDER BY tick)) AS cusum FROM cu1), fr0 AS (SELECT 'mixture' AS family, series, tick, m >= 20 AS fire FROM mix UNION ALL SELECT 'cusum', series, tick, cusum >= 3 FROM cu2),
+_WEALTH = ", o AS (SELECT *" + BETTING.split("\nSELECT series, round(lm, 6)")[0].split(", o AS (SELECT *", 1)[1]
+_PEAKS = _PEAK.removeprefix(SERIES)
+_FAM = f"""{_MIX}{_WEALTH}{_PEAKS},
+fr0 AS (SELECT 'mixture' AS family, series, tick, m >= 20 AS fire FROM mix UNION ALL SELECT 'betting', series, tick, lm >= ln(20) FROM f JOIN o USING (series, i) UNION ALL SELECT 'spectral', series, tick, peak >= 0.35 FROM pk),
 fr AS (SELECT family || series AS dataset, family, tick, CAST(sum(fire::INT) OVER (PARTITION BY family, series ORDER BY tick ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) >= 2 AS fire, series FROM fr0),
 wi AS (SELECT dataset, 25 + (series % 7) * 4 AS lo, 34 + (series % 7) * 4 AS hi FROM (SELECT DISTINCT dataset, series FROM fr) z WHERE series % 6 <> 0),
 {_NB[_NB.index("h AS (SELECT wi"):]},
 sc AS (SELECT family, d.dataset, greatest(0, CASE WHEN nw IS NULL THEN 100 - coalesce(n, 0) * 0.22::DOUBLE ELSE 100 * (gain - coalesce(n, 0) * 0.22::DOUBLE) / (nw / (1 + exp(-5))) END) AS score FROM (SELECT DISTINCT family, dataset FROM fr) d LEFT JOIN g USING (dataset) LEFT JOIN ou USING (dataset))"""
 
 
-@query(f"WITH {_FAM} SELECT family, count(*) AS n, round(avg(score), 4) AS score, avg(score) >= CASE family WHEN 'mixture' THEN 50 ELSE 40 END AS accepted FROM sc GROUP BY family")
+@query(f"WITH RECURSIVE {_FAM} SELECT family, count(*) AS n, round(avg(score), 4) AS score, avg(score) >= CASE family WHEN 'spectral' THEN 40 ELSE 50 END AS accepted FROM sc GROUP BY family")
 def nb_family_replay(spark, sf):
-    """Replay of labelled series: calibrate on a prefix, detect after it, smooth, score each series, average by family, compare with the family's floor."""
+    """Replay of labelled series by three families: calibrate on a prefix, detect after it, smooth, score each series, average by family, compare with the family's floor."""
     from ..operators import detectors as dt
+    from ..operators.evaluators import betting_walk
     from .views import calibrated
 
     r = calibrated(spark, sf)
-    mix = dt.mixture(r, ["series"], 0.05, value="x").select(F.lit("mixture").alias("family"), "series", "tick", F.col("fire_now").alias("fire"))
-    cu = dt.cusum(r.withColumn("c", F.col("x") - F.col("mean")), ["series"], "c", "variance", "variance").select(F.lit("cusum").alias("family"), "series", "tick", (F.col("cusum") >= 3).alias("fire"))
-    f = rp.smoothed(mix.unionByName(cu), ["family", "series"], 3, 2).select(F.concat("family", "series").alias("dataset"), "family", "series", "tick", F.col("smooth").alias("fire"))
+    part = lambda df, name, fire: df.select(F.lit(name).alias("family"), "series", "tick", fire.alias("fire"))
+    mix = part(dt.mixture(r, ["series"], 0.05, value="x"), "mixture", F.col("fire_now"))
+    bet = part(betting_walk(r, ["series"], "x"), "betting", F.col("log_m") >= F.log(F.lit(20.0)))
+    spectral = part(dt.spectral_peak(series(spark, sf), ["series"], 30, 3, 6, "x").where("peak is not null"), "spectral", F.col("peak") >= 0.35)
+    f = rp.smoothed(mix.unionByName(bet).unionByName(spectral), ["family", "series"], 3, 2).select(F.concat("family", "series").alias("dataset"), "family", "series", "tick", F.col("smooth").alias("fire"))
     d = f.select("dataset", "family", "series").distinct()
     w = d.where("series % 6 <> 0").select("dataset", (25 + (F.col("series") % 7) * 4).alias("start")).withColumn("end", F.col("start") + 9)
     s = rp.replay_score(f, w, d).join(d, "dataset")
     g = s.groupBy("family").agg(F.count("*").alias("n"), F.avg("score").alias("a"))
-    return g.select("family", "n", F.round("a", 4).alias("score"), (F.col("a") >= F.when(F.col("family") == "mixture", 50).otherwise(40)).alias("accepted"))
+    return g.select("family", "n", F.round("a", 4).alias("score"), (F.col("a") >= F.coalesce(*[F.when(F.col("family") == k, v) for k, v in rp.FLOORS.items()])).alias("accepted"))
 
 
 @query(f"""WITH {SERIES}, w AS (SELECT series, tick, count(*) OVER z AS n, avg(x * x) OVER z AS a, avg(x * x * x * x) OVER z AS b FROM s WINDOW z AS (PARTITION BY series ORDER BY tick ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
