@@ -255,14 +255,40 @@ def test_main_text_of_articles(spark, sf_dir):
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_main_text_without_article_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r.page_id: r.text for r in main_text.extract_main_text(pages).collect()}
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    got = {r.page_id: r.text for r in main_text.extract_main_text(plain).collect()}
+    assert got.keys() == want.keys() and sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
 def test_main_text_by_difference(spark):
     top, end = "<body><div>Site name</div><div>Sections</div>", "<div>Contact us</div></body>"
-    rows = [(i, f"http://h.example/a/{i}", f"{top}<p>Story {i} &amp; more</p><p>It was   long {i}</p>{end}") for i in range(4)]
-    rows += [(10, None, None), (11, "http://[", ""), (12, "http://x.example/", "<p>alone<script>1<2</script><form>f</form><div class='comment-list'>c</div>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit(1))
-    out = {r.page_id: r.text for r in main_text.extract_main_text(df.coalesce(1)).collect()}
-    assert out[12] == "alone" and out[10] == out[11] == "" and len(out) == 7
-    assert all(f"Story {i} & more\nIt was long {i}" in out[i] for i in range(4)) and sum("Site name" not in out[i] for i in range(4)) >= 3
+    rows = [(i, f"http://h.example/a/{i}", f"{top}<p>Story {i} &amp; more</p><p>It was   long {i}</p>{end}") for i in range(40)]
+    rows += [(100 + i, f"http://g.example/{i % 7}/{i}", f"<div>menu of {i % 3}</div><article><h1>t</h1><div>share</div><p>same for all</p><p>own {i}, a story that is longer than the lines around it</p></article>") for i in range(60)]
+    rows += [(210, None, None), (211, "http://[", ""), (212, "http://x.example/", "<p>alone<script>1<2</script><form>f</form><div class='comment-list'>c</div>" + "<p>long text</p>" * 3000), (213, "http://z.example/", "<p>alone</p>"), (213, "http://z.example/", "<p>alone</p>")]
+    rows += [(220, "http://y.example/", "<article><div class='entry-header'><h1>Title</h1></div><p>a</p><p>x <math>y=1</math> z</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"lines": F.lit(1), "key": F.lit(2), "range": F.lit("r")})
+    got = []
+    try:
+        for parts in (1, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted((r.page_id, r.text) for r in main_text.extract_main_text(df.coalesce(1)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    out = dict(got[0])
+    assert out[210] == out[211] == "" and out[212].startswith("alone\nlong text") and out[213] == "alone" and out[220] == "Title\na\nx y=1 z"
+    assert all(out[i] == f"Story {i} & more\nIt was long {i}" for i in range(40))
+    assert all(out[100 + i] == f"t\nsame for all\nown {i}, a story that is longer than the lines around it" for i in range(60))
+    # the whole operator again, page by page
+    cut = [(i, *main_text.host_and_path(u), main_text.candidates(main_text.page_lines(h or "")), [x for x, _ in main_text.page_lines(h or "")]) for i, u, h in rows]
+    cut = [x for _, x in sorted(((h, p, n), x) for n, x in enumerate(cut) for h, p in [x[1:3]])]
+    for n, (i, host, path, lines, _) in enumerate(cut):
+        near = [(x[2], x[4]) for x in cut[max(0, n - 2) : n] + cut[n + 1 : n + 3] if x[1] == host]
+        gone = main_text.template_lines([x for x, _ in lines], [len(x) for x, _ in lines], path, near)
+        assert out[i] == "\n".join(x for (x, d), g in zip(lines, gone, strict=True) if not (d and g))
     assert main_text.extract_main_text(df.limit(0)).count() == 0
 
 
