@@ -15,15 +15,17 @@ anchors at equal places. A document's windows fall into runs with one anchor.
 3. A document's covered windows are joined with its text.
 
 Shuffled are 26 bytes for each run (about `length` / 3 bytes of text), the bytes
-of runs that differ at a shared anchor, and the texts once. Runs of one anchor
-in the same batch with equal bytes are settled before the shuffle, so a passage
-of any share of the documents costs a row for each batch, not each document.
+of runs that differ at a shared anchor, and the texts once. Equal runs of a slice
+are settled before the shuffle: one of them goes to its anchor, so a passage of
+any share of the documents costs its anchor's task a run for each slice, not for
+each document. Runs that differ at one anchor, the edges of such a passage, meet
+in one shard.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing;
 matches never cross documents; rows that share a doc_id are texts of their own,
-in the order of their text, so the second of two equal rows loses all (such ids
-must be below 2^43); a null doc_id loses nothing and covers nothing; further
-columns are ignored; an empty table gives no rows.
+in the order of their text, so the second of two equal rows loses all; a null
+doc_id loses nothing and covers nothing; further columns, of any name, are
+ignored or kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .induced_sort import repeats
@@ -42,8 +44,9 @@ from .kernels import mix, packed, prefix_hash, slices, span_hash, trimmed
 from .store import documents, written
 
 GRAM = 32
-SHARD_BYTES = 2 << 20  # of texts that one task sorts
-SLICE = 1 << 19  # bytes of text at once: the windows of a slice take some 200 bytes for each
+SHARD_BYTES = 2 << 20  # of texts that are sorted at once
+TASK_BYTES = 32 << 20  # of the shards that one task sorts, one after the other
+SLICE = 1 << 18  # bytes of text at once: the windows of a slice take some 200 bytes for each
 _U = np.uint64
 
 
@@ -93,6 +96,16 @@ def _deal(length: int, buckets: int):
             if not len(row):
                 continue
             first = first - off[row]
+            o = np.lexsort((first, docs[row], whole, anchor))
+            again = np.zeros(len(o), bool)
+            again[1:] = (anchor[o][1:] == anchor[o][:-1]) & (whole[o][1:] == whole[o][:-1])
+            # rows that share a doc_id are keyed apart, so a run that is again there is another place
+            late, o = o[again], np.sort(o[~again])
+            if len(late):
+                cols = [packed(x[late], np.array([0, len(late)])) for x in (row.astype("<u4"), first.astype("<u4"), more.astype(np.uint8))]
+                any_bucket = int(mix(anchor[:1])[0] % _U(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([any_bucket], pa.int32()), pa.array([docs.astype("<i8").tobytes()], pa.binary()), *cols, *[pa.array([b""], pa.binary())] * 2], names=names)
+            row, first, more, anchor, whole = row[o], first[o], more[o], anchor[o], whole[o]
             bucket = (anchor >> _U(20)) % _U(buckets)
             order = np.lexsort((first, docs[row], bucket))
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
@@ -115,6 +128,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in trimmed(batches):
         for docs, *cols in zip(*[b.column(i) for i in range(1, 7)], strict=True):
             ids = np.frombuffer(docs.as_buffer(), "<i8")
+            if not len(cols[3].as_buffer()):  # equal to an earlier run of its slice
+                doc, first, more = (np.frombuffer(c.as_buffer(), k) for c, k in zip(cols, ("<u4", "<u4", "u1"), strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(first.astype(np.int64)), pa.array(more.astype(np.int32)), pa.nulls(len(doc), pa.int64())], names=["doc_id", "first", "more", "anchor"])
+                continue
             doc, first, more, anchor, whole = (np.frombuffer(c.as_buffer(), k) for c, k in zip(cols, ("<u4", "<u4", "u1", "<u8", "<u8"), strict=True))
             parts.append((ids[doc], first, more, anchor, whole))
     if not parts:
@@ -177,16 +194,28 @@ def _cut(length: int, shards: int):
     return run
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Rows sorted by shard: the pieces of each shard."""
+    now, held = None, []
+    for b in trimmed(batches):
+        for shard, *cols in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+            if shard != now and held:
+                yield held
+                held = []
+            now = shard
+            held.append(tuple(np.frombuffer(c.as_buffer(), k) for c, k in zip(cols, ("<i8", "<i8", "u1", "u1"), strict=True)))
+    if held:
+        yield held
+
+
 def _sort(length: int, limit: int):
-    """All pieces of a partition: windows that also start earlier, as (doc_id, first, more)."""
+    """Pieces sorted by shard: windows that also start earlier, as (doc_id, first, more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in trimmed(batches):
-            for cols in zip(*[b.column(i) for i in range(1, 5)], strict=True):
-                parts.append([np.frombuffer(c.as_buffer(), k) for c, k in zip(cols, ("<i8", "<i8", "u1", "u1"), strict=True)])
-        if not parts:
-            return
+        for parts in _by_shard(batches):
+            yield from one(parts)
+
+    def one(parts: list) -> Iterator[pa.RecordBatch]:
         doc, first, more, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         n = more.astype(np.int64) + length
@@ -265,13 +294,21 @@ def _result(length: int, keep_text: bool):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds _key: the doc_id where ids are distinct, else an id for each row in the same order."""
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Adds a key: the doc_id where ids are distinct, else a number for each row in the order of doc_id and text; also the table written for that."""
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    wide = F.when(F.abs("doc_id") < 1 << 43, F.shiftleft("doc_id", 20)).otherwise(F.raise_error(F.lit("repeated doc_ids must be below 2^43")))
-    return docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), wide.cast("bigint") + place))
+        return docs.withColumn(key, F.col("doc_id")), None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn(key, F.monotonically_increasing_id())
+    laid = written(laid.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(key))), "keyed")
+    return laid, laid
 
 
 def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int = 8 << 20) -> DataFrame:
@@ -284,31 +321,33 @@ def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int =
     asked = settled.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("first", "more", "anchor")).alias("asked"))
     size = settled.where("anchor is not null").agg(F.sum(F.col("more") + length)).first()[0] or 0
     shards = max(parts, -(-size // SHARD_BYTES))
+    tasks = max(parts, -(-size // TASK_BYTES))
     pieces = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(length, shards), _PIECES)
-    late = written(pieces.repartition(shards, "shard").mapInArrow(_sort(length, memory_positions), "doc_id long, first long, more int"), "late")
+    late = written(pieces.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_sort(length, memory_positions), "doc_id long, first long, more int"), "late")
     return settled.where("anchor is null").select("doc_id", "first", "more").unionByName(late)
 
 
-def _found(docs: DataFrame, length: int) -> DataFrame:
-    """The rows with their covered windows."""
-    docs = keyed(docs)
-    late = repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), length)
-    found = late.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("first", "more")).alias("found"))
-    return docs.join(found, "_key", "left")
+def _found(docs: DataFrame, length: int, found: str) -> DataFrame:
+    """The rows with their covered windows in the column `found`."""
+    key = _fresh(docs, "row_key")
+    rows, _ = keyed(docs, key)
+    late = repeated_windows(rows.select(F.col(key).alias("doc_id"), "text"), length)
+    windows = late.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first", "more")).alias(found))
+    return rows.join(windows, key, "left").drop(key)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of each document."""
-    rows = _found(docs.select("doc_id", "text"), length).select("doc_id", "text", "found")
+    rows = _found(docs.select("doc_id", "text"), length, "found").select("doc_id", "text", "found")
     return rows.mapInArrow(_result(length, keep_text), _RESULT + (", kept_text string" if keep_text else ""))
 
 
-def _shortened(length: int, names: list[str]):
+def _shortened(length: int, names: list[str], found: str):
     inner = _result(length, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.Table.from_batches(inner(iter([b.select(["doc_id", "text", "found"])])))
+            got = pa.Table.from_batches(inner(iter([b.select(["doc_id", "text", found])])))
             texts = got.column("kept_text").combine_chunks()
             cols = {c: b.column(c) for c in names} | {"text": texts}
             if "n_chars" in cols:
@@ -320,7 +359,8 @@ def _shortened(length: int, names: list[str]):
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """The documents, all columns, with the repeated bytes out of their text (and a character cut in two with them)."""
-    return _found(docs, length).drop("_key").mapInArrow(_shortened(length, docs.columns), docs.schema)
+    found = _fresh(docs, "found")
+    return _found(docs, length, found).mapInArrow(_shortened(length, docs.columns, found), docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,10 @@ def test_suffix_dedup_odd(spark, odd, none):
     twice = odd.sparkSession.createDataFrame([(1, LONG[:300]), (1, "z" * 5 + LONG[:300]), (1, LONG[:300]), (2, LONG[100:700])], "doc_id long, text string")
     got = sorted(tuple(r)[1:4] for r in suffix_dedup.remove_repeats(twice).collect())
     assert got == sorted(r[1:4] for r in removed_brute([(0, LONG[:300]), (1, LONG[:300]), (2, "z" * 5 + LONG[:300]), (3, LONG[100:700])], 100))
+    big = odd.sparkSession.createDataFrame([(1 << 62, LONG[:300]), (1 << 62, LONG[:300])], "doc_id long, text string")
+    once = removed_brute([(1, LONG[:300])], 100)[0][2]  # the text repeats itself
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeats(big).collect()) == [once, 300]
+    odd = odd.withColumns({c: F.lit(5) for c in ("found", "row_key", "Found_")})
     cut = suffix_dedup.without_repeats(odd)
     assert cut.columns == odd.columns and cut.where("doc_id = 5").first().text == ""
 
