@@ -404,23 +404,127 @@ def sequential_ui_process(df: DataFrame, keys: list[str], value: str = "value",
     return df.select(*keys, by, value).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, by]) + ", log_e double")
 
 
-def fleet_residuals(df: DataFrame, fleet: str, cal: int, method: str, factors: int = 1, domain_cols: tuple = (), value: str = "value") -> DataFrame:
-    """(fleet, shard, tick, residual) of each fleet's window: `multi_factor` or `crossed`; ticks missing in a shard are an error."""
+def _matrix(pdf: pd.DataFrame, rows: str = "shard", value: str = "r") -> pd.DataFrame:
+    m = pdf.pivot(index=rows, columns="tick", values=value)
+    if m.isna().any().any():
+        raise ValueError("a shard lacks ticks")
+    return m
+
+
+def _centred(df: DataFrame, fleet: str, cal: int, value: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    level = df.where(F.col("tick") < cal).groupBy(fleet, "shard").agg(F.median(value).alias("_m"))
+    n = df.groupBy(fleet).agg(F.count_distinct("tick").alias("_t"))
+    short = df.groupBy(fleet, "shard").agg(F.count("*").alias("_n")).join(n, fleet).select(fleet, "shard", F.when(F.col("_n") != F.col("_t"), F.raise_error(F.lit("a shard lacks ticks")).cast("double")).otherwise(0.0).alias("_0"))
+    return df.join(level, [fleet, "shard"]).join(short, [fleet, "shard"]).withColumn("r", F.col(value) - F.col("_m") + F.col("_0")).drop("_m", "_0", value)
+
+
+def _factor(df: DataFrame, keys: list[str], block: int, load: bool) -> DataFrame:
+    """(keys, tick, f): the members' common value of each tick, their location or, with a column `load`, the slope on it; `block` ticks of a group at once."""
+    from pyspark.sql import functions as F
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="shard", columns="tick", values=value)
-        if m.isna().any().any():
-            raise ValueError(f"fleet {key[0]}: a shard lacks ticks")
+        m = _matrix(pdf)
         x = m.to_numpy(float)
-        if method == "crossed":
-            dom = pdf.drop_duplicates("shard").set_index("shard").loc[m.index, list(domain_cols)].to_numpy()
-            r = crossed_domains(x, cal, dom)
-        else:
-            r = multi_factor(x, cal, factors)[0]
-        return pd.DataFrame({fleet: key[0], "shard": np.repeat(m.index.to_numpy(), x.shape[1]), "tick": np.tile(m.columns.to_numpy(), x.shape[0]), "residual": r.ravel()})
+        f = slopes(pdf.drop_duplicates("shard").set_index("shard").loc[m.index, "load"].to_numpy(float), x.T) if load else location(x)
+        return pd.DataFrame({**{k: key[i] for i, k in enumerate(keys)}, "tick": m.columns.to_numpy(), "f": f})
+
+    types = dict(df.dtypes)
+    return df.withColumn("_b", F.floor(F.col("tick") / block)).groupBy(*keys, "_b").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, "tick"]) + ", f double")
+
+
+def _loadings(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """(keys, shard, load): slope of each shard's values r on f over the ticks given; shards of a group are dealt into buckets."""
+    from pyspark.sql import functions as F
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(pdf)
+        f = pdf.drop_duplicates("tick").set_index("tick").loc[m.columns, "f"].to_numpy(float)
+        return pd.DataFrame({**{k: key[i] for i, k in enumerate(keys)}, "shard": m.index.to_numpy(), "load": slopes(f, m.to_numpy(float))})
 
     types = dict(df.dtypes)
-    return df.select(fleet, "shard", "tick", value, *domain_cols).groupBy(fleet).applyInPandas(run, f"{fleet} {types[fleet]}, shard {types['shard']}, tick {types['tick']}, residual double")
+    return df.withColumn("_b", F.pmod(F.xxhash64("shard"), F.lit(buckets))).groupBy(*keys, "_b").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, "shard"]) + ", load double")
+
+
+def deflated(df: DataFrame, fleet: str, cal: int, factors: int = 1, value: str = "value", passes: int = 6, block: int = 16, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(fleet, shard, tick, residual) after so many robust factors, and (fleet, factor, share): each one's share of the energy.
+
+    Factors are fitted by turns: all ticks given the shards' loadings, all shards
+    given the ticks' values. A task sees some ticks of all shards, or some shards
+    at all ticks, never a fleet's whole window; the vectors between the turns are
+    checkpointed.
+    """
+    from pyspark.sql import functions as F
+
+    from .cut import cut
+
+    d = cut(_centred(df.select(fleet, "shard", "tick", value), fleet, cal, value))
+    total = cut(d.groupBy(fleet).agg(F.greatest(F.sum(F.col("r") * F.col("r")), F.lit(TINY)).alias("total")))
+    shares = None
+    for k in range(factors):
+        load = None
+        for _ in range(passes):
+            f = _factor(d if load is None else d.join(load, [fleet, "shard"]), [fleet], block, load is not None)
+            f = cut(f)
+            load = cut(_loadings(d.join(f, [fleet, "tick"]), [fleet], buckets))
+        part = d.join(f, [fleet, "tick"]).join(load, [fleet, "shard"]).withColumn("part", F.col("load") * F.col("f"))
+        part = cut(part.select(fleet, "shard", "tick", (F.col("r") - F.col("part")).alias("r"), "part"))
+        share = part.groupBy(fleet).agg(F.sum(F.col("part") * F.col("part")).alias("e")).join(total, fleet).select(fleet, F.lit(k + 1).alias("factor"), (F.col("e") / F.col("total")).alias("share"))
+        shares = share if shares is None else shares.unionByName(share)
+        d = part.drop("part")
+    if shares is None:
+        shares = total.select(fleet, F.lit(0).alias("factor"), F.lit(0.0).alias("share")).limit(0)
+    return d.withColumnRenamed("r", "residual"), shares
+
+
+def crossed(df: DataFrame, fleet: str, cal: int, domain_cols: tuple, value: str = "value", sweeps: int = 4, small: int = 5, block: int = 16, buckets: int = 64) -> DataFrame:
+    """(fleet, shard, tick, residual) after backfitting the factor of each domain of each partition of the shards (null or negative: none).
+
+    As in `crossed_domains`, by domain and ticks, then by shards; domains of 2
+    to `small` members are small groups of their own, each member by the factor
+    of the others.
+    """
+    from pyspark.sql import functions as F
+
+    from .cut import cut
+
+    r = cut(_centred(df.select(fleet, "shard", "tick", value, *domain_cols), fleet, cal, value))
+    shards = r.where("tick = 0").select(fleet, "shard", *domain_cols)
+    size = {c: cut(shards.where(F.col(c) >= 0).groupBy(fleet, F.col(c).alias("dom")).agg(F.count("*").alias("size"))) for c in domain_cols}
+    past = F.col("tick") < cal
+
+    def members(c: str, which: str) -> DataFrame:
+        return r.withColumn("dom", F.col(c)).join(size[c].where(which).select(fleet, "dom"), [fleet, "dom"])
+
+    for _ in range(sweeps):
+        for c in domain_cols:
+            if size[c].where(f"size > {small}").isEmpty():
+                continue
+            rows = members(c, f"size > {small}")
+            f = cut(_factor(rows, [fleet, "dom"], block, False))
+            fits = f.groupBy(fleet, "dom").agg(F.sum(F.when(past, F.col("f") * F.col("f"))).alias("ref"), F.sum(F.col("f") * F.col("f")).alias("all")).where(f"ref > {TINY} and ref >= 1e-6 * all").select(fleet, "dom")
+            f = f.join(fits, [fleet, "dom"])
+            load = _loadings(rows.where(past).join(f, [fleet, "dom", "tick"]), [fleet, "dom"], buckets)
+            part = f.join(load, [fleet, "dom"]).select(fleet, "shard", "tick", (F.col("load") * F.col("f")).alias("part"))
+            r = cut(r.join(part, [fleet, "shard", "tick"], "left").withColumn("r", F.col("r") - F.coalesce("part", F.lit(0.0))).drop("part"))
+
+    def by_others(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(pdf)
+        x = m.to_numpy(float)
+        y = x.copy()
+        for i in range(len(x)):
+            f = location(np.delete(x, i, axis=0))
+            ref = (f[:cal] ** 2).sum()
+            if ref > TINY and ref >= 1e-6 * (f**2).sum():
+                y[i] -= slopes(f[:cal], x[i : i + 1, :cal])[0] * f
+        return pd.DataFrame({fleet: key[0], "shard": np.repeat(m.index.to_numpy(), x.shape[1]), "tick": np.tile(m.columns.to_numpy(), x.shape[0]), "new": y.ravel()})
+
+    types = dict(r.dtypes)
+    for c in domain_cols:
+        new = members(c, f"size between 2 and {small}").select(fleet, "dom", "shard", "tick", "r").groupBy(fleet, "dom").applyInPandas(by_others, f"{fleet} {types[fleet]}, shard {types['shard']}, tick {types['tick']}, new double")
+        r = cut(r.join(new, [fleet, "shard", "tick"], "left").withColumn("r", F.coalesce("new", "r")).drop("new"))
+    return r.select(fleet, "shard", "tick", F.col("r").alias("residual"))
 
 
 def localised(df: DataFrame, fleet: str, cal: int, test: int, q: float, domain_cols: tuple, group: str, value: str = "value") -> DataFrame:
@@ -429,7 +533,7 @@ def localised(df: DataFrame, fleet: str, cal: int, test: int, q: float, domain_c
 
     from .fleet import e_bh
 
-    r = fleet_residuals(df, fleet, cal, "crossed", domain_cols=domain_cols, value=value)
+    r = crossed(df, fleet, cal, domain_cols, value)
     e = universal_inference_e(r, [fleet, "shard"], (0, cal), (cal, test), "residual")
     g = df.select(fleet, "shard", F.col(group).alias("_g")).distinct()
     return e_bh(e.join(g, [fleet, "shard"]), [fleet, "_g"], q, "e", "shard").drop("_g")

@@ -37,12 +37,18 @@ def sequential_universal_inference(spark, sf):
 
 @query()
 def multi_factor_residuals(spark, sf):
-    return rounded(mx.fleet_residuals(_fleet(spark, sf), "fleet", 6, "multi_factor", 2), "residual")
+    return rounded(mx.deflated(_fleet(spark, sf), "fleet", 6, 2)[0], "residual")
+
+
+@query()
+def factor_energies(spark, sf):
+    """Shares of the energy that robust factors take, one after the other."""
+    return rounded(mx.deflated(_fleet(spark, sf), "fleet", 6, 2)[1], "share")
 
 
 @query()
 def crossed_domain_residuals(spark, sf):
-    return rounded(mx.fleet_residuals(_fleet(spark, sf), "fleet", 6, "crossed", domain_cols=("rack", "zone")), "residual")
+    return rounded(mx.crossed(_fleet(spark, sf), "fleet", 6, ("rack", "zone")), "residual")
 
 
 @query()

@@ -142,3 +142,21 @@ def test_null_battery_is_whole(spark, monkeypatch):
     monkeypatch.setattr(mx, "null_trajectories", lambda s, n, ticks, seed: sizes.append((n, ticks)) or draw(s, 2, ticks, seed))
     rows = q_matrix.null_battery(spark, "").collect()
     assert sizes == [(2000, 300)] and {(r.law, r.n) for r in rows} == {(law, 2) for law in mx.NULL_LAWS}
+
+
+def test_distributed_fleet_residuals(spark):
+    rng = np.random.default_rng(3)
+    n, t, cal = 14, 24, 12
+    rack, zone = np.arange(n) // 7, np.where(np.arange(n) == 3, -1, np.arange(n) % 5)
+    x = rng.normal(size=(n, t)) + np.outer(rng.normal(1, 0.2, n), rng.normal(size=t).cumsum()) + 2 * rng.normal(size=(2, t)).cumsum(1)[rack]
+    rows = [("f", int(i), int(k), float(x[i, k]), int(rack[i]), int(zone[i])) for i in range(n) for k in range(t)]
+    df = spark.createDataFrame(rows, "fleet string, shard long, tick long, value double, rack int, zone int")
+    as_matrix = lambda d: d.toPandas().pivot(index="shard", columns="tick", values="residual").to_numpy()
+    want, shares = mx.multi_factor(x, cal, 2)
+    got, energy = mx.deflated(df, "fleet", cal, 2, passes=6, block=5, buckets=3)
+    assert np.abs(as_matrix(got) - want).max() < 1e-6
+    assert np.allclose([r.share for r in energy.orderBy("factor").collect()], shares, atol=1e-8)
+    want = mx.crossed_domains(x, cal, np.stack([rack, zone], axis=1))
+    assert np.abs(as_matrix(mx.crossed(df, "fleet", cal, ("rack", "zone"), block=7, buckets=2)) - want).max() < 1e-6
+    with pytest.raises(Exception, match="lacks ticks"):
+        mx.crossed(df.where("not (shard = 2 and tick = 5)"), "fleet", cal, ("rack",)).count()
