@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.walks import row_walk
 from .detectors import BET_CLIP, WEALTH_FLOOR, hotelling
 from .ingest import gate
 
@@ -19,37 +19,25 @@ RESPONSES = "temp therm clock freq power watt util ecc throttle fan volt current
 SUBSTRATE_VERSION = "phase-e-slice10-v1"
 
 
-def betting_walk(df: DataFrame, keys: list[str], value: str = "value", by: str = "tick") -> DataFrame:
-    """Adds log_m, bet and n after each tick to rows with columns mean, variance and phi.
+def _bet(s: tuple, x: float, mean: float, var: float, phi: float) -> tuple:
+    """State (log-wealth, bet, count, mean, second moment, last deviation) after a value; NaN holds it."""
+    log_m, prev, n, mu, m2, last = s
+    if x is not None and not math.isnan(x):
+        scale, c = 3 * math.sqrt(max(var, 0.0)), x - mean
+        z = max(-1.0, min(1.0, (c - phi * last) / scale)) if scale > 0 else 0.0
+        bet = mu / m2 if m2 > 0 else 0.0
+        if abs(bet) > BET_CLIP:
+            inner = 1 + prev * mu
+            bet = max(-BET_CLIP, min(BET_CLIP, prev + mu / inner / max(m2, 1e-6))) if abs(inner) >= 1e-9 else 0.0
+        growth, n = 1 + bet * z, n + 1
+        log_m = max(WEALTH_FLOOR, log_m + math.log(growth)) if growth > 0 else WEALTH_FLOOR
+        s = (log_m, bet, n, mu + (z - mu) / n, m2 + (z * z - m2) / n, c)
+    return s, s[:3]
 
-    The bet depends on all bets before, so it is a fold. Rows of a key come
-    sorted and are read one by one: a task holds one state, not a history.
-    """
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, None
-        for f in frames:
-            out = []
-            for k, x, mean, var, phi in zip(zip(*[f[c] for c in keys], strict=True), f[value], f["mean"], f["variance"], f["phi"], strict=True):
-                if k != now:
-                    now, s = k, [0.0, 0.0, 0, 0.0, 0.0, 0.0]
-                log_m, prev, n, mu, m2, last = s
-                if x is not None and not math.isnan(x):
-                    scale, c = 3 * math.sqrt(max(var, 0.0)), x - mean
-                    z = max(-1.0, min(1.0, (c - phi * last) / scale)) if scale > 0 else 0.0
-                    bet = mu / m2 if m2 > 0 else 0.0
-                    if abs(bet) > BET_CLIP:
-                        inner = 1 + prev * mu
-                        bet = max(-BET_CLIP, min(BET_CLIP, prev + mu / inner / max(m2, 1e-6))) if abs(inner) >= 1e-9 else 0.0
-                    growth = 1 + bet * z
-                    log_m = max(WEALTH_FLOOR, log_m + math.log(growth)) if growth > 0 else WEALTH_FLOOR
-                    n += 1
-                    s = [log_m, bet, n, mu + (z - mu) / n, m2 + (z * z - m2) / n, c]
-                out.append((s[0], s[1], s[2]))
-            yield f.assign(**dict(zip(("log_m", "bet", "n"), zip(*out, strict=True), strict=True))) if out else f.assign(log_m=0.0, bet=0.0, n=0)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", log_m double, bet double, n long"
-    return df.repartition(*keys).sortWithinPartitions(*keys, by).mapInPandas(walk, schema)
+def betting_walk(df: DataFrame, keys: list[str], value: str = "value", by: str = "tick") -> DataFrame:
+    """Adds log_m, bet and n after each tick to rows with columns mean, variance and phi."""
+    return row_walk(df, keys, [by], [value, "mean", "variance", "phi"], lambda: (0.0, 0.0, 0, 0.0, 0.0, 0.0), _bet, "log_m double, bet double, n long")
 
 
 def betting_verdicts(df: DataFrame, keys: list[str], alpha: float | Column, value: str = "value", by: str = "tick", bake: tuple = (3, 3, 1), least_traffic: float = 0.0, threshold: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.walks import row_walk
 from ..functions.windows import ordered, so_far
 
 
@@ -29,9 +30,14 @@ def track(df: DataFrame, keys: list[str], log_threshold: float, by: str = "tick"
 
 def e_bh(df: DataFrame, keys: list[str], q: float, e: str = "e", idx: str = "idx", log: bool = False) -> DataFrame:
     """Adds rank, k (the number selected) and selected: the largest k with k * e(k) >= n / q, e descending, ties by idx."""
+    return e_bh_of(df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))), keys, q, e, idx, log)
+
+
+def e_bh_of(df: DataFrame, keys: list[str], q: float, e: str, idx: str, log: bool = False) -> DataFrame:
+    """e-BH over rows that know the number of hypotheses, _n."""
     w = Window.partitionBy(*keys).orderBy(F.desc(e), idx)
     whole = Window.partitionBy(*keys)
-    d = df.withColumn("rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole))
+    d = df.withColumn("rank", F.row_number().over(w))
     passes = F.log("rank") + F.col(e) >= F.log(F.col("_n") / q) if log else F.col("rank") * F.col(e) >= F.col("_n") / q
     d = d.withColumn("k", F.coalesce(F.max(F.when(passes, F.col("rank"))).over(whole), F.lit(0)))
     return d.withColumn("selected", F.col("rank") <= F.col("k")).drop("_n")
@@ -67,28 +73,33 @@ def welford(df: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("mean"), F.when(F.count("*") > 1, cov).alias("cov"))
 
 
-def lifecycle_fold(fires: Column, window: int = 150, threshold: int = 4, cooldown: int = 150) -> Column:
-    """Re-record ticks of an array of fired ticks: `threshold` alarms within the window and past the cooldown; a trigger clears the alarms."""
-    kind = "struct<alarms:array<bigint>,until:bigint,records:array<bigint>>"
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(empty.alias("alarms"), F.lit(0).cast("bigint").alias("until"), empty.alias("records")).cast(kind)
+def lifecycle(fires: DataFrame, keys: list[str], window: int = 150, threshold: int = 4, cooldown: int = 150, by: str = "tick") -> DataFrame:
+    """Adds `record` to rows of fired ticks: `threshold` alarms within the window and past the cooldown; a trigger clears the alarms."""
 
-    def step(acc: Column, t: Column) -> Column:
-        kept = F.filter(F.concat(acc["alarms"], F.array(t)), lambda a: a > t - window)
+    def step(state: tuple, t: int) -> tuple:
+        alarms, until = state
+        alarms = [a for a in alarms if a > t - window] + [t]
+        if t >= until and len(alarms) >= threshold:
+            return ([], t + cooldown), (True,)
+        return (alarms, until), (False,)
 
-        def after(_, k: Column) -> Column:
-            go = (t >= acc["until"]) & (F.size(k) >= threshold)
-            return F.when(go, F.struct(empty.alias("alarms"), (t + cooldown).alias("until"), F.concat(acc["records"], F.array(t)).alias("records")).cast(kind)).otherwise(F.struct(k.alias("alarms"), acc["until"].alias("until"), acc["records"].alias("records")).cast(kind))
+    return row_walk(fires, keys, [by], [by], lambda: ([], 0), step, "record boolean")
 
-        return F.aggregate(F.array(kept), acc, after)
 
-    return F.aggregate(fires, start, step)["records"]
+def cooled(fires: DataFrame, keys: list[str], cooldown: int, by: str = "tick") -> DataFrame:
+    """Greedy thinning of fired ticks: one within `cooldown` of the last kept one goes."""
+    step = lambda last, t: (t, (True,)) if last is None or t > last + cooldown else (last, (False,))
+    return row_walk(fires, keys, [by], [by], lambda: None, step, "kept boolean").where("kept").drop("kept")
 
 
-def cooldown_fold(fires: Column, cooldown: int) -> Column:
-    """Greedy thinning of sorted ticks: one within `cooldown` of the last kept one goes."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(fires, empty, lambda acc, t: F.when((F.size(acc) > 0) & (t <= F.element_at(acc, -1) + cooldown), acc).otherwise(F.concat(acc, F.array(t))))
+def e_bh_selected(df: DataFrame, keys: list[str], q: float, e: str = "e", idx: str = "idx") -> DataFrame:
+    """The rows that e-BH selects, with their rank.
+
+    No e-value below 1 / q can be among k with k * e >= n / q and k <= n, so only
+    the others are ranked; the fleet's size is a partial count.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return e_bh_of(df.where(F.col(e) >= 1 / q).join(n, keys), keys, q, e, idx).where("selected").drop("selected", "k")
 
 
 def shard_levels(df: DataFrame, keys: list[str], cal_len: int, value: str = "value") -> DataFrame:

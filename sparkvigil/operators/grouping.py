@@ -2,46 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STATE = "struct<open:bigint,opened:bigint,closed_at:bigint,closed_group:bigint,groups:array<struct<g:bigint,late:boolean>>>"
+from ..functions.walks import row_walk
 
-
-def assign_fold(rows: Column, window_s: int, grace_s: int) -> Column:
-    """For verdicts (ts, terminal) of one key in order: the start of the group each belongs to, and whether it came late.
+def assigned(verdicts: DataFrame, window_s: int = 300, grace_s: int = 60) -> DataFrame:
+    """Verdicts with group_id, the start of its window, and late_arrival. Keys are (cluster_event_id, deploy_ref).
 
     A verdict more than window_s after the group's first closes it and opens the
-    next; only when nothing was open may it join the last closed group, within
-    grace_s of its close.
+    next, a terminal one closes its own; only when nothing is open may a verdict
+    join the last closed group, within grace_s of its close.
     """
-    none = F.lit(None).cast("bigint")
-    start = F.struct(none.alias("open"), none.alias("opened"), none.alias("closed_at"), none.alias("closed_group"), F.array().cast("array<struct<g:bigint,late:boolean>>").alias("groups")).cast(_STATE)
-
-    def step(a: Column, r: Column) -> Column:
-        t = r["ts"]
-        rotates = a["open"].isNotNull() & (t - a["open"] > window_s)
-        idle = a["open"].isNull()
-        late = idle & a["closed_at"].isNotNull() & (t - a["closed_at"] <= grace_s)
-        late = F.coalesce(late, F.lit(False))
-        group = F.when(late, a["closed_group"]).when(idle | rotates, t).otherwise(a["open"])
-        ends = r["terminal"] & ~late
-        return F.struct(
-            F.when(late | ends, none).otherwise(group).alias("open"), none.alias("opened"),
-            F.when(ends, t).when(rotates, t).otherwise(a["closed_at"]).alias("closed_at"), F.when(ends, group).when(rotates, a["open"]).otherwise(a["closed_group"]).alias("closed_group"),
-            F.concat(a["groups"], F.array(F.struct(group.alias("g"), late.alias("late")))).alias("groups"),
-        ).cast(_STATE)
 
-    return F.aggregate(rows, start, step)["groups"]
+    def step(state: tuple, t: int, terminal: bool) -> tuple:
+        first, closed_at, closed = state  # of the open group, and of the one closed last
+        if first is None and closed_at is not None and t - closed_at <= grace_s:
+            return state, (closed, True)
+        if first is not None and t - first > window_s:
+            first, closed_at, closed = None, t, first
+        group = t if first is None else first
+        return (None, t, group) if terminal else (group, closed_at, closed), (group, False)
 
-
-def assigned(verdicts: DataFrame, window_s: int = 300, grace_s: int = 60) -> DataFrame:
-    """Verdicts with group_id and late_arrival. Keys are (cluster_event_id, deploy_ref); a key's verdicts are one array."""
     keys = ["event_key", "deploy_ref"]
-    v = verdicts.withColumn("event_key", F.coalesce("cluster_event_id", F.lit("")))
-    g = v.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "tick", "terminal", "families", "alpha"))).alias("rows"))
-    g = g.withColumn("to", assign_fold(F.col("rows"), window_s, grace_s))
-    flat = g.select(*keys, F.explode(F.arrays_zip("rows", "to")).alias("z")).select(*keys, "z.rows.*", F.col("z.to.g").alias("window_start_ts"), F.col("z.to.late").alias("late_arrival"))
+    v = verdicts.withColumn("event_key", F.coalesce("cluster_event_id", F.lit(""))).select(*keys, "ts", "seq", "tick", "terminal", "families", "alpha")
+    flat = row_walk(v, keys, ["ts", "seq"], ["ts", "terminal"], lambda: (None, None, None), step, "window_start_ts long, late_arrival boolean")
     parts = F.when(F.col("event_key") != "", F.concat_ws("-", F.lit("group"), "event_key", "deploy_ref", "window_start_ts")).otherwise(F.concat_ws("-", F.lit("group"), "deploy_ref", "window_start_ts"))
     return flat.withColumn("group_id", parts)
 
@@ -70,6 +55,8 @@ def frozen_intervals(events: DataFrame, hold_s: int = 300) -> DataFrame:
 
 
 def unfrozen(samples: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Samples outside every frozen interval of their shard."""
-    i = intervals.withColumnRenamed("shard", "_s")
-    return samples.join(i, (F.col("shard") == F.col("_s")) & F.col("ts").between(F.col("since"), F.col("until")), "left_anti")
+    """Samples outside every frozen interval of their shard: by the latest end of the intervals that began, so samples and intervals are merged, not joined."""
+    both = samples.withColumns({"_k": F.lit(1), "_until": F.lit(None).cast("bigint")}).unionByName(intervals.select("shard", F.col("since").alias("ts"), F.lit(0).alias("_k"), F.col("until").cast("bigint").alias("_until")), allowMissingColumns=True)
+    w = Window.partitionBy("shard").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    marked = both.withColumn("_end", F.max("_until").over(w)).where("_k = 1")
+    return marked.where("_end is null or ts > _end").select(*samples.columns)

@@ -50,6 +50,12 @@ def e_bh(spark, sf):
     return fl.e_bh(_ev(spark, sf), ["fleet"], 0.3).select("fleet", "idx", "rank", "k", "selected")
 
 
+@query(f"""WITH {_EV}, k AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY e DESC, idx) AS rank, count(*) OVER (PARTITION BY fleet) AS n FROM ev),
+z AS (SELECT *, coalesce(max(CASE WHEN rank * e >= n / 0.3::DOUBLE THEN rank END) OVER (PARTITION BY fleet), 0) AS k FROM k) SELECT fleet, idx, rank FROM z WHERE rank <= k""")
+def e_bh_selected(spark, sf):
+    return fl.e_bh_selected(_ev(spark, sf), ["fleet"], 0.3).select("fleet", "idx", "rank")
+
+
 @query(f"""WITH {_EV}, k AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY ln(e) DESC, idx) AS rank, count(*) OVER (PARTITION BY fleet) AS n FROM ev),
 z AS (SELECT *, coalesce(max(CASE WHEN ln(rank) + ln(e) >= ln(n / 0.2::DOUBLE) THEN rank END) OVER (PARTITION BY fleet), 0) AS k FROM k) SELECT fleet, idx, rank, k, rank <= k AS selected FROM z""")
 def e_bh_log(spark, sf):
@@ -88,15 +94,14 @@ _FIRES = f"""{SERIES}, fi AS (SELECT series, tick, row_number() OVER (PARTITION
 
 
 def _fires(spark, sf):
-    f = series(spark, sf).where("value > 120")
-    return f.groupBy("series").agg(F.array_sort(F.collect_list("tick")).alias("fires"))
+    return series(spark, sf).where("value > 120").select("series", "tick")
 
 
 @query(f"""WITH RECURSIVE {_FIRES}, f(series, i, last, kept) AS (SELECT series, 0::BIGINT, -1000::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT series FROM fi)
 UNION ALL SELECT f.series, fi.i, CASE WHEN fi.tick <= f.last + 5 THEN f.last ELSE fi.tick END, CASE WHEN fi.tick <= f.last + 5 THEN f.kept ELSE list_append(f.kept, fi.tick) END FROM f JOIN fi ON fi.series = f.series AND fi.i = f.i + 1)
 SELECT series, unnest(kept) AS tick FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY i DESC) AS rn FROM f) WHERE rn = 1""")
 def nb_fire_cooldown(spark, sf):
-    return _fires(spark, sf).select("series", F.explode(fl.cooldown_fold(F.col("fires"), 5)).alias("tick"))
+    return fl.cooled(_fires(spark, sf), ["series"], 5)
 
 
 @query(f"""WITH RECURSIVE {_FIRES}, f(series, i, alarms, till, rec) AS (SELECT series, 0::BIGINT, []::BIGINT[], 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT series FROM fi)
@@ -104,7 +109,7 @@ UNION ALL SELECT series, i, CASE WHEN go THEN []::BIGINT[] ELSE al END, CASE WHE
  SELECT *, tick >= till AND len(al) >= 3 AS go FROM (SELECT f.series, fi.i, fi.tick, f.till, f.rec, list_filter(list_append(f.alarms, fi.tick), lambda a: a > fi.tick - 10) AS al FROM f JOIN fi ON fi.series = f.series AND fi.i = f.i + 1)))
 SELECT series, unnest(rec) AS tick FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY i DESC) AS rn FROM f) WHERE rn = 1""")
 def ps_baseline_lifecycle(spark, sf):
-    return _fires(spark, sf).select("series", F.explode(fl.lifecycle_fold(F.col("fires"), 10, 3, 12)).alias("tick"))
+    return fl.lifecycle(_fires(spark, sf), ["series"], 10, 3, 12).where("record").select("series", "tick")
 
 
 @query(f"WITH {SERIES} SELECT series, round(median(x), 6) AS level FROM s WHERE tick < 20 GROUP BY series")
