@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .kernels import WS, Words, add_per_row, mapper, mix, shingles, slices, span_hash, trimmed
 from .store import documents, written
 
+POOL = "\0"  # the strata beyond `max_strata`; no language has this name
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -119,20 +120,34 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text"), F.coalesce("lang", F.lit("")).alias("stratum")).mapInArrow(mapper(_measure, _FEATURES), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, stratum string")
 
 
+def beta_cdf(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 100_000):
+        for part in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + part * d or 1e-300)
+            c = 1 + part / c or 1e-300
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * f
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the p at which at most k of n has probability delta."""
     if k >= n:
         return 1.0
     lo, hi = k / n, 1.0
-
-    def tail(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 400), k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
-    for _ in range(50):
+    for _ in range(60):
         mid = (lo + hi) / 2
-        if mid <= 0 or tail(mid) > delta:
+        # P(X <= k) = I(1 - p; n - k, k + 1)
+        if mid <= 0 or beta_cdf(n - k, k + 1, 1 - mid) > delta:
             lo = mid
         else:
             hi = mid
@@ -170,7 +185,7 @@ def thresholds(found: DataFrame, labels: DataFrame, max_false_rejection: float =
     rows = found.join(lab, "doc_id").where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words")
     own = [r[0] for r in rows.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
     step = lambda e: F.expr(f"least(1001, {GRID[-1]} + 15 * cast(ceil(({e} - {GRID[-1]}) / 15.0) as int))")
-    tall = rows.select(F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise("*").alias("stratum"), "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(e).alias("v")) for r, e in RULES.items()])).alias("x")) if own else None
+    tall = rows.select(F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(POOL).alias("stratum"), "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(e).alias("v")) for r, e in RULES.items()])).alias("x")) if own else None
     counts: dict = {}
     if tall is not None:
         for s, r, v, g, b in tall.groupBy("stratum", "x.rule", "x.v").agg(F.sum(F.col("quality")), F.sum(1 - F.col("quality"))).collect():
@@ -183,7 +198,7 @@ def judged(found: DataFrame, cutoffs: dict, own: set[str]) -> DataFrame:
     """Adds base_failed and kept; the cutoffs are a bounded literal expression."""
     base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     bad = F.lit(False)
-    at = F.when(F.col("stratum").isin(sorted(own)), F.col("stratum")).otherwise("*") if own else F.lit("*")
+    at = F.when(F.col("stratum").isin(sorted(own)), F.col("stratum")).otherwise(POOL) if own else F.lit(POOL)
     for rule, e in RULES.items():
         mine = {s: c for (s, r), c in cutoffs.items() if r == rule}
         if mine:
@@ -208,7 +223,7 @@ def _passing(cutoffs: dict, own: set[str]):
                 "upper": 1000 * m["n_upper"] / np.maximum(m["n_letters"], 1), "few_kinds": 1000 - 1000 * m["n_distinct"] / n, "long_words": 50 * m["word_chars"] / n,
             }
             keep = (m["n_words"] >= 20) & (100 * m["n_repeat_words"] <= 30 * m["n_words"])
-            langs = [(x if x in own else "*") for x in ((v or "") for v in batch.column(batch.schema.get_field_index("lang")).to_pylist())]
+            langs = [(x if x in own else POOL) for x in ((v or "") for v in batch.column(batch.schema.get_field_index("lang")).to_pylist())]
             for rule, v in value.items():
                 keep &= v <= np.array([cutoffs.get((s, rule), np.inf) for s in langs])
             yield batch.filter(pa.array(keep))

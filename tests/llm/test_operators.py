@@ -79,6 +79,10 @@ def test_binomial_bound():
     for k, n, delta in ((0, 50, 0.01), (3, 200, 0.001), (40, 300, 0.05)):
         p = quality_rules.binomial_upper(k, n, delta)
         assert abs(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - delta) < 1e-6
+    for k, n, delta in ((900, 3000, 0.001), (20_000, 1_000_000, 1e-4)):  # all terms, none left out
+        p = quality_rules.binomial_upper(k, n, delta)
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+        assert abs(math.fsum(map(math.exp, logs)) / delta - 1) < 1e-6
     assert quality_rules.binomial_upper(5, 5, 0.1) == 1.0
 
 
@@ -600,6 +604,15 @@ def test_revisits_against_sql(spark, sf_dir):
     assert Counter(tuple(r) for r in df.collect()) == want
 
 
+def test_revisits_of_odd_times(spark):
+    kind = "record_id long, url string, ts long, type string, headers map<string,string>"
+    rows = [(i, "http://h/", i, "response" if i % 2 else "revisit", {"etag": '"x"'}) for i in range(1, 200)] + [(1000, "http://h/", 1 << 40, "revisit", {"etag": '"x"'})]
+    rows += [(2000 + i, "http://h/", None, ("revisit", "response")[i % 2], None) for i in range(50)]
+    out = {r.record_id: (r.target_id, r.verdict) for r in warc_revisits.resolve_revisits(spark.createDataFrame(rows, kind), slots=16).collect()}
+    assert out[1000] == (199, "resolved") and all(out[i] == ((i - 1, "resolved") if i > 2 else (1, "resolved")) for i in range(2, 200, 2))
+    assert all(out[2000 + i] == (None, "orphan") for i in range(0, 50, 2)) and len(out) == 99 + 1 + 25
+
+
 def test_revisit_verdicts(spark):
     u = "HTTP://www.Example.com:80/a/?b=2&utm_source=x&a=1#f"
     rows = [
