@@ -10,8 +10,9 @@ anchors at equal places. A document's windows fall into runs with one anchor.
    and of anchors whose runs differ, one run of each kind is asked for.
 2. The bytes asked for are cut from the texts and dealt into shards by anchor
    hash, so equal windows meet in one shard. A shard's suffixes are sorted by
-   induced sorting (induced_sort), and of each class of suffixes that agree in
-   `length` bytes all windows but the earliest are covered.
+   induced sorting, which carries their common prefixes along (induced_sort),
+   and of each class of suffixes that share `length` bytes all windows but the
+   earliest are covered.
 3. A document's covered windows are joined with its text.
 
 Shuffled are 26 bytes for each run (about `length` / 3 bytes of text), the bytes
@@ -39,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .induced_sort import repeats
+from .induced_sort import FULL, repeats
 from .kernels import mix, packed, prefix_hash, slices, span_hash, trimmed
 from .store import documents, written
 
@@ -312,7 +313,9 @@ def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
 
 
 def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int = 8 << 20) -> DataFrame:
-    """(doc_id, first, more): windows first .. first + more of a document also start earlier; doc_ids are distinct."""
+    """(doc_id, first, more): windows first .. first + more of a document also start earlier; doc_ids are distinct, 33 to 254 bytes are a window."""
+    if not GRAM < length < FULL:
+        raise ValueError(f"length is {length}, not in {GRAM + 1} .. {FULL - 1}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")

@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkvigil.llm import decontaminate, language_id, main_text, near_dedup, pieces, pitman_yor, quality_rules, record_files, suffix_dedup, warc_revisits
 from sparkvigil.llm.components import components
 from sparkvigil.llm.crc32c import crc32c, masked
-from sparkvigil.llm.induced_sort import repeats, suffix_array
+from sparkvigil.llm.induced_sort import repeats, suffix_array, suffixes
 from sparkvigil.llm.kernels import Words
 from sparkvigil.llm.store import documents
 
@@ -202,6 +203,9 @@ def test_suffix_array():
         order = suffix_array(t, d, limit=int(rng.choice([5, 1000]))).tolist()  # the small limit spills
         keys = [b[i : i + d] for i in order]
         assert sorted(order) == list(range(len(t))) and keys == sorted(keys)
+        order, shared = suffixes(t, d, int(rng.choice([3, 1000])))
+        ends = [b[i:] for i in order.tolist()]
+        assert shared.tolist() == [0, *(min(d, len(os.path.commonprefix([x, y]))) for x, y in itertools.pairwise(ends))][: len(t)]
         order, group = repeats(t, d)
         seen = {}
         for i, g in zip(order.tolist(), group.tolist(), strict=True):
