@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,11 +103,20 @@ def null_phi(null_id: Column) -> Column:
     return null_parameters(null_id)["phi"]
 
 
-def injected(df: DataFrame, kind: str, sigma: Column, at: int, size: float = 3.0, period: int = 10, value: str = "value") -> Column:
-    """A fault in a series from tick `at`: step, drift, oscillation or point."""
+def injected(df: DataFrame, kind: str, sigma: Column, at: int, size: float = 3.0, period: int = 10, value: str = "value", seed: int = 0) -> Column:
+    """A fault in a series from tick `at`: step, unison (the same step in every series), drift, oscillation, point, or shape.
+
+    A shape change replaces values by sigma times a mixture of two normal laws
+    `size` apart, of mean 0 and variance 1 (size up to 2).
+    """
     t = F.col("tick") - at
     on = t >= 0
-    extra = {"step": sigma * size, "drift": sigma * size * t / 100.0, "oscillation": sigma * size * F.sin(2 * 3.141592653589793 * t / period), "point": F.when(t == 0, sigma * size).otherwise(0.0)}[kind]
+    if kind == "shape":
+        spread = math.sqrt(max(0.0, 1 - size * size / 4))
+        mixed = F.when(F.rand(seed) < 0.5, size / 2).otherwise(-size / 2) + spread * F.randn(seed + 1)
+        return F.when(on, sigma * mixed).otherwise(F.col(value))
+    step = sigma * size
+    extra = {"step": step, "unison": step, "drift": step * t / 100.0, "oscillation": step * F.sin(2 * math.pi * t / period), "point": F.when(t == 0, step).otherwise(0.0)}[kind]
     return F.col(value) + F.when(on, extra).otherwise(0.0)
 
 

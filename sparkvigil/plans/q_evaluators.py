@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as dt
 from ..operators import evaluators as ea
+from ..operators import scoring as sc
 from ..operators.ingest import gate
 from .q_detectors import QUERIES as _Q
 from .q_detectors import SQL as _S
@@ -79,4 +80,33 @@ def telemetry_problems(spark, sf):
     return ea.telemetry_problems(s.select((F.col("series") % 4).cast("string").alias("factor"), "tick", F.col("x").alias("value")), 50)
 
 
+@query("""WITH i AS (SELECT o_orderkey AS k, o_custkey % 40 AS card, o_orderkey % 11 AS run FROM orders),
+c AS (SELECT *, CASE WHEN k % 101 = 0 THEN 'VOID' WHEN k % 13 = 0 THEN 'NON_FINITE' WHEN k % 17 = 0 THEN 'VACUOUS' ELSE 'OK' END AS guard, CASE k % 5 WHEN 0 THEN 'CLEARED' WHEN 1 THEN 'not-refuted' WHEN 2 THEN CASE WHEN card % 3 = 0 THEN 'FAIL' ELSE 'CLEARED' END WHEN 3 THEN 'other' END AS raw,
+  CASE WHEN card % 4 = 1 THEN 'terminal_e_value' ELSE 'test_martingale' END AS cls, CASE WHEN k % 7 = 0 THEN 3.0 ELSE 0.5 END AS mean, CASE WHEN k % 3 = 0 THEN 'out' WHEN k % 19 = 0 THEN 'refused' ELSE 'in' END AS regime FROM i),
+v AS (SELECT *, bool_or(guard = 'VOID') OVER (PARTITION BY card, run) AS voided FROM c),
+o AS (SELECT *, CASE WHEN voided OR guard = 'NON_FINITE' THEN 'excluded' WHEN guard = 'VACUOUS' OR regime = 'refused' OR raw IS NULL OR raw = 'other' THEN 'missing' WHEN raw = 'FAIL' THEN 'REFUTED' WHEN cls = 'terminal_e_value' AND mean > 1 THEN 'REFUTED' ELSE 'CLEARED' END AS outcome FROM v)
+SELECT card, CASE WHEN count(*) FILTER (regime = 'in') > 0 AND count(*) FILTER (regime = 'in') = count(*) FILTER (regime = 'in' AND voided) THEN 'VOID' WHEN count(*) FILTER (regime = 'in' AND outcome = 'REFUTED') > 0 THEN 'REFUTED'
+  WHEN count(*) FILTER (regime = 'in' AND outcome IN ('CLEARED', 'REFUTED')) = 0 THEN 'MISSING' ELSE 'PASS' END AS status, count(*) FILTER (outcome = 'excluded') AS n_excluded, count(*) FILTER (outcome = 'missing') AS n_missing FROM o GROUP BY card""")
+def ct_validity(spark, sf):
+    k, card = F.col("o_orderkey"), F.col("o_custkey") % 40
+    cells = table(spark, sf, "orders").select(
+        card.alias("card"), (k % 11).alias("run"), F.when(card % 4 == 1, "terminal_e_value").otherwise("test_martingale").alias("cls"), F.when(k % 101 == 0, "VOID").when(k % 13 == 0, "NON_FINITE").when(k % 17 == 0, "VACUOUS").otherwise("OK").alias("guard"),
+        F.when(k % 5 == 0, "CLEARED").when(k % 5 == 1, "not-refuted").when((k % 5 == 2) & (card % 3 == 0), "FAIL").when(k % 5 == 2, "CLEARED").when(k % 5 == 3, "other").alias("raw"), F.lit(True).alias("foreign"), F.when(k % 7 == 0, 3.0).otherwise(0.5).alias("mean"),
+        F.lit(0.0).alias("lower"), F.lit(0.0).alias("increment_mean"), F.lit(0.0).alias("crossing_rate"), F.when(k % 3 == 0, "out").when(k % 19 == 0, "refused").otherwise("in").alias("regime"),
+    )
+    each, cards = sc.validity(cells)
+    n = each.groupBy("card").agg(F.count(F.when(F.col("outcome") == "excluded", 1)).alias("n_excluded"), F.count(F.when(F.col("outcome") == "missing", 1)).alias("n_missing"))
+    return cards.join(n, "card").select("card", "status", "n_excluded", "n_missing")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'T3' WHEN 1 THEN 'T1' WHEN 2 THEN 'T2' ELSE 'T1' END AS tier, CASE o_orderkey % 3 WHEN 0 THEN 'out' WHEN 1 THEN 'refused' ELSE 'in' END AS regime FROM orders""")
+def ct_tier_and_regime(spark, sf):
+    k = F.col("o_orderkey")
+    study = F.when(k % 4 == 0, "gpu-real.v2").when(k % 4 == 1, "realignment").when(k % 4 == 2, "ClusterSynth-3")
+    null_id = F.when(k % 3 == 0, "N4-p06").when(k % 3 == 1, "N4").otherwise("N3-p06")
+    estimated = sc.phi_is_estimated(F.lit(None).cast("string"), F.lit("estimated"), null_id)
+    where = sc.regime(sc.effective_phi(F.lit(None).cast("double"), null_id), estimated, F.lit(50), F.lit(0.8), F.lit(True), F.lit(20))
+    return table(spark, sf, "orders").select("o_orderkey", sc.study_tier(study).alias("tier"), where["status"].alias("regime"))
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -16,13 +16,15 @@ def split_top_level(text: Column) -> Column:
 
 
 def expand_hostlist(spec: Column) -> Column:
-    """Hosts of a list such as n[01-03,7],m1: ranges keep the width of their start."""
+    """Hosts of a list such as n[01-03,7],m1: ranges keep the width of their start; a reversed or malformed range is an error."""
 
     def one(part: Column) -> Column:
         head, body, tail = (F.regexp_extract(part, r"^([^\[]*)\[([^\]]*)\](.*)$", i) for i in (1, 2, 3))
 
         def numbers(r: Column) -> Column:
             lo, hi = F.regexp_extract(r, r"^(\d+)", 1), F.regexp_extract(r, r"(\d+)$", 1)
+            fine = r.rlike(r"^\d+(-\d+)?$") & (lo.cast("bigint") <= hi.cast("bigint"))
+            lo = F.when(fine, lo).otherwise(F.raise_error(F.concat(F.lit("bad host range: "), r)).cast("string"))
             return F.transform(F.sequence(lo.cast("bigint"), hi.cast("bigint")), lambda i: F.concat(head, F.when(F.length(i.cast("string")) < F.length(lo), F.lpad(i.cast("string"), F.length(lo), F.lit("0"))).otherwise(i.cast("string")), tail))
 
         return F.when(part.contains("["), F.flatten(F.transform(F.split(body, ","), numbers))).otherwise(F.array(part))
@@ -31,12 +33,14 @@ def expand_hostlist(spec: Column) -> Column:
 
 
 def switch_topology(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of lines `SwitchName=s Switches=.. Nodes=..`: switches are racks, leaves shards. A line without a name or members, or a repeated switch, is an error."""
+    """Nodes and edges of lines `SwitchName=s Switches=.. Nodes=..`: switches are racks, leaves shards. An unknown clause, a line without a name or members, or a repeated switch is an error."""
     t = lines.where(r"trim(value) <> '' and trim(value) not like '#%'").select(F.trim("value").alias("value"))
     part = lambda k: F.regexp_extract("value", rf"(?i)(?:^|\s){k}=(\S+)", 1)
     r = t.select(part("SwitchName").alias("name"), part("Switches").alias("switches"), part("Nodes").alias("members"), "value")
     n = F.count("*").over(Window.partitionBy("name"))
-    bad = (F.col("name") == "") | ((F.col("switches") == "") & (F.col("members") == "")) | (n > 1)
+    # a clause is Key=value of a known key
+    unknown = F.exists(F.split("value", r"\s+"), lambda c: ~c.rlike(r"(?i)^(SwitchName|Switches|Nodes|LinkSpeed)=\S+$"))
+    bad = unknown | (F.col("name") == "") | ((F.col("switches") == "") & (F.col("members") == "")) | (n > 1)
     r = r.withColumn("name", F.when(bad, F.raise_error(F.concat(F.lit("bad topology line: "), "value"))).otherwise(F.col("name")))
     expand = lambda c: F.when(F.col(c) != "", expand_hostlist(F.col(c))).otherwise(F.array().cast("array<string>"))
     down = r.select(F.col("name").alias("src"), F.explode(F.concat(F.transform(expand("switches"), lambda x: F.struct(x.alias("dst"), F.lit("rack").alias("kind"))), F.transform(expand("members"), lambda x: F.struct(x.alias("dst"), F.lit("gpu_shard").alias("kind"))))).alias("m")).select("src", "m.*")
@@ -74,6 +78,15 @@ def chip_links(body: DataFrame) -> DataFrame:
     return d.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
+def torus_config(body: DataFrame) -> DataFrame:
+    """Shape of a mesh given as JSON {version, topology: {x, y, z}} (or "4x4x4"); an unknown version or a shape that is not positive is an error."""
+    j = body.select(F.get_json_object("value", "$.version").alias("version"), F.get_json_object("value", "$.topology").alias("t"))
+    dims = F.when(F.col("t").rlike(r"^\d+x\d+x\d+$"), F.split("t", "x")).otherwise(F.array(*[F.get_json_object("t", f"$.{c}") for c in "xyz"]))
+    d = F.transform(dims, lambda x: x.try_cast("int"))
+    fine = (F.col("version") == "v1") & F.forall(d, lambda x: F.coalesce(x > 0, F.lit(False)))
+    return j.select(F.when(fine, d).otherwise(F.raise_error(F.concat(F.lit("bad mesh: "), F.coalesce("t", F.lit("none")))).cast("array<int>")).alias("shape"))
+
+
 def torus_links(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
     """Links of a three-dimensional chip mesh; a dimension wraps round from four chips on."""
     x, y, z = shape
@@ -118,6 +131,18 @@ def labelled_windows(body: DataFrame) -> DataFrame:
     return m.select("dataset", F.explode_outer("windows").alias("w")).select("dataset", F.col("w")[0].alias("start_ts"), F.col("w")[1].alias("end_ts")).where("start_ts is not null")
 
 
+def benchmark_files(spark: SparkSession, root: str) -> DataFrame:
+    """(benchmark, dataset, path) of the CSV files below root, one folder a benchmark; a root that is not there is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(root).select("path")
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("benchmark"), F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)).alias("dataset"), "path")
+
+
+def series_ends(df: DataFrame) -> DataFrame:
+    """First and last timestamp and number of rows of each dataset of csv_series."""
+    return df.groupBy("dataset").agg(F.min_by("timestamp", "row").alias("first_timestamp"), F.max_by("timestamp", "row").alias("last_timestamp"), F.count("*").alias("n"))
+
+
 def csv_series(spark: SparkSession, glob: str) -> DataFrame:
     """dataset (file path), row, timestamp, value of CSV files with a header; a value that is no finite number is an error that names its row."""
     raw = spark.read.option("header", True).csv(glob).select(F.col("_metadata.file_path").alias("dataset"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "timestamp", "value")

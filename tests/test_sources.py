@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkvigil.operators import topology
 from sparkvigil.sources import parsers as ps
@@ -71,3 +72,31 @@ def test_snapshot_hash(spark):
     n = spark.createDataFrame([("a", "rack"), ("b", "gpu_shard")], "id string, kind string")
     e = spark.createDataFrame([("a", "b", "contains")], "src string, dst string, relationship string")
     assert topology.snapshot_hash(n, e).first()[0] == topology.snapshot_hash(n.orderBy("kind"), e).first()[0]
+
+
+def test_parsers_refuse_what_is_malformed(spark, tmp_path):
+    from sparkvigil.operators import evaluators as ea
+
+    line = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    for bad in ("n[3-1]", "n[a-b]", "n[1-2-3]"):
+        with pytest.raises(Exception, match="bad host range"):
+            line(bad).select(ps.expand_hostlist(F.col("value"))).collect()
+    with pytest.raises(Exception, match="bad topology line"):
+        ps.switch_topology(line("SwitchName=s Nodes=a Colour=red"))[0].collect()
+    assert ps.torus_config(line('{"version": "v1", "topology": {"x": 2, "y": 3, "z": 4}}')).first().shape == [2, 3, 4]
+    with pytest.raises(Exception, match="bad mesh"):
+        ps.torus_config(line('{"version": "v2", "topology": "2x2x2"}')).collect()
+    (tmp_path / "bench").mkdir()
+    (tmp_path / "bench" / "a.csv").write_text("timestamp,value\n2020-01-01,1\n2020-01-02,2\n")
+    assert ps.benchmark_files(spark, str(tmp_path)).first().dataset == "bench/a.csv"
+    ends = ps.series_ends(ps.csv_series(spark, str(tmp_path / "bench"))).first()
+    assert (ends.first_timestamp, ends.last_timestamp, ends.n) == ("2020-01-01", "2020-01-02", 2)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        ps.benchmark_files(spark, str(tmp_path / "none")).collect()
+    good = '{"version": "phase-e-slice10-v1", "source": "s", "generated_at": "t", "baseline": {"mean": 2.0, "sigma_squared": 4.0}, "ar1": {"phi": 0.5, "sigma_squared_innovation": 1.0}, "seasonal": {"period": 2, "seasonal_means": [1, 2], "ar1_phi_deseasoned": 0.25, "sigma_squared_innovation_deseasoned": 0.0}}'
+    (tmp_path / "s.json").write_text(good)
+    p = ea.substrate_parameters(ea.substrate(spark, str(tmp_path / "s.json"))).first()
+    assert (p.mean, p.variance, p.tau_squared, p.delta_min, p.phi, p.min_peak_lag, p.null_quantile) == (2.0, 1.0, 0.5, 1.5, 0.25, 3, 0.9)
+    (tmp_path / "t.json").write_text(good.replace("slice10", "slice9"))
+    with pytest.raises(Exception, match="not a substrate"):
+        ea.substrate(spark, str(tmp_path / "t.json")).collect()
