@@ -69,14 +69,31 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def trimmed(batches: Iterator) -> Iterator:
-    """The same batches; at their end the idle worker gives freed memory back to the system."""
-    yield from batches
+#: What operators keep in a worker from task to task, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    """A dictionary that lives as long as the worker runs tasks of its owner: a task of another operator empties it."""
+    return _kept.setdefault(owner, {})
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Iterator, owner: str = "") -> Iterator:
+    """The same batches; before them the worker drops what other operators kept, at their end it gives freed memory back to the system."""
+    if stale := [d for name, d in _kept.items() if name != owner and d]:
+        for d in stale:
+            d.clear()
+        _trim()
+    yield from batches
+    _trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of the batches in pieces of about `limit` bytes of text."""
     for batch in batches:

@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .crc32c import crc32c, masked
-from .kernels import slices, trimmed
+from .kernels import kept_in_worker, slices, trimmed
 from .segments import Encoder
 from .store import documents, shared_folder, written
 
 NULL_ID = -(1 << 63)
 _MANIFEST = "data string, width long, first_doc long, n_records long, n_tokens long"
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept_in_worker("record_files")
 
 
 def tokenizer_path(name: str) -> str:
@@ -135,7 +135,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         width = 2 if encoder.vocabulary <= 1 << 16 else 4
         out, name = None, f"{folder}/{uuid.uuid4().hex}"
         first = n_records = n_tokens = place = 0
-        for batch, data, off in trimmed(slices(batches)):
+        for batch, data, off in trimmed(slices(batches), "record_files"):
             if out is None:
                 system, path = fs.FileSystem.from_uri(name)
                 system.create_dir(os.path.dirname(path), recursive=True)
