@@ -180,6 +180,16 @@ def reversible_action(verdict: Column, reversibility: Column) -> Column:
     return F.when(verdict == "rollback", back).when(verdict.isin("proceed", "extend", "baking"), verdict).otherwise("suppressed")
 
 
+def stream_key(cell: Column, draw: Column, trajectory: Column) -> Column:
+    """Key of an independent random stream: cell below 2^8, draw below 2^12 and trajectory below 2^20 side by side; others are an error."""
+
+    def below(c: Column, bits: int, name: str) -> Column:
+        fine = (c >= 0) & (c < 1 << bits)
+        return F.when(fine, c.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"{name} out of range: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("bigint"))
+
+    return F.shiftleft(below(cell, 8, "cell"), 40) + F.shiftleft(below(draw, 12, "draw"), 20) + below(trajectory, 20, "trajectory")
+
+
 def fnv1a_hex(text: Column) -> Column:
     """FNV-1a of 32 bits over the characters, as eight hex digits."""
     step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("bigint"))) * 16777619).bitwiseAND(F.lit(4294967295))

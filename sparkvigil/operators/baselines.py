@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import hac_inflation
 from ..functions.windows import lagged, ordered
 
 
@@ -230,3 +231,18 @@ def tiered_cells(cells: DataFrame, whole: DataFrame, min_strict: int, min_pooled
     kind = F.when(F.col("n") >= min_strict, "strict").when(~few, "pooled").otherwise("aggregate")
     keep = [c for c in cells.columns if c not in ("n", "mean", "cov")]
     return j.select(*keep, F.when(few, F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(few, F.col("_mean")).otherwise(F.col("mean")).alias("mean"), F.when(few, F.col("_cov")).otherwise(F.col("cov")).alias("cov"), kind.alias("confidence"))
+
+
+def variance_ladder(iid: Column, phi: Column, ar_p: Column, period: Column, deseasoned: Column, deseasoned_phi: Column, use_ar_p: Column, use_seasonal: Column, use_prewhitening: Column, use_hac: Column) -> Column:
+    """STRUCT<variance, rung> of a series: the first rung that is asked for and fits, of autoregression, season, prewhitening, inflation for autocorrelation, and independence.
+
+    Prewhitening and inflation exclude each other: both is an error.
+    """
+    innovation = lambda v, f: F.greatest(v * (1 - F.least(f * f, F.lit(0.9999))), F.lit(1e-12))
+    both = use_prewhitening & use_hac
+    iid = F.when(both, F.raise_error(F.lit("prewhitening and inflation exclude each other")).cast("double")).otherwise(iid)
+    rung = lambda v, name: F.struct(v.alias("variance"), F.lit(name).alias("rung"))
+    return (
+        F.when(~both & use_ar_p & (F.coalesce(ar_p, F.lit(0.0)) > 1e-12), rung(ar_p, "ar_p")).when(~both & use_seasonal & (F.coalesce(period, F.lit(0)) > 0), rung(innovation(deseasoned, deseasoned_phi), "seasonal"))
+        .when(~both & use_prewhitening, rung(innovation(iid, phi), "prewhitened")).when(~both & use_hac, rung(iid * hac_inflation(phi), "inflated")).otherwise(rung(iid, "independent"))
+    )

@@ -238,6 +238,12 @@ def energy_wealth(live: DataFrame, cal: DataFrame, keys: list[str], kappa: float
     return out.withColumn("crossed", sticky(F.col("log_m") >= -math.log(alpha), ordered(keys, "block")))
 
 
+def growth_screen(df: DataFrame, keys: list[str], kappa: float = 0.1, p: str = "p") -> DataFrame:
+    """Mean logarithm of the e-values that p-values of null draws give, ln kappa + (1 - kappa) * mean(-ln p), and whether it is positive: such evidence grows under the null."""
+    g = df.groupBy(*keys).agg(F.count("*").alias("draws"), F.avg(-F.log(p)).alias("mean_neg_log_p"))
+    return g.withColumn("growth", math.log(kappa) + (1 - kappa) * F.col("mean_neg_log_p")).withColumn("positive", F.col("growth") > 0)
+
+
 def hotelling(df: DataFrame, dims: list[str], cov: dict[tuple[int, int], Column], ridge: float | Column = 0.0) -> Column:
     """r' S^-1 r of up to three dimensions by Cholesky's factors, unrolled; null if S is not positive definite."""
     p = len(dims)

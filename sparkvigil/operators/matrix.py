@@ -339,6 +339,11 @@ def features(x: np.ndarray, fm: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.sqrt(2 / len(fm[1])) * np.cos(x @ fm[0].T + fm[1])
 
 
+def feature_mean(cov: np.ndarray, fm: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Mean of the features under a normal law around zero: E cos(z + b) = exp(-v / 2) cos b for z of variance v."""
+    return np.sqrt(2 / len(fm[1])) * np.exp(-0.5 * np.einsum("ij,jk,ik->i", fm[0], cov, fm[0])) * np.cos(fm[1])
+
+
 def gram(a: np.ndarray, b: np.ndarray, width: float) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.exp(-np.maximum(d, 0) / (2 * width * width))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+from ..operators import baselines as bl
 from ..operators import detectors as dt
 from ..operators import evaluators as ea
 from ..operators import scoring as sc
@@ -11,7 +13,7 @@ from ..operators.ingest import gate
 from .q_detectors import QUERIES as _Q
 from .q_detectors import SQL as _S
 from .registry import registry, rounded
-from .views import SERIES, VECTORS, calibrated, series, table, vectors
+from .views import CALIBRATED, SERIES, VECTORS, calibrated, series, table, vectors
 
 QUERIES, SQL, query = registry()
 
@@ -109,4 +111,24 @@ def ct_tier_and_regime(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", sc.study_tier(study).alias("tier"), where["status"].alias("regime"))
 
 
+@query(f"""WITH {CALIBRATED}, m AS (SELECT series, variance AS v, phi, series % 5 AS f FROM cal) SELECT series, CASE WHEN f = 0 AND series % 3 = 0 THEN 'ar_p' WHEN f = 1 AND series % 2 = 0 THEN 'seasonal' WHEN f = 2 THEN 'prewhitened' WHEN f = 3 THEN 'inflated' ELSE 'independent' END AS rung,
+round(CASE WHEN f = 0 AND series % 3 = 0 THEN 0.25 WHEN f = 1 AND series % 2 = 0 THEN v / 2 * (1 - 0.25) WHEN f = 2 THEN greatest(v * (1 - least(phi * phi, 0.9999::DOUBLE)), 1e-12::DOUBLE) WHEN f = 3 THEN v * (1 + greatest(-0.99::DOUBLE, least(0.99::DOUBLE, phi))) / (1 - greatest(-0.99::DOUBLE, least(0.99::DOUBLE, phi))) ELSE v END, 6) AS variance FROM m""")
+def bl_variance_ladder(spark, sf):
+    c, k = calibrated(spark, sf).groupBy("series").agg(F.first("variance").alias("v"), F.first("phi").alias("phi")), F.col("series")
+    at = bl.variance_ladder(F.col("v"), F.col("phi"), F.when(k % 3 == 0, 0.25), F.when(k % 2 == 0, 24).otherwise(0), F.col("v") / 2, F.lit(0.5), k % 5 == 0, k % 5 == 1, k % 5 == 2, k % 5 == 3)
+    return c.select("series", at["rung"].alias("rung"), F.round(at["variance"], 6).alias("variance"))
+
+
+@query("""WITH p AS (SELECT event_type, (event_id % 1000 + 1) / 1000.0::DOUBLE AS p FROM events) SELECT event_type, count(*) AS draws, round(ln(0.1) + 0.9::DOUBLE * avg(-ln(p)), 6) AS growth, ln(0.1) + 0.9::DOUBLE * avg(-ln(p)) > 0 AS positive FROM p GROUP BY event_type""")
+def shape_growth_screen(spark, sf):
+    p = table(spark, sf, "events").select("event_type", ((F.col("event_id") % 1000 + 1) / 1000.0).alias("p"))
+    return rounded(dt.growth_screen(p, ["event_type"]), "growth").drop("mean_neg_log_p")
+
+
+@query("SELECT p_partkey, ((p_partkey % 256) << 40) + ((p_partkey % 4096) << 20) + p_partkey AS stream FROM part")
+def stream_keys(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", scalar.stream_key(k % 256, k % 4096, k).alias("stream"))
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -160,3 +160,9 @@ def test_distributed_fleet_residuals(spark):
     assert np.abs(as_matrix(mx.crossed(df, "fleet", cal, ("rack", "zone"), block=7, buckets=2)) - want).max() < 1e-6
     with pytest.raises(Exception, match="lacks ticks"):
         mx.crossed(df.where("not (shard = 2 and tick = 5)"), "fleet", cal, ("rack",)).count()
+
+
+def test_mean_of_features():
+    fm, cov = mx.feature_map(5, 32, 2, 1.0), np.array([[1.0, 0.3], [0.3, 0.5]])
+    x = np.random.default_rng(0).multivariate_normal([0, 0], cov, 200_000)
+    assert np.abs(mx.features(x, fm).mean(0) - mx.feature_mean(cov, fm)).max() < 0.003
