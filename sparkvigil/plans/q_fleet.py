@@ -50,10 +50,11 @@ def e_bh(spark, sf):
     return fl.e_bh(_ev(spark, sf), ["fleet"], 0.3).select("fleet", "idx", "rank", "k", "selected")
 
 
-@query(f"""WITH {_EV}, k AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY e DESC, idx) AS rank, count(*) OVER (PARTITION BY fleet) AS n FROM ev),
+@query(f"""WITH {_EV}, k AS (SELECT fleet, idx, e * e * e AS e, row_number() OVER (PARTITION BY fleet ORDER BY e DESC, idx) AS rank, count(*) OVER (PARTITION BY fleet) AS n FROM ev),
 z AS (SELECT *, coalesce(max(CASE WHEN rank * e >= n / 0.3::DOUBLE THEN rank END) OVER (PARTITION BY fleet), 0) AS k FROM k) SELECT fleet, idx, rank FROM z WHERE rank <= k""")
 def e_bh_selected(spark, sf):
-    return fl.e_bh_selected(_ev(spark, sf), ["fleet"], 0.3).select("fleet", "idx", "rank")
+    e = _ev(spark, sf).withColumn("e", F.col("e") * F.col("e") * F.col("e"))
+    return fl.e_bh_selected(e, ["fleet"], 0.3).select("fleet", "idx", "rank")
 
 
 @query(f"""WITH {_EV}, k AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY ln(e) DESC, idx) AS rank, count(*) OVER (PARTITION BY fleet) AS n FROM ev),
