@@ -103,7 +103,7 @@ def _placed(refs: dict[int, np.ndarray]) -> Callable:
     return place
 
 
-def _packed(extra: Callable[[np.ndarray], dict], names: list[str]) -> Callable:
+def _packed(extra: Callable[[np.ndarray], dict], names: list[str], most: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -121,11 +121,11 @@ def _packed(extra: Callable[[np.ndarray], dict], names: list[str]) -> Callable:
         for b in batches:
             dims, i = b.column("dim").to_numpy(), 0
             while i < b.num_rows:
-                if held and (dims[i] != dim or size >= max(1, BLOCK_NUMBERS // max(dim, 1))):
+                if held and (dims[i] != dim or size >= max(1, most // max(dim, 1))):
                     yield block()
                     held, size = [], 0
                 dim = int(dims[i])
-                end = min(b.num_rows, i + max(1, BLOCK_NUMBERS // max(dim, 1)) - size, i + int(np.argmax(np.append(dims[i:] != dim, True))))
+                end = min(b.num_rows, i + max(1, most // max(dim, 1)) - size, i + int(np.argmax(np.append(dims[i:] != dim, True))))
                 held.append(b.slice(i, end - i))
                 size, i = size + end - i, end
         if held:
@@ -145,7 +145,7 @@ def blocks(table: DataFrame, refs: dict[int, np.ndarray], extra: Callable[[np.nd
     parts = min(MOST_PARTS, max(1, -(-numbers // BLOCK_NUMBERS)))
     dealt = rows.repartitionByRange(parts, "dim", "cell", "angle", "row").sortWithinPartitions("dim", "cell", "angle", "row").drop("cell", "angle", "row")
     full = f"{_BLOCK}{', ' * bool(schema)}{schema}"
-    return written(dealt.mapInArrow(_packed(extra, [x.split()[0] for x in full.split(", ")]), full), "blocks")
+    return written(dealt.mapInArrow(_packed(extra, [x.split()[0] for x in full.split(", ")], BLOCK_NUMBERS), full), "blocks")
 
 
 class Block:
