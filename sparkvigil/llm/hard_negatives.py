@@ -12,8 +12,8 @@ Blocks of vectors are tested as a whole first, by the least and largest angle
 and norm in them, then their rows one by one. Positives come in two turns: the
 AHEAD most promising blocks of an anchor first, then those whose bound reaches the
 k-th score found. A positive of score p opens the window of negatives from
-p/2 to 95p/100; one pass over the blocks that overlap an anchor's windows finds
-the highest in each. All blocks hold all labels, so a hot label is no hot key.
+p/2 to 95p/100; negatives come in the same two turns, with the window's lower end
+raised to the k-th score of the first. All blocks hold all labels, so a hot label is no hot key.
 
 Defined results: those of vectors.py; null labels take no part; labels are
 shifted to (label + 1) % 10 where vec_id is divisible by 7; a window of a negative
@@ -41,15 +41,22 @@ _FOUND = "query long, query_id long, row long, id long, score long"
 
 
 def between(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest cosine of (anchor, row) for angles `a` (anchors x references) and `low` to `high` (rows x references)."""
-    lo, hi = np.full((len(a), len(low)), -1.0), np.full((len(a), len(low)), 1.0)
+    """Least and largest cosine of (anchor, row) for angles `a` (anchors x references) and `low` to `high` (rows x references).
+
+    The cosine falls from 0 to pi, so the intervals of all references are cut as angles first.
+    """
+    near, far = np.zeros((len(a), len(low))), np.full((len(a), len(low)), np.pi)
     for j in range(a.shape[1]):
-        x = a[:, j][:, None]
-        near = np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0)
-        far = np.where(x + high[:, j] <= np.pi, x + high[:, j], np.where(x + low[:, j] >= np.pi, 2 * np.pi - x - low[:, j], np.pi))
-        np.minimum(hi, np.cos(near), out=hi)
-        np.maximum(lo, np.cos(far), out=lo)
-    return lo, hi
+        x, lo, hi = a[:, j][:, None], low[:, j], high[:, j]
+        if low is high:
+            np.maximum(near, np.abs(lo - x), out=near)
+            total = x + lo
+            np.minimum(far, total, out=far)
+            np.minimum(far, 2 * np.pi - total, out=far)
+        else:
+            np.maximum(near, np.maximum(lo - x, x - hi), out=near)
+            np.minimum(far, np.where(x + hi <= np.pi, x + hi, np.where(x + lo >= np.pi, 2 * np.pi - x - lo, np.pi)), out=far)
+    return np.cos(np.maximum(far, near), out=far), np.cos(near, out=near)
 
 
 def bounds(q: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,16 +190,24 @@ def hard_negatives(table: DataFrame, positives: int = 5, negatives: int = 3, eve
 
     p = F.col("score").cast("decimal(38, 0)")
     window = F.struct(F.ceil(p * low / 100).cast("long").alias("lo"), F.floor(p * high / 100).cast("long").alias("hi"), F.col("row").alias("positive"))
-    windows = found.where("score >= 0").groupBy("query").agg(F.collect_list(window).alias("windows"))
-    asked = anchors.join(windows, "query").withColumns({"from": F.array_min("windows.lo"), "to": F.array_max("windows.hi")})
-    visits = near.select("query", "shard", "lo", "hi").join(asked, "query").where("hi >= `from` and lo <= `to`").select("shard", "query", "query_label", "q", "windows")
-    mined = meet(stored, visits, "shard", "shard", _hold, _negatives(negatives, refs), "query long, positive long, row long, id long, score long")
-    mined = mined.withColumn("rank", F.row_number().over(Window.partitionBy("query", "positive").orderBy(*order))).where(F.col("rank") <= negatives)
+    windows = written(found.where("score >= 0").select("query", window.alias("w")).select("query", "w.*"), "windows")
+    each = Window.partitionBy("query", "positive").orderBy(*order)
+
+    def mine(visits: DataFrame, windows: DataFrame) -> DataFrame:
+        """The best of each window among the blocks of `visits` that overlap any window of their anchor."""
+        asked = windows.groupBy("query").agg(F.collect_list(F.struct("lo", "hi", "positive")).alias("windows"), F.min("lo").alias("from"), F.max("hi").alias("to"))
+        visits = visits.select("query", "shard", "lo", "hi").join(asked, "query").where("hi >= `from` and lo <= `to`").select("query", "shard", "windows").join(anchors, "query").select("shard", "query", "query_label", "q", "windows")
+        return meet(stored, visits, "shard", "shard", _hold, _negatives(negatives, refs), "query long, positive long, row long, id long, score long")
+
+    early = written(mine(near.where(F.col("turn") <= AHEAD), windows), "early").withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= negatives)
+    least = early.where(F.col("rank") == negatives).select("query", "positive", F.col("score").alias("least"))
+    raised = windows.join(least, ["query", "positive"], "left").withColumn("lo", F.greatest("lo", F.coalesce("least", "lo"))).drop("least")
+    mined = early.drop("rank").unionByName(mine(near.where(F.col("turn") > AHEAD), raised)).withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= negatives)
     out = mined.select("query", "positive", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(
         found.select("query", F.col("row").alias("positive"), F.col("query_id").alias("anchor_id"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), ["query", "positive"]
     )
     out = written(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
-    forgotten(held, anchors, near, ahead, found)
+    forgotten(held, anchors, near, ahead, found, windows)
     return out
 
 
