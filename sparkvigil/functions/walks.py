@@ -1,32 +1,209 @@
-"""Folds over the rows of a key in order, for recursions that window functions cannot express."""
+"""Folds over the rows of a key in order, for recursions that window functions cannot express.
+
+`row_walk` is for states that depend on every value (betting): one state a task.
+`anchored` is for recursions that jump from anchor to anchor (cooldowns, alarms
+that re-record a baseline, groups that open and close): ordered blocks of rows are
+maps from the anchor state they are entered with to the one they are left with, so
+a key with all rows is many tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.cut import cut
+
+#: Rows of a block, and most blocks of a table.
+BLOCK_ROWS = 1 << 18
+MOST_BLOCKS = 20_000
+
+
+def _types(added: str) -> dict[str, pa.DataType]:
+    arrow = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    return {n: arrow[t] for n, t in (x.split() for x in added.split(", "))}
+
+
+def _schema(df: DataFrame, added: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + added
 
 
 def row_walk(df: DataFrame, keys: list[str], by: list[str], columns: list[str], start: Callable, step: Callable, added: str) -> DataFrame:
     """Adds columns (`added`, a DDL list) that `step(state, *values)` gives with the next state; `start()` is a key's first state.
 
     Rows are dealt by key and sorted by `by`, and read one by one: a task holds
-    one state, never a key's history.
+    one state, never a key's history. Rows whose key is null, in whole or part,
+    are a key of their own; a null value reaches `step` as None. The other columns
+    stay as they are.
     """
-    names = [x.split()[0] for x in added.split(", ")]
+    types = _types(added)
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for f in frames:
+        for b in batches:
             out = []
-            for key, values in zip(zip(*[f[k] for k in keys], strict=True), zip(*[f[c] for c in columns], strict=True), strict=True):
+            for key, values in zip(zip(*[b.column(k).to_pylist() for k in keys], strict=True), zip(*[b.column(c).to_pylist() for c in columns], strict=True), strict=True):
                 if key != now:
                     now, state = key, start()
                 state, told = step(state, *values)
                 out.append(told)
-            cols = zip(*out, strict=True) if out else [[] for _ in names]
-            yield f.assign(**{n: list(c) for n, c in zip(names, cols, strict=True)})
+            cols = zip(*out, strict=True) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), t) for c, t in zip(cols, types.values(), strict=True))], names=[*b.schema.names, *types])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInArrow(walk, _schema(df, added))
+
+
+class Jumps:
+    """A recursion from anchor to anchor over the sorted rows of a key; see `anchored`.
+
+    An anchor's row decides where the next one is. The state between rows is None
+    before the first anchor, else a tuple of integers that the last anchor leaves.
+    """
+
+    #: DDL of the columns that `told` gives.
+    added = ""
+
+    def enter(self, state: tuple | None, rows: dict[str, np.ndarray]) -> int:
+        """The first anchor among the rows after `state`; their number if there is none."""
+        raise NotImplementedError
+
+    def after(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """For each row, were it an anchor, the next anchor; the number of rows if there is none."""
+        raise NotImplementedError
+
+    def leave(self, rows: dict[str, np.ndarray], at: np.ndarray) -> list[tuple]:
+        """The states at the end of the rows whose last anchors are `at`."""
+        raise NotImplementedError
+
+    def passed(self, state: tuple | None, rows: dict[str, np.ndarray]) -> tuple | None:
+        """The state at the end of rows without an anchor."""
+        return state
+
+    def reach(self, rows: dict[str, np.ndarray]) -> int:
+        """So many rows from the start hold every first anchor that any state can lead to, and all that `enter` looks at."""
+        return len(next(iter(rows.values())))
+
+    def told(self, state: tuple | None, rows: dict[str, np.ndarray], anchors: np.ndarray) -> dict[str, np.ndarray]:
+        """The added columns, from the state at the start and a flag for each row that is an anchor."""
+        raise NotImplementedError
+
+
+def _last(after: np.ndarray) -> np.ndarray:
+    """The last anchor of the chain from each row, by pointer doubling."""
+    n = len(after)
+    end = np.append(np.where(after < n, after, np.arange(n)), n)
+    while True:
+        on = end[end]
+        if (on == end).all():
+            return end[:n]
+        end = on
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of each key in turn."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            text = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= text[1:] != text[:-1]
+        cuts = np.flatnonzero(new)
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = tuple(c[i].as_py() for c in cols)
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(t: pa.Table, columns: list[str]) -> dict[str, np.ndarray]:
+    return {c: t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in columns}
+
+
+def anchored(df: DataFrame, keys: list[str], by: list[str], columns: list[str], jumps: Jumps) -> DataFrame:
+    """Adds `jumps.added` to rows in order of `by` within their key. Null keys are keys; a row without one of `columns` takes no part and gets nulls.
+
+    Rows are range-partitioned by (key, order), so blocks are even whatever the
+    keys are. A block tells, for the part of it that a state from outside can
+    lead into (`reach`), the state it is left with; these parts, a few rows a
+    block, are composed in order of the blocks of a key, one state being held, and
+    each block then runs by itself from the state that it is entered with.
+    """
+    idle = df.where(" or ".join(f"`{c}` is null" for c in columns)).select("*", *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in jumps.added.split(", ")))
+    open_columns = [f.name for f in df.schema if f.name in columns and f.nullable]
+    if open_columns:
+        df = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    order, n = [*keys, *by], df.count()
+    parts = min(MOST_BLOCKS, max(1, -(-n // BLOCK_ROWS)))
+    types, names = _types(jumps.added), df.columns
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, k, np.int32))], names=[*b.schema.names, "_block"])
+
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
+    whole = [*keys, "_block"]
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, whole):
+            rows = _numbers(t, columns)
+            r = min(jumps.reach(rows), t.num_rows)
+            last = _last(jumps.after(rows))[:r]
+            left = pa.array([list(x) for x in jumps.leave(rows, last)], pa.list_(pa.int64()))
+            head = t.select(whole).slice(0, r).combine_chunks()
+            arrays = [*(c.combine_chunks() for c in head.columns), *(pa.array(rows[c][:r].astype(np.int64)) for c in columns), left, pa.array(np.arange(r)), pa.array(np.full(r, r == t.num_rows))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*whole, *columns, "_left", "_at", "_all"])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for t in _runs(batches, whole):
+            key = tuple(t[k][0].as_py() for k in keys)
+            if key != now:
+                now, state = key, None
+            head = t.select(whole).slice(0, 1).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in head.columns), pa.array([None if state is None else list(state)], pa.list_(pa.int64()))], names=[*whole, "_state"])
+            rows = _numbers(t, columns)
+            first = jumps.enter(state, rows)
+            if first < t.num_rows:
+                state = tuple(t["_left"][first].as_py())
+            elif t["_all"][0].as_py():
+                state = jumps.passed(state, rows)
+            else:
+                raise ValueError("an anchor lies beyond the reach of its block")
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, whole):
+            rows, state = _numbers(t, columns), t["_state"][0].as_py()
+            state = None if state is None else tuple(state)
+            after, i, on = jumps.after(rows), jumps.enter(state, rows), np.zeros(t.num_rows, bool)
+            while i < t.num_rows:
+                on[i] = True
+                i = int(after[i])
+            told = jumps.told(state, rows, on)
+            t = t.select(names)
+            for c, kind in types.items():
+                t = t.append_column(c, pa.array(told[c], kind, from_pandas=True))
+            yield from t.combine_chunks().to_batches()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + added
-    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInPandas(walk, schema)
+    maps = dealt.mapInArrow(summed, f"{key_fields}, _block int, " + ", ".join(f"`{c}` long" for c in columns) + ", _left array<long>, _at long, _all boolean")
+    states = maps.repartition(*keys).sortWithinPartitions(*keys, "_block", "_at").mapInArrow(composed, f"{key_fields}, _block int, _state array<long>")
+    same = F.col("a._block") == F.col("s._block")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"s.{k}"))
+    entered = dealt.alias("a").join(cut(states).alias("s"), same).select("a.*", "s._state")
+    out = entered.repartition(parts, "_block").sortWithinPartitions("_block", *order).mapInArrow(finished, _schema(df, jumps.added))
+    return out.unionByName(idle) if open_columns else out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.walks import row_walk
+from ..functions.walks import Jumps, anchored
 from ..functions.windows import ordered, so_far
 
 
@@ -73,23 +74,87 @@ def welford(df: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("mean"), F.when(F.count("*") > 1, cov).alias("cov"))
 
 
-def lifecycle(fires: DataFrame, keys: list[str], window: int = 150, threshold: int = 4, cooldown: int = 150, by: str = "tick") -> DataFrame:
-    """Adds `record` to rows of fired ticks: `threshold` alarms within the window and past the cooldown; a trigger clears the alarms."""
+class _Alarms(Jumps):
+    """Anchors are the ticks that re-record: state (tick, fired ticks since). `dense` marks ticks that end `threshold` fires within the window."""
+
+    added = "record boolean"
+
+    def __init__(self, by: str, threshold: int, cooldown: int):
+        self.by, self.threshold, self.cooldown = by, threshold, cooldown
+
+    @staticmethod
+    def _dense_from(rows: dict[str, np.ndarray]) -> np.ndarray:
+        """The next dense row from each row on, and a last entry for none."""
+        n = len(rows["_dense"])
+        at = np.where(rows["_dense"].astype(bool), np.arange(n), n)
+        return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
+
+    def enter(self, state: tuple | None, rows: dict[str, np.ndarray]) -> int:
+        t, n = rows[self.by], len(rows[self.by])
+        low = np.searchsorted(t, 0) if state is None else max(self.threshold - 1 - state[1], np.searchsorted(t, state[0] + self.cooldown))
+        return int(self._dense_from(rows)[min(low, n)])
+
+    def after(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        t, n = rows[self.by], len(rows[self.by])
+        low = np.maximum(np.arange(n) + self.threshold, np.searchsorted(t, t + self.cooldown))
+        return self._dense_from(rows)[np.minimum(np.maximum(low, np.arange(n) + 1), n)]
+
+    def leave(self, rows: dict[str, np.ndarray], at: np.ndarray) -> list[tuple]:
+        n = len(rows[self.by])
+        return [(int(x), n - 1 - int(i)) for x, i in zip(rows[self.by][at], at, strict=True)]
+
+    def passed(self, state: tuple | None, rows: dict[str, np.ndarray]) -> tuple | None:
+        return state and (state[0], state[1] + len(rows[self.by]))
+
+    def reach(self, rows: dict[str, np.ndarray]) -> int:
+        t, n = rows[self.by], len(rows[self.by])
+        low = max(self.threshold - 1, np.searchsorted(t, t[0] + self.cooldown), np.searchsorted(t, 0))
+        return int(self._dense_from(rows)[min(low, n)]) + 1
+
+    def told(self, state: tuple | None, rows: dict[str, np.ndarray], anchors: np.ndarray) -> dict[str, np.ndarray]:
+        return {"record": anchors}
+
 
-    def step(state: tuple, t: int) -> tuple:
-        alarms, until = state
-        alarms = [a for a in alarms if a > t - window] + [t]
-        if t >= until and len(alarms) >= threshold:
-            return ([], t + cooldown), (True,)
-        return (alarms, until), (False,)
+class _Cooldown(Jumps):
+    """Anchors are the kept ticks: state (tick,)."""
 
-    return row_walk(fires, keys, [by], [by], lambda: ([], 0), step, "record boolean")
+    added = "kept boolean"
+
+    def __init__(self, by: str, cooldown: int):
+        self.by, self.cooldown = by, cooldown
+
+    def enter(self, state: tuple | None, rows: dict[str, np.ndarray]) -> int:
+        return 0 if state is None else int(np.searchsorted(rows[self.by], state[0] + self.cooldown, "right"))
+
+    def after(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        return np.searchsorted(rows[self.by], rows[self.by] + self.cooldown, "right")
+
+    def leave(self, rows: dict[str, np.ndarray], at: np.ndarray) -> list[tuple]:
+        return [(int(x),) for x in rows[self.by][at]]
+
+    def reach(self, rows: dict[str, np.ndarray]) -> int:
+        return int(np.searchsorted(rows[self.by], rows[self.by][0] + self.cooldown, "right")) + 1
+
+    def told(self, state: tuple | None, rows: dict[str, np.ndarray], anchors: np.ndarray) -> dict[str, np.ndarray]:
+        return {"kept": anchors}
+
+
+def lifecycle(fires: DataFrame, keys: list[str], window: int = 150, threshold: int = 4, cooldown: int = 150, by: str = "tick") -> DataFrame:
+    """Adds `record` to rows of fired ticks: `threshold` alarms within the window and past the cooldown; a trigger clears the alarms.
+
+    Whether a tick ends `threshold` fires within the window is read off in time
+    slots as wide as the window, each with the slot before it; the rest is a chain
+    of triggers (functions/walks.py). Fires without a tick get no `record`.
+    """
+    slot = F.floor(F.col(by) / window)
+    wide = fires.withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_then", F.lag(by, threshold - 1).over(Window.partitionBy(*keys, "_s").orderBy(by)) if threshold > 1 else F.col(by))
+    wide = wide.where((F.col("_s") == slot) | F.col(by).isNull()).withColumn("_dense", F.coalesce(F.col("_then") > F.col(by) - window, F.lit(False)).cast("int")).drop("_s", "_then")
+    return anchored(wide, keys, [by], [by, "_dense"], _Alarms(by, threshold, cooldown)).drop("_dense")
 
 
 def cooled(fires: DataFrame, keys: list[str], cooldown: int, by: str = "tick") -> DataFrame:
-    """Greedy thinning of fired ticks: one within `cooldown` of the last kept one goes."""
-    step = lambda last, t: (t, (True,)) if last is None or t > last + cooldown else (last, (False,))
-    return row_walk(fires, keys, [by], [by], lambda: None, step, "kept boolean").where("kept").drop("kept")
+    """Greedy thinning of fired ticks: one within `cooldown` of the last kept one goes, and so does one without a tick."""
+    return anchored(fires, keys, [by], [by], _Cooldown(by, cooldown)).where("kept").drop("kept")
 
 
 def e_bh_selected(df: DataFrame, keys: list[str], q: float, e: str = "e", idx: str = "idx") -> DataFrame:

@@ -80,7 +80,7 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column, decay_s: float = 300
     both = F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
     union = F.greatest(a1, b1) - F.least(a0, b0)
     away = F.greatest(a0 - b0, b0 - a1, F.lit(0.0))
-    return F.when(b1.isNull() | (b1 < b0), F.greatest(F.lit(0.0), 1 - away / decay_s)).when(union > 0, both / union).otherwise(1.0)
+    return F.when(b1.isNull() | (b1 < b0), F.greatest(F.lit(0.0), 1 - away / decay_s)).when(union > 0, both / union).otherwise(0.0)
 
 
 def deploy_nodes(nodes: DataFrame) -> DataFrame:
