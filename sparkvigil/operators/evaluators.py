@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.walks import row_walk
 from .detectors import BET_CLIP, WEALTH_FLOOR, hotelling
-from .ingest import gate
+from .ingest import families_suppressed, gate, match_cell
 
 #: Names of responses of the system under test, which are no exogenous covariates. Fixed values.
 RESPONSES = "temp therm clock freq power watt util ecc throttle fan volt current error retry xid health".split()
@@ -60,17 +59,88 @@ def betting_verdicts(df: DataFrame, keys: list[str], alpha: float | Column, valu
     return out.withColumns({"verdict": verdict, "reason": reason}).drop("_why")
 
 
-def family_verdicts(df: DataFrame, keys: list[str], signals: dict[str, Column], cells: DataFrame, cell_keys: list[str], family_alpha: float, corrections: int, classes: Callable[[Column], Column] = scalar.signal_class, **gates) -> DataFrame:
-    """Betting verdicts of several signals of a wide frame: one series for each key and signal.
+def cell_of(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds `ordinal` and `confidence` of the cell that each row (hour, day, tier) takes, null where there is none; a null tier is `aggregate`.
 
-    Values go through the transform of their signal's class, baselines come from
-    the cells (cell keys, signal, mean, variance, phi), and each signal gets half
-    of its share of the family's alpha. A signal without a value or a cell has no
-    verdict.
+    Cells (ordinal, hour, day, tier, confidence) are tried in their order: the first with the
+    row's hour, its day and its tier, a missing day or tier on either side fitting
+    any; without one, the first that fits the tier `aggregate`. The distinct
+    contexts of the rows are looked up once, and rows join them by equality.
     """
-    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), v.cast("double").alias("_raw")) for s, v in signals.items()])).alias("_s")).select("*", "_s.*").drop("_s").where("_raw is not null")
-    long = long.withColumn("_value", scalar.for_class(F.col("_raw"), classes(F.col("signal")))).join(cells, [*cell_keys, "signal"])
-    return betting_verdicts(long, [*keys, "signal"], family_alpha / corrections / 2, "_value", **gates).drop("_raw")
+    tier = F.coalesce("tier", F.lit("aggregate"))
+    contexts = df.select("hour", "day", tier.alias("tier")).distinct()
+    found = match_cell(contexts, cells.select("ordinal", "hour", "day", "tier", "confidence"), ["hour", "day", "tier"])
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in ("hour", "day", "tier")), F.col("cell_ordinal").alias("ordinal"), F.col("cell_confidence").alias("confidence"))
+    same = F.col("hour").eqNullSafe(F.col("_hour")) & F.col("day").eqNullSafe(F.col("_day")) & (tier == F.col("_tier"))
+    return df.join(found, same, "left").drop("_hour", "_day", "_tier")
+
+
+def _spend(s: tuple, x: float, mean: float, var: float, phi: float, alpha: float) -> tuple:
+    bets, spent = s
+    now, told = _bet(bets, x, mean, var, phi)
+    spent += alpha if now[2] > bets[2] else 0.0
+    return (now, spent), (*told, spent)
+
+
+def family_verdicts(
+    df: DataFrame, keys: list[str], signals: dict[str, Column], cells: DataFrame, parameters: DataFrame, fallback: DataFrame | None = None, family_alpha: float = 4e-4, corrections: int = 6, by: str = "tick", listed: list[str] | None = None, classes: dict[str, str] | None = None, bake: dict[str, tuple] | None = None, least_traffic: float = 0.0
+) -> DataFrame:
+    """Betting verdicts of the signals of a wide frame: one state for each key and signal.
+
+    Rows have hour, day, tier and may have schema (continuity class), ignored
+    (signals not to be judged), ticks_since_deploy, deploy_age_days, traffic_pct.
+    `cells` (see cell_of) give a row's cell, `parameters` (ordinal, signal, mean,
+    variance, phi and, where present, signal_class, alpha, threshold) what to
+    expect in it; where a cell of confidence aggregate or none has none for a
+    signal, `fallback` (signal and the same) does. Values take the transform of the parameters'
+    signal_class, else that of `classes`, else none. alpha defaults to half of the
+    signal's share of the family's, the threshold to 1 / alpha.
+
+    In this order: a schema change that silences the family gives every `listed`
+    signal (all, if not said) a suppressed verdict; a row without a cell has no
+    verdicts; an ignored signal is suppressed with reason ignore_threshold, with or
+    without a value; a signal without value, parameters, mean or variance has no
+    verdict. Suppression of the first two kinds holds the state: wealth, count and
+    alpha stay; the gates of bake profile and traffic speak after the state moved.
+    """
+    has = lambda c, other: F.col(c) if c in df.columns else other
+    every = list(dict.fromkeys([*signals, *(listed or [])]))
+    none = F.lit(None).cast("double")
+    each = [F.struct(F.lit(s).alias("signal"), (signals[s].cast("double") if s in signals else none).alias("_raw"), F.lit(s in signals).alias("_judged"), F.lit(listed is None or s in listed).alias("_listed")) for s in every]
+    rows = cell_of(df, cells).withColumn("_s", F.explode(F.array(*each))).select("*", "_s.*").drop("_s")
+    names = [c for c in ("mean", "variance", "phi", "signal_class", "alpha", "threshold") if c in parameters.columns or fallback is not None and c in fallback.columns]
+    packed = lambda p, name: p.select(*(c for c in ("ordinal", "signal") if c in p.columns), F.struct(*(F.col(c) if c in p.columns else F.lit(None).cast("string" if c == "signal_class" else "double").alias(c) for c in names)).alias(name))
+    rows = rows.join(packed(parameters, "_own"), ["ordinal", "signal"], "left")
+    told = F.col("_own")
+    if fallback is not None:
+        rows = rows.join(packed(fallback, "_all"), "signal", "left")
+        told = F.coalesce("_own", F.when(F.col("confidence").isin("aggregate", "none"), F.col("_all")))
+    rows = rows.withColumn("_told", told).withColumns({f"_{c}": F.col(f"_told.{c}") for c in names}).drop("_own", "_all")
+    own = lambda c, kind, *other: F.coalesce(*([F.col(f"_{c}")] if c in names else []), *other, F.lit(None).cast(kind))
+    schema = has("schema", F.lit(None).cast("string"))
+    silent = F.coalesce(F.array_contains(families_suppressed(schema), "A"), F.lit(False))
+    ignored = F.coalesce(F.array_contains(has("ignored", F.array().cast("array<string>")), F.col("signal")), F.lit(False))
+    known = F.col("_told").isNotNull() & own("mean", "double").isNotNull() & own("variance", "double").isNotNull() & F.col("_raw").isNotNull()
+    declared = [F.create_map(*(F.lit(x) for kv in classes.items() for x in kv))[F.col("signal")]] if classes else []
+    rows = rows.withColumns({"_silent": silent, "_ignored": ignored}).where(F.when(F.col("_silent"), F.col("_listed")).otherwise(F.col("_judged") & F.col("ordinal").isNotNull() & (F.col("_ignored") | known)))
+    moves = ~F.col("_silent") & ~F.col("_ignored")
+    alpha = own("alpha", "double", F.lit(family_alpha / corrections / 2))
+    rows = rows.withColumns({"_x": F.when(moves, scalar.for_class(F.col("_raw"), own("signal_class", "string", *declared, F.lit("gaussian_like")))), "_m": own("mean", "double"), "_v": own("variance", "double"), "_f": own("phi", "double", F.lit(0.0)), "_a": alpha})
+    out = row_walk(rows, [*keys, "signal"], [by], ["_x", "_m", "_v", "_f", "_a"], lambda: ((0.0, 0.0, 0, 0.0, 0.0, 0.0), 0.0), _spend, "log_m double, bet double, n long, alpha_consumed double")
+    baked = bake or {}
+    ticks, seen, days = (F.coalesce(*([F.create_map(*(x for s, b in baked.items() for x in (F.lit(s), F.lit(b[i]))))[F.col("signal")]] if baked else []), F.lit((3, 3, 1)[i])) for i in range(3))
+    unbaked = (has("ticks_since_deploy", F.col(by)) < ticks) | (F.col("n") < seen) | (has("deploy_age_days", F.lit(0)) > days)
+    why = (
+        F.when(F.col("_silent"), F.when(schema == "observability_stack", "observability_stack_deploy").otherwise("schema_continuity_breaking")).when(F.col("_ignored"), "ignore_threshold")
+        .when(unbaked, "bake_profile_not_met").when(has("traffic_pct", F.lit(100.0)) < least_traffic, "traffic_pct_below_gate")
+    )
+    limit = F.when(moves, own("threshold", "double", 1 / F.col("_a")))
+    out = out.withColumns({"statistic": scalar.wealth(F.col("log_m")), "threshold": limit, "_why": why})
+    fire, rising = F.col("statistic") >= F.col("threshold"), F.col("statistic") > 1
+    verdict = F.when(F.col("_why").isNotNull(), "suppressed").when(fire, "fire").when(rising, "indeterminate").otherwise("clean")
+    reason = F.coalesce("_why", F.when(fire, "betting_wealth_exceeded_threshold").when(rising, "accumulating").otherwise("at_initial_wealth"))
+    out = out.withColumns({"verdict": verdict, "reason": reason, "alpha_spent": F.when(verdict == "fire", F.col("_a")).otherwise(0.0)})
+    return out.drop("bet", "_why", "_x", "_m", "_v", "_f", "_a", "_silent", "_ignored", "_raw", "_judged", "_listed", "_told", *(f"_{c}" for c in names))
 
 
 def relative_deviation(x: Column, mean: Column) -> Column:

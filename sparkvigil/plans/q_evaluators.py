@@ -30,6 +30,43 @@ def betting_verdicts(spark, sf):
     return rounded(out, "log_m").select("series", "tick", "log_m", "verdict", "reason")
 
 
+#: Twenty hours with a cell of the tier gold and one of all tiers each; four hours have none.
+_CELLS = """cells AS (SELECT i AS ordinal, i // 2 AS hour, CASE WHEN i % 2 = 0 THEN 'gold' ELSE 'aggregate' END AS tier, CASE WHEN i % 2 = 1 AND i // 2 % 5 = 0 THEN 'aggregate' ELSE 'pooled' END AS confidence FROM range(40) t(i)),
+par AS (SELECT ordinal, 'p99_latency' AS signal, 5.0::DOUBLE + ordinal % 3 AS mean, 2.0::DOUBLE + ordinal % 2 AS variance, 0.1::DOUBLE * (ordinal % 2) AS phi, true AS log, 1 / 0.05::DOUBLE AS threshold FROM cells
+  UNION ALL SELECT ordinal, 'ttft', 200.0, 9000.0, 0.0, false, 20.0 FROM cells WHERE ordinal % 4 <> 1 UNION ALL SELECT ordinal, 'ttft', 250.0, 20000.0, 0.0, false, 5.0 FROM cells WHERE ordinal % 4 = 1 AND confidence = 'aggregate')"""
+_FAMILY = f"""WITH RECURSIVE {SERIES}, {_CELLS},
+w AS (SELECT series, tick, value, event_type, sec // 3600 % 24 AS hour, CASE series % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' ELSE 'aggregate' END AS tier, series % 11 = 0 AND tick BETWEEN 5 AND 8 AS silent, series % 7 = 0 AND tick % 6 = 2 AS ig FROM s),
+c AS (SELECT w.*, coalesce(a.ordinal, b.ordinal) AS ordinal FROM w LEFT JOIN cells a ON a.hour = w.hour AND a.tier = w.tier LEFT JOIN cells b ON b.hour = w.hour AND b.tier = 'aggregate'),
+e AS (SELECT series, tick, ordinal, silent, 'p99_latency' AS signal, CASE WHEN event_type <> 'error' THEN value END AS raw, false AS ig, true AS judged FROM c
+  UNION ALL SELECT series, tick, ordinal, silent, 'ttft', value, ig, true FROM c UNION ALL SELECT series, tick, ordinal, silent, 'cost_req', NULL, false, false FROM c),
+k AS (SELECT e.*, mean, variance, phi, threshold, CASE WHEN log THEN ln(greatest(raw, 1e-9)) ELSE raw END AS x, NOT silent AND NOT ig AS moves FROM e LEFT JOIN par USING (ordinal, signal) WHERE silent OR judged AND ordinal IS NOT NULL AND (ig OR mean IS NOT NULL AND raw IS NOT NULL)),
+n AS (SELECT *, sum(moves::INT) OVER (PARTITION BY series, signal ORDER BY tick) AS i FROM k), o AS (SELECT * FROM n WHERE moves),
+f(series, signal, i, lm, bet, n, mu, m2, lst) AS (SELECT series, signal, 0::HUGEINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT series, signal FROM n)
+UNION ALL SELECT series, signal, i, greatest(ln(1e-12::DOUBLE), lm + ln(greatest(1 + nb * z, 1e-320))), nb, n + 1, mu + (z - mu) / (n + 1), m2 + (z * z - m2) / (n + 1), c FROM (
+  SELECT *, CASE WHEN abs(raw) <= 0.999999 THEN raw ELSE CASE WHEN m2 > 0 AND abs(1 + bet * mu) >= 1e-9 THEN greatest(-0.999999::DOUBLE, least(0.999999::DOUBLE, bet + mu / (1 + bet * mu) / greatest(m2, 1e-6))) ELSE 0 END END AS nb FROM (
+  SELECT f.series, f.signal, o.i, f.lm, f.bet, f.n, f.mu, f.m2, o.x - o.mean AS c, greatest(-1::DOUBLE, least(1::DOUBLE, (o.x - o.mean - o.phi * f.lst) / (3 * sqrt(o.variance)))) AS z, CASE WHEN f.m2 > 0 THEN f.mu / f.m2 ELSE 0 END AS raw FROM f JOIN o ON o.series = f.series AND o.signal = f.signal AND o.i = f.i + 1)))"""
+
+
+@query(f"""{_FAMILY}, v AS (SELECT n.*, lm, CASE WHEN silent THEN 'schema_continuity_breaking' WHEN ig THEN 'ignore_threshold' WHEN tick < 3 OR f.n < CASE n.signal WHEN 'ttft' THEN 5 ELSE 3 END THEN 'bake_profile_not_met' END AS why FROM n JOIN f ON f.series = n.series AND f.signal = n.signal AND f.i = n.i)
+SELECT series, tick, signal, round(lm, 6) AS log_m, round(0.05::DOUBLE * i, 6) AS alpha_consumed, CASE WHEN moves THEN threshold END AS threshold, CASE WHEN why IS NOT NULL THEN 'suppressed' WHEN exp(lm) >= threshold THEN 'fire' WHEN lm > 0 THEN 'indeterminate' ELSE 'clean' END AS verdict,
+coalesce(why, CASE WHEN exp(lm) >= threshold THEN 'betting_wealth_exceeded_threshold' WHEN lm > 0 THEN 'accumulating' ELSE 'at_initial_wealth' END) AS reason FROM v""")
+def family_betting_verdicts(spark, sf):
+    """Two judged signals and a listed one per series and tick, with cells by hour and tier, ignored signals and schema changes that hold the state."""
+    k, tick = F.col("series"), F.col("tick")
+    rows = series(spark, sf).select(
+        "series", "tick", "value", "event_type", F.floor(F.col("sec") / 3600 % 24).cast("int").alias("hour"), F.lit(None).cast("int").alias("day"), F.when(k % 3 == 0, "gold").when(k % 3 == 1, "silver").alias("tier"),
+        F.when((k % 11 == 0) & tick.between(5, 8), "breaking").alias("schema"), F.when((k % 7 == 0) & (tick % 6 == 2), F.array(F.lit("ttft"))).otherwise(F.array().cast("array<string>")).alias("ignored"),
+    )
+    i = F.col("ordinal")
+    cells = spark.range(40).select(F.col("id").alias("ordinal"), F.floor(F.col("id") / 2).cast("int").alias("hour"), F.lit(None).cast("int").alias("day"), F.when(F.col("id") % 2 == 0, "gold").otherwise("aggregate").alias("tier"), F.when((F.col("id") % 2 == 1) & (F.floor(F.col("id") / 2) % 5 == 0), "aggregate").otherwise("pooled").alias("confidence"))
+    told = lambda df, signal, mean, variance, phi, cls: df.select("ordinal", F.lit(signal).alias("signal"), mean.cast("double").alias("mean"), variance.cast("double").alias("variance"), phi.cast("double").alias("phi"), F.lit(cls).cast("string").alias("signal_class"))
+    parameters = told(cells, "p99_latency", 5 + i % 3, 2 + i % 2, 0.1 * (i % 2), "heavy_tail").unionByName(told(cells.where(i % 4 != 1), "ttft", F.lit(200), F.lit(9000), F.lit(0), None))
+    fallback = spark.createDataFrame([("ttft", 250.0, 20000.0, 0.0, 5.0)], "signal string, mean double, variance double, phi double, threshold double")
+    signals = {"p99_latency": F.when(F.col("event_type") != "error", F.col("value")), "ttft": F.col("value")}
+    out = ea.family_verdicts(rows, ["series"], signals, cells, parameters, fallback, 0.2, 2, listed=["p99_latency", "ttft", "cost_req"], bake={"ttft": (3, 5, 1)})
+    return rounded(out, "log_m", "alpha_consumed").select("series", "tick", "signal", "log_m", "alpha_consumed", "threshold", "verdict", "reason")
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'chi_square' WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'safe_test' ELSE 'chi_square' END ELSE 'chi_square' END AS variant FROM orders""")
 def hotelling_variants(spark, sf):
     k = F.col("o_orderkey")
