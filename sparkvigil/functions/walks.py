@@ -207,3 +207,100 @@ def anchored(df: DataFrame, keys: list[str], by: list[str], columns: list[str],
     entered = dealt.alias("a").join(cut(states).alias("s"), same).select("a.*", "s._state")
     out = entered.repartition(parts, "_block").sortWithinPartitions("_block", *order).mapInArrow(finished, _schema(df, jumps.added))
     return out.unionByName(idle) if open_columns else out
+
+
+class Carry:
+    """What ordered blocks of a key leave to the blocks after them, as vectors of doubles that add up by `join`; see `scanned`."""
+
+    #: DDL of the columns that `finish` gives.
+    added = ""
+
+    def of(self, key: tuple, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """The vector of a block."""
+        raise NotImplementedError
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The vector of blocks b after blocks a."""
+        return a + b
+
+    def finish(self, key: tuple, before: np.ndarray | None, told: np.ndarray | None, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The added columns of a block, from the vector of the blocks before it (None: there are none)."""
+        raise NotImplementedError
+
+
+def scanned(df: DataFrame, keys: list[str], by: list[str], columns: list[str], carry: Carry, told: DataFrame | None = None) -> DataFrame:
+    """Adds `carry.added` to rows in order of `by` within their key. Columns are numbers and hold no nulls; null keys are keys.
+
+    Rows are range-partitioned by (key, order). Each block of a key tells one
+    vector; vectors are joined in order of the blocks, and each block is finished
+    by itself with what the blocks before it left. `told` has further numbers for
+    each key (keys, told array<double>); a key without gets None.
+    """
+    order = [*keys, *by]
+    parts = min(MOST_BLOCKS, max(1, -(-df.count() // BLOCK_ROWS)))
+    types, names, whole = _types(carry.added), df.columns, [*keys, "_block"]
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, k, np.int32))], names=[*b.schema.names, "_block"])
+
+    def key_of(t: pa.Table) -> tuple:
+        return tuple(t[k][0].as_py() for k in keys)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, whole):
+            head = t.select(whole).slice(0, 1).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in head.columns), pa.array([carry.of(key_of(t), _numbers(t, columns)).tolist()], pa.list_(pa.float64()))], names=[*whole, "_sum"])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for t in _runs(batches, whole):
+            if key_of(t) != now:
+                now, state = key_of(t), None
+            head = t.select(whole).slice(0, 1).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in head.columns), pa.array([None if state is None else state.tolist()], pa.list_(pa.float64()))], names=[*whole, "_before"])
+            own = np.array(t["_sum"][0].as_py(), float)
+            state = own if state is None else carry.join(state, own)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, whole):
+            before, more = (None if t[c][0].as_py() is None else np.array(t[c][0].as_py(), float) for c in ("_before", "_told"))
+            t = t.slice(1)
+            given = carry.finish(key_of(t), before, more, _numbers(t, columns))
+            t = t.select(names)
+            for c, kind in types.items():
+                t = t.append_column(c, pa.array(given[c], kind, from_pandas=True))
+            yield from t.combine_chunks().to_batches()
+
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
+    sums = dealt.mapInArrow(summed, f"{key_fields}, _block int, _sum array<double>")
+    states = sums.repartition(*keys).sortWithinPartitions(*whole).mapInArrow(composed, f"{key_fields}, _block int, _before array<double>")
+    if told is not None:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        states = states.alias("a").join(told.alias("b"), same, "left").select("a.*", F.col("b.told").alias("_told"))
+    else:
+        states = states.withColumn("_told", F.lit(None).cast("array<double>"))
+    rows = dealt.withColumns({"_kind": F.lit(1), "_before": F.lit(None).cast("array<double>"), "_told": F.lit(None).cast("array<double>")})
+    both = rows.unionByName(states.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    return both.repartition(parts, "_block").sortWithinPartitions("_block", *keys, "_kind", *by).mapInArrow(finished, _schema(df, carry.added))
+
+
+class _Count(Carry):
+    added = "rank long"
+
+    def of(self, key: tuple, rows: dict[str, np.ndarray]) -> np.ndarray:
+        return np.array([len(next(iter(rows.values())))], float)
+
+    def finish(self, key: tuple, before: np.ndarray | None, told: np.ndarray | None, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {"rank": np.arange(1, len(next(iter(rows.values()))) + 1) + (0 if before is None else int(before[0]))}
+
+
+def numbered(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Adds rank, from 1, of rows in order within their key, as row_number() does, in even blocks."""
+    return scanned(df, keys, by, by[:1], _Count())

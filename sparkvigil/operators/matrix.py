@@ -363,7 +363,7 @@ def witness_betting(x: np.ndarray, base_mean: np.ndarray, fm, clip: float = 0.5)
     f = (phi * (base_mean - past)).sum(1)
     lam, hess, log_s, out = 0.0, 1.0, 0.0, []
     for v in f.tolist():
-        log_s += np.log(max(1 + lam * v, 1e-300))
+        log_s += np.log(max(1 + lam * v, 1e-12))
         d = 1 + lam * v
         if abs(d) >= 1e-12:
             z = -v / d
@@ -552,21 +552,6 @@ def cell_covariances(df: DataFrame, cell: str, dims: list[str], **options) -> Da
     return df.select(cell, *dims).groupBy(cell).applyInPandas(run, f"{cell} {dict(df.dtypes)[cell]}, n long, mean array<double>, cov array<array<double>>, method string, outliers double")
 
 
-def witness_wealth(df: DataFrame, cell: str, by: str, dims: list[str], base: int, n_features: int = 256, width: float = 1.0) -> DataFrame:
-    """Log-wealth of the feature-space witness for each cell's stream, its first `base` rows being the baseline."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        x = pdf[dims].to_numpy(float)
-        if len(x) <= base:
-            return pd.DataFrame({cell: [], by: [], "log_s": []})
-        fm = feature_map(cell_seed(f"cell-{key[0]}"), n_features, len(dims), width)
-        return pd.DataFrame({cell: key[0], by: pdf[by].to_numpy()[base:], "log_s": witness_betting(x[base:], features(x[:base], fm).mean(0), fm)})
-
-    types = dict(df.dtypes)
-    return df.select(cell, by, *dims).groupBy(cell).applyInPandas(run, f"{cell} {types[cell]}, {by} {types[by]}, log_s double")
-
-
 def emmd_wealth(x: np.ndarray, base: np.ndarray, width: float, warm: int = 10) -> np.ndarray:
     """Wealth of bets on the distance to a baseline's mean embedding.
 
@@ -592,18 +577,6 @@ def emmd_wealth(x: np.ndarray, base: np.ndarray, width: float, warm: int = 10) -
     return np.array(out)
 
 
-def mmd_by_cell(df: DataFrame, cell: str, by: str, dims: list[str], base: int, width: float = 1.0) -> DataFrame:
-    """Unbiased discrepancy of each cell's later rows from its first `base` rows, and the final wealth of bets on the distance."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(by)[dims].to_numpy(float)
-        if base < 2 or len(x) < base + 2:
-            return pd.DataFrame({cell: [], "u": [], "wealth": []})
-        return pd.DataFrame({cell: [key[0]], "u": [mmd_u(x[base:], x[:base], width)], "wealth": [float(emmd_wealth(x[base:], x[:base], width)[-1])]})
-
-    return df.select(cell, by, *dims).groupBy(cell).applyInPandas(run, f"{cell} {dict(df.dtypes)[cell]}, u double, wealth double")
-
-
 def instrumented_residuals(df: DataFrame, factors: DataFrame, members: DataFrame, fleet: str, cal: int, ridge: float = 0.0, value: str = "value") -> DataFrame:
     """Residuals of each fleet's window after its shards' instrumented factors: factors (factor, tick, value), members (shard, factor)."""
     from pyspark.sql import functions as F
