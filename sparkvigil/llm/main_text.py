@@ -12,8 +12,8 @@ a copy, not a page of the same template, and says nothing.
 
 Markup breaks ties: where a page has `article` or `main`, lines outside it are
 not main text, and a paragraph, heading, list item, quotation or cell inside it
-stays even if neighbours have it, as articles may quote the same passage. All
-other lines are decided by differencing. Pages whose lines all are decided by
+stays even if neighbours have it, as articles may quote the same passage; there
+its class or id is not asked, only those of its containers are. All other lines are decided by differencing. Pages whose lines all are decided by
 markup give their text at once; the others travel with it, and for comparison
 each page sends 12 bytes a line.
 
@@ -53,10 +53,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset(("article", "main"))
 #: What differs from page to page or stands on few pages, so that comparison cannot see it; a class or id of such words, alone or with neutral ones. Fixed values.
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer topbar cookie cookies consent gdpr notice popup newsletter subscribe signup login share sharing social related recommended comment comments disqus respond pagination pager".split())
-NEUTRAL = frozenset("area bar block bottom box container content inner item left links list main outer page right section site slot top unit widget wrap wrapper".split())
+NEUTRAL = frozenset("area bar block bottom box container content inner item left links list main outer page reader readers right section site slot top unit user users widget wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[-_\d]+")
 OUTSIDE, INSIDE, BODY = range(3)  # where a line stands: outside main elements, inside, in a text block inside
@@ -77,7 +77,8 @@ def _boilerplate(tag: str, attrs: str, inside_main: bool) -> bool:
     if attrs and tag not in ("html", "body", "article", "main"):
         for name, *values in _ATTR.findall(attrs):
             value, name = "".join(values), name.lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id") and _named(value) or name == "role" and value.lower() in ROLES:
+            named = name in ("class", "id") and not (inside_main and tag in TEXT) and _named(value)
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or named or name == "role" and value.lower() in ROLES:
                 return True
     return False
 
