@@ -203,7 +203,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, lea
     seeds = lambda df: df.mapInArrow(_distinct_seeds(seed_least), "key long, seed long")
     test = seeds(items).withColumnRenamed("key", "item_id")
     pairs = written(seeds(docs).withColumnRenamed("key", "doc_id").join(test, "seed").select("doc_id", "item_id").distinct(), "pairs")
-    both = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id")
+    # null ids are ids here, and rows that share one are all compared, as in the other way
+    p, i, d = pairs.alias("p"), items.withColumnRenamed("text", "item_text").alias("i"), docs.alias("d")
+    both = p.join(i, F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).join(d, F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))).select("d.doc_id", "d.text", "i.item_id", "i.item_text")
     return both.mapInArrow(_compare(seed_least, similarity, least_words), _FOUND)
 
 
