@@ -1,18 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
 Each text gets word and line measures. Rules compare one measure with a cutoff.
-The cutoffs are chosen on the labelled documents alone: for each stratum (the
-language, a null language being a stratum of its own) and each rule, cutoffs
-are tried from the loosest to the strictest, and the exact binomial
-(Clopper-Pearson) upper bound of the share of good documents that the cutoff
-rejects must stay under `max_false_rejection`. The test of a sequence stops at
-its first failure (fixed-sequence testing, so no correction is due inside it),
-and the sequences share the error `delta` by Bonferroni over strata and rules.
-With probability 1 - delta no chosen cutoff has a higher false rejection rate
-than stated. Among the certified cutoffs of a rule the one is kept with the most
-bad rejections less a price for each good one, ties going to the loosest, so a
-stricter cutoff must catch bad documents with `least_precision` at least; a rule
-that gains nothing in its stratum stays off.
+The cutoffs are chosen on the labelled documents alone, which are dealt into two
+halves by a hash of doc_id. The strata are languages, a null language being one
+of its own.
+
+The first half learns what each rule is good for in a stratum: of its cutoffs,
+from the loosest to the strictest, the one with the most bad rejections less a
+price for each good one, so that a stricter cutoff must catch bad documents with
+`least_precision` at least; a rule that gains nothing stays off. That gives a path
+of cutoff vectors, from no rejection to all these targets in equal steps.
+
+The second half, which the path does not depend on, walks it: at each step the
+exact binomial (Clopper-Pearson) upper bound of the share of good documents that
+*any* rule rejects must stay under `max_false_rejection`. The walk ends at its
+first failure (fixed-sequence testing, so no correction is due inside it), and
+the strata share the error `delta` by Bonferroni. With probability 1 - delta no
+stratum loses a higher share of its good documents than stated, by all its rules
+together.
 
 Defined results: null or empty text has no words and fails the base rule; null
 labels are no labels; a doc_id labelled twice counts with its lowest quality;
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .kernels import WS, Words, add_per_row, mapper, mix, shingles, slices, span_hash, trimmed
 from .store import documents, written
 
-POOL = "\0"  # the strata beyond `max_strata`; no language has this name
+POOL, UNKNOWN = "\0", "\1"  # the strata beyond `max_strata`, and the null language; no language has these names
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -50,6 +55,8 @@ RULES = {
 }
 #: Cutoffs tried, from the loosest to the strictest.
 GRID = tuple(range(1000, 15, -15))
+#: Steps of a path of cutoff vectors.
+STEPS = len(GRID)
 
 
 def text_measures(data: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, np.ndarray]:
@@ -117,7 +124,7 @@ def _measure(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> dict:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and the measures of each document."""
-    return docs.select("doc_id", F.col("text"), F.coalesce("lang", F.lit("")).alias("stratum")).mapInArrow(mapper(_measure, _FEATURES), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, stratum string")
+    return docs.select("doc_id", F.col("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("stratum")).mapInArrow(mapper(_measure, _FEATURES), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, stratum string")
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
@@ -154,24 +161,38 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(counts: dict[tuple[str, str], list[tuple[int, int, int]]], strata: dict[str, int], max_false_rejection: float, delta: float, least_precision: float) -> dict[tuple[str, str], int]:
-    """Certified cutoff of each (stratum, rule); counts: (measure, good, bad) with each value once."""
-    out = {}
-    each = delta / max(1, len(strata) * len(RULES))
-    for (stratum, rule), rows in counts.items():
-        good = sum(g for _, g, _ in rows)
-        if not good:
-            continue
-        best, price = (0.0, None), least_precision / (1 - least_precision)
-        for cut in GRID:
+def targets(counts: dict[tuple[str, str], list[tuple[int, int, int]]], max_false_rejection: float, least_precision: float) -> dict[tuple[str, str], int]:
+    """Place in GRID of the cutoff that each (stratum, rule) aims at; counts: (measure, good, bad) with each value once."""
+    out, price = {}, least_precision / (1 - least_precision)
+    for at, rows in counts.items():
+        good, best = sum(g for _, g, _ in rows), (0.0, None)
+        for i, cut in enumerate(GRID):
             k = sum(g for v, g, _ in rows if v > cut)
-            if binomial_upper(k, good, each) > max_false_rejection:
+            if k > max_false_rejection * good:
                 break
             bad = sum(b for v, _, b in rows if v > cut)
             if bad - price * k > best[0]:
-                best = (bad - price * k, cut)
+                best = (bad - price * k, i)
         if best[1] is not None:
-            out[stratum, rule] = best[1]
+            out[at] = best[1]
+    return out
+
+
+def on_path(target: int, step: int) -> int:
+    """The place in GRID of a rule at a step of the path from 0 to STEPS."""
+    return target * step // STEPS
+
+
+def certified(rejected: dict[str, dict[int, int]], max_false_rejection: float, delta: float) -> dict[str, int]:
+    """The last step of each stratum's path that holds; rejected: good documents of a stratum by the step that first rejects them."""
+    out = {}
+    for stratum, first in rejected.items():
+        good, k = sum(first.values()), 0
+        for step in range(STEPS + 1):
+            k += first.get(step, 0)
+            if not good or binomial_upper(k, good, delta / len(rejected)) > max_false_rejection:
+                break
+            out[stratum] = step
     return out
 
 
@@ -182,16 +203,31 @@ def thresholds(found: DataFrame, labels: DataFrame, max_false_rejection: float =
     grid: at most (max_strata + 1) * len(RULES) * (len(GRID) + 1) rows.
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = found.join(lab, "doc_id").where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words")
+    rows = found.join(lab, "doc_id").where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     own = [r[0] for r in rows.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
-    step = lambda e: F.expr(f"least(1001, {GRID[-1]} + 15 * cast(ceil(({e} - {GRID[-1]}) / 15.0) as int))")
-    tall = rows.select(F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(POOL).alias("stratum"), "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(e).alias("v")) for r, e in RULES.items()])).alias("x")) if own else None
+    if not own:
+        return {}, set()
+    step = lambda e: F.expr(f"least(1001, {GRID[-1]} + 15 * cast(ceil(greatest({e} - {GRID[-1]}, 0) / 15.0) as int))")
+    rows = rows.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(POOL)).select("stratum", "quality", "half", *[step(e).alias(r) for r, e in RULES.items()])
+    tall = rows.where("half = 0").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in RULES])).alias("x"))
     counts: dict = {}
-    if tall is not None:
-        for s, r, v, g, b in tall.groupBy("stratum", "x.rule", "x.v").agg(F.sum(F.col("quality")), F.sum(1 - F.col("quality"))).collect():
-            counts.setdefault((s, r), []).append((v, int(g), int(b)))
-    strata = {s for s, _ in counts}
-    return choose_cutoffs(counts, dict.fromkeys(strata, 0), max_false_rejection, delta, least_precision), set(own)
+    for s, r, v, g, b in tall.groupBy("stratum", "x.rule", "x.v").agg(F.sum(F.col("quality")), F.sum(1 - F.col("quality"))).collect():
+        counts.setdefault((s, r), []).append((v, int(g), int(b)))
+    aims = targets(counts, max_false_rejection, least_precision)
+    if not aims:
+        return {}, set(own)
+    never, first = F.lit(STEPS + 1), []
+    for rule in RULES:
+        if mine := {s: i for (s, r), i in aims.items() if r == rule}:
+            aim = F.create_map(*[F.lit(x) for s, i in sorted(mine.items()) for x in (s, i)])[F.col("stratum")]
+            place = F.greatest(F.floor((GRID[0] - F.col(rule)) / 15) + 1, F.lit(0)).cast("int")  # the first place in GRID that the measure exceeds
+            first.append(F.when(aim.isNull() | (place > aim), never).when(place == 0, 0).otherwise(F.ceil(place * STEPS / aim).cast("int")))
+    rejected: dict = {s: {} for s, _ in aims}
+    for s, at, g in rows.where("half = 1 and quality = 1").groupBy("stratum", F.least(*first, never).alias("first")).count().collect():
+        if s in rejected:
+            rejected[s][at] = g
+    held = certified(rejected, max_false_rejection, delta)
+    return {(s, r): GRID[on_path(i, held[s])] for (s, r), i in aims.items() if s in held}, set(own)
 
 
 def judged(found: DataFrame, cutoffs: dict, own: set[str]) -> DataFrame:
@@ -223,7 +259,7 @@ def _passing(cutoffs: dict, own: set[str]):
                 "upper": 1000 * m["n_upper"] / np.maximum(m["n_letters"], 1), "few_kinds": 1000 - 1000 * m["n_distinct"] / n, "long_words": 50 * m["word_chars"] / n,
             }
             keep = (m["n_words"] >= 20) & (100 * m["n_repeat_words"] <= 30 * m["n_words"])
-            langs = [(x if x in own else POOL) for x in ((v or "") for v in batch.column(batch.schema.get_field_index("lang")).to_pylist())]
+            langs = [(x if x in own else POOL) for x in ((UNKNOWN if v is None else v) for v in batch.column(batch.schema.get_field_index("lang")).to_pylist())]
             for rule, v in value.items():
                 keep &= v <= np.array([cutoffs.get((s, rule), np.inf) for s in langs])
             yield batch.filter(pa.array(keep))

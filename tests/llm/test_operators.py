@@ -98,6 +98,28 @@ def test_cutoffs_are_certified(spark):
     assert {r.doc_id for r in quality_rules.passing(docs, labels).collect()} == {i for i, k in out.items() if k}
 
 
+def test_all_rules_together_keep_the_promise(spark):
+    """Six rules, each with a tail of good texts of its own: together they may lose 2 %, not each."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    bad = rng.random(n) < 0.3
+    junk = {c: np.where(rng.random(n) < np.where(bad, 0.3, 0.015), rng.integers(300, 900, n), rng.integers(0, 200, n)) for c in ("n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct", "word_chars")}
+    rows = [(i, 1000, 20 * int(junk["word_chars"][i]), int(junk["n_symbols"][i]), int(junk["n_dup_lines"][i]), min(290, int(junk["n_repeat_words"][i])), 1000, int(junk["n_upper"][i]), 1000, 1000 - int(junk["n_distinct"][i]), "\1" if i % 2 else "") for i in range(n)]
+    found = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, stratum string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad.tolist())], "doc_id long, quality int")
+    cutoffs, own = quality_rules.thresholds(found, labels, least_precision=0.5)
+    assert own == {"", "\1"}  # the null language is a stratum of its own
+    kept = {r.doc_id for r in quality_rules.judged(found, cutoffs, own).where("kept").collect()}
+    for half in (0, 1):
+        good = [i for i in range(half, n, 2) if not bad[i]]
+        assert sum(i not in kept for i in good) <= 0.02 * len(good)
+    assert cutoffs and sum(i not in kept for i in range(n) if bad[i]) > 200
+    # the same from plain loops over the rows
+    rules = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "upper": "n_upper", "few_kinds": "n_distinct", "long_words": "word_chars"}
+    caught = {i for i in range(n) if any(junk[rules[r]][i] > c for (s, r), c in cutoffs.items() if r in rules and s == ("\1" if i % 2 else "")) or min(290, junk["n_repeat_words"][i]) > cutoffs.get(("\1" if i % 2 else "", "repeat_words"), 9999)}
+    assert kept == set(range(n)) - caught
+
+
 def test_quality_without_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.quality_rules(none, labels).count() == 0
@@ -267,6 +289,19 @@ def test_main_text_of_articles(spark, sf_dir):
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<p>see <a href="/hidden-valley">the valley</a> now</p>', "see the valley now"), ('<div style="overflow: hidden"><p>body</p></div>', "body"), ('<p title="a hidden gem">text</p>', "text"), ('<p data-hidden="1">text</p>', "text"),
+        ("<p>a</p><p hidden>b</p><div HIDDEN=''><p>c</p></div><p aria-hidden=true>d</p>", "a"), ('<article><p id="social">Social care</p><p class="related">Related</p></article>', "Social care\nRelated"),
+        ('<article><p>own</p></article><div class="reader-comments"><article><p>rc</p></article></div>', "own"), ("<p data-x=don't>text</p>", "text"), ('<p title="a > b" class=\'x > y\'>text</p><p a="open>more</p>', "text\nmore"), ('<article><div class="share"><p>Share this</p></div><p>kept</p></article>', "kept"),
+    ],
+)
+def test_main_text_of_attributes(spark, body, text):
+    page = f"<html><body>{body}</body></html>"
+    assert [r.text for r in main_text.extract_main_text(spark.createDataFrame([(1, "http://a.example/x", page)], "page_id long, url string, html string")).collect()] == [text]
+
+
 def test_main_text_without_article_tags(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = {r.page_id: r.text for r in main_text.extract_main_text(pages).collect()}
@@ -382,6 +417,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(a.limit(0), b).count() == 0 and decontaminate.contaminated(a, b.limit(0)).count() == 0
 
 
+def test_both_ways_know_null_and_repeated_ids(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    docs = spark.createDataFrame([(None, f"x {text} y"), (None, text), (3, text), (3, "nothing here at all but words"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text), (7, f"{text} pi"), (8, None)], "item_id long, text string")
+    ways = [decontaminate.contaminated(docs, items, broadcast_words=w).collect() for w in (400_000, 0)]
+    assert sorted(map(str, ways[0])) == sorted(map(str, ways[1])) and len(ways[0]) == 9
+
+
 @pytest.mark.parametrize("n", range(5, 22))
 def test_decontamination_misses_no_pattern(n):
     import pyarrow as pa
