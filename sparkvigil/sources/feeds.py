@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +48,21 @@ def service_graph(spark: SparkSession, url: str, ttl_s: float = 60.0, timeout_s:
 def post(requests: DataFrame, url: str, token: str | None = None, timeout_s: float = 5.0) -> DataFrame:
     """(group_id, outcome, status) of posting each row's `request`: accepted, client_error, server_error, network or invalid.
 
-    Runs once for each evaluation of the result; write the result to keep it.
+    Runs once for each evaluation of the result; write the result to keep it, or
+    use `post_new`. Each request has an Idempotency-Key, the group and the digest of
+    its body, by which a receiver knows what a repeated task sends again.
     """
 
-    def send(body: str) -> tuple[str, int | None]:
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    return _posted(requests.select("group_id", "request"), url, token, timeout_s)
+
+
+def _posted(requests: DataFrame, url: str, token: str | None, timeout_s: float) -> DataFrame:
+    """`post`, with the further columns of text that the rows have."""
+    kept = [c for c in requests.columns if c != "request"]
+
+    def send(group: str, body: str) -> tuple[str, int | None]:
+        key = f"{group}-{hashlib.sha256((body or '').encode()).hexdigest()[:16]}"
+        head = {"Content-Type": "application/json", "Idempotency-Key": key} | ({"Authorization": f"Bearer {token}"} if token else {})
         try:
             json.loads(body)
         except (TypeError, ValueError):
@@ -64,10 +77,31 @@ def post(requests: DataFrame, url: str, token: str | None = None, timeout_s: flo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [send(x) for x in b.request]
-            yield pd.DataFrame({"group_id": b.group_id, "outcome": [o for o, _ in got], "status": pd.array([s for _, s in got], dtype="Int64")})
+            got = [send(g, x) for g, x in zip(b.group_id, b.request, strict=True)]
+            yield b[kept].assign(outcome=[o for o, _ in got], status=pd.array([s for _, s in got], dtype="Int64"))
+
+    return requests.mapInPandas(run, ", ".join(f"{c} string" for c in kept) + ", outcome string, status long")
 
-    return requests.select("group_id", "request").mapInPandas(run, "group_id string, outcome string, status long")
+
+def post_new(requests: DataFrame, url: str, ledger: str, token: str | None = None, timeout_s: float = 5.0) -> DataFrame:
+    """Posts what the ledger, a Parquet folder, does not know as settled, and adds the outcomes to it; gives those of this call.
+
+    Settled are requests that were accepted or that the receiver refused as wrong
+    (client_error, invalid); server errors and network failures are tried again by
+    the next call. A request is told by group_id and its body's digest.
+    """
+    spark, digest = requests.sparkSession, F.sha2(F.coalesce("request", F.lit("")), 256)
+    known = "group_id string, digest string, outcome string, status long, call string"
+    call = uuid.uuid4().hex
+    try:
+        settled = spark.read.schema(known).parquet(ledger).where("outcome in ('accepted', 'client_error', 'invalid')").select("group_id", "digest").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        settled = spark.createDataFrame([], "group_id string, digest string")
+    new = requests.select("group_id", "request", digest.alias("digest")).dropDuplicates(["group_id", "digest"]).join(settled, ["group_id", "digest"], "left_anti")
+    _posted(new, url, token, timeout_s).withColumn("call", F.lit(call)).write.mode("append").parquet(ledger)
+    return spark.read.schema(known).parquet(ledger).where(F.col("call") == call).drop("call", "digest")
 
 
 def isolated(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

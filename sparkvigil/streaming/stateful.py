@@ -145,6 +145,96 @@ class Groups(_Fold):
         return pd.DataFrame(out, columns=["event_key", "deploy_ref", "seq", "window_start_ts", "late_arrival"]), tuple(-1 if v is None else v for v in (opened, closed_at, closed))
 
 
+class ClosedGroups(StatefulProcessor):
+    """Each verdict group once, when it is final: by the verdict that rotates it, or by an event-time timer.
+
+    A group is final when the next one of its key opens, when the watermark has
+    passed the last second of its window while it was open, or the last second of
+    the grace after a terminal verdict. The state holds at most one open and one
+    closed group of a key and is cleared when both are told, so idle keys leave
+    nothing behind. Rows come with `ts` in seconds and `event_time`, the watermarked
+    timestamp; rows behind the watermark have been dropped before.
+    """
+
+    window_s, grace_s = 300, 60
+    _FIELDS = ("open_start", "open_n", "open_firing", "open_last", "closed_at", "closed_start", "closed_n", "closed_firing", "closed_late", "closed_last")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("groups", ", ".join(f"{f} long" for f in self._FIELDS))
+
+    def _load(self) -> dict:
+        return dict(zip(self._FIELDS, self.state.get() if self.state.exists() else [-1] * len(self._FIELDS), strict=True))
+
+    def _save(self, g: dict) -> None:
+        if g["open_start"] < 0 and g["closed_at"] < 0:
+            self.state.clear()
+        else:
+            self.state.update(tuple(g[f] for f in self._FIELDS))
+
+    def _frame(self, out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=["event_key", "deploy_ref", "window_start_ts", "last_ts", "n_verdicts", "n_firing", "n_late", "reason"])
+
+    def _tell_closed(self, key, g: dict, out: list) -> None:
+        if g["closed_at"] >= 0:
+            out.append((*key, g["closed_start"], g["closed_last"], g["closed_n"], g["closed_firing"], g["closed_late"], "terminal_verdict"))
+            g["closed_at"] = -1
+
+    def _tell_open(self, key, g: dict, out: list) -> None:
+        if g["open_start"] >= 0:
+            out.append((*key, g["open_start"], g["open_last"], g["open_n"], g["open_firing"], 0, "window_elapsed"))
+            g["open_start"] = -1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        g, out = self._load(), []
+        for r in _frame(rows, ["ts", "seq"]).itertuples():
+            t, firing = int(r.ts), int(r.firing)
+            rotates = g["open_start"] >= 0 and t - g["open_start"] > self.window_s
+            if rotates:
+                self._tell_open(key, g, out)
+            elif g["open_start"] < 0 and g["closed_at"] >= 0 and t - g["closed_at"] <= self.grace_s:
+                g |= {"closed_n": g["closed_n"] + 1, "closed_firing": g["closed_firing"] + firing, "closed_late": g["closed_late"] + 1, "closed_last": t}
+                continue
+            if g["open_start"] < 0:
+                self._tell_closed(key, g, out)
+                g |= {"open_start": t, "open_n": 0, "open_firing": 0}
+                self.handle.registerTimer((t + self.window_s + 1) * 1000)
+            g |= {"open_n": g["open_n"] + 1, "open_firing": g["open_firing"] + firing, "open_last": t}
+            if r.terminal:
+                g |= {"closed_at": t, "closed_start": g["open_start"], "closed_n": g["open_n"], "closed_firing": g["open_firing"], "closed_late": 0, "closed_last": t, "open_start": -1}
+                self.handle.registerTimer((t + self.grace_s + 1) * 1000)
+        self._save(g)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, g, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, self._load(), []
+        if g["closed_at"] >= 0 and g["closed_at"] + self.grace_s < now:
+            self._tell_closed(key, g, out)
+        if g["open_start"] >= 0 and g["open_start"] + self.window_s < now:
+            self._tell_open(key, g, out)
+        self._save(g)
+        yield from self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def closed_groups(verdicts: DataFrame, window_s: int = 300, grace_s: int = 60, late: str = "0 seconds") -> DataFrame:
+    """The stream of final verdict groups: event_key, deploy_ref, window_start_ts, last_ts, n_verdicts, n_firing, n_late, reason.
+
+    Verdicts: cluster_event_id, deploy_ref, ts (seconds), seq, terminal, families.
+    Rows that come more than `late` behind the newest are dropped.
+    """
+    from pyspark.sql import functions as F
+
+    v = verdicts.select(F.coalesce("cluster_event_id", F.lit("")).alias("event_key"), "deploy_ref", F.col("ts").cast("long").alias("ts"), "seq", F.coalesce("terminal", F.lit(False)).alias("terminal"), (F.size("families") > 0).cast("int").alias("firing"), F.timestamp_seconds("ts").alias("event_time")).where("ts is not null")
+    p = ClosedGroups()
+    p.window_s, p.grace_s = window_s, grace_s
+    out = "event_key string, deploy_ref string, window_start_ts long, last_ts long, n_verdicts long, n_firing long, n_late long, reason string"
+    return v.withWatermark("event_time", late).groupBy("event_key", "deploy_ref").transformWithStateInPandas(statefulProcessor=p, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
 OUTPUT = {
     CounterRates: "series long, arrival long, rate double, elapsed double, wrapped boolean, reset boolean",
     Betting: "series long, tick long, log_m double",

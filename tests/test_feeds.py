@@ -53,6 +53,14 @@ def test_post(spark, server):
     assert feeds.post(df.limit(1), "http://127.0.0.1:9").first().outcome == "network"
 
 
+def test_post_new_sends_what_is_not_settled(spark, server, tmp_path):
+    url, _ = server
+    df = spark.createDataFrame([("a", '{"n": 202}'), ("a", '{"n": 202}'), ("b", '{"n": 404}'), ("c", '{"n": 503}'), ("d", "{"), (None, '{"n": 200}'), ("e", None)], "group_id string, request string")
+    calls = [{(r.group_id, r.outcome, r.status) for r in feeds.post_new(df, url, str(tmp_path / "ledger")).collect()} for _ in range(2)]
+    assert calls[0] == {("a", "accepted", 202), ("b", "client_error", 404), ("c", "server_error", 503), ("d", "invalid", None), (None, "accepted", 200), ("e", "invalid", None)}
+    assert calls[1] - {(None, "accepted", 200)} == {("c", "server_error", 503)}
+
+
 def test_deploy_events(spark):
     ok = {"contract_version": "v1", "event": {"event_id": "e", "event_class": "env_change", "event_ts": 5.0}, "emitted_at_ts": 6.0}
     lines = [json.dumps(ok), json.dumps(ok | {"contract_version": "v2"}), "nonsense"]
