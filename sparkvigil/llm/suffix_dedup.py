@@ -45,7 +45,8 @@ from .kernels import mix, packed, prefix_hash, slices, span_hash, trimmed
 from .store import documents, written
 
 GRAM = 32
-SHARD_BYTES = 2 << 20  # of texts that are sorted at once
+SHARD_BYTES = 1 << 20  # of texts that are sorted at once
+QUEUE_POSITIONS = 1 << 17  # that the queues of a sort hold in memory; the others are on disk
 TASK_BYTES = 32 << 20  # of the shards that one task sorts, one after the other
 SLICE = 1 << 18  # bytes of text at once: the windows of a slice take some 200 bytes for each
 _U = np.uint64
@@ -312,7 +313,7 @@ def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     return laid, laid
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int = 8 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, memory_positions: int = QUEUE_POSITIONS) -> DataFrame:
     """(doc_id, first, more): windows first .. first + more of a document also start earlier; doc_ids are distinct, 33 to 254 bytes are a window."""
     if not GRAM < length < FULL:
         raise ValueError(f"length is {length}, not in {GRAM + 1} .. {FULL - 1}")
