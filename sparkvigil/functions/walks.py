@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cut import cut
+from ..operators.cut import cut, cut_in_place
 
 #: Rows of a block, and most blocks of a table.
 BLOCK_ROWS = 1 << 18
@@ -154,7 +154,7 @@ def anchored(df: DataFrame, keys: list[str], by: list[str], columns: list[str],
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, k, np.int32))], names=[*b.schema.names, "_block"])
 
-    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
+    dealt = cut_in_place(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
     whole = [*keys, "_block"]
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
@@ -276,7 +276,7 @@ def scanned(df: DataFrame, keys: list[str], by: list[str], columns: list[str], c
                 t = t.append_column(c, pa.array(given[c], kind, from_pandas=True))
             yield from t.combine_chunks().to_batches()
 
-    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
+    dealt = cut_in_place(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
     sums = dealt.mapInArrow(summed, f"{key_fields}, _block int, _sum array<double>")
     states = sums.repartition(*keys).sortWithinPartitions(*whole).mapInArrow(composed, f"{key_fields}, _block int, _before array<double>")
     if told is not None:

@@ -278,53 +278,6 @@ def consistency(alpha: float, p: int) -> float:
     return alpha / cdf if cdf > 0 else 1.0
 
 
-def robust_covariance(x: np.ndarray, alpha: float = 0.75, starts: int = 500, seed: int = 0xFA5DA, per_dim: int = 5):
-    """(mean, covariance, method, share of outliers): minimum covariance determinant, reweighted; few rows are shrunk instead."""
-    n, p = x.shape
-    if n < max(per_dim * p, p + 1):
-        m = x.mean(0)
-        return m, ledoit_wolf(x - m)[0], "ledoit_wolf", 0.0
-    h = max(p + 1, int(np.ceil(alpha * n)))
-
-    def refit(m, c):
-        d = np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
-        kept = np.argsort(d, kind="stable")[:h]
-        m = x[kept].mean(0)
-        c = np.cov(x[kept].T, bias=True).reshape(p, p)
-        sign, det = np.linalg.slogdet(c)
-        return (det, m, c) if sign > 0 and np.isfinite(det) else None
-
-    u, found = mulberry32(seed, starts * (p + 1) * 4), []
-    for t in range(starts):
-        pick = list(dict.fromkeys((u[t * (p + 1) * 4 : (t + 1) * (p + 1) * 4] * n).astype(int).tolist()))[: p + 1]
-        c = np.cov(x[pick].T, bias=True).reshape(p, p)
-        if len(pick) <= p or np.linalg.matrix_rank(c) < p:
-            continue
-        one = refit(x[pick].mean(0), c)
-        two = refit(*one[1:]) if one else None
-        if two:
-            found.append(two)
-    if not found:
-        m = x.mean(0)
-        return m, ledoit_wolf(x - m)[0], "ledoit_wolf", 0.0
-    best = None
-    for cur in sorted(found, key=lambda f: f[0])[:10]:
-        for _ in range(20):
-            nxt = refit(*cur[1:])
-            if nxt is None:
-                break
-            done, cur = abs(nxt[0] - cur[0]) < 1e-10, nxt
-            if done:
-                break
-        if best is None or cur[0] < best[0]:
-            best = cur
-    m, c = best[1], best[2] * consistency(h / n if h < n else 0.999999, p)
-    near = np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T) <= _wilson_hilferty(1.95996398454005, p)
-    if near.sum() > p:
-        m, c = x[near].mean(0), np.cov(x[near].T, bias=True).reshape(p, p) * consistency(0.975, p)
-    return m, c, "mcd", float(1 - near.mean())
-
-
 # kernels and random features
 
 
@@ -544,14 +497,6 @@ def localised(df: DataFrame, fleet: str, cal: int, test: int, q: float, domain_c
     return e_bh(e.join(g, [fleet, "shard"]), [fleet, "_g"], q, "e", "shard").drop("_g")
 
 
-def cell_covariances(df: DataFrame, cell: str, dims: list[str], **options) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, c, method, out = robust_covariance(pdf[dims].to_numpy(float), **options)
-        return pd.DataFrame({cell: [key[0]], "n": [len(pdf)], "mean": [m.tolist()], "cov": [c.tolist()], "method": [method], "outliers": [out]})
-
-    return df.select(cell, *dims).groupBy(cell).applyInPandas(run, f"{cell} {dict(df.dtypes)[cell]}, n long, mean array<double>, cov array<array<double>>, method string, outliers double")
-
-
 def emmd_wealth(x: np.ndarray, base: np.ndarray, width: float, warm: int = 10) -> np.ndarray:
     """Wealth of bets on the distance to a baseline's mean embedding.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernel_tests as kt
 from ..operators import matrix as mx
+from ..operators import robust as rb
 from .registry import registry, rounded
 from .views import VECTORS, series, table, vectors
 
@@ -59,7 +60,7 @@ def localize_faults(spark, sf):
 
 @query()
 def robust_covariance(spark, sf):
-    out = mx.cell_covariances(vectors(spark, sf), "cell", ["v1", "v2", "v3"])
+    out = rb.cell_covariances(vectors(spark, sf), "cell", ["vec_id"], _DIMS)
     return out.select("cell", "n", "method", F.round("outliers", 6).alias("outliers"), F.round(F.col("cov")[0][0], 6).alias("c11"))
 
 

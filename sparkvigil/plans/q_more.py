@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import certify as ct
+from ..operators import covariates as cv
 from ..operators import evidence as ev
 from ..operators import replay as rp
+from ..operators.cut import shared_folder
+from ..sources.event_feed import registered
 from .q_detectors import _HOT, _MIX, _PEAK, _hot
 from .q_detectors import SQL as _DETECTOR_SQL
 from .q_fleet import _NB
@@ -98,6 +101,47 @@ def _cov(spark, sf):
     return y, ct.covariate_fit(y, ["series"], "c", "x")
 
 
+#: Two covariates and an intercept by Cramer's rule, orders 0 to 2.
+_COVS = f"""{SERIES}, y AS (SELECT series, tick, x, sin(tick * 0.3::DOUBLE) AS c, (tick % 7)::DOUBLE AS w FROM s),
+g AS (SELECT series, count(*) AS n, count(*) * (1 + 1e-8::DOUBLE) AS a00, sum(c) AS a01, sum(w) AS a02, sum(c * c) * (1 + 1e-8::DOUBLE) AS a11, sum(c * w) AS a12, sum(w * w) * (1 + 1e-8::DOUBLE) AS a22, sum(x) AS b0, sum(c * x) AS b1, sum(w * x) AS b2 FROM y GROUP BY series HAVING count(*) >= 16),
+q AS (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det FROM g),
+co AS (SELECT series, n, (b0 * (a11 * a22 - a12 * a12) - a01 * (b1 * a22 - a12 * b2) + a02 * (b1 * a12 - a11 * b2)) / det AS k0, (a00 * (b1 * a22 - a12 * b2) - b0 * (a01 * a22 - a12 * a02) + a02 * (a01 * b2 - b1 * a02)) / det AS k1, (a00 * (a11 * b2 - b1 * a12) - a01 * (a01 * b2 - b1 * a02) + b0 * (a01 * a12 - a11 * a02)) / det AS k2 FROM q),
+u AS (SELECT y.series, tick, n, x - k0 - k1 * c - k2 * w AS u FROM y JOIN co USING (series)), d AS (SELECT *, u - avg(u) OVER (PARTITION BY series) AS d FROM u), l AS (SELECT *, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2, lag(u) OVER w AS u1, lag(u, 2) OVER w AS u2, lag(u, 3) OVER w AS u3 FROM d WINDOW w AS (PARTITION BY series ORDER BY tick)),
+ga AS (SELECT series, count(*) AS n, sum(d * d) / count(*) AS g0, sum(d * d1) / count(*) AS g1, sum(d * d2) / count(*) AS g2 FROM l GROUP BY series), pk AS (SELECT *, g1 / g0 AS k1, g0 * (1 - (g1 / g0) * (g1 / g0)) AS s1 FROM ga), pl AS (SELECT *, (g2 - k1 * g1) / s1 AS k2 FROM pk),
+pm AS (SELECT *, s1 * (1 - k2 * k2) AS s2, n * ln(g0) AS i0, n * ln(s1) + 2 AS i1, CASE WHEN abs(k2) <= 1 THEN n * ln(s1 * (1 - k2 * k2)) + 4 ELSE 1e300 END AS i2 FROM pl),
+ar AS (SELECT series, CASE WHEN i2 < least(i0, i1) THEN 2 WHEN i1 < i0 THEN 1 ELSE 0 END AS p, k1, k2, g0, s1, s2 FROM pm), fit AS (SELECT series, p, CASE p WHEN 2 THEN k1 - k2 * k1 WHEN 1 THEN k1 ELSE 0 END AS f1, CASE p WHEN 2 THEN k2 ELSE 0 END AS f2, CASE p WHEN 2 THEN s2 WHEN 1 THEN s1 ELSE g0 END AS v FROM ar),
+e AS (SELECT l.series, l.tick, p, f1, f2, v, CASE WHEN p = 0 THEN u WHEN p = 1 THEN u - f1 * u1 ELSE u - f1 * u1 - f2 * u2 END AS e FROM l JOIN fit USING (series)),
+r AS (SELECT series, avg(e) AS m, count(*) AS n, sqrt(avg(e * e)) AS rmse FROM e WHERE e IS NOT NULL GROUP BY series), t AS (SELECT e.series, r.n, rmse, e - m AS z, lag(e - m) OVER (PARTITION BY e.series ORDER BY tick) AS z1 FROM e JOIN r USING (series) WHERE e IS NOT NULL),
+wh AS (SELECT series, first(n) AS n, first(rmse) AS rmse, sum(z * z1) / sum(z * z) AS rho FROM t GROUP BY series)"""
+
+
+def _covs(spark, sf):
+    y = series(spark, sf).withColumns({"c": F.sin(F.col("tick") * 0.3), "w": (F.col("tick") % 7).cast("double")})
+    return y, cv.fitted(y, ["series"], ["c", "w"], "x", max_order=2)
+
+
+@query(f"WITH {_COVS} SELECT series, round(k0, 6) AS intercept, round(co.k1, 6) AS beta1, round(co.k2, 6) AS beta2, p AS ar_order, round(f1, 6) AS phi1, round(v, 6) AS sigma2, round(rho, 6) AS residual_lag1_rho, abs(rho) < greatest(0.1::DOUBLE, 2 / sqrt(wh.n)) AS white, round(rmse, 6) AS one_step_rmse FROM co JOIN fit USING (series) JOIN wh USING (series)")
+def bl_covariates_fit(spark, sf):
+    """Two covariates, an autoregression of the order of least AIC, and whiteness of its one-step residual."""
+    f = _covs(spark, sf)[1].select("series", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("beta1"), F.col("coef")[2].alias("beta2"), "ar_order", F.coalesce(F.get("phi", F.lit(0)), F.lit(0.0)).alias("phi1"), "sigma2", "residual_lag1_rho", "white", "one_step_rmse")
+    return rounded(f, "intercept", "beta1", "beta2", "phi1", "sigma2", "residual_lag1_rho", "one_step_rmse")
+
+
+@query(f"WITH {_COVS} SELECT series, tick, round(e, 6) AS residual, round(e / sqrt(v), 6) AS standardized FROM e")
+def bl_covariates_one_step(spark, sf):
+    y, fit = _covs(spark, sf)
+    return rounded(cv.one_step(y, fit, ["series"], ["c", "w"], "x", max_order=2), "residual", "standardized").select("series", "tick", "residual", "standardized")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS kind, date_diff('second', TIMESTAMP '1970-01-01', ts) AS event_ts FROM events WHERE date_diff('second', TIMESTAMP '1970-01-01', ts) > 1705000000")
+def source_event_feed(spark, sf):
+    """Cluster events after a point in time, landed as files and read through the event feed."""
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("kind"), epoch("ts").alias("event_ts"))
+    landed = f"{shared_folder(spark)}/event-feed"
+    e.write.parquet(landed)
+    return registered(spark).read.format("event_feed").option("since", 1705000000).load(landed).select("event_id", "kind", "event_ts")
+
+
 @query(f"WITH {_COV} SELECT series, round(ic, 6) AS intercept, round(be, 6) AS beta, round(phi, 6) AS phi, round(s2, 6) AS sigma2 FROM fit")
 def bl_covariate_fit(spark, sf):
     cols = ("intercept", "beta", "phi", "sigma2")

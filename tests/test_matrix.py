@@ -104,16 +104,6 @@ def test_instrumented():
     assert np.abs(same[0]).max() > 1  # singular: the level only
 
 
-def test_robust_covariance():
-    rng = np.random.default_rng(6)
-    true = np.array([[1.0, 0.5], [0.5, 2.0]])
-    x = rng.multivariate_normal([0, 0], true, 400)
-    x[:60] += 30
-    m, c, method, out = mx.robust_covariance(x)
-    assert method == "mcd" and np.abs(m).max() < 0.3 and np.abs(c - true).max() < 0.6 and out > 0.1
-    assert mx.robust_covariance(rng.normal(0, 1, (6, 3)))[2] == "ledoit_wolf"
-
-
 def test_features_approximate_the_kernel():
     x = np.random.default_rng(7).normal(0, 1, (30, 3))
     fm = mx.feature_map(9, 4096, 3, 1.5)
