@@ -10,6 +10,7 @@ from ..operators import covariates as cv
 from ..operators import evidence as ev
 from ..operators import replay as rp
 from ..operators.cut import shared_folder
+from ..sources import accelerators as ac
 from ..sources.event_feed import registered
 from .q_detectors import _HOT, _MIX, _PEAK, _hot
 from .q_detectors import SQL as _DETECTOR_SQL
@@ -133,6 +134,20 @@ def bl_covariates_one_step(spark, sf):
     return rounded(cv.one_step(y, fit, ["series"], ["c", "w"], "x", max_order=2), "residual", "standardized").select("series", "tick", "residual", "standardized")
 
 
+@query("""WITH c AS (SELECT s_nationkey AS n, s_suppkey AS k FROM supplier), e AS (SELECT DISTINCT n, least('c' || k, 'c' || (k + 1)) AS src, greatest('c' || k, 'c' || (k + 1)) AS dst FROM c)
+SELECT 'slice-' || n AS source, CASE n % 3 WHEN 0 THEN 'v4' WHEN 1 THEN 'v5e' ELSE 'v5p' END AS tpu_version, n % 5 < 3 AS partial, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM e WHERE e.n = g.n UNION SELECT dst FROM e WHERE e.n = g.n)) AS n_nodes, (SELECT count(*) FROM e WHERE e.n = g.n) AS n_edges FROM (SELECT DISTINCT n FROM c) g""")
+def source_tpu_topology(spark, sf):
+    """A chip mesh for each nation's suppliers, written as a document and read again."""
+    k = F.col("s_suppkey")
+    chip = F.struct(F.concat(F.lit("c"), k).alias("chip"), F.array(F.concat(F.lit("c"), k + 1), F.concat(F.lit("c"), k)).alias("ici_peers"))
+    n = F.col("s_nationkey")
+    doc = F.to_json(F.struct(F.when(n % 3 == 0, "v4").when(n % 3 == 1, "v5e").otherwise("v5p").alias("tpu_version"), F.array(F.lit(4), F.lit(8), (n % 5 + 1).cast("int")).alias("slice_shape"), F.col("chips")))
+    body = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list(chip).alias("chips")).select(F.concat(F.lit("slice-"), n).alias("source"), doc.alias("value"))
+    shots, nodes, edges = ac.tpu_topology(body)
+    count = lambda df, name: df.groupBy("source").agg(F.count("*").alias(name))
+    return shots.select("source", "tpu_version", "partial").join(count(nodes, "n_nodes"), "source").join(count(edges, "n_edges"), "source")
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS kind, date_diff('second', TIMESTAMP '1970-01-01', ts) AS event_ts FROM events WHERE date_diff('second', TIMESTAMP '1970-01-01', ts) > 1705000000")
 def source_event_feed(spark, sf):
     """Cluster events after a point in time, landed as files and read through the event feed."""

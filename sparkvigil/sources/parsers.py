@@ -64,27 +64,12 @@ def cluster_nodes(body: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def peer_links(lines: DataFrame) -> DataFrame:
-    """Undirected peer pairs of a link status text: `GPU n:` headers, then lines that name a remote GPU. lines: line_no, value."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # one host's status text
+    """Undirected peer pairs of a link status text: `GPU n:` headers, then lines that name a remote GPU. lines: line_no, value and, for several hosts, host."""
+    w = Window.partitionBy(*(["host"] if "host" in lines.columns else [F.lit(0)])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a host's status text is bounded
     gpu = F.when(F.col("value").rlike(r"^GPU \d+:"), F.regexp_extract("value", r"^GPU (\d+):", 1).cast("int"))
     peer = F.when(~F.col("value").rlike(r"^GPU \d+:") & F.col("value").rlike(r"GPU \d+"), F.regexp_extract("value", r"GPU (\d+)", 1).cast("int"))
     r = lines.withColumn("a", F.last(gpu, True).over(w)).withColumn("b", peer).where("a is not null and b is not null and a <> b")
-    return r.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
-def chip_links(body: DataFrame) -> DataFrame:
-    """Undirected chip pairs of a device list in JSON with `connected_to`, self-links dropped."""
-    d = body.select(F.explode(F.from_json("value", "array<struct<neuron_device:int,connected_to:array<int>>>")).alias("d")).select(F.col("d.neuron_device").alias("a"), F.explode("d.connected_to").alias("b")).where("a <> b")
-    return d.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
-def torus_config(body: DataFrame) -> DataFrame:
-    """Shape of a mesh given as JSON {version, topology: {x, y, z}} (or "4x4x4"); an unknown version or a shape that is not positive is an error."""
-    j = body.select(F.get_json_object("value", "$.version").alias("version"), F.get_json_object("value", "$.topology").alias("t"))
-    dims = F.when(F.col("t").rlike(r"^\d+x\d+x\d+$"), F.split("t", "x")).otherwise(F.array(*[F.get_json_object("t", f"$.{c}") for c in "xyz"]))
-    d = F.transform(dims, lambda x: x.try_cast("int"))
-    fine = (F.col("version") == "v1") & F.forall(d, lambda x: F.coalesce(x > 0, F.lit(False)))
-    return j.select(F.when(fine, d).otherwise(F.raise_error(F.concat(F.lit("bad mesh: "), F.coalesce("t", F.lit("none")))).cast("array<int>")).alias("shape"))
+    return r.select(*(["host"] if "host" in lines.columns else []), F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def torus_links(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:

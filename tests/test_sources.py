@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvigil.operators import topology
+from sparkvigil.sources import accelerators as ac
 from sparkvigil.sources import parsers as ps
 
 
@@ -42,8 +43,6 @@ def test_cluster_nodes(spark):
 
 def test_links(spark):
     assert rows(ps.peer_links(text(spark, ["GPU 0: X", " Link 0: GPU 1", " Link 1: GPU 0", "GPU 1: X", " Link 0: GPU 0", " Link 1: GPU 2"]))) == [(0, 1), (1, 2)]
-    body = json.dumps([{"neuron_device": 0, "connected_to": [1, 0]}, {"neuron_device": 1, "connected_to": [0, 2]}])
-    assert rows(ps.chip_links(spark.createDataFrame([(body,)], "value string"))) == [(0, 1), (1, 2)]
     assert ps.torus_links(spark, (4, 1, 1)).count() == 4 and ps.torus_links(spark, (2, 2, 1)).count() == 4
     with pytest.raises(ValueError):
         ps.torus_links(spark, (0, 1, 1))
@@ -83,9 +82,6 @@ def test_parsers_refuse_what_is_malformed(spark, tmp_path):
             line(bad).select(ps.expand_hostlist(F.col("value"))).collect()
     with pytest.raises(Exception, match="bad topology line"):
         ps.switch_topology(line("SwitchName=s Nodes=a Colour=red"))[0].collect()
-    assert ps.torus_config(line('{"version": "v1", "topology": {"x": 2, "y": 3, "z": 4}}')).first().shape == [2, 3, 4]
-    with pytest.raises(Exception, match="bad mesh"):
-        ps.torus_config(line('{"version": "v2", "topology": "2x2x2"}')).collect()
     (tmp_path / "bench").mkdir()
     (tmp_path / "bench" / "a.csv").write_text("timestamp,value\n2020-01-01,1\n2020-01-02,2\n")
     assert ps.benchmark_files(spark, str(tmp_path)).first().dataset == "bench/a.csv"
@@ -100,3 +96,39 @@ def test_parsers_refuse_what_is_malformed(spark, tmp_path):
     (tmp_path / "t.json").write_text(good.replace("slice10", "slice9"))
     with pytest.raises(Exception, match="not a substrate"):
         ea.substrate(spark, str(tmp_path / "t.json")).collect()
+
+
+TPU = {"tpu_version": "v4", "slice_shape": [4, 4, 4], "chips": [{"chip": "a", "ici_peers": ["b", "a", "z"]}, {"chip": "b", "ici_peers": ["a"]}, {"chip": "c"}]}
+
+
+def documents(spark, **docs):
+    return spark.createDataFrame([(k, v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in docs.items()], "source string, value string")
+
+
+def test_chip_meshes(spark):
+    shots, nodes, edges = ac.tpu_topology(documents(spark, one=TPU, two=TPU | {"tpu_version": "v5e", "slice_shape": [2, 4, 4.0], "topology_type": "mesh"}))
+    assert rows(shots) == [("one", "tpu_topology_source", "tpu-v4-1", "v4", False, None), ("two", "tpu_topology_source", "tpu-v5e-1", "v5e", True, None)]
+    assert rows(nodes.where("source = 'one'")) == [("one", x, x, "tpu_shard") for x in "abcz"]
+    assert rows(edges.where("source = 'two'")) == [("two", "a", "b", "tpu_ici_peer"), ("two", "a", "z", "tpu_ici_peer")]
+
+
+def test_malformed_chip_meshes(spark):
+    bad = {
+        "TPU_PARSE_INVALID_JSON": ["{", None, ""], "TPU_PARSE_MISSING_TPU_VERSION": [[], 3, {}, TPU | {"tpu_version": ""}, TPU | {"tpu_version": 4}], "TPU_PARSE_UNKNOWN_TPU_VERSION: v9": [TPU | {"tpu_version": "v9"}],
+        "TPU_PARSE_INVALID_SLICE_SHAPE": [TPU | {"slice_shape": x} for x in (None, "4x4x4", [4, 4], [4, 4, 0], [4, 4, 1.5], [4, 4, "4"], ["4", "4", "4"])], "TPU_PARSE_MISSING_CHIPS": [TPU | {"chips": x} for x in (None, {}, "a")], "TPU_PARSE_NO_CHIPS": [TPU | {"chips": []}],
+    }
+    docs = {f"{code}#{i}": x for code, many in bad.items() for i, x in enumerate(many)}
+    shots, nodes, edges = ac.tpu_topology(documents(spark, **docs), strict=False)
+    assert {r.source: r.problem for r in shots.collect()} == {k: k.split("#")[0] for k in docs} and not nodes.collect() and not edges.collect()
+    with pytest.raises(Exception, match="TPU_PARSE_NO_CHIPS in x"):
+        ac.tpu_topology(documents(spark, x=TPU | {"chips": []}))[0].collect()
+
+
+def test_device_lists(spark):
+    docs = {"t": {"instance_type": "trn1.32xlarge", "neuron_devices": [{"neuron_device": 0, "connected_to": [1, 0]}, {"neuron_device": 1, "connected_to": [0, 2]}]}, "i": {"instance_type": "inf2", "neuron_devices": [{"neuron_device": 0}]}}
+    shots, nodes, edges = ac.neuron_topology(documents(spark, **docs))
+    assert rows(shots) == [("i", "neuron_topology_source", "neuron-1", "inferentia", True, None), ("t", "neuron_topology_source", "neuron-1", "trainium", False, None)]
+    assert rows(nodes) == [("i", "neuron-0", "neuron-0", "inferentia_chip"), *(("t", f"neuron-{i}", f"neuron-{i}", "trainium_chip") for i in range(3))]
+    assert rows(edges) == [("t", "neuron-0", "neuron-1", "neuron_link_peer"), ("t", "neuron-1", "neuron-2", "neuron_link_peer")]
+    bad = {"NEURON_PARSE_INVALID_JSON": "{", "NEURON_PARSE_MISSING_INSTANCE_TYPE": {"instance_type": 3}, "NEURON_PARSE_UNKNOWN_INSTANCE_TYPE: p4": {"instance_type": "p4"}, "NEURON_PARSE_MISSING_NEURON_DEVICES": {"instance_type": "trn1"}, "NEURON_PARSE_NO_DEVICES": {"instance_type": "trn1", "neuron_devices": []}}
+    assert {r.source: r.problem for r in ac.neuron_topology(documents(spark, **bad), strict=False)[0].collect()} == {k: k for k in bad}
