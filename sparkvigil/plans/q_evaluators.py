@@ -88,6 +88,26 @@ def hotelling_verdicts(spark, sf):
     return rounded(out, "statistic").select("vec_id", "statistic", "verdict", "reason")
 
 
+@query(f"""WITH {VECTORS}, c AS (SELECT cell, avg(v1) AS m1, avg(v2) AS m2 FROM v GROUP BY cell), r AS (SELECT v.vec_id, cell, CASE WHEN abs(m1) > 1e-12 THEN (v1 - m1) / m1 ELSE v1 - m1 END AS a, CASE WHEN abs(m2) > 1e-12 THEN (v2 - m2) / m2 ELSE v2 - m2 END AS b FROM v JOIN c USING (cell)),
+t AS (SELECT *, a * a / 100 + b * b / 400 AS t2, a * a / 150 + b * b / 450 AS u2, vec_id % 10 = 3 AS held, cell % 2 = 0 AS safe FROM r), z AS (SELECT *, CASE WHEN held THEN 0 ELSE 0.5::DOUBLE * t2 - 0.5::DOUBLE * u2 - 0.5::DOUBLE * ln(150 * 450 / 40000.0::DOUBLE) END AS z FROM t WHERE safe),
+zc AS (SELECT *, sum(z) OVER (PARTITION BY cell ORDER BY vec_id) AS cs FROM z), zl AS (SELECT *, cs + greatest(0, max(-690.7755278982137::DOUBLE - cs) OVER (PARTITION BY cell ORDER BY vec_id)) AS lm FROM zc),
+zf AS (SELECT *, NOT held AND lm >= ln(1.25::DOUBLE) AS fire FROM zl)
+SELECT vec_id, 'safe_test' AS variant, round(lm, 6) AS log_statistic, CASE WHEN held THEN 'suppressed' WHEN fire THEN 'fire' ELSE 'clean' END AS verdict, CASE WHEN held THEN 'bake_profile_not_met' WHEN fire THEN 'safe_hotelling_wealth_exceeded' ELSE 'below_threshold' END AS reason,
+CASE WHEN fire AND sum(fire::INT) OVER (PARTITION BY cell ORDER BY vec_id) = 1 THEN 0.8 ELSE 0 END::DOUBLE AS alpha_spent FROM zf
+UNION ALL SELECT vec_id, 'chi_square', round(ln(t2), 6), CASE WHEN held THEN 'suppressed' WHEN t2 >= 6 THEN 'fire' ELSE 'clean' END, CASE WHEN held THEN 'bake_profile_not_met' WHEN t2 >= 6 THEN 'statistic_exceeded_threshold' ELSE 'within_threshold' END, NULL FROM t WHERE NOT safe""")
+def family_c_verdicts(spark, sf):
+    """Cells of even labels run the safe test, the others, which lack its parameters or ask for it, chi-square; every tenth vector is behind a gate."""
+    v = vectors(spark, sf)
+    c = v.groupBy("cell").agg(F.avg("v1").alias("m1"), F.avg("v2").alias("m2"))
+    why = gate(F.lit(None).cast("string"), F.when(F.col("vec_id") % 10 == 3, 0).otherwise(9), F.lit(9), F.lit(0), F.lit(1.0))
+    cov = {(0, 0): F.lit(100.0), (0, 1): F.lit(0.0), (1, 1): F.lit(400.0)}
+    even = F.col("cell") % 2 == 0
+    asked = F.when(F.col("cell") % 3 > 0, "safe_test").when(even, "safe_test")
+    shrink = F.when(even, 0.5 * F.log(F.lit(150 * 450 / 40000.0)))
+    out = ea.family_c_verdicts(v.join(c, "cell"), ["cell"], ["v1", "v2"], [F.col("m1"), F.col("m2")], cov, 0.01, asked, F.when(even, 50.0), shrink, 0.8, True, why, F.lit(6.0), by="vec_id")
+    return rounded(out.withColumn("log_statistic", F.log("statistic")), "log_statistic").select("vec_id", "variant", "log_statistic", "verdict", "reason", "alpha_spent")
+
+
 @query(f"""WITH {SERIES}, c AS (SELECT series, abs(x) AS sc FROM s WHERE tick < 40), n AS (SELECT series, count(*) AS n FROM c GROUP BY series), q AS (SELECT series, tick, abs(x) AS sc FROM s WHERE tick >= 40),
 p AS (SELECT q.series, q.tick, (1 + count(c.sc))::DOUBLE / (first(n.n) + 1) AS p FROM q JOIN n ON n.series = q.series LEFT JOIN c ON c.series = q.series AND c.sc >= q.sc GROUP BY q.series, q.tick)
 SELECT series, tick, CASE WHEN series % 7 = 0 THEN 'suppressed' WHEN p < 0.05 THEN 'fire' ELSE 'clean' END AS verdict, CASE WHEN series % 7 = 0 THEN 'schema_continuity_breaking' WHEN p < 0.05 THEN 'conformal_p_below_alpha' ELSE 'conformal_p_above_alpha' END AS reason FROM p""")
