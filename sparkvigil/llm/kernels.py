@@ -78,7 +78,8 @@ def kept_in_worker(owner: str) -> dict:
     return _kept.setdefault(owner, {})
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -89,9 +90,9 @@ def trimmed(batches: Iterator, owner: str = "") -> Iterator:
     if stale := [d for name, d in _kept.items() if name != owner and d]:
         for d in stale:
             d.clear()
-        _trim()
+        trim()
     yield from batches
-    _trim()
+    trim()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

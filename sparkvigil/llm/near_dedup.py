@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import Words, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trimmed, unique_per_row
+from .kernels import Words, mapper, min_per_row, mix, packed, rows_of, shingles, text_bytes, trim, trimmed, unique_per_row
 from .store import bucketed, documents, forgotten, written
 
 COORDINATES, HASHES, WIDTH = 64, 192, 6
@@ -371,7 +371,10 @@ def _compare_tile(percent: int, width: int = 4096):
         i, j = np.nonzero((100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (la[:, None] != lb[None, :]))
         pair = np.stack([np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j])], axis=1)
         _, first = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
-        return pa.table({"u": pa.array(da[i[first]], pa.int64()), "v": pa.array(db[j[first]], pa.int64())})
+        out = pa.table({"u": pa.array(da[i[first]], pa.int64()), "v": pa.array(db[j[first]], pa.int64())})
+        del parts, ka, kb, ra, rb, both, pair, i, j
+        trim()  # a worker that waits for its next tile, or for none, keeps nothing
+        return out
 
     return run
 
