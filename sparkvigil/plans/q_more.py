@@ -9,6 +9,7 @@ from ..operators import certify as ct
 from ..operators import covariates as cv
 from ..operators import evidence as ev
 from ..operators import replay as rp
+from ..operators import resample as rs
 from ..operators.cut import shared_folder
 from ..sources import accelerators as ac
 from ..sources.event_feed import registered
@@ -134,6 +135,19 @@ def bl_covariates_one_step(spark, sf):
     return rounded(cv.one_step(y, fit, ["series"], ["c", "w"], "x", max_order=2), "residual", "standardized").select("series", "tick", "residual", "standardized")
 
 
+_WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(rs.cumulative())) + f" ELSE {rs.MOST} END"
+
+
+@query(f"""WITH e AS (SELECT event_type, event_id, value FROM events WHERE value IS NOT NULL), d AS (SELECT *, unnest(range(1, 41)) AS draw FROM e),
+u AS (SELECT *, ('0x' || substr(md5('7:' || event_id || ':' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d), w AS (SELECT *, {_WEIGHT} AS w FROM u),
+g AS (SELECT event_type, draw, sum(w * value) / sum(w) AS mean FROM w GROUP BY event_type, draw HAVING sum(w) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY mean, draw) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM g)
+SELECT event_type, max(n) AS n_draws, round(max(CASE WHEN i = greatest(1, ceil(round(0.05::DOUBLE * n, 9))) THEN mean END), 6) AS low, round(max(CASE WHEN i = greatest(1, ceil(round(0.95::DOUBLE * n, 9))) THEN mean END), 6) AS high, round((SELECT avg(value) FROM e WHERE e.event_type = r.event_type), 6) AS plain FROM r GROUP BY event_type""")
+def replicated_limits(spark, sf):
+    """Mean value of each kind of event in forty draws of the table, and its limits at 5 % and 95 %."""
+    d = rs.across_draws(table(spark, sf, "events"), ["event_type"], "event_id", "value", 40, 7)
+    return rounded(rs.nearest_rank(d, ["event_type"], {"low": 0.05, "high": 0.95}), "low", "high", "plain")
+
+
 @query("""WITH c AS (SELECT s_nationkey AS n, s_suppkey AS k FROM supplier), e AS (SELECT DISTINCT n, least('c' || k, 'c' || (k + 1)) AS src, greatest('c' || k, 'c' || (k + 1)) AS dst FROM c)
 SELECT 'slice-' || n AS source, CASE n % 3 WHEN 0 THEN 'v4' WHEN 1 THEN 'v5e' ELSE 'v5p' END AS tpu_version, n % 5 < 3 AS partial, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM e WHERE e.n = g.n UNION SELECT dst FROM e WHERE e.n = g.n)) AS n_nodes, (SELECT count(*) FROM e WHERE e.n = g.n) AS n_edges FROM (SELECT DISTINCT n FROM c) g""")
 def source_tpu_topology(spark, sf):
