@@ -115,7 +115,7 @@ class _Alarms(Jumps):
         return {"record": anchors}
 
 
-class _Cooldown(Jumps):
+class Cooldown(Jumps):
     """Anchors are the kept ticks: state (tick,)."""
 
     added = "kept boolean"
@@ -154,7 +154,7 @@ def lifecycle(fires: DataFrame, keys: list[str], window: int = 150, threshold: i
 
 def cooled(fires: DataFrame, keys: list[str], cooldown: int, by: str = "tick") -> DataFrame:
     """Greedy thinning of fired ticks: one within `cooldown` of the last kept one goes, and so does one without a tick."""
-    return anchored(fires, keys, [by], [by], _Cooldown(by, cooldown)).where("kept").drop("kept")
+    return anchored(fires, keys, [by], [by], Cooldown(by, cooldown)).where("kept").drop("kept")
 
 
 def e_bh_selected(df: DataFrame, keys: list[str], q: float, e: str = "e", idx: str = "idx") -> DataFrame:

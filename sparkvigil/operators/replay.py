@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.walks import anchored
 from ..functions.windows import ordered
+from .fleet import Cooldown
 
 #: Weights of true positives, false positives and misses. Fixed values.
 PROFILES = {"standard": (1.0, -0.22, -1.0), "reward_low_fp": (1.0, -0.46, -1.0), "reward_low_fn": (2.0, -0.22, -2.0)}
@@ -36,6 +38,20 @@ def smoothed(df: DataFrame, keys: list[str], window: int, threshold: int) -> Dat
     return df.withColumn("smooth", F.sum(F.col("fire").cast("int")).over(w) >= threshold)
 
 
+def likelihood_smoothed(df: DataFrame, keys: list[str], window: int, threshold: int, cooldown: int) -> DataFrame:
+    """Firings after smoothing and a cooldown: `fire` is true where at least `threshold` of the last `window` ticks fired and more than `cooldown` ticks have passed since the last such emission.
+
+    With a window or a threshold of 0 or less the firings stay as they are.
+    """
+    if window <= 0 or threshold <= 0:
+        return df
+    if threshold > window:
+        raise ValueError(f"threshold {threshold} exceeds the window of {window}")
+    s = smoothed(df, keys, window, threshold)
+    emitted = anchored(s.where("smooth"), keys, ["tick"], ["tick"], Cooldown("tick", cooldown)).withColumn("fire", F.col("kept")).drop("kept", "smooth")
+    return emitted.unionByName(s.where("smooth is null or not smooth").withColumn("fire", F.lit(False)).drop("smooth"))
+
+
 def replay_score(firings: DataFrame, windows: DataFrame, datasets: DataFrame, profile: str = "standard") -> DataFrame:
     """Score of each dataset: the first firing of each window by a sigmoid of its place, misses, firings outside all windows, over a perfect run; at least 0.
 

@@ -250,12 +250,33 @@ def nb_replay_score(spark, sf):
     return rounded(rp.replay_score(f, w, d), "score")
 
 
+@query("""WITH o AS (SELECT o_orderkey, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate)::DOUBLE AS a FROM orders), b AS (SELECT *, a + (o_orderkey % 9 - 4) * 100 AS c, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN a + (o_orderkey % 9 - 4) * 100 - 1 ELSE a + (o_orderkey % 9 - 4) * 100 + (o_orderkey % 3) * 150 END AS d, a + (o_orderkey % 2) * 300 AS e FROM o)
+SELECT o_orderkey, round(CASE WHEN d IS NULL OR d < c THEN greatest(0, 1 - greatest(a - c, c - e, 0) / 300) WHEN greatest(e, d) - least(a, c) > 0 THEN greatest(0, least(e, d) - greatest(a, c)) / (greatest(e, d) - least(a, c)) ELSE 0 END, 6) AS overlap FROM b""")
+def topology_overlap(spark, sf):
+    """Overlap of each order's window with an event: points, intervals, and windows and intervals that are points."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", epoch("o_orderdate").cast("double").alias("a"))
+    o = o.withColumns({"c": F.col("a") + (k % 9 - 4) * 100, "e": F.col("a") + (k % 2) * 300})
+    end = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.col("c") - 1).otherwise(F.col("c") + (k % 3) * 150)
+    return rounded(o.withColumn("overlap", tp.overlap(F.col("a"), F.col("e"), F.col("c"), end)), "overlap").select("o_orderkey", "overlap")
+
+
 @query(f"WITH {_NB} SELECT dataset, tick, CAST(sum(fire::INT) OVER (PARTITION BY dataset ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) >= 3 AS smooth FROM fr")
 def nb_smoothing(spark, sf):
     f = series(spark, sf).select(F.col("series").alias("dataset"), "tick", (F.col("value") > 150).alias("fire"))
     return rp.smoothed(f, ["dataset"], 5, 3).select("dataset", "tick", "smooth")
 
 
+@query(f"""WITH RECURSIVE {_NB}, sm AS (SELECT dataset, tick, sum(fire::INT) OVER (PARTITION BY dataset ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 2 AS smooth FROM fr),
+si AS (SELECT dataset, tick, row_number() OVER (PARTITION BY dataset ORDER BY tick) AS i FROM sm WHERE smooth),
+f(dataset, i, last, tick, kept) AS (SELECT DISTINCT dataset, 0::BIGINT, -1000000::BIGINT, NULL::BIGINT, false FROM si UNION ALL SELECT f.dataset, si.i, CASE WHEN si.tick > f.last + 7 THEN si.tick ELSE f.last END, si.tick, si.tick > f.last + 7 FROM f JOIN si ON si.dataset = f.dataset AND si.i = f.i + 1)
+SELECT sm.dataset, sm.tick, coalesce(kept, false) AS fire FROM sm LEFT JOIN f ON f.dataset = sm.dataset AND f.tick = sm.tick""")
+def nb_likelihood_smoothing(spark, sf):
+    """Smoothed firings with a cooldown after each emission."""
+    f = series(spark, sf).select(F.col("series").alias("dataset"), "tick", (F.col("value") > 150).alias("fire"))
+    return rp.likelihood_smoothed(f, ["dataset"], 5, 2, 7).select("dataset", "tick", "fire")
+
+
 @query("""WITH c AS (SELECT event_type AS family, 'm' || (user_id % 3) AS mode, count(*) AS n FROM events WHERE NOT (event_type = 'error' AND user_id % 3 = 1) GROUP BY 1, 2)
 SELECT f.family, m.mode, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT family FROM c) f CROSS JOIN (SELECT DISTINCT mode FROM c) m LEFT JOIN c ON c.family = f.family AND c.mode = m.mode""")
 def resampler_cube(spark, sf):

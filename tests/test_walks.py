@@ -90,3 +90,25 @@ def test_point_intervals_share_nothing(spark):
     cases = [((5, 5, 5, 5), 0.0), ((0, 10, 0, 10), 1.0), ((0, 10, 5, 15), 1 / 3), ((0, 10, 4, None), 1.0)]
     df = spark.createDataFrame([tuple(None if v is None else float(v) for v in c) for c, _ in cases], "a double, b double, c double, d double")
     assert [r.v for r in df.select(topology.overlap(*map(F.col, "abcd")).alias("v")).collect()] == pytest.approx([w for _, w in cases])
+
+
+@pytest.mark.parametrize("window, threshold, cooldown", [(5, 2, 7), (3, 1, 0), (10, 6, 40), (0, 1, 5), (4, 0, 5)])
+def test_smoothing_with_cooldown(spark, small_blocks, window, threshold, cooldown):
+    from sparkvigil.operators import replay
+
+    r = random.Random(window)
+    rows = [(k, t, r.random() < 0.4) for k in ("hot", None) for t in range(0, 300 if k else 30, 1 if k else 3)]
+    want = {}
+    for k in ("hot", None):
+        mine, until = [(t, f) for key, t, f in rows if key == k], -1
+        for i, (t, f) in enumerate(mine):
+            if window <= 0 or threshold <= 0:
+                want[k, t] = f
+                continue
+            n = sum(x for _, x in mine[max(0, i + 1 - window) : i + 1])
+            want[k, t] = t > until and n >= threshold
+            until = t + cooldown if want[k, t] else until
+    out = replay.likelihood_smoothed(spark.createDataFrame(rows, "key string, tick long, fire boolean"), ["key"], window, threshold, cooldown)
+    assert {(x.key, x.tick): x.fire for x in out.collect()} == want
+    with pytest.raises(ValueError):
+        replay.likelihood_smoothed(out, ["key"], 2, 3, 1)
