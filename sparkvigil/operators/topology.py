@@ -93,7 +93,7 @@ def deploy_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def enriched(groups: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, max_hop: int = 3, top: int = 1, decay_s: float = 300.0) -> DataFrame:
-    """Best event for each verdict group: on a node within reach of its deploy node, by overlap in time, then hops, then id.
+    """Best event for each verdict group: on a node within reach of its deploy node, by overlap in time, then hops, then id; n_candidates counts all that there are.
 
     Groups and events meet by node and slot of `decay_s` seconds; a pair that
     shares several slots counts in the first one.
@@ -108,12 +108,13 @@ def enriched(groups: DataFrame, nodes: DataFrame, edges: DataFrame, events: Data
     c = g.join(r, "start").join(e, ["node", "slot"]).where("slot = greatest(g_first, e_first)")
     c = c.withColumn("overlap", overlap(F.col("window_start_ts").cast("double"), F.col("window_end_ts").cast("double"), F.col("event_ts").cast("double"), F.col("event_end_ts").cast("double"), decay_s)).where("overlap > 0")
     w = Window.partitionBy("group_id").orderBy(F.desc("overlap"), "hop", "event_id")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("group_id", "event_id", "node", "hop", "overlap", "rank")
+    c = c.withColumns({"rank": F.row_number().over(w), "n_candidates": F.count("*").over(Window.partitionBy("group_id"))})
+    return c.where(F.col("rank") <= top).select("group_id", "event_id", "node", "hop", "overlap", "rank", "n_candidates")
 
 
 def audit_events(groups: DataFrame, candidates: DataFrame) -> DataFrame:
     """One audit event for each enriched group: how many candidates it has and the first of them, null where there is none or the enrichment failed."""
-    found = candidates.groupBy("group_id").agg(F.count("*").alias("n_candidates"), F.min_by(F.struct("event_id", "node", "hop", "overlap"), "rank").alias("top_candidate"))
+    found = candidates.groupBy("group_id").agg(F.max("n_candidates").alias("n_candidates"), F.min_by(F.struct("event_id", "node", "hop", "overlap"), "rank").alias("top_candidate"))
     return groups.join(found, "group_id", "left").select(F.lit("verdict_group_enriched_with_topology").alias("type"), "group_id", F.coalesce("n_candidates", F.lit(0).cast("bigint")).alias("n_candidates"), "top_candidate", *[F.col(c) if c in groups.columns else F.lit(None).cast(t).alias(c) for c, t in (("topology_source_id", "string"), ("topology_snapshot_hash", "string"), ("enriched_at_ts", "bigint"), ("enrichment_error", "string"))])
 
 

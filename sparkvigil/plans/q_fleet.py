@@ -183,10 +183,10 @@ def _enriched(spark, sf):
 
 @query(f"{_ENRICH} SELECT group_id, event_id, node, hop, round(ov, 6) AS overlap FROM k WHERE rank = 1")
 def topology_enrichment(spark, sf):
-    return rounded(_enriched(spark, sf)[1], "overlap").drop("rank")
+    return rounded(_enriched(spark, sf)[1], "overlap").drop("rank", "n_candidates")
 
 
-@query(f"""{_ENRICH}, n AS (SELECT group_id, count(*) AS n FROM k WHERE rank = 1 GROUP BY 1) SELECT gr.group_id, coalesce(n.n, 0) AS n_candidates, t.event_id AS top_event, round(t.ov, 6) AS top_overlap
+@query(f"""{_ENRICH}, n AS (SELECT group_id, count(*) AS n FROM k GROUP BY 1) SELECT gr.group_id, coalesce(n.n, 0) AS n_candidates, t.event_id AS top_event, round(t.ov, 6) AS top_overlap
 FROM gr LEFT JOIN n USING (group_id) LEFT JOIN (SELECT * FROM k WHERE rank = 1) t USING (group_id)""")
 def topology_audit_events(spark, sf):
     a = tp.audit_events(*_enriched(spark, sf))
