@@ -28,10 +28,6 @@ _U = np.uint64
 _BASE, _QUAD = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1342543DE82EF95)
 _INV = _U(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a bijection of 64-bit words."""
     x = x ^ (x >> _U(30))
@@ -42,15 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) <= n:
-        size = max(n + 1, 1 << 16)
-        for base, name in ((_BASE, "_pow"), (_INV, "_inv")):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            globals()[name] = np.multiply.accumulate(a)
-    return _pow, _inv
+def _powers(base: int, step: int = 1, n: int = 1 << 16) -> np.ndarray:
+    """base^(step * i) modulo 2^64 for i < n."""
+    a = np.full(n, pow(base, step, 1 << 64), np.uint64)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+#: Powers by the low 16 bits of a place, and of its other bits by their number: no table grows with a text.
+_LOW, _BITS = (1 << 16) - 1, 16
+_POW, _INVERSE = _powers(int(_BASE)), _powers(int(_INV))
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +106,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """S with S[i] = sum of T[data[k]] * P^k over k < i, modulo 2^64."""
-    power, _ = _powers(len(data))
     s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[: len(data)], out=s[1:])
-    return s
+    high, step = _U(1), _U(pow(int(_BASE), 1 << _BITS, 1 << 64))
+    for at in range(0, len(data), _LOW + 1):
+        part = data[at : at + _LOW + 1]
+        s[at + 1 : at + 1 + len(part)] = _TABLE[part] * _POW[: len(part)] * high
+        with np.errstate(over="ignore"):
+            high *= step
+    return np.cumsum(s, out=s)
 
 
 def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end] for each pair, from prefix_hash()."""
-    _, inverse = _powers(len(s))
-    return mix((s[end] - s[start]) * inverse[start] + (end - start).astype(np.uint64) * _QUAD)
+    high = _powers(int(_INV), 1 << _BITS, (len(s) >> _BITS) + 1)
+    return mix((s[end] - s[start]) * _INVERSE[start & _LOW] * high[start >> _BITS] + (end - start).astype(np.uint64) * _QUAD)
 
 
 def rows_of(off: np.ndarray) -> np.ndarray:
