@@ -180,8 +180,10 @@ def reversible_action(verdict: Column, reversibility: Column) -> Column:
     return F.when(verdict == "rollback", back).when(verdict.isin("proceed", "extend", "baking"), verdict).otherwise("suppressed")
 
 
-def stream_key(cell: Column, draw: Column, trajectory: Column) -> Column:
-    """Key of an independent random stream: cell below 2^8, draw below 2^12 and trajectory below 2^20 side by side; others are an error."""
+def stream_key(cell: Column, draw: Column, trajectory: Column, carry: bool = False) -> Column:
+    """Key of an independent random stream: cell below 2^8, draw below 2^12 and trajectory below 2^20 side by side; others are an error, or with `carry` run over into the next field."""
+    if carry:
+        return F.shiftleft(cell.cast("bigint"), 40) + F.shiftleft(draw.cast("bigint"), 20) + trajectory.cast("bigint")
 
     def below(c: Column, bits: int, name: str) -> Column:
         fine = (c >= 0) & (c < 1 << bits)

@@ -185,7 +185,7 @@ def shape_growth_screen(spark, sf):
 @query("SELECT p_partkey, ((p_partkey % 256) << 40) + ((p_partkey % 4096) << 20) + p_partkey AS stream FROM part")
 def stream_keys(spark, sf):
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select("p_partkey", scalar.stream_key(k % 256, k % 4096, k).alias("stream"))
+    return table(spark, sf, "part").select("p_partkey", scalar.stream_key(k % 256, k % 4096, k, carry=True).alias("stream"))
 
 
 __all__ = ["QUERIES", "SQL"]
