@@ -116,16 +116,19 @@ def bake_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.max("min_ticks"), F.lit(3)).alias("min_ticks"), F.coalesce(F.max("min_observations"), F.lit(3)).alias("min_observations"), F.coalesce(F.min("max_days"), F.lit(1)).alias("max_days"))
 
 
-def align_to_grid(samples: DataFrame, keys: list[str], t0: float, dt: float, ticks: int, method: str = "hold", max_gap: float | None = None) -> DataFrame:
+def align_to_grid(samples: DataFrame, keys: list[str], t0: float, dt: float, ticks: int, method: str = "hold", max_gap: float | None = None, by: str | None = None) -> DataFrame:
     """Values of (t, v) samples on the grid t0 + i * dt: the last at or before (else the next), or linear between both.
 
-    A value further than max_gap is NaN; a linear one only if both its ends are.
+    A value further than max_gap is NaN; a linear one only if both its ends are. Of
+    samples of one time, in order of `by`, the last counts before a grid point and
+    the first after it.
     """
     grid = samples.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))).alias("i")).withColumn("t", t0 + F.col("i") * dt)
-    both = samples.select(*keys, F.lit(None).cast("int").alias("i"), "t", "v", F.lit(0).alias("side")).unionByName(grid.select(*keys, "i", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side")))
+    nth = F.col(by) if by else F.lit(0)
+    both = samples.select(*keys, F.lit(None).cast("int").alias("i"), "t", "v", F.lit(0).alias("side"), nth.alias("nth")).unionByName(grid.select(*keys, "i", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side"), F.lit(0).alias("nth")))
     point = F.when(F.col("side") == 0, F.struct("t", "v"))
-    back = Window.partitionBy(*keys).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy("t", "side", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("t", "side", "nth").rowsBetween(0, Window.unboundedFollowing)
     df = both.withColumn("p", F.last(point, True).over(back)).withColumn("n", F.first(point, True).over(ahead)).where("side = 1")
     gap = float("inf") if max_gap is None else max_gap
     far = lambda c: F.abs(F.col(f"{c}.t") - F.col("t")) > gap

@@ -196,6 +196,7 @@ def bl_align_linear(spark, sf):
 def _aligned(spark, sf, method):
     s = series(spark, sf)
     t0 = s.agg(F.min("sec")).first()[0]  # one number: the grid's start
-    last = s.groupBy("series", F.col("sec").cast("double").alias("t")).agg(F.max_by("value", "tick").alias("v"))
-    out = ingest.align_to_grid(last, ["series"], float(t0), 43200.0, 60, method, 86400.0)
-    return out.select("series", "i", F.round(F.when(~F.isnan("v"), F.col("v")), 6).alias("v"))
+    samples = s.select("series", F.col("sec").cast("double").alias("t"), F.col("value").alias("v"), "tick")
+    out = ingest.align_to_grid(samples, ["series"], float(t0), 43200.0, 60, method, 86400.0, by="tick")
+    v = F.when(~F.isnan("v"), F.col("v"))
+    return out.select("series", "i", (F.round(v * 1e6) / 1e6).alias("v"))  # as the SQL rounds: the product, not the shortest decimal text

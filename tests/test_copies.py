@@ -45,3 +45,11 @@ def test_log_wealth_of_the_safe_test_does_not_saturate(spark):
     last = got.orderBy(F.desc("tick")).first()
     each = 0.5 * 100 - 0.25 * 100 - 0.5 * math.log(2)
     assert last.log_statistic == pytest.approx(300 * each) and last.statistic == pytest.approx(1.7976931348623157e308) and last.verdict == "fire"
+
+
+def test_aligned_values_round_as_in_the_sql(spark, tmp_path):
+    """66.6996875 is a double just below that tie."""
+    rows = [(0, 0, 0, 1.0), (1, 34683, 1, 186.47), (2, 43931, 1, 56.42)]
+    e = spark.createDataFrame(rows, "event_id long, sec long, user_id long, value double").select("event_id", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, sec)").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    same(spark, tmp_path, "bl_align_linear", "events")
