@@ -178,19 +178,19 @@ def hotelling_verdicts(df: DataFrame, dims: list[str], means: list[Column], cov:
 def family_c_verdicts(
     df: DataFrame, keys: list[str], dims: list[str], means: list[Column], cov: dict[tuple[int, int], Column], alpha: float, variant: Column, tau_squared: Column, log_det_shrink: Column, safe_alpha: float, with_kernel: bool | Column = False, why: Column | None = None, threshold: Column | None = None, safe_threshold: Column | None = None, by: str = "tick"
 ) -> DataFrame:
-    """Hotelling verdicts by the variant that each row's cell declares: variant, statistic, threshold, verdict, reason, alpha_spent.
+    """Hotelling verdicts by the variant that each row's cell declares: variant, statistic, log_statistic, threshold, verdict, reason, alpha_spent.
 
     `safe_test` needs the cell's tau_squared and log_det_shrink, half the logarithm
     of det(S + tau_squared) / det(S), else chi-square runs (hotelling_variant). The
     safe test keeps one log-wealth for each of `keys`: a row adds
     (r' S^-1 r - r' (S + tau_squared)^-1 r) / 2 - log_det_shrink, down to the floor.
     Rows behind a gate, with a singular matrix or with a value that is not finite
-    hold it. The first fire of a key spends safe_alpha; rows that lack a signal have
-    no verdict.
+    hold it. Wealth saturates as a statistic, not as its logarithm. The first fire of
+    a key spends safe_alpha; rows that lack a signal have no verdict.
     """
     p = len(dims)
     rows = df.withColumn("variant", hotelling_variant(variant, tau_squared.isNotNull() & log_det_shrink.isNotNull(), F.lit(True)))
-    chi = hotelling_verdicts(rows.where("variant = 'chi_square'"), dims, means, cov, alpha, with_kernel, why, threshold)
+    chi = hotelling_verdicts(rows.where("variant = 'chi_square'"), dims, means, cov, alpha, with_kernel, why, threshold).withColumn("log_statistic", F.log("statistic"))
     r = rows.where("variant = 'safe_test'").where(" and ".join(f"`{d}` is not null" for d in dims))
     r = r.withColumns({f"_r{i}": relative_deviation(F.col(d), m) for i, (d, m) in enumerate(zip(dims, means, strict=True))})
     own = [f"_r{i}" for i in range(p)]
@@ -199,7 +199,7 @@ def family_c_verdicts(
     z = F.when(F.col("_stop").isNull(), 0.5 * F.col("_t") - 0.5 * F.col("_u") - log_det_shrink).otherwise(float("nan"))
     r = reflected_walk(r.withColumn("_stop", stop).withColumn("_z", z), "_z", keys, TINY_FLOOR, "_log_m", by)
     limit = F.coalesce(*([safe_threshold] if safe_threshold is not None else []), F.lit(1 / safe_alpha))
-    r = r.withColumns({"statistic": scalar.wealth(F.col("_log_m")), "threshold": limit})
+    r = r.withColumns({"statistic": scalar.wealth(F.col("_log_m")), "log_statistic": F.col("_log_m"), "threshold": limit})
     r = r.withColumn("_fire", F.col("_stop").isNull() & (F.col("statistic") >= F.col("threshold")))
     nth = F.sum(F.col("_fire").cast("int")).over(so_far(ordered(keys, by)))
     r = r.withColumns({

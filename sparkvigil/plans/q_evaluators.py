@@ -105,7 +105,7 @@ def family_c_verdicts(spark, sf):
     asked = F.when(F.col("cell") % 3 > 0, "safe_test").when(even, "safe_test")
     shrink = F.when(even, 0.5 * F.log(F.lit(150 * 450 / 40000.0)))
     out = ea.family_c_verdicts(v.join(c, "cell"), ["cell"], ["v1", "v2"], [F.col("m1"), F.col("m2")], cov, 0.01, asked, F.when(even, 50.0), shrink, 0.8, True, why, F.lit(6.0), by="vec_id")
-    return rounded(out.withColumn("log_statistic", F.log("statistic")), "log_statistic").select("vec_id", "variant", "log_statistic", "verdict", "reason", "alpha_spent")
+    return rounded(out, "log_statistic").select("vec_id", "variant", "log_statistic", "verdict", "reason", "alpha_spent")
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT series, abs(x) AS sc FROM s WHERE tick < 40), n AS (SELECT series, count(*) AS n FROM c GROUP BY series), q AS (SELECT series, tick, abs(x) AS sc FROM s WHERE tick >= 40),
