@@ -164,7 +164,7 @@ SELECT event_id, kind, event_ts, count(DISTINCT CASE WHEN d < 0 THEN sh END) AS
 HAVING count(DISTINCT CASE WHEN d BETWEEN 0 AND 1800 THEN sh END) >= 2 AND count(DISTINCT CASE WHEN d BETWEEN 0 AND 1800 THEN sh END) - count(DISTINCT CASE WHEN d < 0 THEN sh END) >= 1""")
 def event_conditional_attribution(spark, sf):
     ce = table(spark, sf, "events").where("event_type = 'purchase'").select("event_id", F.col("event_type").alias("kind"), epoch("ts").alias("event_ts"))
-    return tp.event_conditional(fired(spark, sf), ce, 3600, 3600, 1800).drop("members")
+    return tp.event_conditional(fired(spark, sf), ce, 3600, 3600, 1800, members=False)
 
 
 _ENRICH = f"""WITH {_REACH}, gr AS (SELECT o_orderkey AS group_id, 's' || (o_custkey % 100 + 1) AS start, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS a FROM orders),
