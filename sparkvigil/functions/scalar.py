@@ -135,10 +135,14 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(g: Column, k: Column, alpha: Column) -> Column:
-    """P(X >= k) of Binomial(g, alpha), each term from logarithms of factorials."""
+    """P(X >= k) of Binomial(g, alpha): the first term from logarithms of factorials, each next one by the logarithm of its ratio."""
     fact = lambda n: log_gamma(n.cast("double") + 1)
-    term = lambda i: F.exp(fact(g) - fact(i) - fact(g - i) + i * F.log(alpha) + (g - i) * F.log1p(-alpha))
-    total = F.aggregate(F.sequence(k, g), F.lit(0.0), lambda acc, i: acc + term(i))
+    first = F.greatest(k, F.lit(0))
+    term = fact(g) - fact(first) - fact(g - first) + first * F.log(alpha) + (g - first) * F.log1p(-alpha)
+    odds = F.log(alpha) - F.log1p(-alpha)
+    start = F.struct(term.alias("log"), F.lit(0.0).alias("sum"), g.cast("double").alias("g"), odds.alias("odds"))
+    step = lambda s, i: F.struct((s["log"] + F.log((s["g"] - i) / (i + 1.0)) + s["odds"]).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum"), s["g"].alias("g"), s["odds"].alias("odds"))
+    total = F.aggregate(F.sequence(first, g), start, step, lambda s: s["sum"])
     return F.when(k <= 0, 1.0).when(k > g, 0.0).otherwise(F.least(F.lit(1.0), total))
 
 

@@ -79,10 +79,11 @@ SELECT p_partkey, round(CASE WHEN k <= 0 THEN 1.0 WHEN k > g THEN 0.0 ELSE least
   round((1 + phi) / (1 - phi), 6) AS hac, round(0.1::DOUBLE * pow(greatest(p, 0.01::DOUBLE), -0.9::DOUBLE), 6) AS e_value
 FROM (SELECT p_partkey, 50::BIGINT AS g, (p_size % 12)::BIGINT AS k, 0.05::DOUBLE AS a, p_size / 50.0::DOUBLE AS p, greatest(-0.99::DOUBLE, least(0.99::DOUBLE, p_size / 40.0::DOUBLE)) AS phi FROM part)""")
 def fn_tails(spark, sf):
-    p = table(spark, sf, "part")
-    g, share = F.lit(50).cast("bigint"), F.col("p_size") / 50.0
-    return p.select(
-        "p_partkey", F.round(scalar.binomial_tail(g, (F.col("p_size") % 12).cast("bigint"), F.lit(0.05)), 6).alias("tail"), F.round(scalar.wilson_upper(F.col("p_size").cast("double"), F.lit(50.0)), 6).alias("wilson"),
+    p = table(spark, sf, "part").withColumn("k", (F.col("p_size") % 12).cast("bigint"))
+    tails = p.select(F.col("k").alias("of")).distinct().withColumn("tail", F.round(scalar.binomial_tail(F.lit(50).cast("bigint"), F.col("of"), F.lit(0.05)), 6))  # twelve remainders
+    share = F.col("p_size") / 50.0
+    return p.join(F.broadcast(tails), F.col("k").eqNullSafe(F.col("of"))).select(
+        "p_partkey", "tail", F.round(scalar.wilson_upper(F.col("p_size").cast("double"), F.lit(50.0)), 6).alias("wilson"),
         F.round(scalar.hac_inflation(F.col("p_size") / 40.0), 6).alias("hac"), F.round(scalar.e_calibrator(F.greatest(share, F.lit(0.01))), 6).alias("e_value"),
     )
 

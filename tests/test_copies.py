@@ -53,3 +53,17 @@ def test_aligned_values_round_as_in_the_sql(spark, tmp_path):
     e = spark.createDataFrame(rows, "event_id long, sec long, user_id long, value double").select("event_id", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, sec)").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value")
     e.write.parquet(f"{tmp_path}/events.parquet")
     same(spark, tmp_path, "bl_align_linear", "events")
+
+
+def test_binomial_tails_are_few(spark, tmp_path):
+    """The tail is a fold of fifty terms: 400,000 parts share those of twelve remainders."""
+    spark.range(400_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.QUERIES["fn_tails"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("aggregate(") > plan.index("Join")  # under the join, over the distinct remainders
+    same(spark, tmp_path, "fn_tails", "part")
+    got = spark.range(1).select(*(scalar.binomial_tail(F.lit(g).cast("bigint"), F.lit(k).cast("bigint"), F.lit(a)) for g, k, a in TAILS)).first()
+    assert list(got) == [pytest.approx(sum(math.comb(g, i) * a**i * (1 - a) ** (g - i) for i in range(max(k, 0), g + 1)), rel=1e-9) for g, k, a in TAILS]
+
+
+TAILS = [(50, 3, 0.05), (50, 0, 0.05), (50, 50, 0.3), (200, 90, 0.3), (5, -1, 0.5), (1, 1, 0.2)]
