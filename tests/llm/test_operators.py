@@ -471,6 +471,17 @@ def test_one_model_for_all_partitions(spark, sf_dir):
     assert got[0].keys() == got[1].keys() and all(abs(got[0][d] - got[1][d]) < 1e-6 * (1 + abs(got[0][d])) for d in got[0])
 
 
+def test_every_word_is_a_context(spark, sf_dir):
+    """`contexts` says which totals go to all tasks, not which words have a restaurant; sweeps differ in nothing but random numbers."""
+    docs = language_id.with_fold(documents(spark, sf_dir).select("doc_id", "text"), 7)
+    few, all_ = ({r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(docs, contexts=n, sweeps=12, burn_in=4, shard_tokens=5000).collect()} for n in (2, 65_535))
+    assert few.keys() == all_.keys() and abs(sum(few.values()) / sum(all_.values()) - 1) < 0.002
+    # after a word seen once, its follower is likely: "zq1 zq2" was in training, "zq1 zq3" was not
+    rows = [(i, f"zq{i} zr{i} " + "a b c d " * 5, False) for i in range(300)] + [(1000, "zq5 zr5", True), (1001, "zq5 zr6", True)]
+    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), contexts=3).collect()}
+    assert got[1000] > got[1001] + 1
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(4)
     n, restaurants = 50, 4
