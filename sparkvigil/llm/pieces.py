@@ -10,6 +10,7 @@ distinct words go through both passes together, one agenda row for each word;
 very long words, and words whose agenda overflows, go through the same search
 one by one. The N best of a text combine those of its words: with N results at
 most N - 1 words can differ from their best, those with the smallest losses.
+Each of the N has its pieces, not its score alone.
 
 Scores are the model's own; an unknown character is spelled by its bytes, with
 the score of the worst piece less 10. A text gets one blank in front, as the
@@ -114,11 +115,13 @@ class Pieces:
         return out
 
     def value(self, word: bytes, found: list[tuple[float, list[int]]]) -> bytes:
-        """What is kept of a word: the N scores, whether it decodes to itself, the ids of the best."""
-        ids = self.spelled(word, found[0][1])
+        """What is kept of a word: the N scores, whether it decodes to itself, the N numbers of ids, the ids of the N."""
+        each = [self.spelled(word, starts) for _, starts in found]
+        ids = each[0]
         scores = [s for s, _ in found] + [-np.inf] * (self.best - len(found))
         same = b"".join(self.text_of[i] for i in ids) == word.replace(MARK.encode(), b" ") and MARK.encode() not in word
-        return np.array([*scores, same], "<f8").tobytes() + np.array(ids, "<u4").tobytes()
+        sizes = [len(x) for x in each] + [0] * (self.best - len(each))
+        return np.array([*scores, same, *sizes], "<f8").tobytes() + np.array([i for x in each for i in x], "<u4").tobytes()
 
     # all words of a slice
     def values(self, words: list[str]) -> list[bytes]:
@@ -182,9 +185,9 @@ class Pieces:
         parent = np.zeros((m, agenda), np.int16)
         f[:, 0], at[:, 0], parent[:, 0] = forward[np.arange(m), size], size, -1
         used = np.ones(m, np.int64)
-        scores = np.full((m, self.best + 1), -np.inf)
-        scores[:, self.best] = 1
-        count, first = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        scores = np.full((m, 2 * self.best + 1), -np.inf)
+        scores[:, self.best], scores[:, self.best + 1 :] = 1, 0
+        count, found = np.zeros(m, np.int64), np.full((m, self.best), -1, np.int64)
         overflow = np.zeros(m, bool)
         live = np.arange(m)
         lengths = np.arange(1, longest + 1)
@@ -197,7 +200,7 @@ class Pieces:
             f[live, top] = -np.inf
             node = at[live, top].astype(np.int64)
             w, h = live[node == 0], top[node == 0]
-            first[w] = np.where(count[w] == 0, h, first[w])
+            found[w, count[w]] = h
             scores[w, count[w]] = g[w, h]
             count[w] += 1
             go = node > 0
@@ -214,29 +217,35 @@ class Pieces:
             f[w[r], slot], g[w[r], slot], at[w[r], slot], parent[w[r], slot] = total + forward[w[r], back], total, back, h[r]
             np.add.at(used, w[r], 1)
             live = live[(count[live] < self.best) & ~overflow[live]]
-        # the pieces of the best, by its chain of hypotheses from the start
-        w, h, steps = np.arange(m), first, []
-        while len(w):
+        # the pieces of each result, by its chain of hypotheses from the start
+        found[overflow] = -1
+        of, kth = np.nonzero(found >= 0)
+        w, h, chain, steps = of, found[of, kth], np.arange(len(of)), []
+        while True:
             up = parent[w, h]
             on = up >= 0
-            w, h, up = w[on], h[on], up[on].astype(np.int64)
+            w, h, chain, up = w[on], h[on], chain[on], up[on].astype(np.int64)
             a, z = at[w, h].astype(np.int64), at[w, up].astype(np.int64)
-            steps.append((w, a, z, piece[w, z, z - a]))
+            steps.append((chain, w, a, z, piece[w, z, z - a]))
             h = up
-        w, a, z, k = (np.concatenate(x) for x in zip(*steps, strict=True))
-        order = np.argsort(w, kind="stable")
-        w, a, z, k = w[order], a[order], z[order], k[order]
+            if not len(w):
+                break
+        chain, w, a, z, k = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(chain, kind="stable")
+        chain, w, a, z, k = chain[order], w[order], a[order], z[order], k[order]
         size = np.where(k >= 0, 1, z - a)
         to = np.concatenate([[0], np.cumsum(size)])
         ids = np.repeat(k, size)
         raw_at = np.repeat(off[w] + a - to[:-1], size) + np.arange(len(ids))
         spell = np.array([self.byte_id.get(b, 0) for b in range(256)], np.int32)
         ids = np.where(ids >= 0, ids, spell[data[np.minimum(raw_at, len(data) - 1)]]).astype("<u4").tobytes()
-        ends = 4 * to[np.searchsorted(w, np.arange(m + 1))]
+        ends = to[np.searchsorted(chain, np.arange(len(of) + 1))]
+        scores[of, self.best + 1 + kth] = np.diff(ends)
+        ends = 4 * ends[np.searchsorted(of, np.arange(m + 1))]
         mark = MARK.encode()
         if mark in data.tobytes():
             scores[[mark in x for x in raw], self.best] = 0
-        head, step = scores.astype("<f8").tobytes(), 8 * (self.best + 1)
+        head, step = scores.astype("<f8").tobytes(), 8 * scores.shape[1]
         return [None if o else head[i * step : (i + 1) * step] + ids[ends[i] : ends[i + 1]] for i, o in enumerate(overflow.tolist())]
 
 
@@ -259,54 +268,82 @@ def with_blanks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def n_best(p: Pieces, encoder: Encoder, data: np.ndarray, off: np.ndarray):
     """(ids, id offsets, scores of the N best, round trip) of each text."""
+    return n_best_pieces(p, encoder, data, off)[:4]
+
+
+def n_best_pieces(p: Pieces, encoder: Encoder, data: np.ndarray, off: np.ndarray):
+    """The same, and (ids, id offsets) of the results after the best, those of a text one after the other."""
     data, off = with_blanks(data, off)
     values, which, first = encoder.distinct(data, off)
     n, best = len(off) - 1, p.best
-    head = (best + 1) * 8
-    top = np.frombuffer(b"".join([v[:head] for v in values]), "<f8").reshape(-1, best + 1)
+    head = (2 * best + 1) * 8
+    top = np.frombuffer(b"".join([v[:head] for v in values]), "<f8").reshape(-1, 2 * best + 1)
     flat = np.frombuffer(b"".join([v[head:] for v in values]), np.uint32)
-    ids, to = gather(flat, np.concatenate([[0], np.cumsum([(len(v) - head) // 4 for v in values])]).astype(np.int64), which, first)
+    at = np.concatenate([[0], np.cumsum(top[:, best + 1 :].ravel())]).astype(np.int64)  # result k of value v: v * best + k
+    ids, to = gather(flat, at, which * best, first)
     base = add_per_row(top[which, 0], first)
     fine = add_per_row((top[which, best] == 0).astype(np.int64), first) == 0
     scores = np.full((n, best), -np.inf)
     scores[:, 0] = base
+    chosen = np.zeros((best, len(which)), np.int8)  # result of each word in the k-th of its text
     if best > 1 and len(which):
         loss = (top[:, :1] - top[:, 1:best])[which]
         row = rows_of(first)
         order = np.lexsort((loss[:, 0], row))
         rank = np.arange(len(order)) - first[row[order]]
-        near = order[rank < best - 1]
-        by_row = np.searchsorted(row[near], np.arange(n + 1))
+        near = order[(rank < best - 1) & np.isfinite(loss[order, 0])]
+        by_row = np.searchsorted(row[near], np.arange(n + 1)).tolist()
+        options = [[(x, r) for r, x in enumerate(xs, 1) if x < np.inf] for xs in loss[near].tolist()]
+        near = near.tolist()
         for i in range(n):
-            sums = [0.0]
-            for j in near[by_row[i] : by_row[i + 1]]:
-                sums = sorted(s + x for s in sums for x in (0.0, *loss[j]))[:best]
-            scores[i, : len(sums)] = base[i] - np.array(sums)
-    return ids, to, scores, fine
+            sums = [(0.0, ())]
+            for q in range(by_row[i], by_row[i + 1]):
+                j = near[q]
+                sums = sorted([*sums, *((s + x, (*c, (j, r))) for s, c in sums for x, r in options[q])], key=_loss)[:best]
+            for k, (s, c) in enumerate(sums[1:], 1):
+                scores[i, k] = base[i] - s
+                for j, r in c:
+                    chosen[k, j] = r
+    text, kth = np.nonzero(np.isfinite(scores[:, 1:]))
+    size = np.diff(first)[text]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    word = np.arange(begin[-1]) + np.repeat(first[text] - begin[:-1], size)
+    return ids, to, scores, fine, gather(flat, at, which[word] * best + chosen[np.repeat(kth + 1, size), word], begin)
+
+
+def _loss(x: tuple) -> float:
+    return x[0]
+
+
+_DDL = "doc_id long, n_pieces long, score double, losses array<double>, ids_crc32 long, round_trip boolean, alternatives array<struct<score: double, n_pieces: long, ids_crc32: long>>"
 
 
-_DDL = "doc_id long, n_pieces long, score double, losses array<double>, ids_crc32 long, round_trip boolean"
+def _crc(ids: np.ndarray, to: np.ndarray) -> pa.Array:
+    raw = ids.astype("<u4").tobytes()
+    return pa.array([zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)], pa.int64())
 
 
 def _encode(path: str, best: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, encoder = pieces(path, best)
         for batch, data, off in trimmed(slices(batches), "pieces"):
-            ids, to, scores, fine = n_best(p, encoder, data, off)
-            raw = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+            ids, to, scores, fine, (more, ends) = n_best_pieces(p, encoder, data, off)
             losses = [[float(s[0] - x) for x in s[1:] if np.isfinite(x)] for s in scores]
-            cols = {"doc_id": batch.column(0), "n_pieces": pa.array(np.diff(to)), "score": pa.array(scores[:, 0]), "losses": pa.array(losses, pa.list_(pa.float64())), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(fine)}
+            there = np.isfinite(scores[:, 1:])
+            edge = pa.array(np.append(0, np.cumsum(there.sum(1))).astype(np.int32))
+            each = pa.StructArray.from_arrays([pa.array(scores[:, 1:][there]), pa.array(np.diff(ends)), _crc(more, ends)], names=["score", "n_pieces", "ids_crc32"])
+            cols = {"doc_id": batch.column(0), "n_pieces": pa.array(np.diff(to)), "score": pa.array(scores[:, 0]), "losses": pa.array(losses, pa.list_(pa.float64())), "ids_crc32": _crc(ids, to), "round_trip": pa.array(fine), "alternatives": pa.ListArray.from_arrays(edge, each)}
             if keep_ids:
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                cols["alternative_ids"] = pa.ListArray.from_arrays(edge, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(more.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
 def encode(docs: DataFrame, model: str, best: int = 3, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_pieces, score of the best, losses of the next ones, CRC-32 of the ids, round_trip and, if asked for, the ids."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(model, best, keep_ids), _DDL + (", ids array<int>" if keep_ids else ""))
+    """doc_id, n_pieces, score of the best, losses of the next ones, CRC-32 of the ids, round_trip, score, number of pieces and CRC-32 of the next ones and, if asked for, the ids of all."""
+    return docs.select("doc_id", "text").mapInArrow(_encode(model, best, keep_ids), _DDL + (", ids array<int>, alternative_ids array<array<int>>" if keep_ids else ""))
 
 
 def decode(model: str, ids: list[int]) -> str:
@@ -338,4 +375,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), model_path())
 
 
-__all__ = ["Pieces", "decode", "decoded", "encode", "model_path", "n_best", "op10_sentencepiece", "pieces"]
+__all__ = ["Pieces", "decode", "decoded", "encode", "model_path", "n_best", "n_best_pieces", "op10_sentencepiece", "pieces"]

@@ -641,6 +641,25 @@ def test_n_best_of_texts():
     assert np.allclose(scores[0], sorted((sum(x) for x in itertools.product(*each)), reverse=True)[:3])
 
 
+def test_alternatives_have_their_pieces(spark):
+    model = pieces.model_path()
+    p, _ = pieces.pieces(model, 3)
+    texts = ["on the ham", "heonthation", "a", "", "aaaaaaaa thntblere the the", "日本語 éàü x", "heonthation" * 9]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, keep_ids=True).collect()
+    for r in rows:
+        text = texts[r.doc_id]
+        all_ids = [r.ids, *r.alternative_ids]
+        assert len({tuple(x) for x in all_ids}) == len(all_ids) == 1 + len(r.losses) == 1 + len(r.alternatives)
+        for ids, score in zip(all_ids, [r.score, *(a.score for a in r.alternatives)], strict=True):
+            assert pieces.decode(model, ids) == text
+            spelled = [p.text_of[i] for i in ids]
+            known = sum(p.pieces[x][1] for x in spelled if x in p.pieces)
+            assert any(x not in p.pieces for x in spelled) or abs(known - score) < 1e-6 * (1 + abs(score))
+        for ids, a, loss in zip(r.alternative_ids, r.alternatives, r.losses, strict=True):
+            assert (a.n_pieces, a.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and abs(r.score - a.score - loss) < 1e-6
+    assert len(rows) == len(texts) and sum(len(r.alternatives) for r in rows) > 6
+
+
 def test_sentencepiece_round_trip(spark, odd, none, real, sf_dir):
     model = pieces.model_path()
     out = pieces.encode(documents(spark, sf_dir), model, keep_ids=True)
