@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PHI_GRID = np.arange(-0.98, 0.9991, 0.02)
@@ -44,10 +45,14 @@ def cell_seed(text: str) -> int:
 # universal inference
 
 
+#: Series, and ticks of series, that are fitted at once.
+TOGETHER, TICKS = 512, 1 << 14
+
+
 def _sums(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """n, sums of x, of the value before, of both squares and of the product over lo <= i < hi."""
-    a, p = x[lo:hi], x[lo - 1 : hi - 1]
-    return np.array([len(a), a.sum(), p.sum(), (a * a).sum(), (p * p).sum(), (a * p).sum()])
+    """For each series (row): n, sums of x, of the value before, of both squares and of the product over lo <= i < hi."""
+    a, p = x[:, lo:hi], x[:, lo - 1 : hi - 1]
+    return np.array([np.full(len(x), a.shape[1]), a.sum(1), p.sum(1), (a * a).sum(1), (p * p).sum(1), (a * p).sum(1)])[:, :, None]
 
 
 def _profile(parts: list[np.ndarray], phi: np.ndarray, common: bool):
@@ -69,21 +74,29 @@ def _profile(parts: list[np.ndarray], phi: np.ndarray, common: bool):
 
 
 def _fit(parts: list[np.ndarray], common: bool):
-    ll, _, _ = _profile(parts, PHI_GRID, common)
-    lo = PHI_GRID[ll.argmax()] - 0.02
+    """Of each series phi, means, variance and log-likelihood at their best, as columns."""
+    ll, _, _ = _profile(parts, PHI_GRID[None, :], common)
+    lo = PHI_GRID[ll.argmax(1)] - 0.02
     hi = lo + 0.04
     for _ in range(40):
         a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        pair, _, _ = _profile(parts, np.array([a, b]), common)
-        lo, hi = (lo, b) if pair[0] > pair[1] else (a, hi)
-    phi = np.append(PHI_GRID, (lo + hi) / 2)
+        pair, _, _ = _profile(parts, np.stack([a, b], axis=1), common)
+        left = pair[:, 0] > pair[:, 1]
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+    phi = np.concatenate([np.broadcast_to(PHI_GRID, ll.shape), ((lo + hi) / 2)[:, None]], axis=1)
     ll, means, var = _profile(parts, phi, common)
-    k = int(ll.argmax())
-    return phi[k], [m[k] for m in means], var[k], ll[k]
+    k = ll.argmax(1)[:, None]
+    at = lambda v: np.take_along_axis(v, k, axis=1)
+    return at(phi), [at(m) for m in means], at(var), at(ll)
 
 
 def universal_inference(x: np.ndarray, cal: tuple[int, int], test: tuple[int, int]) -> float:
     """Split likelihood ratio of a mean shift: alternative fitted on the first halves, null at its best on the second."""
+    return float(universal_inferences(np.asarray(x, float)[None, :], cal, test)[0])
+
+
+def universal_inferences(x: np.ndarray, cal: tuple[int, int], test: tuple[int, int]) -> np.ndarray:
+    """The same for each row of x."""
     (a, n), (b, m) = cal, test
     h, g = n // 2, m // 2
     phi, means, var, _ = _fit([_sums(x, a + 1, a + h), _sums(x, b, b + g)], common=False)
@@ -93,12 +106,18 @@ def universal_inference(x: np.ndarray, cal: tuple[int, int], test: tuple[int, in
     for s, mu in zip(ev, means, strict=True):
         c = mu * (1 - phi)
         rss = s[3] - 2 * phi * s[5] + phi * phi * s[4] - 2 * c * (s[1] - phi * s[2]) + s[0] * c * c
-        alt += -0.5 * s[0] * np.log(2 * np.pi * var) - rss / (2 * var)
-    return float(np.exp(alt - null))
+        alt = alt - 0.5 * s[0] * np.log(2 * np.pi * var) - rss / (2 * var)
+    return np.exp(alt - null)[:, 0]
 
 
 def sequential_ui(x: np.ndarray, change: int = 1, clip: float = 0.95) -> np.ndarray:
     """Log e-process of a mean shift at `change`: predictable fits from prefix sums of each regime, null profiled over phi at every tick."""
+    num, *sums = _predictable(x, change, clip)
+    return num - _null_at_best(*sums)
+
+
+def _predictable(x: np.ndarray, change: int, clip: float = 0.95) -> tuple[np.ndarray, ...]:
+    """The logarithm of the numerator at each tick, and what the null needs: ticks, sums of x and of the value before, of their squares and of their product."""
     t = len(x)
     s = np.arange(1, t)
     z = lambda v: np.concatenate([[0.0], np.cumsum(v)])
@@ -127,6 +146,11 @@ def sequential_ui(x: np.ndarray, change: int = 1, clip: float = 0.95) -> np.ndar
     num = np.cumsum(-0.5 * np.log(2 * np.pi * var) - e * e / (2 * var))
     a1, a0 = np.cumsum(x[1:]), np.cumsum(x[:-1])
     b1, b0, b = np.cumsum(x[1:] ** 2), np.cumsum(x[:-1] ** 2), np.cumsum(x[1:] * x[:-1])
+    return num, s, a1, a0, b1, b0, b
+
+
+def _null_at_best(s, a1, a0, b1, b0, b) -> np.ndarray:
+    """The null's log-likelihood at its best phi; ticks stand alone, so those of many series may come together."""
 
     def null(f):
         d, d2 = a1 - f * a0, b1 - 2 * f * b + f * f * b0
@@ -134,7 +158,7 @@ def sequential_ui(x: np.ndarray, change: int = 1, clip: float = 0.95) -> np.ndar
         return np.where(s < 2, 0.0, -0.5 * s * np.log(2 * np.pi * v) - s / 2)
 
     grid = -0.999 + 1.998 * np.arange(81) / 80
-    best, at = np.full(t - 1, -np.inf), np.zeros(t - 1)
+    best, at = np.full(len(s), -np.inf), np.zeros(len(s))
     for f in grid:
         ll = null(f)
         at, best = np.where(ll > best, f, at), np.maximum(best, ll)
@@ -143,7 +167,7 @@ def sequential_ui(x: np.ndarray, change: int = 1, clip: float = 0.95) -> np.ndar
         u, v = lo + (hi - lo) / 3, hi - (hi - lo) / 3
         left = null(u) >= null(v)
         lo, hi = np.where(left, lo, u), np.where(left, v, hi)
-    return num - np.maximum(best, null((lo + hi) / 2))
+    return np.maximum(best, null((lo + hi) / 2))
 
 
 # robust fits over a fleet's matrix
@@ -339,27 +363,57 @@ def pool(mean: np.ndarray, cov: np.ndarray, size: int, seed: int) -> np.ndarray:
 # as Spark operators
 
 
+def _gathered(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
+    """A row for each series: its keys and `rows`, an array of (by, value) in order."""
+    from pyspark.sql import functions as F
+
+    pair = F.struct(F.col(by).alias("by"), F.col(value).cast("double").alias("value"))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("rows"))
+
+
 def universal_inference_e(df: DataFrame, keys: list[str], cal: tuple[int, int], test: tuple[int, int], value: str = "value", by: str = "tick") -> DataFrame:
-    """One e-value for each series; series shorter than both windows have none."""
+    """One e-value for each series; series shorter than both windows have none. Series of a batch are fitted together."""
+    from pyspark.sql import functions as F
+
     need = max(cal[0] + cal[1], test[0] + test[1])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(by)[value].to_numpy(float)
-        return pd.DataFrame([(*key, universal_inference(x, cal, test))] if len(x) >= need and np.isfinite(x[:need]).all() else [], columns=[*keys, "e"])
+    def run(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, need)
+            on = np.flatnonzero(np.isfinite(x).all(1))
+            e = [universal_inferences(x[on[i : i + TOGETHER]], cal, test) for i in range(0, len(on), TOGETHER)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(on)) for k in keys), pa.array(np.concatenate([np.zeros(0), *e]))], names=[*keys, "e"])
 
-    return df.select(*keys, by, value).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", e double")
+    types = dict(df.dtypes)
+    long = _gathered(df, keys, by, value).where(F.size("rows") >= need).select(*keys, F.slice("rows", 1, need)["value"].alias("x"))
+    return long.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", e double")
 
 
 def sequential_ui_process(df: DataFrame, keys: list[str], value: str = "value", by: str = "tick", change: int = 1) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        x = pdf[value].to_numpy(float)
-        if len(x) < 3:
-            return pd.DataFrame({k: [] for k in [*keys, by, "log_e"]})
-        return pd.DataFrame({k: v for k, v in zip(keys, key, strict=True)} | {by: pdf[by].to_numpy()[1:], "log_e": sequential_ui(x, change)})
+    """log_e of each tick after the first, of series of three ticks at least. Ticks of many series go through the null's search together."""
+    from pyspark.sql import functions as F
+
+    def told(b: pa.RecordBatch, rows: list[int], first: np.ndarray, x: np.ndarray, times: pa.Array) -> pa.RecordBatch:
+        got = [_predictable(x[first[i] : first[i + 1]], change) for i in rows]
+        num, *sums = (np.concatenate(v) for v in zip(*got, strict=True))
+        size = np.array([len(g[0]) for g in got])
+        at = pa.array(np.arange(len(num)) + np.repeat(first[rows] + 1 - (np.cumsum(size) - size), size))
+        return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(np.repeat(rows, size))) for k in keys), times.take(at), pa.array(num - _null_at_best(*sums))], names=[*keys, by, "log_e"])
+
+    def run(batches):
+        for b in batches:
+            flat = b.column("rows").flatten()
+            first = np.append(0, np.cumsum(b.column("rows").value_lengths().to_numpy()))
+            x, times, held, ticks = flat.field("value").to_numpy(zero_copy_only=False), flat.field("by"), [], 0
+            for i in range(b.num_rows):
+                held.append(i)
+                ticks += int(first[i + 1] - first[i])
+                if ticks >= TICKS or i == b.num_rows - 1:
+                    yield told(b, held, first, x, times)
+                    held, ticks = [], 0
 
     types = dict(df.dtypes)
-    return df.select(*keys, by, value).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, by]) + ", log_e double")
+    return _gathered(df, keys, by, value).where(F.size("rows") >= 3).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in [*keys, by]) + ", log_e double")
 
 
 def _matrix(pdf: pd.DataFrame, rows: str = "shard", value: str = "r") -> pd.DataFrame:

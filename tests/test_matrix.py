@@ -156,3 +156,30 @@ def test_mean_of_features():
     fm, cov = mx.feature_map(5, 32, 2, 1.0), np.array([[1.0, 0.3], [0.3, 0.5]])
     x = np.random.default_rng(0).multivariate_normal([0, 0], cov, 200_000)
     assert np.abs(mx.features(x, fm).mean(0) - mx.feature_mean(cov, fm)).max() < 0.003
+
+
+def test_series_are_fitted_together(spark, monkeypatch):
+    """Equal to one series after the other, with short, gappy and null-keyed ones; one call of the kernel for all series of a batch."""
+    monkeypatch.setattr(mx, "TICKS", 90)
+    rng = np.random.default_rng(5)
+    data = {k: rng.normal(0, 1, n) + 2 * (np.arange(n) >= 20) for k, n in ((0, 45), (1, 40), (2, 39), (3, 2), (None, 60), (4, 3), (5, 41))}
+    rows = [(k, t, None if (k, t) == (5, 7) else float(v)) for k, x in data.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series long, tick long, value double").repartition(5, "tick")
+    e = {r.series: r.e for r in mx.universal_inference_e(df, ["series"], (0, 20), (20, 20)).collect()}
+    assert e.keys() == {0, 1, None} and all(v == pytest.approx(mx.universal_inference(data[k], (0, 20), (20, 20))) for k, v in e.items())
+    got = {}
+    for r in mx.sequential_ui_process(df.where("series is null or series <> 5"), ["series"]).orderBy("tick").collect():
+        got.setdefault(r.series, []).append((r.tick, r.log_e))
+    assert got.keys() == {0, 1, 2, 4, None}
+    for k, told in got.items():
+        assert [t for t, _ in told] == list(range(1, len(data[k]))) and [v for _, v in told] == pytest.approx(mx.sequential_ui(data[k]).tolist())
+    import time
+
+    x = rng.normal(0, 1, (2000, 40))
+    began = time.process_time()
+    mx.universal_inferences(x, (0, 20), (20, 20))
+    together = time.process_time() - began
+    began = time.process_time()
+    for row in x[:200]:
+        mx.universal_inference(row, (0, 20), (20, 20))
+    assert together < 10 * (time.process_time() - began) / 2
