@@ -2,8 +2,10 @@
 
 A row's weight in a draw is a Poisson count of mean 1 that a counter-based
 generator gives from the row's own id, the draw and the seed: it needs no state, no
-shuffle and no order, and is the same however the table is partitioned. Draws are
-summed where the rows are, so a sum for each key and draw is all that moves.
+order, and is the same however the table is partitioned. A digest for each row and
+draw is most of the work, and a small file would be one task: rows are dealt
+evenly to tasks of about `TASK` digests. Draws are summed where the rows are, so a
+sum for each key and draw is all that moves then.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ from pyspark.sql import functions as F
 
 #: Counts beyond this have probability under 1e-9.
 MOST = 12
+#: Digests of a task.
+TASK = 1 << 21
+
+
+def digest(row: Column, draw: Column, seed: int) -> Column:
+    """MD5 of (seed, row, draw) as 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), draw.cast("string")).cast("binary"))
 
 
 def uniform(row: Column, draw: Column, seed: int) -> Column:
     """A number in [0, 1) for each (row, draw): the first 32 bits of an MD5 digest."""
-    text = F.concat_ws(":", F.lit(str(seed)), row.cast("string"), draw.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(digest(row, draw, seed), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def cumulative() -> list[float]:
@@ -41,6 +49,15 @@ def poisson(u: Column) -> Column:
     return out.otherwise(MOST)
 
 
+def poisson_of(hexadecimal: Column) -> Column:
+    """poisson(uniform(...)) from the digest: digits are compared as text, and the first eight decide."""
+    out = F.lit(MOST)
+    for k, p in reversed(list(enumerate(cumulative()))):
+        least = math.ceil(p * 4294967296.0)  # u < p is the same as 32 bits < least
+        out = F.when(hexadecimal < f"{least:08x}", k).otherwise(out) if least < 1 << 32 else F.lit(k)
+    return out
+
+
 def across_draws(df: DataFrame, keys: list[str], row: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """(keys, draw, n, mean) of each draw; draw 0 is the table itself, every row once.
 
@@ -50,9 +67,11 @@ def across_draws(df: DataFrame, keys: list[str], row: str, value: str, draws: in
     if draws < 1:
         raise ValueError(f"{draws} draws")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(row).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).cast("double").alias("_x"))
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    each = each.withColumn("_w", F.when(F.col("draw") == 0, 1).otherwise(poisson(uniform(F.col("_row"), F.col("draw"), seed)))).where("_w > 0")
-    g = each.groupBy(*keys, "draw").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_x")).alias("_s"))
+    tasks = -(-rows.count() * draws // TASK)
+    each = rows.repartition(max(1, tasks)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    each = each.withColumn("_h", F.when(F.col("draw") > 0, digest(F.col("_row"), F.col("draw"), seed)))  # a column of its own, computed once a row
+    each = each.withColumn("_w", F.when(F.col("draw") == 0, 1).otherwise(poisson_of(F.col("_h"))))
+    g = each.groupBy(*keys, "draw").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_x")).alias("_s")).where("n > 0")
     return g.select(*keys, "draw", "n", (F.col("_s") / F.col("n")).alias("mean"))
 
 

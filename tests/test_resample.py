@@ -30,3 +30,15 @@ def test_same_draws_for_any_partitioning(spark):
     with pytest.raises(ValueError):
         rs.across_draws(df, ["key"], "id", "v", 0)
     assert not rs.nearest_rank(rs.across_draws(df.where("false"), ["key"], "id", "v", 3), ["key"], {"low": 0.1}).collect()
+
+
+def test_counts_from_digits_in_even_tasks(spark, monkeypatch):
+    """Counts from the digits are those of the uniform numbers; a table in one partition is many tasks."""
+    d = spark.range(3000).select(rs.poisson(rs.uniform(F.col("id"), F.lit(2), 5)).alias("a"), rs.poisson_of(rs.digest(F.col("id"), F.lit(2), 5)).alias("b"))
+    edge = spark.createDataFrame([(f"{x:08x}{tail}", x) for p in rs.cumulative() for x in (min((1 << 32) - 1, math.ceil(p * 2**32) + i) for i in (-1, 0, 1)) for tail in ("0" * 24, "f" * 24)], "h string, x long")
+    d = d.unionByName(edge.select(rs.poisson(F.col("x") / 4294967296.0).alias("a"), rs.poisson_of(F.col("h")).alias("b")))
+    assert d.where("a <> b or a is null or b is null").count() == 0
+    monkeypatch.setattr(rs, "TASK", 1 << 10)
+    df = spark.range(1000, numPartitions=1).select(F.lit("k").alias("key"), "id", F.lit(1.0).alias("v"))
+    plan = rs.across_draws(df, ["key"], "id", "v", 20)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("md5") == 1
