@@ -9,6 +9,7 @@ a key with all rows is many tasks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -304,3 +305,78 @@ class _Count(Carry):
 def numbered(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Adds rank, from 1, of rows in order within their key, as row_number() does, in even blocks."""
     return scanned(df, keys, by, by[:1], _Count())
+
+
+class _Trail:
+    """The last n values of the key that rows read so far end with."""
+
+    def __init__(self, keys: list[str], column: str, n: int, key: tuple | None = None, values: np.ndarray | None = None):
+        self.keys, self.column, self.n, self.key = keys, column, n, key
+        self.values = np.zeros(0) if values is None else values
+        self.whole, self.first = True, None  # whether rows had one key, and the first key
+
+    def lags(self, b: pa.RecordBatch) -> list[np.ndarray]:
+        """The values 1 .. n rows before in the key, NaN where there are none, of all keys of a batch at once."""
+        new, cols = np.zeros(b.num_rows, bool), [b.column(k) for k in self.keys]
+        for c in cols:
+            code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        head, last = (tuple(c[i].as_py() for c in cols) for i in (0, b.num_rows - 1))
+        on = head == self.key
+        self.whole &= not new.any() and (on or self.first is None)
+        self.first = head if self.first is None else self.first
+        before = self.values if on else self.values[:0]
+        x = np.concatenate([np.full(self.n - len(before), np.nan), before, b.column(self.column).to_numpy(zero_copy_only=False).astype(float)])
+        at = np.arange(b.num_rows)
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        out = [np.where((at - i >= start) | (start == 0), x[self.n + at - i], np.nan) for i in range(1, self.n + 1)]
+        self.key, begin = last, self.n + start[-1] if start[-1] else self.n - len(before)
+        self.values = x[begin:][-self.n :]
+        return out
+
+
+def lagged(df: DataFrame, keys: list[str], by: list[str], column: str, n: int) -> DataFrame:
+    """Adds _l1 .. _ln, the values of `column` (no nulls) 1 .. n rows before in order of `by` within the key, null where there are not so many.
+
+    Blocks are even, as in `scanned`, but all keys of a batch go together. A key
+    goes on from block to block by the last n values of each block's last key;
+    that is one row a block.
+    """
+    order = [*keys, *by]
+    parts = min(MOST_BLOCKS, max(1, -(-df.count() // BLOCK_ROWS)))
+    added = ", ".join(f"_l{i} double" for i in range(1, n + 1))
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, k, np.int32))], names=[*b.schema.names, "_block"])
+
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trail, k = _Trail(keys, column, n), None
+        for b in batches:
+            if b.num_rows:
+                k = b.column("_block")[0].as_py()
+                trail.lags(b)
+        if k is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps((trail.whole, trail.first, trail.key, trail.values))])], names=["block", "told"])
+
+    dealt = cut_in_place(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(block, _schema(df, "_block int")))
+    before, key, values = {}, None, np.zeros(0)
+    for r in sorted(dealt.select(*keys, column, "_block").mapInArrow(tail, "block int, told binary").collect()):  # at most MOST_BLOCKS rows
+        before[r.block] = key, values
+        whole, first, last, own = pickle.loads(bytes(r.told))
+        key, values = last, np.append(values, own)[-n:] if whole and first == key else own
+    shared = df.sparkSession.sparkContext.broadcast(before)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trail = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            trail = trail or _Trail(keys, column, n, *shared.value[b.column("_block")[0].as_py()])
+            lags = [pa.array(x, pa.float64(), from_pandas=True) for x in trail.lags(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lags], names=[*b.schema.names[:-1], *(f"_l{i}" for i in range(1, n + 1))])
+
+    return dealt.mapInArrow(finished, _schema(df, added))

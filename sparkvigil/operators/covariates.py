@@ -5,7 +5,8 @@ normal equations are solved for all series of a batch at once. Autocovariances o
 the regression residual come from lags that ordered blocks pass on to each other
 (functions/walks.py), so a series of any length is many tasks, and the order of the
 autoregression is the one of least AIC. The fit also tells whether the one-step
-residual is white.
+residual is white. Each of these steps is read several times by those after it, so
+each is computed once and cut.
 
 Rows without a value or a covariate take no part. Series of fewer than 16 rows
 have no fit; where the covariates are collinear, the fit has a problem and no
@@ -23,32 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.walks import Carry, scanned
+from ..functions.walks import lagged
+from .cut import cut
 from .evaluators import RESPONSES
 
 LEAST = 16
 TINY = 1e-18
 
 
-class _Lags(Carry):
-    """The values 1 .. n rows before, null where there are not so many; blocks leave their last n."""
-
-    def __init__(self, column: str, n: int):
-        self.column, self.n = column, n
-        self.added = ", ".join(f"_l{i + 1} double" for i in range(n))
-
-    def of(self, key: tuple, rows: dict[str, np.ndarray]) -> np.ndarray:
-        return rows[self.column][-self.n :].astype(float)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.append(a, b)[-self.n :]
-
-    def finish(self, key: tuple, before: np.ndarray | None, told: np.ndarray | None, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        x = rows[self.column].astype(float)
-        full = np.concatenate([np.full(self.n, np.nan), before if before is not None else [], x])
-        return {f"_l{i}": full[len(full) - len(x) - i : len(full) - i] for i in range(1, self.n + 1)}
-
-
 def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in columns))
 
@@ -138,11 +121,10 @@ def _innovation(phi, u, lags: list):
 def fitted(df: DataFrame, keys: list[str], covariates: list[str], value: str = "value", by: str = "tick", max_order: int = 5, ridge: float = 1e-8, rho_max: float | None = None) -> DataFrame:
     """One row for each series: n, coef (intercept, slopes), phi, ar_order, sigma2, residual_lag1_rho, rho_max, white, one_step_rmse, problem."""
     _checked(covariates)
-    rows = _whole(df, [*covariates, value])
-    base = _regression(rows, keys, covariates, value, ridge)
-    u = _joined(rows.select(*keys, by, value, *covariates), base.where("coef is not null"), keys).select(*keys, by, _residual(covariates, value).alias("_u"))
-    lags = scanned(u, keys, [by], ["_u"], _Lags("_u", max_order + 1))
-    lags = lags.withColumns({f"_l{i}": F.nanvl(f"_l{i}", F.lit(None).cast("double")) for i in range(1, max_order + 2)})
+    rows = cut(_whole(df, [*covariates, value]).select(*keys, by, value, *covariates))
+    base = cut(_regression(rows, keys, covariates, value, ridge))
+    u = cut(_joined(rows, base.where("coef is not null"), keys).select(*keys, by, _residual(covariates, value).alias("_u")))
+    lags = cut(lagged(u, keys, [by], "_u", max_order + 1))
     mean = lags.groupBy(*keys).agg(F.avg("_u").alias("_m"))
     both = _joined(lags, mean, keys)
     d = [F.col(c) - F.col("_m") for c in ("_u", *(f"_l{i}" for i in range(1, max_order + 1)))]
@@ -154,7 +136,7 @@ def fitted(df: DataFrame, keys: list[str], covariates: list[str], value: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array([p for p, _ in got], pa.list_(pa.float64())), pa.array([s for _, s in got], pa.float64())], names=[*keys, "phi", "sigma2"])
 
     kinds = dict(df.dtypes)
-    chosen = gamma.mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", phi array<double>, sigma2 double")
+    chosen = cut(gamma.mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", phi array<double>, sigma2 double"))
     e = _joined(lags, chosen, keys)
     lag = [F.col(f"_l{i}") for i in range(1, max_order + 2)]
     e = e.withColumns({"_e": _innovation(F.col("phi"), F.col("_u"), lag[:-1]), "_p": _innovation(F.col("phi"), lag[0], lag[1:])})
@@ -173,8 +155,8 @@ def fitted(df: DataFrame, keys: list[str], covariates: list[str], value: str = "
 def one_step(df: DataFrame, fit: DataFrame, keys: list[str], covariates: list[str], value: str = "value", by: str = "tick", max_order: int = 5) -> DataFrame:
     """Adds residual and standardized, a frozen fit's one-step innovations, to rows of series with a fit; null for the first ar_order rows of a series."""
     _checked(covariates)
-    rows = _joined(_whole(df, [*covariates, value]), fit.where("problem is null").select(*keys, "coef", "phi", "sigma2"), keys).withColumn("_u", _residual(covariates, value))
-    lags = scanned(rows, keys, [by], ["_u"], _Lags("_u", max_order))
-    lag = [F.nanvl(f"_l{i}", F.lit(None).cast("double")) for i in range(1, max_order + 1)]
+    rows = cut(_joined(_whole(df, [*covariates, value]), fit.where("problem is null").select(*keys, "coef", "phi", "sigma2"), keys).withColumn("_u", _residual(covariates, value)))
+    lags = lagged(rows, keys, [by], "_u", max_order)
+    lag = [F.col(f"_l{i}") for i in range(1, max_order + 1)]
     out = lags.withColumn("residual", _innovation(F.col("phi"), F.col("_u"), lag))
     return out.withColumn("standardized", F.col("residual") / F.sqrt("sigma2")).drop("_u", "coef", "phi", "sigma2", *(f"_l{i}" for i in range(1, max_order + 1)))

@@ -112,3 +112,19 @@ def test_smoothing_with_cooldown(spark, small_blocks, window, threshold, cooldow
     assert {(x.key, x.tick): x.fire for x in out.collect()} == want
     with pytest.raises(ValueError):
         replay.likelihood_smoothed(out, ["key"], 2, 3, 1)
+
+
+@pytest.mark.parametrize("rows", [2, 7, 1 << 18])
+def test_lags_of_many_keys_together(spark, monkeypatch, rows):
+    """As SQL's lag, with keys that are shorter than a block, or go over several; null keys are keys."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(walks, "BLOCK_ROWS", rows)
+    data = [(k, t, float(t * t + len(str(k)))) for k, n in (("a", 1), ("b", 30), (None, 9), ("c", 2), ("d", 3), ("e", 11)) for t in range(n)]
+    df = spark.createDataFrame(data, "key string, tick long, v double").repartition(3)
+    w = Window.partitionBy("key").orderBy("tick")
+    want = df.withColumns({f"_l{i}": F.lag("v", i).over(w) for i in (1, 2, 3)})
+    got = walks.lagged(df, ["key"], ["tick"], "v", 3)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert walks.lagged(df.where("false"), ["key"], ["tick"], "v", 3).count() == 0
